@@ -98,8 +98,8 @@ class Parse:
         self.right = np.minimum(at + LENGTH, end[at])
         cl, cr = np.maximum(at - SIDE, start[at]), np.minimum(at + GRAM + SIDE, end[at])
         self.phrase = _mix(self.sub(self.left, self.right) + (at - self.left).astype(np.uint64) * _M2 + (self.right - at).astype(np.uint64) * _M3) & np.uint64((1 << 48) - 1)
-        self.lside = _mix(self.sub(cl, at + GRAM) + (at - cl).astype(np.uint64) * _M3).astype(np.uint16)
-        self.rside = _mix(self.sub(at, cr) + (cr - at).astype(np.uint64) * _M1).astype(np.uint16)
+        self.lside = _mix(self.sub(cl, at + GRAM) + (at - cl).astype(np.uint64) * _M3).astype(np.uint8)
+        self.rside = _mix(self.sub(at, cr) + (cr - at).astype(np.uint64) * _M1).astype(np.uint8)
 
     def sub(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.prefix[b] - self.prefix[a]) * _IPOW[a]
@@ -152,7 +152,7 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-_ENTRY = np.dtype([("t", "<u4"), ("p0", "<u4"), ("p1", "<u2"), ("l", "<u2"), ("r", "<u2"), ("d", "<u2")])
+_ENTRY = np.dtype([("t", "<u4"), ("p0", "<u4"), ("p1", "<u2"), ("l", "u1"), ("r", "u1"), ("d", "<u2")])
 _STRING = np.dtype([("s", "<u8"), ("d", "<u2")])
 _OUT = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("blob", pa.binary())])
 _OUT_SQL = "k long, doc_id long, ids binary, blob binary"
@@ -409,9 +409,11 @@ def _cutter(batches):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed byte runs), kept_sha256 for every row of docs."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    # An alias of an unchanged id would keep the two joins below from sharing one exchange of the texts.
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(doc_id, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     n_buckets = max(shuffle_partitions(spark), input_bytes(docs) // (4 << 20))
-    known = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = rows.where("doc_id IS NOT NULL")
     parts = max(shuffle_partitions(spark), n_buckets // 4)
 
     def settled(entries: DataFrame, settle) -> DataFrame:
@@ -426,5 +428,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     strings = settled(asked.mapInArrow(_asked_strings(n_buckets), _OUT_SQL), _settle_strings).withColumnRenamed("doc_id", "s_id").withColumnRenamed("marks", "s_marks")
     both = phrases.join(strings, F.col("m_id") == F.col("s_id"), "left").select("m_id", F.concat("marks", F.coalesce("s_marks", F.array().cast("array<binary>"))).alias("marks"))
     joined = known.join(both, F.col("doc_id") == F.col("m_id"), "left").select("doc_id", "text", "marks")
-    unnamed = rows.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("array<binary>").alias("marks"))
+    unnamed = rows.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks"))
     return joined.unionByName(unnamed).mapInArrow(_cutter, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")

@@ -101,9 +101,8 @@ def edited_fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH) -> Data
     base = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"), sketch(F.col("text"), k, width).alias("sk"))
     ids = docs.select(key.alias("doc_id"), F.floor(F.length(F.coalesce("text", F.lit(""))) / 3).cast("int").alias("need")).groupBy("doc_id").agg(F.max("need").alias("need"))
     ring = neighbours(ids).select("prev", F.col("doc_id").alias("n_key"), "need")
-    pick = Window.partitionBy("key").orderBy(F.length("text"), F.xxhash64("text"))
-    first = base.withColumn("nth", F.row_number().over(pick)).where("nth = 1")
-    nexts = first.join(ring, F.col("key") == F.col("n_key")).select("prev", F.substring("text", F.lit(1), F.col("need")).alias("head"), F.col("sk").alias("next_sk"))
+    heads = base.join(ring, F.col("key") == F.col("n_key")).select("prev", F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h"), F.substring("text", F.lit(1), F.col("need")).alias("head"), "sk").alias("x"))
+    nexts = heads.groupBy("prev").agg(F.min("x").alias("x")).select("prev", "x.head", F.col("x.sk").alias("next_sk"))
     met = base.join(nexts, F.col("key") == F.col("prev"))
     n = F.length("text")
     cut_ = F.floor(n / 3).cast("int")
