@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,10 +138,29 @@ def _blocks(data: np.ndarray, offsets: np.ndarray):
             yield p, np.searchsorted(offsets, p.at + lo, side="right") - 1, lo
 
 
-def _texts(column) -> tuple[np.ndarray, np.ndarray]:
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8), offsets
+def _pack(batches):
+    """Compress the texts that travel."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze.compress(t) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "text"])
+
+
+def _slices(batch, packed: bool, most: int = 1 << 24):
+    """Runs of a batch's rows of at most 65536 texts and about 16 MB: first and last row, bytes, offsets."""
+    open_ = zstandard.ZstdDecompressor().decompress if packed else bytes
+    a, held, size = 0, [], 0
+    for k, t in enumerate(batch.column(1)):
+        if held and (size >= most or len(held) == 65536):
+            yield a, k, *_laid(held)
+            a, held, size = k, [], 0
+        held.append(open_(t.as_py()))
+        size += len(held[-1])
+    if held:
+        yield a, batch.num_rows, *_laid(held)
+
+
+def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
 
 
 def _firsts(*keys: np.ndarray) -> np.ndarray:
@@ -152,8 +172,9 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-_ENTRY = np.dtype([("t", "<u4"), ("p0", "<u4"), ("p1", "<u2"), ("l", "u1"), ("r", "u1"), ("d", "<u2")])
-_STRING = np.dtype([("s", "<u8"), ("d", "<u2")])
+#: Columns of a blob, one behind the other (an exchange compresses a column of near-equal text numbers well).
+_ENTRY = {"t": "<u4", "p0": "<u4", "p1": "<u2", "l": "u1", "r": "u1", "d": "<u2"}
+_STRING = {"s": "<u8", "d": "<u2"}
 _OUT = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("blob", pa.binary())])
 _OUT_SQL = "k long, doc_id long, ids binary, blob binary"
 #: Marks sent to documents: the kind is the first byte of the blob.
@@ -171,17 +192,16 @@ def _marks(doc: np.ndarray, value: np.ndarray, kind: bytes):
         yield int(doc[a]), kind + value[a:b].astype("<u8").tobytes()
 
 
-def _deal(bucket: np.ndarray, rows: np.ndarray, ids: np.ndarray):
-    """A (bucket, doc_ids, blob) for each bucket; field d of rows points into the doc_ids (at most 65536 texts in a deal)."""
-    if not len(rows):
+def _deal(bucket: np.ndarray, ids: np.ndarray, columns: dict[str, np.ndarray], kinds: dict[str, str]):
+    """A (bucket, doc_ids, blob) for each bucket; column d numbers texts on input, places in the doc_ids on output."""
+    if not len(bucket):
         return
-    order = np.argsort(bucket, kind="stable")
-    bucket, rows = bucket[order], rows[order]
+    order = np.lexsort((columns["d"], bucket))
+    bucket, columns = bucket[order], {k: v[order] for k, v in columns.items()}
     at = np.flatnonzero(_firsts(bucket))
     for a, b in zip(at, np.r_[at[1:], len(bucket)], strict=True):
-        part = rows[a:b].copy()
-        used, part["d"] = np.unique(part["d"], return_inverse=True)
-        yield int(bucket[a]), ids[used].tobytes(), part.tobytes()
+        used, place = np.unique(columns["d"][a:b], return_inverse=True)
+        yield int(bucket[a]), ids[used].tobytes(), b"".join((place if k == "d" else columns[k][a:b]).astype(t).tobytes() for k, t in kinds.items())
 
 
 def _batch(rows):
@@ -189,25 +209,15 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(d, pa.int64()), pa.array(i, pa.binary()), pa.array(b, pa.binary())], schema=_OUT)
 
 
-def _slices(n_rows: int, offsets: np.ndarray, most: int = 1 << 25):
-    """Runs of rows of at most 65536 texts and about 32 MB."""
-    a = 0
-    while a < n_rows:
-        b = int(np.searchsorted(offsets, offsets[a] + most, side="left"))
-        b = min(n_rows, max(a + 1, b), a + 65536)
-        yield a, b
-        a = b
-
-
 def _parser(n_buckets: int):
     """Texts to parse entries dealt by trigger (doc_id null) and to marks that the batch itself could settle (k null)."""
 
     def run(batches):
         for batch in batches:
-            data, offs = _texts(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for r0, r1 in _slices(len(ids), offs):
-                got = [(p.gram, p.phrase, p.lside, p.rside, ids[r0:r1][t], t) for p, t, _ in _blocks(data, offs[r0 : r1 + 1])]
+            every = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for r0, r1, data, offs in _slices(batch, False):
+                ids = every[r0:r1]
+                got = [(p.gram, p.phrase, p.lside, p.rside, ids[t], t) for p, t, _ in _blocks(data, offs)]
                 if not got:
                     continue
                 gram, phrase, ls, rs, doc, text = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -217,11 +227,9 @@ def _parser(n_buckets: int):
                 least = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
                 later = (doc > least) & _firsts(gram, phrase, doc)
                 out = [(None, d, None, m) for d, m in _marks(doc[later], phrase[later], _FULL)]
-                rows = np.empty(int(new.sum()), dtype=_ENTRY)
-                g, p = _mix(gram[new]), phrase[new]
-                rows["t"], rows["p0"], rows["p1"] = (g & np.uint64(0xFFFFFFFF)), p & np.uint64(0xFFFFFFFF), p >> np.uint64(32)
-                rows["l"], rows["r"], rows["d"] = ls[new], rs[new], text[new]
-                out += [(k, None, i, b) for k, i, b in _deal(((g >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64), rows, ids[r0:r1])]
+                g, p, low = _mix(gram[new]), phrase[new], np.uint64(0xFFFFFFFF)
+                entries = {"t": g & low, "p0": p & low, "p1": p >> np.uint64(32), "l": ls[new], "r": rs[new], "d": text[new]}
+                out += [(k, None, i, b) for k, i, b in _deal((g >> np.uint64(32)) % np.uint64(n_buckets), ids, entries, _ENTRY)]
                 yield _batch(out)
 
     return run
@@ -244,10 +252,17 @@ def _bucket_groups(batches):
         yield k0, held
 
 
-def _unpack(held, dtype):
-    rows = [np.frombuffer(b, dtype=dtype) for _, b in held]
-    doc = np.concatenate([np.frombuffer(i, dtype=np.int64)[r["d"]] for (i, _), r in zip(held, rows, strict=True)])
-    return np.concatenate(rows), doc
+def _unpack(held, kinds: dict[str, str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The columns of a bucket's blobs and the doc_id of each row."""
+    width = sum(np.dtype(t).itemsize for t in kinds.values())
+    columns, docs = {k: [] for k in kinds}, []
+    for ids, blob in held:
+        n, at = len(blob) // width, 0
+        for k, t in kinds.items():
+            columns[k].append(np.frombuffer(blob, dtype=t, count=n, offset=at))
+            at += n * np.dtype(t).itemsize
+        docs.append(np.frombuffer(ids, dtype=np.int64)[columns["d"][-1]])
+    return {k: np.concatenate(v) for k, v in columns.items() if k != "d"}, np.concatenate(docs)
 
 
 def _resolver(settle):
@@ -319,32 +334,29 @@ def _asked_strings(n_buckets: int):
 
     def run(batches):
         for batch in batches:
-            data, offs = _texts(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            marks = batch.column(2).to_pylist()
-            for r0, r1 in _slices(len(ids), offs):
-                wanted = [_by_kind(m)[_PARTIAL] for m in marks[r0:r1]]
+            every = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for r0, r1, data, offs in _slices(batch, True):
+                ids = every[r0:r1]
+                wanted = [_by_kind(m)[_PARTIAL] for m in batch.column(2).slice(r0, r1 - r0).to_pylist()]
                 text_of = np.repeat(np.arange(r1 - r0), [len(w) for w in wanted])
                 want = np.unique(np.concatenate(wanted) * _M1 + text_of.astype(np.uint64) * _M2) if len(text_of) else np.array([], dtype=np.uint64)
                 got = []
-                for p, t, lo in _blocks(data, offs[r0 : r1 + 1]):
+                for p, t, lo in _blocks(data, offs):
                     which = np.flatnonzero(_member(p.phrase * _M1 + t.astype(np.uint64) * _M2, want))
                     if len(which):
                         starts, h = p.strings(which)
-                        got.append((h, np.searchsorted(offs[r0 : r1 + 1], starts + lo, side="right") - 1))
+                        got.append((h, np.searchsorted(offs, starts + lo, side="right") - 1))
                 if not got:
                     continue
                 h, text = (np.concatenate(x) for x in zip(*got, strict=True))
-                order = np.lexsort((ids[r0:r1][text], h))
+                order = np.lexsort((ids[text], h))
                 h, text = h[order], text[order]
-                doc = ids[r0:r1][text]
+                doc = ids[text]
                 new = _firsts(h)
                 least = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
                 later = (doc > least) & _firsts(h, doc)
                 out = [(None, d, None, m) for d, m in _marks(doc[later], h[later], _SHARED)]
-                rows = np.empty(int(new.sum()), dtype=_STRING)
-                rows["s"], rows["d"] = h[new], text[new]
-                out += [(k, None, i, b) for k, i, b in _deal((_mix(h[new]) % np.uint64(n_buckets)).astype(np.int64), rows, ids[r0:r1])]
+                out += [(k, None, i, b) for k, i, b in _deal(_mix(h[new]) % np.uint64(n_buckets), ids, {"s": h[new], "d": text[new]}, _STRING)]
                 yield _batch(out)
 
     return run
@@ -388,22 +400,26 @@ def _cover(data: np.ndarray, offsets: np.ndarray, marks: list) -> list[list[tupl
     return runs
 
 
-def _cutter(batches):
-    for batch in batches:
-        data, offs = _texts(batch.column(1))
-        runs = _cover(data, offs, batch.column(2).to_pylist())
-        size, gone, spans, sha = [], [], [], []
-        for k, r in enumerate(runs):
-            text, at, digest = data[offs[k] : offs[k + 1]], 0, hashlib.sha256()
-            for a, b in r:
-                digest.update(text[at:a])
-                at = b
-            digest.update(text[at:])
-            size.append(len(text))
-            gone.append(sum(b - a for a, b in r))
-            spans.append([{"start": a, "end": b} for a, b in r])
-            sha.append(digest.hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
+def _cutter(packed: bool):
+    def run(batches):
+        for batch in batches:
+            for r0, r1, data, offs in _slices(batch, packed):
+                runs = _cover(data, offs, batch.column(2).slice(r0, r1 - r0).to_pylist())
+                size, gone, spans, sha = [], [], [], []
+                for k, r in enumerate(runs):
+                    text, at, digest = data[offs[k] : offs[k + 1]], 0, hashlib.sha256()
+                    for a, b in r:
+                        digest.update(text[at:a])
+                        at = b
+                    digest.update(text[at:])
+                    size.append(len(text))
+                    gone.append(sum(b - a for a, b in r))
+                    spans.append([{"start": a, "end": b} for a, b in r])
+                    sha.append(digest.hexdigest())
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, r1 - r0), *(pa.array(c, t) for c, t in zip((size, gone, spans, sha), kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -412,9 +428,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # An alias of an unchanged id would keep the two joins below from sharing one exchange of the texts.
     doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
     rows = docs.select(doc_id, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    n_buckets = max(shuffle_partitions(spark), input_bytes(docs) // (4 << 20))
+    n_buckets = max(shuffle_partitions(spark), input_bytes(docs) // (8 << 20))
     known = rows.where("doc_id IS NOT NULL")
-    parts = max(shuffle_partitions(spark), n_buckets // 4)
+    # The inner join below would add this filter on one side only, and the two exchanges would differ.
+    packed = known.mapInArrow(_pack, "doc_id long, text binary").where("doc_id IS NOT NULL")
+    parts = max(shuffle_partitions(spark), n_buckets // 2)
+    cut_sql = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
 
     def settled(entries: DataFrame, settle) -> DataFrame:
         dealt = F.coalesce(F.col("k"), F.xxhash64("doc_id", F.octet_length("blob")))
@@ -424,9 +443,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     phrases = settled(known.where(F.octet_length("text") >= LENGTH).mapInArrow(_parser(n_buckets), _OUT_SQL), _settle_phrases).withColumnRenamed("doc_id", "m_id")
     partly = phrases.where(F.exists("marks", lambda b: F.substring(b, 1, 1) == F.lit(_PARTIAL)))
-    asked = known.join(partly, F.col("doc_id") == F.col("m_id"), "inner").select("doc_id", "text", "marks")
+    asked = packed.join(partly, F.col("doc_id") == F.col("m_id"), "inner").select("doc_id", "text", "marks")
     strings = settled(asked.mapInArrow(_asked_strings(n_buckets), _OUT_SQL), _settle_strings).withColumnRenamed("doc_id", "s_id").withColumnRenamed("marks", "s_marks")
     both = phrases.join(strings, F.col("m_id") == F.col("s_id"), "left").select("m_id", F.concat("marks", F.coalesce("s_marks", F.array().cast("array<binary>"))).alias("marks"))
-    joined = known.join(both, F.col("doc_id") == F.col("m_id"), "left").select("doc_id", "text", "marks")
-    unnamed = rows.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks"))
-    return joined.unionByName(unnamed).mapInArrow(_cutter, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
+    joined = packed.join(both, F.col("doc_id") == F.col("m_id"), "left").select("doc_id", "text", "marks").mapInArrow(_cutter(True), cut_sql)
+    unnamed = rows.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks")).mapInArrow(_cutter(False), cut_sql)
+    return joined.unionByName(unnamed)
