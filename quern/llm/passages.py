@@ -26,6 +26,7 @@ any other, so its row is returned whole; rows of one doc_id never remove from on
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -145,8 +146,8 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze.compress(t) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "text"])
 
 
-def _slices(batch, packed: bool, most: int = 1 << 24):
-    """Runs of a batch's rows of at most 65536 texts and about 16 MB: first and last row, bytes, offsets."""
+def _slices(batch, packed: bool, most: int = 1 << 23):
+    """Runs of a batch's rows of at most 65536 texts and about 8 MB: first and last row, bytes, offsets."""
     open_ = zstandard.ZstdDecompressor().decompress if packed else bytes
     a, held, size = 0, [], 0
     for k, t in enumerate(batch.column(1)):
@@ -175,21 +176,40 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
 #: Columns of a blob, one behind the other (an exchange compresses a column of near-equal text numbers well).
 _ENTRY = {"t": "<u4", "p0": "<u4", "p1": "<u2", "l": "u1", "r": "u1", "d": "<u2"}
 _STRING = {"s": "<u8", "d": "<u2"}
-_OUT = pa.schema([("k", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("blob", pa.binary())])
-_OUT_SQL = "k long, doc_id long, ids binary, blob binary"
-#: Marks sent to documents: the kind is the first byte of the blob.
-_FULL, _PARTIAL, _SHARED = b"f", b"p", b"s"
+#: Rows between the steps: bucket k, and either entries with their doc_ids or (ids null) marks that are settled already.
+_OUT = pa.schema([("k", pa.int64()), ("ids", pa.binary()), ("blob", pa.binary())])
+_OUT_SQL = "k long, ids binary, blob binary"
+#: Kinds of marks: a whole phrase, a phrase whose strings are asked for, a string.
+_FULL, _PARTIAL, _SHARED = range(3)
 
 
-def _marks(doc: np.ndarray, value: np.ndarray, kind: bytes):
-    """(doc_id, packed values) rows of the marks of each document."""
-    if not len(doc):
+_MARK = np.dtype([("d", "<i8"), ("v", "<u8"), ("kind", "u1")])
+
+
+def _marks(doc: np.ndarray, value: np.ndarray, kind: int) -> np.ndarray:
+    out = np.empty(len(doc), dtype=_MARK)
+    out["d"], out["v"], out["kind"] = doc, value, kind
+    return out
+
+
+def _addressed(marks: list[np.ndarray], n_buckets: int):
+    """Marks dealt by document: (bucket, blob) rows, as many as there are buckets, however many documents they name."""
+    rows = np.concatenate(marks) if marks else np.empty(0, dtype=_MARK)
+    if not len(rows):
         return
-    order = np.argsort(doc, kind="stable")
-    doc, value = doc[order], value[order]
-    at = np.flatnonzero(_firsts(doc))
-    for a, b in zip(at, np.r_[at[1:], len(doc)], strict=True):
-        yield int(doc[a]), kind + value[a:b].astype("<u8").tobytes()
+    bucket = _mix(rows["d"].astype(np.uint64)) % np.uint64(n_buckets)
+    order = np.lexsort((rows["v"], rows["d"], bucket))
+    bucket, rows = bucket[order], rows[order]
+    at = np.flatnonzero(_firsts(bucket))
+    for a, b in zip(at, np.r_[at[1:], len(rows)], strict=True):
+        yield int(bucket[a]), b"".join(np.ascontiguousarray(rows[k][a:b]).tobytes() for k in ("d", "v", "kind"))
+
+
+def _marks_of(blob: bytes) -> np.ndarray:
+    n = len(blob) // _MARK.itemsize
+    out = np.empty(n, dtype=_MARK)
+    out["d"], out["v"], out["kind"] = np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "<u8", n, 8 * n), np.frombuffer(blob, "u1", n, 16 * n)
+    return out
 
 
 def _deal(bucket: np.ndarray, ids: np.ndarray, columns: dict[str, np.ndarray], kinds: dict[str, str]):
@@ -205,12 +225,11 @@ def _deal(bucket: np.ndarray, ids: np.ndarray, columns: dict[str, np.ndarray], k
 
 
 def _batch(rows):
-    k, d, i, b = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(d, pa.int64()), pa.array(i, pa.binary()), pa.array(b, pa.binary())], schema=_OUT)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
 
 
 def _parser(n_buckets: int):
-    """Texts to parse entries dealt by trigger (doc_id null) and to marks that the batch itself could settle (k null)."""
+    """Texts to parse entries dealt by trigger, and to marks that the batch itself could settle."""
 
     def run(batches):
         for batch in batches:
@@ -226,30 +245,24 @@ def _parser(n_buckets: int):
                 new = _firsts(gram, phrase)
                 least = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
                 later = (doc > least) & _firsts(gram, phrase, doc)
-                out = [(None, d, None, m) for d, m in _marks(doc[later], phrase[later], _FULL)]
+                out = [(k, None, b) for k, b in _addressed([_marks(doc[later], phrase[later], _FULL)], n_buckets)]
                 g, p, low = _mix(gram[new]), phrase[new], np.uint64(0xFFFFFFFF)
                 entries = {"t": g & low, "p0": p & low, "p1": p >> np.uint64(32), "l": ls[new], "r": rs[new], "d": text[new]}
-                out += [(k, None, i, b) for k, i, b in _deal((g >> np.uint64(32)) % np.uint64(n_buckets), ids, entries, _ENTRY)]
+                out += _deal((g >> np.uint64(32)) % np.uint64(n_buckets), ids, entries, _ENTRY)
                 yield _batch(out)
 
     return run
 
 
 def _bucket_groups(batches):
-    """Whole buckets of a partition sorted by k; rows with k null pass through first."""
-    k0, held = None, []
-    for b in batches:
-        for k, d, i, blob in zip(*(b.column(j).to_pylist() for j in range(4)), strict=True):
-            if k is None:
-                yield None, (d, blob)
-                continue
-            if k != k0 and held:
-                yield k0, held
-                held = []
-            k0 = k
-            held.append((i, blob))
-    if held:
-        yield k0, held
+    """(k, rows) for each whole bucket of a partition sorted by k."""
+
+    def rows():
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+    for k, group in groupby(rows(), key=lambda r: r[0]):
+        yield k, [r[1:] for r in group]
 
 
 def _unpack(held, kinds: dict[str, str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -265,30 +278,43 @@ def _unpack(held, kinds: dict[str, str]) -> tuple[dict[str, np.ndarray], np.ndar
     return {k: np.concatenate(v) for k, v in columns.items() if k != "d"}, np.concatenate(docs)
 
 
-def _resolver(settle):
-    """Run ``settle`` over each bucket; its marks, and those passing through, are the output (doc_id, blob)."""
+def _resolver(settle, n_buckets: int, most: int = 1 << 21):
+    """Run ``settle`` over the entries of each bucket and address all marks to their documents."""
 
     def run(batches):
-        out = []
+        held: list[np.ndarray] = []
 
         def ship():
-            d, b = zip(*out, strict=True)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(b, pa.binary())], names=["doc_id", "blob"])
-
-        for k, held in _bucket_groups(batches):
-            if k is None:
-                out.append(held)
-            else:
-                out.extend(settle(held))
-            if len(out) > 5000:
+            rows = [(k, None, b) for k, b in _addressed(held, n_buckets)]
+            held.clear()
+            return _batch(rows)
+
+        for _, rows in _bucket_groups(batches):
+            held.extend(_marks_of(b) for i, b in rows if i is None)
+            entries = [r for r in rows if r[0] is not None]
+            if entries:
+                held.extend(settle(entries))
+            if sum(map(len, held)) > most:
                 yield ship()
-        if out:
+        if sum(map(len, held)):
             yield ship()
 
     return run
 
 
+def _delivered(batches):
+    """Marks dealt by document to a row for each document: doc_id and a blob of values for each kind."""
+    for _, rows in _bucket_groups(batches):
+        marks = np.unique(np.concatenate([_marks_of(b) for _, b in rows]))  # sorted by document, value and kind
+        at = np.flatnonzero(_firsts(marks["d"]))
+        blobs: list[list] = [[], [], []]
+        for a, b in zip(at, np.r_[at[1:], len(marks)], strict=True):
+            for kind, out in enumerate(blobs):
+                v = marks["v"][a:b][marks["kind"][a:b] == kind]
+                out.append(v.tobytes() if len(v) else None)
+        yield pa.RecordBatch.from_arrays([pa.array(marks["d"][at].copy(), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["m_id", "whole", "asked", "strings"])
+
+
 def _settle_phrases(held):
     rows, doc = _unpack(held, _ENTRY)
     phrase = rows["p0"].astype(np.uint64) | rows["p1"].astype(np.uint64) << np.uint64(32)
@@ -297,7 +323,7 @@ def _settle_phrases(held):
     new = _firsts(t, phrase)
     least = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
     later = doc > least
-    yield from _marks(doc[later], phrase[later], _FULL)
+    yield _marks(doc[later], phrase[later], _FULL)
     # first owners of unequal phrases with this trigger that agree to one side
     t, phrase, doc = t[new], phrase[new], doc[new]
     ask = np.zeros(len(t), dtype=bool)
@@ -307,7 +333,7 @@ def _settle_phrases(held):
         same = key[o][1:] == key[o][:-1]
         ask[o[1:][same]] = True
         ask[o[:-1][same]] = True
-    yield from _marks(doc[ask], phrase[ask], _PARTIAL)
+    yield _marks(doc[ask], phrase[ask], _PARTIAL)
 
 
 def _settle_strings(held):
@@ -318,15 +344,11 @@ def _settle_strings(held):
     new = _firsts(s)
     least = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
     later = (doc > least) & _firsts(s, doc)
-    yield from _marks(doc[later], s[later], _SHARED)
+    yield _marks(doc[later], s[later], _SHARED)
 
 
-def _by_kind(blobs) -> dict[bytes, np.ndarray]:
-    out = {}
-    for kind in (_FULL, _PARTIAL, _SHARED):
-        parts = [np.frombuffer(b, dtype="<u8", offset=1) for b in blobs or () if b[:1] == kind]
-        out[kind] = np.unique(np.concatenate(parts)) if parts else np.array([], dtype=np.uint64)
-    return out
+def _values(blob: bytes | None) -> np.ndarray:
+    return np.frombuffer(blob or b"", dtype="<u8")
 
 
 def _asked_strings(n_buckets: int):
@@ -337,7 +359,7 @@ def _asked_strings(n_buckets: int):
             every = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for r0, r1, data, offs in _slices(batch, True):
                 ids = every[r0:r1]
-                wanted = [_by_kind(m)[_PARTIAL] for m in batch.column(2).slice(r0, r1 - r0).to_pylist()]
+                wanted = [_values(m) for m in batch.column(2).slice(r0, r1 - r0).to_pylist()]
                 text_of = np.repeat(np.arange(r1 - r0), [len(w) for w in wanted])
                 want = np.unique(np.concatenate(wanted) * _M1 + text_of.astype(np.uint64) * _M2) if len(text_of) else np.array([], dtype=np.uint64)
                 got = []
@@ -355,22 +377,21 @@ def _asked_strings(n_buckets: int):
                 new = _firsts(h)
                 least = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
                 later = (doc > least) & _firsts(h, doc)
-                out = [(None, d, None, m) for d, m in _marks(doc[later], h[later], _SHARED)]
-                out += [(k, None, i, b) for k, i, b in _deal(_mix(h[new]) % np.uint64(n_buckets), ids, {"s": h[new], "d": text[new]}, _STRING)]
+                out = [(k, None, b) for k, b in _addressed([_marks(doc[later], h[later], _SHARED)], n_buckets)]
+                out += _deal(_mix(h[new]) % np.uint64(n_buckets), ids, {"s": h[new], "d": text[new]}, _STRING)
                 yield _batch(out)
 
     return run
 
 
-def _cover(data: np.ndarray, offsets: np.ndarray, marks: list) -> list[list[tuple[int, int]]]:
-    """Removed runs [a, b) of each text."""
-    n = len(marks)
-    by = [_by_kind(m) for m in marks]
+def _cover(data: np.ndarray, offsets: np.ndarray, marks: list[list[bytes | None]]) -> list[list[tuple[int, int]]]:
+    """Removed runs [a, b) of each text; marks: for each kind a blob of each text."""
+    n = len(offsets) - 1
     tag = lambda v, t: v * _M1 + t * _M2
-    pools = {}
-    for kind in (_FULL, _PARTIAL, _SHARED):
-        sizes = [len(x[kind]) for x in by]
-        pools[kind] = np.unique(tag(np.concatenate([x[kind] for x in by]), np.repeat(np.arange(n), sizes).astype(np.uint64))) if sum(sizes) else np.array([], dtype=np.uint64)
+    pools = []
+    for blobs in marks:
+        values = [_values(b) for b in blobs]
+        pools.append(np.unique(tag(np.concatenate(values), np.repeat(np.arange(n), [len(v) for v in values]).astype(np.uint64))))
     begins, ends, owner = [], [], []
     for p, t, lo in _blocks(data, offsets):
         key = tag(p.phrase, t.astype(np.uint64))
@@ -404,7 +425,7 @@ def _cutter(packed: bool):
     def run(batches):
         for batch in batches:
             for r0, r1, data, offs in _slices(batch, packed):
-                runs = _cover(data, offs, batch.column(2).slice(r0, r1 - r0).to_pylist())
+                runs = _cover(data, offs, [batch.column(j).slice(r0, r1 - r0).to_pylist() for j in (2, 3, 4)])
                 size, gone, spans, sha = [], [], [], []
                 for k, r in enumerate(runs):
                     text, at, digest = data[offs[k] : offs[k + 1]], 0, hashlib.sha256()
@@ -435,17 +456,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = max(shuffle_partitions(spark), n_buckets // 2)
     cut_sql = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
 
+    def by_bucket(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "k").sortWithinPartitions("k")
+
     def settled(entries: DataFrame, settle) -> DataFrame:
-        dealt = F.coalesce(F.col("k"), F.xxhash64("doc_id", F.octet_length("blob")))
-        sorted_ = entries.repartition(parts, dealt).sortWithinPartitions(F.asc_nulls_first("k"))
-        marks = sorted_.mapInArrow(_resolver(settle), "doc_id long, blob binary")
-        return marks.groupBy("doc_id").agg(F.collect_list("blob").alias("marks"))
-
-    phrases = settled(known.where(F.octet_length("text") >= LENGTH).mapInArrow(_parser(n_buckets), _OUT_SQL), _settle_phrases).withColumnRenamed("doc_id", "m_id")
-    partly = phrases.where(F.exists("marks", lambda b: F.substring(b, 1, 1) == F.lit(_PARTIAL)))
-    asked = packed.join(partly, F.col("doc_id") == F.col("m_id"), "inner").select("doc_id", "text", "marks")
-    strings = settled(asked.mapInArrow(_asked_strings(n_buckets), _OUT_SQL), _settle_strings).withColumnRenamed("doc_id", "s_id").withColumnRenamed("marks", "s_marks")
-    both = phrases.join(strings, F.col("m_id") == F.col("s_id"), "left").select("m_id", F.concat("marks", F.coalesce("s_marks", F.array().cast("array<binary>"))).alias("marks"))
-    joined = packed.join(both, F.col("doc_id") == F.col("m_id"), "left").select("doc_id", "text", "marks").mapInArrow(_cutter(True), cut_sql)
-    unnamed = rows.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks")).mapInArrow(_cutter(False), cut_sql)
+        marks = by_bucket(entries).mapInArrow(_resolver(settle, n_buckets), _OUT_SQL)
+        rows = by_bucket(marks).mapInArrow(_delivered, "m_id long, whole binary, asked binary, strings binary")
+        return rows.where("m_id IS NOT NULL")  # on both uses alike, so that one exchange serves both
+
+    phrases = settled(known.where(F.octet_length("text") >= LENGTH).mapInArrow(_parser(n_buckets), _OUT_SQL), _settle_phrases).select("m_id", "whole", "asked")
+    met = packed.join(phrases, F.col("doc_id") == F.col("m_id"), "left").select("doc_id", "text", "whole", "asked")
+    asked = met.where("asked IS NOT NULL").select("doc_id", "text", "asked")
+    strings = settled(asked.mapInArrow(_asked_strings(n_buckets), _OUT_SQL), _settle_strings).select(F.col("m_id").alias("s_id"), "strings")
+    joined = met.join(strings, F.col("doc_id") == F.col("s_id"), "left").select("doc_id", "text", "whole", "asked", "strings").mapInArrow(_cutter(True), cut_sql)
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("whole", "asked", "strings")]
+    unnamed = rows.where("doc_id IS NULL").select("doc_id", "text", *nothing).mapInArrow(_cutter(False), cut_sql)
     return joined.unionByName(unnamed)
