@@ -6,8 +6,10 @@ hash); every hit lays a benchmark item beside the document on one diagonal, and
 the best run is the one with the largest sum of +1 for an equal and -4 for an unequal word, which is at least 4 / 5
 equal.  A document is contaminated by an item if a run has 13 equal words, or 4 / 5 of a shorter item's.
 
-Document windows are never shuffled while the benchmark's hashes are few: they are generated and probed in one stage.
-Beyond ``BROADCAST_ROWS`` hashes (a checked size) hashes are joined by shuffle, narrow, and the texts join the hits.
+While the benchmark's hashes are few (``INLINE_ROWS``, a checked size) they become a literal set of the scan: a position
+is looked at where its two words begin a benchmark window, and kept where a seed's hash is one of the benchmark's; only
+documents with hits leave the scan.  Beyond that size, documents' hashes are joined by shuffle, as narrow rows.  Hits are
+narrow rows (document, item, diagonal) in both ways, and texts meet them once a diagonal is known.
 
 Edge cases: null and empty texts match nothing; items shorter than the masks are matched whole from ``MIN_ITEM`` words,
 shorter items match nothing; a null doc_id is kept as such; repeated rows of a doc_id give one result row; null item_ids
@@ -19,14 +21,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Masks of weight 7 over 10 words; a run of 13 words with two replaced keeps a window for one of them almost always.
-SEEDS = ("1101110011", "1110100111", "1011011101")
+from ._common import cut
+
+#: Masks of weight 7 over 10 words, each beginning with two words that count; a run of 13 words with two replaced keeps a window for one of them almost always.
+SEEDS = ("1101110011", "1110100111", "1100111101")
 MIN_WORDS, MIN_ITEM = 13, 5
-BROADCAST_ROWS = 2_000_000
+INLINE_ROWS = 50_000
+
 
+_WORDS = r"filter(split(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), w -> w <> '')"
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+def words() -> Column:
+    """The words of column text."""
+    return F.expr(_WORDS)
 
 
 def _seed_hash(tokens: str, pos: str, mask: str) -> str:
@@ -38,7 +46,7 @@ def _seed_hash(tokens: str, pos: str, mask: str) -> str:
 def _item_seeds(bench: DataFrame, seeds) -> DataFrame:
     """item_id, item words, seed number, position, hash."""
     span = max(map(len, seeds))
-    items = bench.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", words(F.col("text")).alias("item"))
+    items = bench.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", words().alias("item"))
     at = items.select("item_id", "item", F.posexplode("item").alias("ipos", "w__"))
     # A short item gets one contiguous seed over all its words, numbered by its length from 100.
     hashes = [F.struct(F.lit(k).alias("seed"), F.expr(_seed_hash("item", "ipos", m)).alias("hash")) for k, m in enumerate(seeds)]
@@ -47,15 +55,25 @@ def _item_seeds(bench: DataFrame, seeds) -> DataFrame:
     return long_.unionByName(short)
 
 
-def _doc_seeds(short_lengths: list[int], seeds) -> Column:
-    """Array of (seed, hash) at word position dpos."""
-    out = [F.struct(F.lit(k).alias("seed"), F.expr(_seed_hash("tokens", "dpos", m)).alias("hash")) for k, m in enumerate(seeds)]
+def _doc_seeds(short_lengths: list[int], seeds) -> str:
+    """SQL: array of (pos, seed, hash) of the words t at position i."""
+    out = [f"named_struct('pos', i, 'seed', {k}, 'hash', {_seed_hash('t', 'i', m)})" for k, m in enumerate(seeds)]
     for n in short_lengths:
         h = "42L"
-        for i in range(n):
-            h = f"xxhash64({h}, tokens[dpos + {i}])"
-        out.append(F.struct(F.lit(n + 100).alias("seed"), F.expr(f"IF(dpos + {n} <= size(tokens), {h}, NULL)").alias("hash")))
-    return F.array(*out)
+        for j in range(n):
+            h = f"xxhash64({h}, t[i + {j}])"
+        out.append(f"named_struct('pos', i, 'seed', {n + 100}, 'hash', IF(i + {n} <= size(t), {h}, NULL))")
+    return f"array({', '.join(out)})"
+
+
+def _among(values) -> str:
+    return "IN (" + ", ".join(f"{v}L" if v > -(2**63) else "(-9223372036854775807L - 1L)" for v in sorted(values)) + ")"
+
+
+def _hits(at: str, short_lengths: list[int], seeds, test: str) -> Column:
+    """Array of (pos, seed, hash) over the positions that pass ``at`` whose hash passes ``test``; the words are bound once."""
+    places = f"IF(size(t) > 1, filter(sequence(0, size(t) - 2), i -> {at}), array())"
+    return F.expr(f"element_at(transform(array({_WORDS}), t -> filter(flatten(transform({places}, i -> {_doc_seeds(short_lengths, seeds)})), s -> s.hash {test})), 1)")
 
 
 def _best_run() -> Column:
@@ -72,24 +90,30 @@ def _best_run() -> Column:
     )
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, seeds=SEEDS, min_words: int = MIN_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def find_leaks(docs: DataFrame, bench: DataFrame, seeds=SEEDS, min_words: int = MIN_WORDS, inline_rows: int = INLINE_ROWS) -> DataFrame:
     """doc_id, item_id, equal_words, run_words, item_words, doc_start (word), similarity: a row for each contaminated pair."""
-    keys = _item_seeds(bench, seeds)
+    if any(not m.startswith("11") for m in seeds):
+        raise ValueError("seeds begin with two words that count")
+    keys = _item_seeds(bench, seeds).withColumn("pair", F.expr("xxhash64(item[ipos], item[ipos + 1])"))
     # One small row: how many hashes there are, and which short lengths.
     stats = keys.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("seed") > 100, F.col("seed") - 100)).alias("short")).first()
     lengths = sorted(stats["short"])
-    tokens = docs.select("doc_id", words(F.col("text")).alias("tokens"))
-    at = tokens.select("doc_id", "tokens", F.posexplode("tokens").alias("dpos", "w__"))
-    probes = at.select("doc_id", "tokens", "dpos", F.explode(_doc_seeds(lengths, seeds)).alias("s"))
-    if stats["n"] <= broadcast_rows:
-        hits = probes.select("doc_id", "tokens", "dpos", "s.seed", "s.hash").join(F.broadcast(keys), ["seed", "hash"])
+    places = keys.select("item_id", "ipos", "seed", "hash")
+    if stats["n"] <= inline_rows:
+        known = keys.select("pair", "hash").distinct().collect()  # at most inline_rows
+        if not known:
+            known = [(0, 0)]
+        at = f"xxhash64(t[i], t[i + 1]) {_among({r[0] for r in known})}"
+        found = docs.select("doc_id", "text", _hits(at, lengths, seeds, _among({r[1] for r in known})).alias("hits")).where(F.size("hits") > 0)
+        held = cut(found.select("doc_id", words().alias("tokens"), "hits"))  # documents with hits only
+        probes, texts = held.select("doc_id", F.explode("hits").alias("s")), held.select("doc_id", "tokens")
     else:
-        narrow = probes.select("doc_id", "dpos", "s.seed", "s.hash").where("hash IS NOT NULL")
-        found = narrow.join(keys.drop("item"), ["seed", "hash"]).select("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("diag")).distinct()
-        items = keys.select("item_id", "item").distinct()
-        hits = found.join(items, "item_id").withColumnRenamed("doc_id", "d__").join(tokens, F.col("d__").eqNullSafe(F.col("doc_id")))
-        hits = hits.withColumn("ipos", F.lit(0)).withColumn("dpos", F.col("diag"))
-    laid = hits.select("doc_id", "tokens", "item_id", "item", (F.col("dpos") - F.col("ipos")).alias("diag"))
+        probes = docs.select("doc_id", F.explode(_hits("true", lengths, seeds, "IS NOT NULL")).alias("s"))
+        texts = docs.select("doc_id", words().alias("tokens"))
+    diagonals = probes.select("doc_id", "s.pos", "s.seed", "s.hash").join(places, ["seed", "hash"]).select(F.col("doc_id").alias("d__"), "item_id", (F.col("pos") - F.col("ipos")).alias("diag")).distinct()
+    items = bench.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").alias("i__"), words().alias("item"))
+    met = diagonals.join(texts, F.col("d__").eqNullSafe(F.col("doc_id"))).join(items, F.col("item_id") == F.col("i__"))
+    laid = met.where(F.expr("greatest(0, -diag) < least(size(item), size(tokens) - diag)"))
     runs = laid.select("doc_id", "item_id", "diag", F.size("item").alias("item_words"), _best_run().alias("run"))
     enough = F.least(F.lit(min_words), F.ceil(F.col("item_words") * 0.8).cast("int"))
     fit = runs.where(F.col("run.equal") >= enough).select(

@@ -318,8 +318,8 @@ def test_decontamination_catches_replaced_words_and_leaves_clean(spark):
     docs += [(90, " ".join(filler(9) + changed)), (91, " ".join(filler(4) + items[1][:14] + filler(5))), (92, " ".join(filler(5) + items[0][:9] + filler(30))), (93, " ".join(items[5])), (94, None), (95, ""), (None, " ".join(items[0])), (90, " ".join(changed)), (96, " ".join(filler(3000)))]
     want |= {(90, 0), (91, 1), (None, 0)}
     bench = bench_of(spark, [(i, " ".join(t)) for i, t in enumerate(items)] + [(None, "x y z a b c"), (77, None), (78, "")])
-    for rows in (decontaminate.BROADCAST_ROWS, 0):  # the way beyond the checked size gives the same
-        got = decontaminate.find_leaks(docs_of(spark, docs), bench, broadcast_rows=rows)
+    for rows in (decontaminate.INLINE_ROWS, 0):  # the way beyond the checked size gives the same
+        got = decontaminate.find_leaks(docs_of(spark, docs), bench, inline_rows=rows)
         assert Counter((r.doc_id, r.item_id) for r in got.collect()) == Counter(want)
     r = got.where("doc_id = 91").first()
     assert (r.equal_words, r.doc_start, r.item_words, r.similarity) == (14, 4, 18, 1.0)
