@@ -1 +1,239 @@
+"""Position-wise sequence channels over centred windows that are cut off at the sequence's ends.
 
+Each channel is an expression ``array<double>`` over a sequence column, one value per residue, so a table of channels
+needs no shuffle: residues are exploded only for the output.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import importlib
+import json
+import math
+import re
+from dataclasses import asdict, dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+STANDARD = "ACDEFGHIKLMNPQRSTVWY"
+# Kyte-Doolittle hydropathy.
+HYDROPATHY = {"A": 1.8, "C": 2.5, "D": -3.5, "E": -3.5, "F": 2.8, "G": -0.4, "H": -3.2, "I": 4.5, "K": -3.9, "L": 3.8, "M": 1.9, "N": -3.5, "P": -1.6, "Q": -3.5, "R": -4.5, "S": -0.8, "T": -0.7, "V": 4.2, "W": -0.9, "Y": -1.3}
+# Eisenberg consensus hydrophobicity.
+EISENBERG = {"A": 0.62, "C": 0.29, "D": -0.90, "E": -0.74, "F": 1.19, "G": 0.48, "H": -0.40, "I": 1.38, "K": -1.50, "L": 1.06, "M": 0.64, "N": -0.78, "P": 0.12, "Q": -0.85, "R": -2.53, "S": -0.18, "T": -0.05, "V": 1.08, "W": 0.81, "Y": 0.26}
+# TOP-IDP disorder propensity.
+DISORDER = {"A": 0.06, "C": 0.02, "D": 0.192, "E": 0.736, "F": -0.697, "G": 0.166, "H": 0.303, "I": -0.486, "K": 0.586, "L": -0.326, "M": -0.397, "N": 0.007, "P": 0.987, "Q": 0.318, "R": 0.18, "S": 0.341, "T": 0.059, "V": -0.121, "W": -0.884, "Y": -0.51}
+CHARGE = {"K": 1.0, "R": 1.0, "D": -1.0, "E": -1.0}
+
+
+def residues(sequence: Column) -> Column:
+    return F.filter(F.split(sequence, ""), lambda c: c != "")
+
+
+def _windows(values: Column, radius: int, body) -> Column:
+    """body(window array, width) at each position of the array, which is bound once for all positions."""
+
+    def whole(v):
+        n = F.size(v)
+
+        def at(i):
+            a = F.greatest(F.lit(1), i - radius)
+            width = F.least(n, i + radius) - a + 1
+            return body(F.slice(v, a, width), width)
+
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), at)).otherwise(F.array().cast("array<double>"))
+
+    return F.element_at(F.transform(F.array(values), whole), 1)
+
+
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+
+def _scaled(sequence: Column, scale: dict[str, float], default: float = 0.0) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in scale.items() for x in kv])
+    return F.transform(residues(sequence), lambda c: F.coalesce(F.try_element_at(table, c), F.lit(default)))
+
+
+@dataclass(frozen=True)
+class Channel:
+    name: str
+    radius: int = 0
+    needs_background = True
+
+    def values(self, sequence: Column) -> Column:
+        raise NotImplementedError
+
+    def definition(self) -> dict:
+        return {"kind": type(self).__name__} | asdict(self)
+
+
+@dataclass(frozen=True)
+class Composition(Channel):
+    """Share of residues in a set."""
+
+    letters: str = "ST"
+
+    def values(self, sequence):
+        flags = F.transform(residues(sequence), lambda c: F.when(c.isin(*self.letters), 1.0).otherwise(0.0))
+        return _windows(flags, self.radius, lambda w, n: _sum(w) / n)
+
+
+@dataclass(frozen=True)
+class Scale(Channel):
+    """Window mean of a residue scale: hydropathy, disorder propensity, net charge or one of the user's own."""
+
+    scale: tuple = tuple(HYDROPATHY.items())
+
+    def values(self, sequence):
+        return _windows(_scaled(sequence, dict(self.scale)), self.radius, lambda w, n: _sum(w) / n)
+
+
+def net_charge(name: str, radius: int) -> Scale:
+    return Scale(name, radius, tuple(CHARGE.items()))
+
+
+def disorder(name: str, radius: int) -> Scale:
+    return Scale(name, radius, tuple(DISORDER.items()))
+
+
+@dataclass(frozen=True)
+class Moment(Channel):
+    """Hydrophobic moment; the phase starts anew at each window's first residue."""
+
+    angle: float = 100.0
+
+    def __post_init__(self):
+        if not 0 < self.angle <= 360:
+            raise ValueError("the angle lies in (0, 360]")
+
+    def values(self, sequence):
+        d = math.radians(self.angle)
+
+        def body(w, n):
+            part = lambda f: _sum(F.transform(w, lambda h, k: h * f(k * F.lit(d))))
+            return F.hypot(part(F.cos), part(F.sin)) / n
+
+        return _windows(_scaled(sequence, EISENBERG), self.radius, body)
+
+
+@dataclass(frozen=True)
+class Entropy(Channel):
+    """Shannon entropy of the window's residues, in bits."""
+
+    def values(self, sequence):
+        def body(w, n):
+            share = lambda c: F.size(F.filter(w, lambda x: x == c)) / n
+            return 0.0 - _sum(F.transform(F.array_distinct(w), lambda c: share(c) * F.log2(share(c))))
+
+        return _windows(residues(sequence), self.radius, body)
+
+
+@dataclass(frozen=True)
+class Dipeptide(Channel):
+    """Share of a pair of letters among the window's neighbouring pairs; sequences under two residues have no value."""
+
+    pair: str = "GG"
+
+    def __post_init__(self):
+        if self.radius < 1:
+            raise ValueError("a window of pairs needs a radius of 1 or more")
+
+    def values(self, sequence):
+        def body(w, n):
+            hits = F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n - 1), lambda a, b: F.when(F.concat(a, b) == self.pair, 1.0).otherwise(0.0))
+            return _sum(hits) / (n - 1)
+
+        return F.when(F.length(sequence) >= 2, _windows(residues(sequence), self.radius, body))
+
+
+@dataclass(frozen=True)
+class Motif(Channel):
+    """1 for every residue that some match covers; matches start at every position and may overlap."""
+
+    regex: str = "A"
+    needs_background = False
+
+    def __post_init__(self):
+        if re.compile(self.regex).match(""):
+            raise ValueError("a motif may not match nothing")
+
+    def values(self, sequence):
+        pattern = re.compile(self.regex)
+
+        @F.pandas_udf("array<double>")
+        def marks(texts: pd.Series) -> pd.Series:
+            def one(s):
+                out, i = [0.0] * len(s), 0
+                for i in range(len(s)):
+                    if m := pattern.match(s, i):
+                        out[i : m.end()] = [1.0] * (m.end() - i)
+                return out
+
+            return texts.map(lambda s: None if s is None else one(s))
+
+        return marks(sequence)
+
+
+class ChannelSet:
+    """Channels with unique names and a fingerprint of their definitions."""
+
+    RESERVED = ("filename", "sequence_id", "position", "residue")
+
+    def __init__(self, *channels: Channel):
+        names = [c.name for c in channels]
+        if len(set(names)) < len(names) or set(names) & set(self.RESERVED) or not names:
+            raise ValueError("channel names must be unique and not reserved")
+        self.channels = channels
+
+    def definitions(self) -> str:
+        return json.dumps([c.definition() for c in self.channels], sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+
+    def fingerprint(self) -> str:
+        return hashlib.sha256(self.definitions().encode()).hexdigest()
+
+    def table(self, sequences: DataFrame) -> DataFrame:
+        """filename, sequence_id, position, residue and a column for each channel."""
+        wide = sequences.select("filename", "sequence_id", residues(F.col("sequence")).alias("r"), *(c.values(F.col("sequence")).alias(f"c{i}") for i, c in enumerate(self.channels)))
+        each = wide.select("filename", "sequence_id", F.posexplode("r").alias("i", "residue"), *(f"c{i}" for i in range(len(self.channels))))
+        return each.select("filename", "sequence_id", (F.col("i") + 1).alias("position"), "residue", *(F.expr(f"c{i}[i]").alias(c.name) for i, c in enumerate(self.channels)))
+
+    def backgrounds(self, sequences: DataFrame) -> dict[str, tuple[float, float]]:
+        """Population mean and sigma over all residues of all sequences, in one pass; a zero or missing sigma is an error."""
+        use = [c for c in self.channels if c.needs_background]
+        parts = []
+        for c in use:
+            v = c.values(F.col("sequence"))
+            parts.append(sequences.select(F.lit(c.name).alias("channel"), F.explode(v).alias("v")))
+        if not parts:
+            return {}
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        got = {r["channel"]: (r["mu"], r["sigma"]) for r in rows.groupBy("channel").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sigma")).collect()}
+        for c in use:
+            mu, sigma = got.get(c.name, (None, None))
+            if mu is None or sigma is None or not math.isfinite(sigma) or sigma == 0:
+                raise ValueError(f"no usable background for {c.name}")
+        return got
+
+    def to_json(self, backgrounds: dict) -> str:
+        return json.dumps({"type": "channel-backgrounds", "version": 1, "fingerprint": self.fingerprint(), "definitions": json.loads(self.definitions()), "backgrounds": {k: {"bg_mu": m, "bg_sigma": s} for k, (m, s) in backgrounds.items()}}, sort_keys=True)
+
+    def from_json(self, text: str) -> dict[str, tuple[float, float]]:
+        d = json.loads(text)
+        if d.get("type") != "channel-backgrounds" or d.get("version") != 1 or d.get("fingerprint") != self.fingerprint():
+            raise ValueError("these backgrounds belong to other channels")
+        return {k: (v["bg_mu"], v["bg_sigma"]) for k, v in d["backgrounds"].items()}
+
+    def normalized(self, table: DataFrame, backgrounds: dict[str, tuple[float, float]]) -> DataFrame:
+        return table.withColumns({k: (F.col(k) - m) / s for k, (m, s) in backgrounds.items()})
+
+
+def load(path: str) -> ChannelSet:
+    module, _, name = path.rpartition(".")
+    found = getattr(importlib.import_module(module), name)
+    if not isinstance(found, ChannelSet):
+        raise TypeError(f"{path} is no channel set")
+    return found

@@ -1,6 +1,381 @@
-"""Registry of the queries and their SQL."""
+"""Queries over the driver's tables, each with its SQL: surrogate views give every operator rows of its own shape.
+
+hits: line items as interval hits on orders; manifest: orders; seqs: documents; scored: labels and documents; points:
+embeddings; arch and islands: events.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import channels, rules
+from ..functions import accessions, intervals, logic, sequences
+from ..operators import hits as H
+from ..operators import tables as T
+from ..sinks import tall
+from ..structure import classify, contacts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def hits(spark, sf) -> DataFrame:
+    a = (F.col("l_partkey") % 500 + 1).cast("int")
+    b = (a + F.floor("l_quantity")).cast("int")
+    even = F.col("l_linenumber") % 2 == 0
+    return read(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("query_accession"), F.col("l_returnflag").alias("query_database"), F.lit("protein").alias("query_type"),
+        F.concat(F.lit("PF"), F.lpad((F.col("l_suppkey") % 10).cast("string"), 5, "0"), F.lit("."), F.col("l_linenumber").cast("string")).alias("target_accession"),
+        F.when(even, b).otherwise(a).alias("query_start"), F.when(even, a).otherwise(b).alias("query_end"), F.when(F.col("l_linenumber") % 3 == 0, F.lit(None)).otherwise((F.col("l_suppkey") % 7 + 1).cast("int")).alias("target_start"),
+        F.col("l_extendedprice").alias("evalue"), F.col("l_quantity").cast("double").alias("bitscore"), F.when(F.col("l_linestatus") == "O", "25").otherwise("n/a").alias("bitscore_threshold"),
+        F.col("l_linenumber").alias("ord"),
+    )
+
+
+HITS = """hits AS (SELECT CAST(l_orderkey AS VARCHAR) AS query_accession, l_returnflag AS query_database, 'protein' AS query_type,
+  'PF' || lpad(CAST(l_suppkey % 10 AS VARCHAR), 5, '0') || '.' || CAST(l_linenumber AS VARCHAR) AS target_accession,
+  CASE WHEN l_linenumber % 2 = 0 THEN b ELSE a END AS query_start, CASE WHEN l_linenumber % 2 = 0 THEN a ELSE b END AS query_end,
+  a AS lo, b AS hi, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_suppkey % 7 + 1 AS INT) END AS target_start, l_extendedprice AS evalue, CAST(l_quantity AS DOUBLE) AS bitscore,
+  CASE WHEN l_linestatus = 'O' THEN '25' ELSE 'n/a' END AS bitscore_threshold, l_linenumber AS ord
+  FROM (SELECT *, CAST(l_partkey % 500 + 1 AS INT) AS a, CAST(l_partkey % 500 + 1 + floor(l_quantity) AS INT) AS b FROM lineitem))"""
+
+
+def manifest(spark, sf) -> DataFrame:
+    return read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("sequence_accession"), F.explode(F.array(*map(F.lit, "ANR"))).alias("sequence_database"), F.lit("protein").alias("sequence_type"), F.col("o_orderstatus").alias("sequence_source"))
+
+
+def seqs(spark, sf) -> DataFrame:
+    return read(spark, sf, "documents").select(F.lit("documents").alias("filename"), F.col("doc_id").cast("string").alias("sequence_id"), "doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"))
+
+
+SEQS = "seqs AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS sequence_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents)"
+
+
+@query(f"""WITH {HITS}, e AS (SELECT * FROM hits WHERE TRY_CAST(bitscore_threshold AS DOUBLE) IS NULL OR bitscore >= TRY_CAST(bitscore_threshold AS DOUBLE)),
+r AS (SELECT *, rank() OVER (PARTITION BY query_accession, query_database, query_type ORDER BY evalue ASC NULLS LAST) AS k FROM e)
+SELECT DISTINCT query_accession, query_database, query_start, query_end FROM r
+WHERE split_part(target_accession, '.', 1) = 'PF00003' AND target_accession IN ('PF00003.1', 'PF00003.2', 'PF00003.3') AND k <= 3 AND evalue <= 60000 AND query_start >= 20
+AND query_accession IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'O')""")
+def f1_ranked_hits(spark, sf):
+    found = H.find_hits(hits(spark, sf), ["PF00003.1", "PF00003.2", "PF00003.3"], rank=3, evalue=60000, start=20)
+    return H.with_source(found, manifest(spark, sf), "O")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS genome FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE 'asia' IN (lower(trim(r_name)), lower(trim(n_name)), lower(trim(c_mktsegment)))""")
+def f1_taxon_genomes(spark, sf):
+    c, n, r = (read(spark, sf, t) for t in ("customer", "nation", "region"))
+    tax = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.col("c_custkey").cast("string").alias("genome"), F.col("r_name").alias("domain"), F.col("n_name").alias("kingdom"), F.col("c_mktsegment").alias("phylum"))
+    return H.genomes_of(tax, " Asia ")
+
+
+@query(f"""WITH {HITS} SELECT query_accession, query_database, count(*) AS n_hits FROM hits WHERE split_part(target_accession, '.', 1) = 'PF00003' GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 9""")
+def f1_hit_counts(spark, sf):
+    return H.counts(hits(spark, sf), "PF00003", 2, 9)
+
+
+@query()
+def f1_disjoint_hits(spark, sf):
+    return H.counts(hits(spark, sf), "PF00003", 1, overlaps=False)
+
+
+@query(f"WITH {HITS} SELECT query_accession, query_database, target_accession, min(lo) AS first_aa, max(hi) AS last_aa, max(hi) - min(lo) + 1 AS span FROM hits GROUP BY 1, 2, 3")
+def f1_envelopes(spark, sf):
+    return H.envelopes(hits(spark, sf))
+
+
+@query(f"WITH {HITS} SELECT query_accession, query_database, target_accession, min(query_start - (coalesce(target_start, 1) - 1)) AS anchor FROM hits GROUP BY 1, 2, 3")
+def f1_anchors(spark, sf):
+    return H.anchors(hits(spark, sf))
+
+
+@query(f"""WITH {HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_accession, query_database ORDER BY bitscore DESC, ord, target_accession DESC) AS k FROM hits)
+SELECT query_accession, query_database, bitscore, target_accession FROM r WHERE k = 1""")
+def f1_best_hits(spark, sf):
+    return H.best_hits(hits(spark, sf), "ord")
+
+
+_ARCH = f"""WITH {HITS}, d AS (SELECT DISTINCT query_accession, query_database, lo, hi, split_part(target_accession, '.', 1) AS acc FROM hits),
+p AS (SELECT DISTINCT query_accession, query_database FROM hits),
+m AS (SELECT *, lag(hi) OVER w AS before, lag(lo) OVER w AS before_lo, lag(acc) OVER w AS before_acc FROM d WHERE acc IN ('PF00001', 'PF00002', 'PF00003') WINDOW w AS (PARTITION BY query_accession, query_database ORDER BY lo, hi, acc)),
+g AS (SELECT query_accession, query_database, string_agg(CASE acc WHEN 'PF00001' THEN 'a' WHEN 'PF00002' THEN 'b' ELSE 'c' END, '' ORDER BY lo, hi, acc) AS s, bool_or(coalesce(before >= lo, false)) AS overlap, bool_or(coalesce(before_lo = lo AND before_acc <> acc, false)) AS tied FROM m GROUP BY 1, 2),
+x AS (SELECT p.*, coalesce(s, '') AS s, coalesce(overlap, false) AS overlap, coalesce(tied, false) AS tied FROM p LEFT JOIN g USING (query_accession, query_database))
+SELECT query_accession, query_database FROM x WHERE NOT overlap AND """
+
+
+@query(_ARCH + "len(s) - len(replace(s, 'a', '')) BETWEEN 0 AND 1 AND len(s) - len(replace(s, 'b', '')) >= 1 AND contains(s, 'c') = false")
+def f1_architecture_unordered(spark, sf):
+    return H.architectures(hits(spark, sf), ["PF00001?", "PF00002+", "PF00003{0}"])
+
+
+@query(_ARCH + "NOT tied AND regexp_matches(s, '^a?b{1,2}c*$')")
+def f1_architecture_ordered(spark, sf):
+    return H.architectures(hits(spark, sf), ["PF00001?", "PF00002{1,2}", "PF00003*"], ordered=True)
+
+
+@query(f"""WITH {HITS}, {SEQS}, m AS (SELECT DISTINCT query_accession, lo, hi FROM hits WHERE target_accession LIKE 'PF00004.%'),
+p AS (SELECT query_accession, count(*) AS n, min(lo) - 2 AS a, max(hi) + 3 AS b FROM m GROUP BY 1),
+j AS (SELECT p.*, sequence, CASE WHEN n NOT BETWEEN 1 AND 2 THEN 'count' WHEN sequence IS NULL THEN 'no sequence' WHEN NOT (a >= 1 AND b <= length(sequence) AND a <= b) THEN 'bounds' END AS problem FROM p LEFT JOIN seqs ON sequence_id = query_accession)
+SELECT query_accession, problem, CASE WHEN problem IS NULL THEN query_accession || '_PF00004_' || a || '_' || b END AS id, CASE WHEN problem IS NULL THEN substr(sequence, a, b - a + 1) END AS sequence FROM j""")
+def f1_regions(spark, sf):
+    s = seqs(spark, sf).select(F.col("sequence_id").alias("id"), "sequence")
+    return H.regions(hits(spark, sf), s, "PF00004", lowest=1, highest=2, left_offset=-2, right_offset=3)
+
+
+@query(f"""WITH {SEQS} SELECT sequence_id, length(sequence) AS n FROM seqs WHERE length(sequence) BETWEEN 500 AND 2500 AND NOT contains(sequence, 'X')""")
+def f3_length_and_letters(spark, sf):
+    return seqs(spark, sf).where(F.length("sequence").between(500, 2500) & ~F.col("sequence").contains("X")).select("sequence_id", F.length("sequence").cast("long").alias("n"))
+
+
+@query(f"""WITH {SEQS}, r AS (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY doc_id) AS k FROM seqs) SELECT sequence_id FROM r WHERE k = 1""")
+def f3_unique_sequences(spark, sf):
+    return T.first_wins(seqs(spark, sf), ["sequence"], "doc_id").select("sequence_id")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE starts_with(CAST(c_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR)))")
+def f3_prefix_join(spark, sf):
+    ids = read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
+    return T.prefix_semi_join(ids, read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("big")), "id", "big")
+
+
+@query(f"""WITH {SEQS} SELECT sequence_id, reverse(translate(sequence, 'ACGTURYKMBDHV', 'TGCAAYRMKVHDB')) AS reverse_complement,
+CASE WHEN length(sequence) > 0 THEN round(100.0 * (length(sequence) - length(regexp_replace(sequence, '[GC]', '', 'g'))) / length(sequence), 6) END AS gc FROM seqs""")
+def f3_nucleotides(spark, sf):
+    s = F.col("sequence")
+    return seqs(spark, sf).select("sequence_id", sequences.reverse_complement(s).alias("reverse_complement"), F.round(sequences.gc_percent(s), 6).alias("gc"))
+
+
+_WINDOWS = f"""WITH {SEQS}, r AS (SELECT sequence_id, i, substr(sequence, CAST(i AS INT), 1) AS c FROM (SELECT sequence_id, sequence, unnest(generate_series(1, length(sequence))) AS i FROM seqs)),
+v AS (SELECT sequence_id, avg(CASE WHEN c IN ('S', 'T') THEN 1.0 ELSE 0 END) OVER w AS st, avg(CASE WHEN c IN ('K', 'R') THEN 1.0 WHEN c IN ('D', 'E') THEN -1.0 ELSE 0 END) OVER w AS charge
+      FROM r WINDOW w AS (PARTITION BY sequence_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING))"""
+
+
+@query(_WINDOWS + " SELECT sequence_id, count(*) AS n, round(sum(st), 4) AS st, round(max(st), 6) AS st_max, round(sum(charge), 4) AS charge FROM v GROUP BY 1")
+def f3_channels(spark, sf):
+    s = F.col("sequence")
+    t = seqs(spark, sf).where("sequence <> ''").select("sequence_id", channels.Composition("st", 4, "ST").values(s).alias("a"), channels.net_charge("q", 4).values(s).alias("b"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda x, y: x + y), 4)
+    return t.select("sequence_id", F.size("a").cast("long").alias("n"), total("a").alias("st"), F.round(F.array_max("a"), 6).alias("st_max"), total("b").alias("charge"))
+
+
+@query(_WINDOWS + " SELECT round(avg(st), 6) AS st_mu, round(stddev_pop(st), 6) AS st_sigma, round(avg(charge), 6) AS q_mu, round(stddev_pop(charge), 6) AS q_sigma FROM v")
+def f3_backgrounds(spark, sf):
+    s = F.col("sequence")
+    both = F.arrays_zip(channels.Composition("st", 4, "ST").values(s).alias("st"), channels.net_charge("q", 4).values(s).alias("q"))
+    each = seqs(spark, sf).select(F.explode(both).alias("v"))
+    return each.agg(*(F.round(f(f"v.{c}"), 6).alias(f"{c}_{n}") for c in ("st", "q") for n, f in (("mu", F.avg), ("sigma", F.stddev_pop))))
+
+
+_SWEEP = """WITH e AS (SELECT CAST(n_chars AS DOUBLE) AS score, quality = 1 AS positive FROM labels JOIN documents USING (doc_id)),
+g AS (SELECT score AS threshold, sum(CAST(positive AS INT)) AS p, sum(CAST(NOT positive AS INT)) AS n FROM e GROUP BY 1),
+t AS (SELECT threshold, sum(p) OVER d AS tp, sum(n) OVER d AS fp, sum(p) OVER () AS ps, sum(n) OVER () AS ns FROM g WINDOW d AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(ps - tp AS BIGINT) AS fn, CAST(ns - fp AS BIGINT) AS tn, CAST(tp AS DOUBLE) / ps AS sensitivity, CAST(ns - fp AS DOUBLE) / ns AS specificity FROM t),
+b AS (SELECT *, (sensitivity + specificity) / 2 AS balanced FROM s)"""
+
+
+def _entries(spark, sf):
+    return read(spark, sf, "labels").join(read(spark, sf, "documents"), "doc_id").select(F.col("n_chars").cast("double").alias("score"), (F.col("quality") == 1).alias("positive"))
+
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 9) for c in ("sensitivity", "specificity", "balanced")})
+
+
+@query(_SWEEP + " SELECT threshold, tp, fp, fn, tn, round(sensitivity, 9) AS sensitivity, round(specificity, 9) AS specificity, round(balanced, 9) AS balanced FROM b")
+def f3_threshold_sweep(spark, sf):
+    return _rounded(T.threshold_sweep(_entries(spark, sf)))
+
+
+@query(_SWEEP + " SELECT threshold, tp, fp, fn, tn, round(sensitivity, 9) AS sensitivity, round(specificity, 9) AS specificity, round(balanced, 9) AS balanced FROM b ORDER BY b.balanced DESC, b.specificity DESC, b.sensitivity DESC, threshold DESC LIMIT 1")
+def f3_best_threshold(spark, sf):
+    return _rounded(T.best_threshold(T.threshold_sweep(_entries(spark, sf))))
+
+
+@query("""WITH d AS (SELECT DISTINCT user_id, CAST(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INT) AS day FROM events),
+g AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS g FROM d) SELECT user_id, min(day) AS first, max(day) AS last, count(*) AS n FROM g GROUP BY user_id, g""")
+def w07_islands(spark, sf):
+    return T.islands(read(spark, sf, "events").select("user_id", F.unix_date(F.to_date("ts")).alias("day")), ["user_id"], "day")
+
+
+@query("""WITH a AS (SELECT user_id, event_type, row_number() OVER w AS i, lag(event_type) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(CASE WHEN p IS DISTINCT FROM event_type OR i = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS run FROM a)
+SELECT user_id, CAST(run AS BIGINT) AS run, min(event_type) AS event_type, count(*) AS n, CAST(min(i) AS INT) AS first, CAST(max(i) AS INT) AS last FROM b GROUP BY user_id, run""")
+def w08_runs(spark, sf):
+    return T.runs(read(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query("""WITH a AS (SELECT user_id, event_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM events)
+SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(event_id) AS first_event FROM a GROUP BY 1, 2""")
+def s10_sessions(spark, sf):
+    e = T.sessions(read(spark, sf, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup")
+    return e.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS sequence_id, o_orderkey AS ord, 0.8 * CAST(o_totalprice AS DECIMAL(18, 4)) + 0.2 * CAST(o_custkey AS DECIMAL(18, 4)) AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY 0.8 * CAST(o_totalprice AS DECIMAL(18, 4)) + 0.2 * CAST(o_custkey AS DECIMAL(18, 4)) DESC, o_orderkey) AS k FROM orders)
+SELECT sequence_id, ord FROM s WHERE k = 1""")
+def o02_best_model(spark, sf):
+    o = read(spark, sf, "orders")
+    score = F.expr("0.8 * cast(o_totalprice as decimal(18, 4)) + 0.2 * cast(o_custkey as decimal(18, 4))")
+    return T.top_one(o, ["o_custkey"], score, ["o_orderkey"]).select(F.col("o_custkey").alias("sequence_id"), F.col("o_orderkey").alias("ord"))
+
+
+@query("""WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS v, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS u FROM orders WHERE o_custkey % 3 <> 0),
+n AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'Z' ELSE o_orderstatus END AS v, o_orderpriority AS u FROM orders WHERE o_custkey % 2 = 0),
+j AS (SELECT coalesce(o.k, n.k) AS k, o.v AS ov, o.u AS ou, n.v AS nv, n.u AS nu, CASE WHEN n.k IS NULL THEN 'kept' WHEN o.k IS NULL THEN 'added' WHEN o.v = n.v AND o.u = n.u THEN 'same' WHEN o.v = n.v AND o.u = '' THEN 'upgraded' ELSE 'conflict' END AS status FROM o FULL JOIN n ON o.k = n.k)
+SELECT k, CASE WHEN status IN ('added', 'upgraded') THEN nv ELSE ov END AS v, CASE WHEN status IN ('added', 'upgraded') THEN nu ELSE ou END AS u, status FROM j""")
+def k03_merge(spark, sf):
+    o = read(spark, sf, "orders").withColumn("k", F.col("o_orderkey").cast("string"))
+    old = o.where("o_custkey % 3 <> 0").select("k", F.col("o_orderstatus").alias("v"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderpriority")).alias("u"))
+    new = o.where("o_custkey % 2 = 0").select("k", F.when(F.col("o_orderkey") % 11 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("v"), F.col("o_orderpriority").alias("u"))
+    return T.merge(old, new, ["k"], ["v", "u"], ["u"])
+
+
+@query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+UNION ALL SELECT o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'""")
+def k04_replace_by_key(spark, sf):
+    o = read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return T.replace_by_key(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'P'"), "o_custkey")
+
+
+@query("""WITH n AS (SELECT o_custkey AS c_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT c.c_custkey, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN n = 1 THEN 'ok' ELSE 'ambiguous' END AS status FROM customer c LEFT JOIN n USING (c_custkey)""")
+def s03_exactly_one(spark, sf):
+    orders = read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return T.exactly_one(read(spark, sf, "customer").select("c_custkey"), orders, ["c_custkey"])
+
+
+@query("""SELECT coalesce(a.s_suppkey, b.p_partkey) AS k, CASE WHEN b.p_partkey IS NULL THEN 'left_only' WHEN a.s_suppkey IS NULL THEN 'right_only' WHEN a.s_nationkey IS DISTINCT FROM b.p_size THEN 'differs: v' ELSE 'ok' END AS status
+FROM supplier a FULL JOIN part b ON a.s_suppkey = b.p_partkey""")
+def j04_agreement(spark, sf):
+    a = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("v"))
+    return T.agreement(a, read(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v")), "k", ["v"])
+
+
+@query("""SELECT o_custkey, count(*) AS n_rows, min(o_orderstatus) = max(o_orderstatus) AS constant, count(o_orderpriority) = count(DISTINCT o_orderpriority) AS "unique" FROM orders GROUP BY 1""")
+def a10_constant_groups(spark, sf):
+    return T.constant_groups(read(spark, sf, "orders"), "o_custkey", ["o_orderstatus"], "o_orderpriority")
+
+
+@query(f"""WITH {SEQS}, r AS (SELECT *, first_value(sequence_id) OVER (PARTITION BY sequence ORDER BY length(sequence_id), doc_id) AS best FROM seqs) SELECT sequence_id AS accession FROM r WHERE sequence_id = best""")
+def u04_shortest_wins(spark, sf):
+    return T.shortest_wins(seqs(spark, sf).select(F.col("sequence_id").alias("accession"), F.col("doc_id").alias("ord"), "sequence")).select("accession")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations) SELECT conv_id, turn, s AS side, CASE WHEN s = 1 THEN role ELSE CAST(n AS VARCHAR) END AS value FROM c, (VALUES (1), (2)) t(s)""")
+def p17_tall(spark, sf):
+    c = read(spark, sf, "conversations").withColumn("n", F.length("text").cast("string"))
+    return tall(c, {"value": ("role", "n")}, ["conv_id", "turn"])
+
+
+@query(f"""WITH {HITS}, f AS (SELECT CAST(o_orderkey AS VARCHAR) AS protein, (SELECT 0) AS z FROM orders),
+a AS (SELECT query_accession AS protein, bool_or(split_part(target_accession, '.', 1) = 'PF00003') AS pf3, bool_or(split_part(target_accession, '.', 1) = 'PF00005' AND lo >= 1 AND hi <= 250) AS pf5,
+  count(CASE WHEN split_part(target_accession, '.', 1) = 'PF00007' THEN 1 END) AS n7, bool_and(split_part(target_accession, '.', 1) IN ('PF00003', 'PF00005', 'PF00007', 'PF00009')) AS only4 FROM hits GROUP BY 1),
+r AS (SELECT protein, coalesce(pf3, false) AS pf3, coalesce(pf5, false) AS pf5, coalesce(n7, 0) BETWEEN 1 AND 2 AS t7, coalesce(only4, true) AS only4 FROM f LEFT JOIN a USING (protein))
+SELECT protein, CASE WHEN ((pf3 AND pf5) OR t7) AND NOT only4 THEN 'true' ELSE 'false' END AS "pass all" FROM r""")
+def r06_rule(spark, sf):
+    proteins = read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("protein"))
+    rule = ((rules.Pfam.matches("PF00003") & rules.Pfam.matches("PF00005").between_aa(1, 250)) | rules.Pfam.matches("PF00007").times(1, 2)) & ~rules.Pfam.matches_only("PF00003", "PF00005", "PF00007", "PF00009")
+    return rule.evaluate(rules.facts(proteins, Pfam=hits(spark, sf))).select("protein", F.col("`pass all`"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'maybe' WHEN 2 THEN 'error' ELSE 'false' END AS a, CASE l_suppkey % 4 WHEN 0 THEN 'too_far' WHEN 1 THEN 'missing_x' WHEN 2 THEN 'maybe' ELSE 'error' END AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber,
+ CASE WHEN 'false' IN (a, b) THEN 'false' WHEN 'error' IN (a, b) THEN 'error' WHEN 'maybe' IN (a, b) THEN 'maybe' WHEN b = 'missing_x' THEN 'false' ELSE 'true' END AS both,
+ CASE WHEN a = 'true' OR b = 'too_far' THEN 'true' WHEN 'maybe' IN (a, b) THEN 'maybe' WHEN 'error' IN (a, b) THEN 'error' ELSE 'false' END AS either,
+ CASE WHEN b IN ('maybe', 'error') THEN b WHEN b = 'too_far' THEN 'false' ELSE 'true' END AS negated FROM v""")
+def r01_result_algebra(spark, sf):
+    pick = lambda k, *v: F.element_at(F.array(*map(F.lit, v)), (k % 4 + 1).cast("int"))
+    a, b = pick(F.col("l_linenumber"), "true", "maybe", "error", "false"), pick(F.col("l_suppkey"), "too_far", "missing_x", "maybe", "error")
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", logic.all_of(a, b).alias("both"), logic.any_of(a, b).alias("either"), logic.negated(b).alias("negated"))
+
+
+def _points(spark, sf):
+    e = read(spark, sf, "embeddings")
+    xyz = [(20 * F.element_at("embedding", i + 1)).cast("double").alias(c) for i, c in enumerate("xyz")]
+    return e.select(F.lit("m").alias("model"), F.concat(F.lit("C"), (F.col("label") % 4).cast("string")).alias("chain"), F.col("vec_id").alias("number"), F.col("vec_id").alias("token_index"), (F.col("vec_id") % 101).cast("double").alias("plddt"), *xyz)
+
+
+_POINTS = """p AS (SELECT 'C' || CAST(label % 4 AS VARCHAR) AS chain, vec_id AS number, CAST(vec_id % 101 AS DOUBLE) AS plddt, CAST(20 * embedding[1] AS DOUBLE) AS x, CAST(20 * embedding[2] AS DOUBLE) AS y, CAST(20 * embedding[3] AS DOUBLE) AS z FROM embeddings),
+c AS (SELECT a.chain AS chain_a, b.chain AS chain_b, a.number AS number_a, b.number AS number_b, a.plddt AS plddt_a, b.plddt AS plddt_b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS distance
+  FROM p a JOIN p b ON a.chain < b.chain AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 1.44)"""
+
+
+@query(f"WITH {_POINTS} SELECT chain_a, chain_b, number_a, number_b, CAST(floor(distance * 1000) AS BIGINT) AS milli FROM c")
+def j10_contacts(spark, sf):
+    return contacts.contacts(_points(spark, sf), 1.2).select("chain_a", "chain_b", "number_a", "number_b", F.floor(F.col("distance") * 1000).alias("milli"))
+
+
+@query(f"""WITH {_POINTS}, s AS (SELECT chain_a, chain_b, 'a' AS side, number_a AS n, distance FROM c UNION ALL SELECT chain_a, chain_b, 'b', number_b, distance FROM c),
+m AS (SELECT chain_a, chain_b, side, n, min(distance) AS m FROM s GROUP BY 1, 2, 3, 4),
+x AS (SELECT chain_a, chain_b, count(*) AS n_residues, round(min(m), 6) AS near_min, round(max(m), 6) AS near_max, round(avg(m), 6) AS near_mean, round(median(m), 6) AS near_median FROM m GROUP BY 1, 2),
+y AS (SELECT chain_a, chain_b, count(*) AS n_contacts, round(min(distance), 6) AS d_min, round(max(distance), 6) AS d_max, round(avg(distance), 6) AS d_mean, round(median(distance), 6) AS d_median FROM c GROUP BY 1, 2)
+SELECT * FROM y JOIN x USING (chain_a, chain_b)""")
+def a13_contact_statistics(spark, sf):
+    s = contacts.contact_statistics(contacts.contacts(_points(spark, sf), 1.2)).drop("model")
+    return s.withColumns({c: F.round(c, 6) for c in s.columns if c.startswith(("d_", "near_"))})
+
+
+@query(f"""WITH {_POINTS}, w AS (SELECT chain_a, chain_b, avg(1 / (1 + (((number_a * 7 + number_b * 3) % 30) / 10.0) ** 2)) AS w FROM c GROUP BY 1, 2),
+f AS (SELECT DISTINCT chain_a, chain_b, chain_a AS k, number_a AS n, plddt_a AS p FROM c UNION SELECT DISTINCT chain_a, chain_b, chain_b, number_b, plddt_b FROM c),
+q AS (SELECT chain_a, chain_b, avg(p) AS p FROM f GROUP BY 1, 2)
+SELECT chain_a, chain_b, round(CASE WHEN w * p = 0 THEN 0 ELSE 1.31034849 / (1 + exp(-0.0747157696 * (w * p - 84.7326239))) + 0.00501886443 END, 9) AS score_ab FROM w JOIN q USING (chain_a, chain_b)""")
+def g30_interface_score(spark, sf):
+    pairs = contacts.contacts(_points(spark, sf), 1.2)
+    value = lambda a, b: ((F.col(a) * 7 + F.col(b) * 3) % 30).cast("double")
+    there = pairs.select("model", F.col("token_a").alias("i"), F.col("token_b").alias("j"), value("token_a", "token_b").alias("value"))
+    back = pairs.select("model", F.col("token_b").alias("i"), F.col("token_a").alias("j"), value("token_b", "token_a").alias("value"))
+    return contacts.interface_scores(pairs, there.unionByName(back)).select("chain_a", "chain_b", F.round("score_ab", 9).alias("score_ab"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS score, l_quantity * 40 AS area, l_suppkey % 15 AS contacts, l_partkey % 70 AS nonpolar, l_linenumber % 4 AS ov, CAST(3 + l_suppkey % 4 AS DOUBLE) AS d_min, l_partkey % 4 AS salts, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE CAST(2 + l_partkey % 5 AS DOUBLE) END AS sd, l_suppkey % 7 - 3 AS q FROM lineitem),
+d AS (SELECT *, 100 * contacts / area AS dens, coalesce(sd, 100) AS salt FROM v)
+SELECT l_orderkey, l_linenumber, CASE WHEN score < 0.23 THEN 'Reject' WHEN score >= 0.7 THEN 'High' WHEN score >= 0.5 OR (score >= 0.4 AND area < 1000) THEN 'Medium' ELSE 'Low' END AS tier,
+ NOT ((dens <= 0.4 AND d_min > 4.5 AND salt > 4) OR ov >= 3) AND ((area >= 500 AND area < 800 AND nonpolar >= 40 AND ov <= 1 AND ((dens > 0.25 AND salt <= 4) OR dens > 0.7))
+ OR (area >= 800 AND area < 1400 AND nonpolar >= 40 AND ov <= 1 AND ((dens > 0.45 AND salt <= 4) OR dens > 0.7)) OR (area >= 700 AND area < 1200 AND nonpolar >= 25 AND salts >= 2 AND salt <= 3 AND abs(q) >= 3 AND dens > 0.2 AND ov <= 1)
+ OR (area >= 1800 AND nonpolar >= 45 AND dens > 0.5 AND ov <= 2 AND (dens > 0.6 OR (salt <= 3.5 AND salts >= 1))) OR (area >= 1000 AND area < 1800 AND nonpolar >= 40 AND ov <= 2)) AS feasible FROM d""")
+def p15_tier_and_feasibility(spark, sf):
+    c = F.col
+    area, q = c("l_quantity") * 40, c("l_suppkey") % 7 - 3
+    sd = F.when(c("l_partkey") % 3 == 0, None).otherwise((2 + c("l_partkey") % 5).cast("double"))
+    ok = classify.feasible(area, c("l_suppkey") % 15, c("l_partkey") % 70, c("l_linenumber") % 4, (3 + c("l_suppkey") % 4).cast("double"), c("l_partkey") % 4, sd, q)
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", classify.confidence_tier(c("l_discount") * 10, area).alias("tier"), ok.alias("feasible"))
+
+
+@query("""WITH g AS (SELECT o_custkey, list_sort(list(o_orderpriority)) AS l FROM orders GROUP BY 1) SELECT o_custkey, right(sha1('[' || list_aggregate(['"' || x || '"' for x in l], 'string_agg', ',') || ']'), 8) AS sequence_id FROM g""")
+def g46_identity(spark, sf):
+    g = read(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("l"))
+    return g.select("o_custkey", classify.sequence_set_id(F.col("l")).alias("sequence_id"))
+
+
+@query(f"""WITH {HITS} SELECT query_accession, query_database, target_accession || '_' || lo || '_' || hi AS region, lo - 100 + CASE WHEN lo >= 100 THEN 1 ELSE 0 END AS relative, lo >= 10 AND hi <= 300 AS inside FROM hits""")
+def p07_coordinates(spark, sf):
+    lo, hi = intervals.lo("query_start", "query_end"), intervals.hi("query_start", "query_end")
+    return hits(spark, sf).select(
+        "query_accession", "query_database", F.concat_ws("_", "target_accession", lo, hi).alias("region"), intervals.relative(lo, F.lit(100)).alias("relative"),
+        intervals.contained("query_start", "query_end", 300, 10).alias("inside"),
+    )
+
+
+@query("""WITH r AS (SELECT n_name || '_PF' || lpad(CAST(n_nationkey AS VARCHAR), 5, '0') || '_' || (n_nationkey * 3 - 5) || '_' || (n_nationkey * 2 + 4) AS id, n_nationkey FROM nation)
+SELECT id, CASE WHEN n_nationkey * 3 - 5 >= 1 AND n_nationkey * 3 - 5 <= n_nationkey * 2 + 4 THEN n_nationkey * 3 - 5 END AS start FROM r""")
+def g15_region_accessions(spark, sf):
+    k = F.col("n_nationkey")
+    ids = read(spark, sf, "nation").select(accessions.region_id(F.col("n_name"), F.concat(F.lit("PF"), F.lpad(k.cast("string"), 5, "0")), k * 3 - 5, k * 2 + 4).alias("id"))
+    return ids.select("id", accessions.parse_region(F.col("id"))["start"].alias("start"))

@@ -1 +1,542 @@
+"""Filter rules over proteins and their leader candidates, compiled to columns.
 
+    rule = Pfam.matches("PF00504") & ~KO.matches("K08910").between_aa(1, 200) & Sequence.length_between(50, 400)
+    rule.evaluate(facts)          # facts: see ``facts``
+
+A rule is an immutable tree.  Atomic rules are told apart by their label and evaluated once each; ``&``, ``|`` and ``~``
+combine them by the result algebra.  ``sources`` says which inputs a tree reads, so the others are never joined.
+"""
+
+from __future__ import annotations
+
+import importlib
+from dataclasses import dataclass, field, replace
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import logic
+from ..functions.accessions import same_or_versioned, unversioned
+from ..functions.intervals import most_disjoint, relative
+
+
+class Rule:
+    sources: frozenset = frozenset()
+
+    def __and__(self, other: Rule) -> Rule:
+        return All((*self._flat(All), *other._flat(All)))
+
+    def __or__(self, other: Rule) -> Rule:
+        return Any((*self._flat(Any), *other._flat(Any)))
+
+    def __invert__(self) -> Rule:
+        return Not(self)
+
+    def _flat(self, kind) -> tuple:
+        return self.parts if type(self) is kind else (self,)
+
+    def atoms(self) -> dict[str, Rule]:
+        """Atomic rules by label, in order of appearance."""
+        return {self.label: self}
+
+    def resolve(self) -> Column:
+        """The tree's result over columns named by the atoms' labels."""
+        return F.col(f"`{self.label}`")
+
+    def column(self) -> Column:
+        """An atomic rule's result over a facts row."""
+        raise NotImplementedError
+
+    def scope(self, candidates: DataFrame) -> DataFrame:
+        return candidates
+
+    def evaluate(self, facts: DataFrame) -> DataFrame:
+        """facts plus a column for each atomic rule and ``pass all``."""
+        labelled = facts.select("*", *(a.column().alias(k) for k, a in self.atoms().items()))
+        return labelled.withColumn("pass all", logic.normalized(self.resolve()))
+
+
+@dataclass(frozen=True)
+class All(Rule):
+    parts: tuple = ()
+
+    @property
+    def sources(self):
+        return frozenset().union(*(p.sources for p in self.parts))
+
+    @property
+    def label(self):
+        return "(" + " & ".join(p.label for p in self.parts) + ")"
+
+    def atoms(self):
+        return {k: a for p in self.parts for k, a in p.atoms().items()}
+
+    def resolve(self):
+        return logic.all_of(*(p.resolve() for p in self.parts))
+
+    def scope(self, candidates):
+        for p in self.parts:
+            candidates = p.scope(candidates)
+        return candidates
+
+
+class Any(All):
+    @property
+    def label(self):
+        return "(" + " | ".join(p.label for p in self.parts) + ")"
+
+    def resolve(self):
+        return logic.any_of(*(p.resolve() for p in self.parts))
+
+    def scope(self, candidates):
+        """Candidates of every branch; equal accessions are one, the last branch's values in the first one's place."""
+        out = None
+        for p in self.parts:
+            mine = p.scope(candidates)
+            out = mine if out is None else out.join(mine.select("accession").distinct(), "accession", "left_anti").unionByName(mine)
+        return candidates if out is None else out
+
+
+@dataclass(frozen=True)
+class Not(Rule):
+    part: Rule
+
+    @property
+    def sources(self):
+        return self.part.sources
+
+    @property
+    def label(self):
+        return f"~{self.part.label}"
+
+    def atoms(self):
+        return self.part.atoms()
+
+    def resolve(self):
+        return logic.negated(self.part.resolve())
+
+    def scope(self, candidates):
+        return self.part.scope(candidates)
+
+
+def _named(x: Column, accession: str, versions: bool) -> Column:
+    return unversioned(x) == accession if versions else x == accession
+
+
+@dataclass(frozen=True)
+class Hits(Rule):
+    """At least one hit of the accession; ``times``, ``between_aa`` and ``spans_aa`` narrow a copy of the rule."""
+
+    kind: str
+    accession: str
+    count: tuple | None = None
+    overlapping: bool = True
+    window: tuple | None = None
+    every: bool = False
+    span: tuple | None = None
+
+    @property
+    def sources(self):
+        return frozenset({self.kind})
+
+    @property
+    def label(self):
+        out = f'{self.kind}.matches("{self.accession}")'
+        if self.count:
+            out += f".times({self.count[0]}, {self.count[1]}{'' if self.overlapping else ', disjoint'})"
+        if self.window:
+            out += f".between_aa({self.window[0]}, {self.window[1]}{', every' if self.every else ''})"
+        if self.span:
+            out += f".spans_aa({self.span[0]}, {self.span[1]})"
+        return out
+
+    def times(self, lowest: int, highest: int | None = None, *, overlapping: bool = True) -> Hits:
+        highest = lowest if highest is None else highest
+        return replace(self, count=(min(lowest, highest), max(lowest, highest)), overlapping=overlapping)
+
+    def between_aa(self, first: int, last: int, *, every: bool = False) -> Hits:
+        return replace(self, window=(min(first, last), max(first, last)), every=every)
+
+    def spans_aa(self, shortest: int, longest: int) -> Hits:
+        return replace(self, span=(min(shortest, longest), max(shortest, longest)))
+
+    def column(self):
+        versions = self.kind == "Pfam"
+        mine = F.filter(self.kind, lambda h: _named(h["accession"], self.accession.split(".")[0] if versions and self.count else self.accession, versions))
+        ok = F.size(mine) > 0
+        if self.count:
+            n = F.size(mine) if self.overlapping else most_disjoint(F.transform(mine, lambda h: F.struct(h["lo"].alias("lo"), h["hi"].alias("hi"))))
+            ok = n.between(*self.count)
+        if self.window:
+            inside = lambda h: (h["lo"] >= self.window[0]) & (h["hi"] <= self.window[1])
+            ok &= (F.size(mine) > 0) & F.forall(mine, inside) if self.every else F.exists(mine, inside)
+        if self.span:
+            width = F.array_max(F.transform(mine, lambda h: h["hi"])) - F.array_min(F.transform(mine, lambda h: h["lo"])) + 1
+            ok &= F.coalesce(width.between(*self.span), F.lit(False))
+        return logic.from_bool(ok)
+
+
+@dataclass(frozen=True)
+class HitSet(Rule):
+    """Any hit is among the accessions, or (only) no hit is outside them; no hits satisfy ``only``."""
+
+    kind: str
+    accessions: tuple
+    only: bool
+
+    @property
+    def sources(self):
+        return frozenset({self.kind})
+
+    @property
+    def label(self):
+        return f"{self.kind}.matches_{'only' if self.only else 'any'}({', '.join(self.accessions)})"
+
+    def column(self):
+        name = lambda h: unversioned(h["accession"]) if self.kind == "Pfam" else h["accession"]
+        test = lambda h: name(h).isin(*self.accessions)
+        return logic.from_bool(F.forall(self.kind, test) if self.only else F.exists(self.kind, test))
+
+
+class _HitFactory:
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def matches(self, accession: str) -> Hits:
+        return Hits(self.kind, accession)
+
+    def matches_any(self, *accessions: str) -> HitSet:
+        return HitSet(self.kind, accessions, False)
+
+    def matches_only(self, *accessions: str) -> HitSet:
+        return HitSet(self.kind, accessions, True)
+
+
+Pfam, KO = _HitFactory("Pfam"), _HitFactory("KO")
+
+
+@dataclass(frozen=True)
+class Length(Rule):
+    lowest: int
+    highest: int
+    sources: frozenset = frozenset()
+
+    @property
+    def label(self):
+        return f"Sequence.length_between({self.lowest}, {self.highest})"
+
+    def column(self):
+        return logic.from_bool(F.length("sequence").between(self.lowest, self.highest))
+
+
+@dataclass(frozen=True)
+class Pattern(Rule):
+    """A regular expression found within a window of residues, in protein coordinates or relative to the first Pfam hit.
+
+    Relative positions have no zero; they need the candidate's start (column protein_start), else the result is error.
+    """
+
+    regex: str
+    window: tuple | None = None
+    anchor: str | None = None
+
+    @property
+    def sources(self):
+        return frozenset({"Pfam"}) if self.anchor else frozenset()
+
+    @property
+    def label(self):
+        where = f".between_aa({self.window[0]}, {self.window[1]})" if self.window and not self.anchor else ""
+        return f'Sequence.matches_regex("{self.regex}"){where}' + (f'.relative_to("{self.anchor}", {self.window[0]}, {self.window[1]})' if self.anchor else "")
+
+    def between_aa(self, first: int, last: int) -> Pattern:
+        return replace(self, window=(min(first, last), max(first, last)), anchor=None)
+
+    def relative_to(self, accession: str, first: int, last: int) -> Pattern:
+        return replace(self, window=(min(first, last), max(first, last)), anchor=accession)
+
+    def column(self):
+        s = F.col("sequence")
+        if not self.window:
+            return logic.from_bool(s.rlike(self.regex))
+        first, last = map(F.lit, self.window)
+        if self.anchor:
+            hits = F.filter("Pfam", lambda h: same_or_versioned(h["accession"], self.anchor))
+            # The anchor in the candidate's own coordinates, then the window's ends in sequence positions.
+            at = relative(F.array_min(F.transform(hits, lambda h: h["anchor"])), F.col("protein_start"))
+            edge = lambda r: F.when(r > 0, at + r - 1).otherwise(at + r)
+            first, last = edge(first), edge(last)
+        a, b = F.greatest(first, F.lit(1)), F.least(last, F.length(s))
+        found = (a <= b) & F.substring(s, a, b - a + 1).rlike(self.regex)
+        if not self.anchor:
+            return logic.from_bool(found)
+        return F.when(F.size(hits) == 0, "false").when(F.col("protein_start").isNull(), "error").otherwise(logic.from_bool(found))
+
+
+class Sequence:
+    @staticmethod
+    def length_between(lowest: int, highest: int) -> Length:
+        return Length(min(lowest, highest), max(lowest, highest))
+
+    @staticmethod
+    def matches_regex(regex: str) -> Pattern:
+        return Pattern(regex)
+
+
+@dataclass(frozen=True)
+class Profile(Rule):
+    """Predicates on an HMM alignment map: column ``hmm`` has profile -> map(position -> struct<pos, aa> or null for a gap)."""
+
+    profile: str
+    test: str
+    args: tuple
+    window: tuple | None = None
+    sources: frozenset = field(default=frozenset({"hmm"}))
+
+    @property
+    def label(self):
+        return f'HMM("{self.profile}").{self.test}{self.args}' + (f".between{self.window}" if self.window else "")
+
+    def between(self, first: int, last: int) -> Profile:
+        return replace(self, window=(min(first, last), max(first, last)))
+
+    def column(self):
+        m = F.try_element_at("hmm", F.lit(self.profile))
+        at = lambda p: F.try_element_at(m, p)
+        if self.test == "is_at":
+            text, start = self.args
+            ok = F.lit(True)
+            for i, c in enumerate(text):
+                ok &= F.coalesce(at(F.lit(start + i))["aa"] == c, F.lit(False))
+        elif self.test == "matches_regex":
+            regex, start = self.args
+            keys = F.filter(F.map_keys(m), lambda k: k >= start)
+            # rightwards from start until the profile ends; an alignment's keys are contiguous
+            text = F.array_join(F.transform(F.array_sort(keys), lambda k: F.coalesce(at(k)["aa"], F.lit("-"))), "")
+            ok = F.map_contains_key(m, F.lit(start)) & (text != "") & text.rlike(f"^(?:{regex})")
+        else:
+            s, e = sorted(self.args)
+            inside = F.filter(F.map_keys(m), lambda k: at(k).isNotNull())
+            if self.test == "covers":
+                ok = F.forall(F.sequence(F.lit(s), F.lit(e)), lambda p: at(p).isNotNull())
+            else:
+                ok = (F.array_min(inside) <= s) & (F.array_max(inside) >= e)
+            if self.window:
+                placed = F.transform(F.filter(inside, lambda k: k.between(s, e)), lambda k: at(k)["pos"])
+                ok &= (F.size(placed) > 0) & (F.array_min(placed) >= self.window[0]) & (F.array_max(placed) <= self.window[1])
+        return F.when(m.isNull(), "false").otherwise(logic.from_bool(F.coalesce(ok, F.lit(False))))
+
+
+class HMM:
+    def __init__(self, profile: str):
+        self.profile = profile
+
+    def is_at(self, text: str, position: int) -> Profile:
+        return Profile(self.profile, "is_at", (text, position))
+
+    def covers(self, first: int, last: int) -> Profile:
+        return Profile(self.profile, "covers", (first, last))
+
+    def spans(self, first: int, last: int) -> Profile:
+        return Profile(self.profile, "spans", (first, last))
+
+    def matches_regex(self, regex: str, position: int) -> Profile:
+        return Profile(self.profile, "matches_regex", (regex, position))
+
+
+@dataclass(frozen=True)
+class Localized(Rule):
+    """Leader predicates from tool calls.  Columns targetp: struct<p_noTP, p_mTP, p_SP> and deeploc:
+    struct<localizations, signals, scores map>, null where a candidate's call is missing."""
+
+    what: str
+    value: str
+    window: tuple | None = None
+    original: bool = True
+
+    @property
+    def sources(self):
+        return frozenset({"targetp"} if self.what == "targetp" else {"deeploc"} if self.what != "any" else ())
+
+    @property
+    def label(self):
+        where = f".within({self.window[0]}, {self.window[1]})" if self.window else ""
+        return f"Leader().{self.what}({self.value}){where}"
+
+    def within(self, first: int, last: int, *, original: bool = True) -> Localized:
+        return replace(self, window=(min(first, last), max(first, last)), original=original)
+
+    def scope(self, candidates):
+        """Candidates that start in the window; where a protein has none, its original sequence."""
+        if not self.window:
+            return candidates
+        from pyspark.sql import Window
+
+        inside = (F.col("start") != 0) & F.col("start").between(*self.window) & ~F.col("is_original")
+        marked = candidates.withColumn("in__", inside).withColumn("any__", F.max(inside).over(Window.partitionBy("protein")))
+        keep = F.col("in__") | (F.col("is_original") & (F.lit(self.original) | ~F.col("any__")))
+        return marked.where(keep).drop("in__", "any__")
+
+    def column(self):
+        if self.what == "any":
+            return F.lit("true")
+        if self.what == "targetp":
+            return F.when(F.col("targetp").isNull(), "error").otherwise(logic.from_bool(targetp_call(F.col("targetp")) == self.value))
+        d = F.col("deeploc")
+        if self.what == "localize_at":
+            ok = d["localizations"] == self.value
+        else:
+            ok = F.array_contains(d["signals"], self.value) & (F.coalesce(F.try_element_at(d["scores"], F.lit(self.value)), F.lit(1.0)) == 1.0)
+        return F.when(d.isNull(), "maybe").otherwise(logic.from_bool(F.coalesce(ok, F.lit(False))))
+
+
+def targetp_call(t: Column) -> Column:
+    """Largest rounded percentage; noTP wins ties over mTP over SP; nothing above zero gives an empty call."""
+    choice = lambda p, rank, name: F.struct(F.bround(100 * t[p], 0).alias("v"), F.lit(rank).alias("r"), F.lit(name).alias("n"))
+    best = F.array_max(F.array(choice("p_SP", 0, "SP"), choice("p_mTP", 1, "mTP"), choice("p_noTP", 2, "noTP")))
+    return F.when(best["v"] > 0, best["n"]).otherwise("")
+
+
+class Leader:
+    def found(self) -> Localized:
+        return Localized("any", "")
+
+    def is_mTP(self) -> Localized:
+        return Localized("targetp", "mTP")
+
+    def is_SP(self) -> Localized:
+        return Localized("targetp", "SP")
+
+    def is_noTP(self) -> Localized:
+        return Localized("targetp", "noTP")
+
+    def is_NLS(self) -> Localized:
+        return Localized("signal", "Nuclear localization signal")
+
+    def is_NES(self) -> Localized:
+        return Localized("signal", "Nuclear export signal")
+
+    def localize_at(self, places: str) -> Localized:
+        return Localized("localize_at", places)
+
+
+@dataclass(frozen=True)
+class Motifs(Rule):
+    """Motif hits (column motifs: array<struct<motif, start, end, score>>, 0-based half-open) inside scope intervals
+    (column scopes: array<struct<s, e>>); null motifs mean a failed scan, null scopes no genome."""
+
+    first: str
+    second: str | None = None
+    distance: int | None = None
+    lowest_score: float | None = None
+    sources: frozenset = field(default=frozenset({"motifs"}))
+
+    @property
+    def label(self):
+        more = f', "{self.second}", {self.distance}' if self.second else ""
+        return f'TFMotifs.has{"_within" if self.second else ""}("{self.first}"{more})'
+
+    def column(self):
+        inside = lambda h: F.exists("scopes", lambda s: (h["start"] >= s["s"]) & (h["end"] <= s["e"]))
+
+        def mine(name):
+            ok = lambda h: same_or_versioned(h["motif"], name) & inside(h)
+            return F.filter("motifs", (lambda h: ok(h) & (h["score"] >= self.lowest_score)) if self.lowest_score is not None else ok)
+
+        a = mine(self.first)
+        if self.second is None:
+            result = F.when(F.size(a) > 0, "yes").otherwise(f"missing_{self.first}")
+        else:
+            b = mine(self.second)
+            gap = lambda x, y: F.greatest(F.lit(0), x["start"] - y["end"], y["start"] - x["end"])
+            near = F.exists(a, lambda x: F.exists(b, lambda y: gap(x, y) <= self.distance))
+            result = (
+                F.when((F.size(a) == 0) & (F.size(b) == 0), f"missing_{self.first}_and_{self.second}").when(F.size(a) == 0, f"missing_{self.first}")
+                .when(F.size(b) == 0, f"missing_{self.second}").when(near, "yes").otherwise("too_far")
+            )
+        return F.when(F.col("scopes").isNull(), "not_applicable").when(F.size("scopes") == 0, "false").when(F.col("motifs").isNull(), "error").otherwise(result)
+
+
+@dataclass(frozen=True)
+class Custom(Rule):
+    """A rule of the user's own: a label and a column of results."""
+
+    label: str
+    expression: object
+    sources: frozenset = frozenset()
+
+    def column(self):
+        return self.expression
+
+
+def end_bound(rule: Rule) -> Hits | None:
+    """The one rule marked as C-terminal bound; it isn't looked for inside ``~``, and two are an error."""
+    found = []
+
+    def walk(r):
+        if isinstance(r, EndBound):
+            found.append(r)
+        elif isinstance(r, All):
+            for p in r.parts:
+                walk(p)
+
+    walk(rule)
+    if len(found) > 1:
+        raise ValueError("at most one C-terminal bound")
+    return found[0] if found else None
+
+
+@dataclass(frozen=True)
+class EndBound(Hits):
+    """Hits that also end the candidates: they are cut at the last endpoint."""
+
+
+def bound_candidates(candidates: DataFrame, hits: DataFrame, accession: str, kind: str) -> DataFrame:
+    """Cut candidates at the protein's largest endpoint of the accession and rename them; those starting after it go.
+
+    A candidate's start has no zero: upstream starts are negative.  Its length up to the end is end - start + 1 for a
+    positive start and end - start for a negative one.
+    """
+    from ..functions.accessions import before_pipe
+
+    last = hits.where(same_or_versioned(F.col("target_accession"), accession)).groupBy(F.col("query_accession").alias("protein")).agg(F.max(F.greatest("query_start", "query_end")).alias("bound__"))
+    n = F.when(F.col("start") > 0, F.col("bound__") - F.col("start") + 1).otherwise(F.col("bound__") - F.col("start"))
+    out = candidates.join(last, "protein", "left")
+    cut = out.where(F.col("bound__").isNull() | (F.col("start") <= F.col("bound__")))
+    named = F.when(F.col("bound__").isNull(), F.col("accession")).otherwise(before_pipe(F.col("accession"), F.lit(f"_to_{kind}_end")))
+    text = F.when(F.col("bound__").isNull(), F.col("sequence")).otherwise(F.substring("sequence", F.lit(1), n))
+    return cut.withColumns({"accession": named, "sequence": text}).drop("bound__")
+
+
+def facts(proteins: DataFrame, **hits: DataFrame) -> DataFrame:
+    """One row per protein with its hits of each kind as array<struct<accession, lo, hi, anchor>>; only given kinds are joined."""
+    out = proteins
+    for kind, h in hits.items():
+        anchor = F.col("query_start") - (F.coalesce("target_start", F.lit(1)) - 1) if "target_start" in h.columns else F.least("query_start", "query_end")
+        s = F.struct(F.col("target_accession").alias("accession"), F.least("query_start", "query_end").alias("lo"), F.greatest("query_start", "query_end").alias("hi"), anchor.cast("int").alias("anchor"))
+        per = h.groupBy(F.col("query_accession").alias("protein")).agg(F.collect_list(s).alias(kind))
+        kind_type = dict(per.dtypes)[kind]
+        out = out.join(per, "protein", "left").withColumn(kind, F.coalesce(kind, F.array().cast(kind_type)))
+    return out
+
+
+def result_counts(results: DataFrame, label: str) -> DataFrame:
+    """Histogram of a rule's results."""
+    return results.groupBy(F.col(f"`{label}`").alias("result")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def passing_rows(results: DataFrame, **wanted: str) -> DataFrame:
+    """Rows by exact text of result columns; ``pass all`` = true unless asked otherwise."""
+    filters = {"pass all": "true"} | wanted
+    for c, v in filters.items():
+        results = results.where(F.col(f"`{c}`") == v)
+    return results
+
+
+def load(path: str) -> Rule:
+    """``package.module.name`` to a rule."""
+    module, _, name = path.rpartition(".")
+    rule = getattr(importlib.import_module(module), name)
+    if not isinstance(rule, Rule):
+        raise TypeError(f"{path} is no rule")
+    return rule

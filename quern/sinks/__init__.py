@@ -1 +1,61 @@
+"""Writers: FASTA, single-file TSV by rename, appends with a checked header."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def fasta_lines(df: DataFrame, header: Column, sequence: Column, width: int = 60) -> DataFrame:
+    """value: header and sequence lines of each record."""
+    wrapped = F.regexp_replace(sequence, f"(.{{{width}}})(?!$)", "$1\n")
+    return df.select(F.concat(F.lit(">"), header, F.lit("\n"), wrapped).alias("value"))
+
+
+def match_fasta(matches: DataFrame, sequences: DataFrame, target: str, *, match_only: bool) -> DataFrame:
+    """Whole sequences or the matched parts of matches (query_accession, query_start, query_end); absent proteins are left out."""
+    j = matches.join(sequences.select(F.col("id").alias("query_accession"), "sequence"), "query_accession")
+    if not match_only:
+        return fasta_lines(j.select("query_accession", "sequence").distinct(), F.col("query_accession"), F.col("sequence"))
+    a, b = F.least("query_start", "query_end"), F.greatest("query_start", "query_end")
+    name = F.concat_ws("_", "query_accession", F.lit(target), "query_start", "query_end")
+    return fasta_lines(j, name, F.substring("sequence", a, b - a + 1))
+
+
+def write_tsv(df: DataFrame, path: str, null: str = "") -> None:
+    """One file that appears whole: written to a neighbouring folder first, then renamed."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    df.coalesce(1).write.csv(part.toString(), sep="\t", header=True, nullValue=null, emptyValue="", quote="")
+    written = next(s.getPath() for s in fs.listStatus(part) if s.getPath().getName().startswith("part-"))
+    fs.delete(target, False)
+    fs.rename(written, target)
+    fs.delete(part, True)
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Append Parquet rows; the columns must be the table's."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        there = spark.read.parquet(path).columns
+        if there != df.columns:
+            raise ValueError(f"the table has columns {there}")
+    df.write.mode("append").parquet(path)
+
+
+def tall(df: DataFrame, sides: dict[str, tuple[str, str]], keep: list[str]) -> DataFrame:
+    """A row per side (1, 2) of two-sided rows: sides maps an output column to its columns on either side."""
+    rows = F.array(*(F.struct(F.lit(i + 1).alias("side"), *(F.col(c[i]).alias(n) for n, c in sides.items())) for i in range(2)))
+    return df.select(*keep, F.explode(rows).alias("s")).select(*keep, "s.*")
+
+
+def printed(x: Column, kind: str) -> Column:
+    """Cells as text: floats with six places, booleans in lower case, null as NA."""
+    text = F.format_string("%.6f", x) if kind == "double" else F.lower(x.cast("string")) if kind == "boolean" else x.cast("string")
+    return F.coalesce(F.when(x.isNotNull(), text), F.lit("NA"))
