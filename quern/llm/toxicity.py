@@ -2,7 +2,7 @@
 
 Main path: one Arrow pass extracts features from whole texts and scores them.  Fitting uses at most
 ``max_train_rows`` labelled rows (lowest hashes of doc_id), half for a learned lexicon, half for trees and calibration,
-so that no row helps to choose the words it is then judged by.  Only text reaches the features.
+so that no row helps to choose the words it is then judged by (below ``FEW_ROWS`` rows all serve both).  Only text reaches the features.
 
 Edge cases: a null text counts as empty and is scored like any other; a null doc_id is scored, is never held out and
 never used for training; repeated doc_ids are scored row by row; several labels of one doc_id count as toxic if any is;
@@ -24,11 +24,15 @@ from ._trees import BoostedTrees, Isotonic
 
 #: Most labelled rows used to fit the model.
 MAX_TRAIN_ROWS = 20_000
+#: With fewer labelled rows than this, all of them choose the lexicon.
+FEW_ROWS = 2_000
 THRESHOLD = 0.7
+#: Lengths of the word beginnings that the lexicon may hold beside whole words.
+STEMS = (5, 6, 7, 8)
 
 # Common words of abuse in the corpus' languages.
 SEED_WORDS = """idiot idiots moron morons stupid dumb fool loser losers scum trash garbage filth clown pathetic worthless
-disgusting vile hate kill die ugly bastard bitch damn fuck fucking shit asshole jerk retard creep pig rat vermin
+disgusting vile hate kill ugly bastard bitch damn fuck fucking shit asshole jerk retard creep pig rat vermin
 dumm dummkopf trottel vollidiot arschloch scheisse scheiße abschaum drecksau wichser hure schlampe ekelhaft
 imbécile crétin débile salaud connard connasse merde ordure pute dégueulasse abruti minable
 idiota imbécil estúpido estúpida tonto basura escoria cabrón mierda puta asqueroso asquerosa payaso inútil""".split()
@@ -47,14 +51,28 @@ FEATURES = ["seed_rate", "seed_count", "learned_rate", "learned_count", "near_se
             "shout_rate", "punctuation", "masking", "digits", "mixed_rate", "hidden_count", "log_words", "word_length"]
 
 
-def features(text: str | None, seed: frozenset, learned: frozenset, near: int = 5) -> list[float]:
+class Lexicon:
+    """Words and word beginnings, told apart quickly by their first letters."""
+
+    def __init__(self, entries):
+        self.words = frozenset(e for e in entries if not e.endswith("*"))
+        self.stems = frozenset(e[:-1] for e in entries if e.endswith("*"))
+        self.heads = frozenset(e[:5] for e in self.stems)
+        self.lengths = sorted({len(e) for e in self.stems})
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.words or word[:5] in self.heads and any(word[:n] in self.stems for n in self.lengths)
+
+
+def features(text: str | None, seed: frozenset, learned: Lexicon, near: int = 5) -> list[float]:
     text = text or ""
     raw = text.encode("utf-8", "replace")
     n = len(raw)
     low = text.lower()
     tokens = _TOKEN.findall(low)
     words = max(1, len(tokens))
-    marks = [(i, w) for i, w in enumerate(tokens) if w in seed or w in learned or w in _SECOND]
+    heads, more = learned.heads, learned.words
+    marks = [(i, w) for i, w in enumerate(tokens) if w in _SECOND or w in seed or w in more or w[:5] in heads and w in learned]
     you = np.array([i for i, w in marks if w in _SECOND], dtype=np.int64)
     bad = np.array([i for i, w in marks if w in seed or w in learned], dtype=np.int64)
     n_seed, n_learned = sum(w in seed for _, w in marks), sum(w in learned for _, w in marks)
@@ -78,7 +96,7 @@ _SECOND = frozenset(SECOND_PERSON)
 class ToxicityModel:
     """Picklable: sent to the executors inside the scoring closure (some 100 KB, whatever the corpus)."""
 
-    def __init__(self, seed: frozenset, learned: frozenset, trees: BoostedTrees | None, calibration: Isotonic | None, base: float):
+    def __init__(self, seed: frozenset, learned: Lexicon, trees: BoostedTrees | None, calibration: Isotonic | None, base: float):
         self.seed, self.learned, self.trees, self.calibration, self.base = seed, learned, trees, calibration, base
 
     def score(self, texts) -> np.ndarray:
@@ -101,21 +119,30 @@ def _training(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     return rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(2)))
 
 
-def learn_lexicon(rows: DataFrame, min_toxic: int = 4, min_ratio: float = 20.0, size: int = 200) -> frozenset:
-    """Words far more usual in toxic than in other training texts; equal texts count once."""
+def learn_lexicon(rows: DataFrame, seed: frozenset, min_toxic: int = 4, min_share: float = 0.02, min_ratio: float = 20.0, size: int = 400) -> tuple[frozenset, frozenset]:
+    """(learned, kept): words and word beginnings (``stem*``) far more usual in toxic than in other training texts, and the seed words without those that
+    clean texts use as often (an insult in one language can be an article in another).  Equal texts count once; a learned
+    word is in at least min_toxic toxic texts and a share min_share of them, so that copies of one text teach none."""
     once = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
     totals = once.agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n"))
-    words = once.select("y", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where("length(w) between 3 and 40")
-    counts = words.groupBy("w").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("b")).where(F.col("a") >= min_toxic)
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")), lambda w: F.length(w).between(3, 40))
+    each = once.select("h", "y", F.explode(words).alias("w"))
+    stems = F.transform(F.array(*map(F.lit, STEMS)), lambda n: F.when(F.length("w") > n, F.concat(F.substring(F.col("w"), F.lit(1), n), F.lit("*"))))
+    words = each.select("h", "y", F.explode(F.array_compact(F.concat(F.array("w"), stems))).alias("w")).distinct()
+    known = F.col("w").isin(*sorted(seed))
+    counts = words.groupBy("w").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("b")).where((F.col("a") >= min_toxic) | known)
     ratio = ((F.col("a") + 0.5) / (F.col("t") + 1)) / ((F.col("b") - F.col("a") + 0.5) / (F.col("n") - F.col("t") + 1))
-    top = counts.crossJoin(F.broadcast(totals)).withColumn("ratio", ratio).where(F.col("ratio") >= min_ratio).orderBy(F.desc("ratio"), "w").limit(size)
-    return frozenset(r["w"] for r in top.select("w").collect())
+    judged = counts.crossJoin(F.broadcast(totals)).withColumn("ratio", ratio).withColumn("known", known)  # totals is one row
+    usable = (F.col("ratio") >= min_ratio) & (F.col("a") >= min_toxic) & (F.col("a") >= min_share * F.col("t"))
+    got = judged.where(known & (F.col("b") >= 10) & (F.col("ratio") < 3) | ~known & usable).orderBy("known", F.desc("ratio"), "w").limit(size + len(seed)).select("w", "known").collect()
+    return frozenset([r["w"] for r in got if not r["known"]][:size]), seed - {r["w"] for r in got if r["known"]}
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> ToxicityModel:
     rows = _training(docs, labels, max_train_rows)
-    seed = frozenset(SEED_WORDS)
-    learned = learn_lexicon(rows.where("fold = 0")) - seed
+    few = rows.count() < FEW_ROWS
+    entries, seed = learn_lexicon(rows if few else rows.where("fold = 0"), frozenset(SEED_WORDS))
+    learned = Lexicon(entries)
 
     def extract(batches):
         for b in batches:
@@ -126,8 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     got = rows.select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int"), F.col("fold").cast("long")).mapInArrow(extract, "doc_id long, y int, fold long, x array<double>").toPandas()
     got = got.sort_values("doc_id", kind="stable")
     base = float((got.y.sum() + 0.5) / (len(got) + 1)) if len(got) else 0.5 / 1.5
-    # Too few rows for a half each: the lexicon still comes from fold 0, the trees see all rows.
-    use = got[got.fold == 1] if (got.fold == 1).sum() >= 300 else got
+    use = got if few else got[got.fold == 1]
     y = use.y.to_numpy(dtype=float)
     if len(use) < 10 or y.min() == y.max():
         return ToxicityModel(seed, learned, None, None, base)
