@@ -324,12 +324,12 @@ def j10_contacts(spark, sf):
 
 @query(f"""WITH {_POINTS}, s AS (SELECT chain_a, chain_b, 'a' AS side, number_a AS n, distance FROM c UNION ALL SELECT chain_a, chain_b, 'b', number_b, distance FROM c),
 m AS (SELECT chain_a, chain_b, side, n, min(distance) AS m FROM s GROUP BY 1, 2, 3, 4),
-x AS (SELECT chain_a, chain_b, count(*) AS n_residues, round(min(m), 6) AS near_min, round(max(m), 6) AS near_max, round(avg(m), 6) AS near_mean, round(median(m), 6) AS near_median FROM m GROUP BY 1, 2),
-y AS (SELECT chain_a, chain_b, count(*) AS n_contacts, round(min(distance), 6) AS d_min, round(max(distance), 6) AS d_max, round(avg(distance), 6) AS d_mean, round(median(distance), 6) AS d_median FROM c GROUP BY 1, 2)
+x AS (SELECT chain_a, chain_b, count(*) AS n_residues, round(min(m), 4) AS near_min, round(max(m), 4) AS near_max, round(avg(m), 4) AS near_mean, round(median(m), 4) AS near_median FROM m GROUP BY 1, 2),
+y AS (SELECT chain_a, chain_b, count(*) AS n_contacts, round(min(distance), 4) AS d_min, round(max(distance), 4) AS d_max, round(avg(distance), 4) AS d_mean, round(median(distance), 4) AS d_median FROM c GROUP BY 1, 2)
 SELECT * FROM y JOIN x USING (chain_a, chain_b)""")
 def a13_contact_statistics(spark, sf):
     s = contacts.contact_statistics(contacts.contacts(_points(spark, sf), 1.2)).drop("model")
-    return s.withColumns({c: F.round(c, 6) for c in s.columns if c.startswith(("d_", "near_"))})
+    return s.withColumns({c: F.round(c, 4) for c in s.columns if c.startswith(("d_", "near_"))})
 
 
 @query(f"""WITH {_POINTS}, w AS (SELECT chain_a, chain_b, avg(1 / (1 + (((number_a * 7 + number_b * 3) % 30) / 10.0) ** 2)) AS w FROM c GROUP BY 1, 2),
