@@ -143,7 +143,7 @@ def _pack(batches):
     """Compress the texts that travel."""
     squeeze = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze.compress(t) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze.compress(t.as_py()) for t in b.column(1)], pa.binary())], names=["doc_id", "text"])
 
 
 def _slices(batch, packed: bool, most: int = 1 << 23):

@@ -126,9 +126,9 @@ def learn_lexicon(rows: DataFrame, seed: frozenset, min_toxic: int = 4, min_shar
     once = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
     totals = once.agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n"))
     words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")), lambda w: F.length(w).between(3, 40))
-    each = once.select("h", "y", F.explode(words).alias("w"))
-    stems = F.transform(F.array(*map(F.lit, STEMS)), lambda n: F.when(F.length("w") > n, F.concat(F.substring(F.col("w"), F.lit(1), n), F.lit("*"))))
-    words = each.select("h", "y", F.explode(F.array_compact(F.concat(F.array("w"), stems))).alias("w")).distinct()
+    begins = lambda w: [F.when(F.length(w) > n, F.concat(F.substring(w, F.lit(1), F.lit(n)), F.lit("*"))) for n in STEMS]
+    entries = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array_compact(F.array(w, *begins(w))))))
+    words = once.select("y", F.explode(entries).alias("w"))
     known = F.col("w").isin(*sorted(seed))
     counts = words.groupBy("w").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("b")).where((F.col("a") >= min_toxic) | known)
     ratio = ((F.col("a") + 0.5) / (F.col("t") + 1)) / ((F.col("b") - F.col("a") + 0.5) / (F.col("n") - F.col("t") + 1))
@@ -146,9 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
 
     def extract(batches):
         for b in batches:
-            d = b.to_pydict()
-            x = [features(t, seed, learned) for t in d["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(d["doc_id"], pa.int64()), pa.array(d["y"], pa.int32()), pa.array(d["fold"], pa.int64()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "fold", "x"])
+            x = [features(t.as_py(), seed, learned) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "fold", "x"])
 
     got = rows.select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int"), F.col("fold").cast("long")).mapInArrow(extract, "doc_id long, y int, fold long, x array<double>").toPandas()
     got = got.sort_values("doc_id", kind="stable")
@@ -174,7 +173,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *keep: str, name: str
 
     def run(batches):
         for b in batches:
-            s = pa.array(model.score(b.column(b.num_columns - 1).to_pylist()), pa.float64())
+            s = pa.array(model.score(t.as_py() for t in b.column(b.num_columns - 1)), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*names, name])
 
     return rows.mapInArrow(run, schema)
