@@ -31,6 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Most bytes of rows handed to a Python worker at once.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that long texts can't fill a worker (a smaller setting of the session's stays)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name, "-1")).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def input_bytes(docs: DataFrame) -> int:
     """About how much docs holds: the optimizer's estimate (file sizes), or the texts' bytes where it has none."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

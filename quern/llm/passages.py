@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import input_bytes, shuffle_partitions
+from ._common import bounded_batches, input_bytes, shuffle_partitions
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -446,6 +446,7 @@ def _cutter(packed: bool):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed byte runs), kept_sha256 for every row of docs."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     # An alias of an unchanged id would keep the two joins below from sharing one exchange of the texts.
     doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
     rows = docs.select(doc_id, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches
 from ._trees import Forest
 
 MAX_TRAIN_ROWS = 20_000
@@ -156,6 +157,7 @@ def _judged(text: str, forest: Forest) -> list[tuple[int, int, str, str, float]]
 
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each proposed finding: doc_id, start, end (code points, end exclusive), kind, secret_sha256, score, is_secret."""
+    bounded_batches(docs.sparkSession)
     forest = forest or train()
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, start long, end long, kind string, secret_sha256 string, score double, is_secret boolean"
@@ -177,6 +179,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRES
 
 def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows and columns of docs; confirmed secrets in text become ``[kind]`` and n_chars, where there is one, follows."""
+    bounded_batches(docs.sparkSession)
     forest = forest or train()
     names = docs.columns
     at = names.index("text")
@@ -184,7 +187,8 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THR
     def run(batches):
         for b in batches:
             out = []
-            for t in b.column(at).to_pylist():
+            for t in b.column(at):
+                t = t.as_py()
                 for a, e, k, _, s in reversed(_judged(t, forest) if t else []):
                     if s >= threshold:
                         t = f"{t[:a]}[{k}]{t[e:]}"

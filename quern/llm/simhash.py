@@ -21,10 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, shuffle_partitions
+from ._common import bounded_batches, cut, shuffle_partitions
 from .components import components
 
 MAX_DISTANCE = 3
+#: Side of the blocks in which a hot anchor's fingerprints are compared.
+_SQUARE = 1024
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -54,6 +56,7 @@ _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, th and fp (the fingerprint's bits as a signed long) of rows (doc_id, text, th)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "th")
 
     def run(batches):
@@ -124,15 +127,15 @@ def _link(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, distance: int):
     for g in use:
         a, n, h = first[g], count[g], homes[g]
         own = bits[a : a + h]
-        for lo in range(0, n, 4096):  # blocks bound the memory of a hot anchor
-            block = bits[a + lo : a + min(n, lo + 4096)]
-            for ho in range(0, h, 4096):
-                d = np.bitwise_count(block[:, None] ^ own[None, ho : ho + 4096])
+        for lo in range(0, n, _SQUARE):  # blocks bound the memory of a hot anchor
+            block = bits[a + lo : a + min(n, lo + _SQUARE)]
+            for ho in range(0, h, _SQUARE):
+                d = np.bitwise_count(block[:, None] ^ own[None, ho : ho + _SQUARE])
                 near = d <= distance
                 u, v = np.nonzero(near)
                 if not len(u):
                     continue
-                ids = _spanning(u, v, block, own[ho : ho + 4096])
+                ids = _spanning(u, v, block, own[ho : ho + _SQUARE])
                 if len(ids):
                     yield ids
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._common import is_held_out
+from ._common import bounded_batches, is_held_out
 from ._trees import BoostedTrees, Isotonic
 
 #: Most labelled rows used to fit the model.
@@ -139,6 +139,7 @@ def learn_lexicon(rows: DataFrame, seed: frozenset, min_toxic: int = 4, min_shar
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> ToxicityModel:
+    bounded_batches(docs.sparkSession)
     rows = _training(docs, labels, max_train_rows)
     few = rows.count() < FEW_ROWS
     entries, seed = learn_lexicon(rows if few else rows.where("fold = 0"), frozenset(SEED_WORDS))
@@ -169,12 +170,14 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *keep: str, name: str
     kept = docs.select(*keep)
     names = kept.columns
     schema = StructType([*kept.schema.fields, StructField(name, DoubleType())])
-    rows = docs.select(*keep, F.col("text").alias("text__scored"))
+    bounded_batches(docs.sparkSession)
+    at = names.index("text") if "text" in names else len(names)  # a kept text travels once
+    rows = kept if "text" in names else docs.select(*keep, F.col("text").alias("text__scored"))
 
     def run(batches):
         for b in batches:
-            s = pa.array(model.score(t.as_py() for t in b.column(b.num_columns - 1)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*names, name])
+            s = pa.array(model.score(t.as_py() for t in b.column(at)), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], s], names=[*names, name])
 
     return rows.mapInArrow(run, schema)
 
