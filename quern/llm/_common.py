@@ -38,7 +38,7 @@ BATCH_BYTES = 16 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so that long texts can't fill a worker (a smaller setting of the session's stays)."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(name, "-1")).lower().rstrip("b")
+    now = str(spark.conf.get(name)).lower().rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
