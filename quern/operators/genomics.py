@@ -174,3 +174,53 @@ def match_columns(records: DataFrame, left: int = 0, right: int = 0) -> DataFram
     if left:
         out = out.withColumn("sequence", F.expr(f"substring(sequence, {left})"))
     return out.drop("lead")
+
+
+def start_trim(sequence: Column) -> Column:
+    """Residues to cut so that a sequence starts with M: 1 or 2, and 0 where it starts with M already or none is that near."""
+    at = lambda i: F.substring(sequence, i, 1) == "M"
+    return F.when(at(1), 0).when(at(2), 1).when(at(3), 2).otherwise(0)
+
+
+def leader_prefix(contig: Column, first_base: Column, minus: Column) -> Column:
+    """Upstream residues from the last M after the last stop, or all after that stop where there is no M."""
+    return F.regexp_replace(upstream_tail(contig, first_base, minus), "^.*M", "M")
+
+
+def detected_loci(fragments: DataFrame, proteins: DataFrame, contigs: DataFrame, *, leader: bool = True) -> DataFrame:
+    """Loci of proteins that were found as fragments on a contig, with their leader or start trim unless ``leader`` is off.
+
+    fragments: protein, contig, start, end (on the contig, reversed on the minus strand), target_start, target_end (place in
+    the protein, null: by contig place), ord.  proteins: protein, sequence.  contigs: id, sequence.  Returns protein, contig,
+    start, end, strand, prefix, trim, sequence (of the protein), dna, cds (1-based spans along the strand within the locus),
+    start_codon, problem (fragments, contigs, contig missing, before the contig; then the rest is null).
+    """
+    lo, hi = F.least("start", "end"), F.greatest("start", "end")
+    place = F.when(F.col("target_start").isNull(), lo).otherwise(F.least("target_start", "target_end"))
+    part = F.struct(place.alias("place"), "ord", "contig", "start", "end", lo.alias("lo"), hi.alias("hi"))
+    per = fragments.groupBy("protein").agg(F.array_sort(F.collect_list(part)).alias("parts"))  # a protein has few fragments
+    t = proteins.select("protein", "sequence").join(per, "protein", "left")
+    t = t.withColumn("contig", F.col("parts")[0]["contig"]).withColumn("first", F.col("parts")[0]["start"]).withColumn("end", F.element_at("parts", -1)["end"])
+    t = t.join(contigs.select(F.col("id").alias("contig"), F.col("sequence").alias("whole")), "contig", "left")
+    one = ~F.exists("parts", lambda p: ~p["contig"].eqNullSafe(F.col("contig")))
+    minus = F.col("first") > F.col("end")
+    trim = start_trim(F.col("sequence")) if leader else F.lit(0)
+    t = t.withColumn("trim", trim)
+    bare = (F.col("trim") == 0) & ~F.startswith("sequence", F.lit("M"))
+    t = t.withColumn("prefix", F.when(bare, leader_prefix(F.col("whole"), F.col("first"), minus)).otherwise("") if leader else F.lit(""))
+    along = F.when(minus, -1).otherwise(1)
+    t = t.withColumn("start", F.col("first") + along * 3 * (F.col("trim") - F.length("prefix")))
+    problem = F.when(F.col("parts").isNull(), "fragments").when(~one, "contigs").when(F.col("whole").isNull(), "contig missing").when(F.least("start", "end") < 1, "before the contig")
+    t = t.withColumn("problem", problem)
+    back = F.col("start") > F.col("end")
+    a, b = F.least("start", "end"), F.greatest("start", "end")
+    clipped = F.filter(F.transform("parts", lambda p: F.struct(F.greatest(p["lo"], a).alias("lo"), F.least(p["hi"], b).alias("hi"))), lambda p: p["lo"] <= p["hi"])
+    span = lambda p: F.when(back, F.struct((F.col("start") - p["hi"] + 1).alias("s"), (F.col("start") - p["lo"] + 1).alias("e"))).otherwise(F.struct((p["lo"] - F.col("start") + 1).alias("s"), (p["hi"] - F.col("start") + 1).alias("e")))
+    dna = F.substring("whole", a, b - a + 1)
+    kept = F.substring("sequence", F.col("trim") + 1, F.length("sequence"))
+    ok = lambda c: F.when(F.col("problem").isNull(), c)
+    return t.select(
+        "protein", ok(F.col("contig")).alias("contig"), ok(F.col("start")).alias("start"), ok(F.col("end")).alias("end"), ok(F.when(back, "-").otherwise("+")).alias("strand"),
+        ok(F.col("prefix")).alias("prefix"), ok(F.col("trim")).alias("trim"), ok(F.concat("prefix", kept)).alias("sequence"), ok(F.when(back, reverse_complement(dna)).otherwise(dna)).alias("dna"),
+        ok(F.array_sort(F.transform(clipped, span))).alias("cds"), ok(F.startswith(kept, F.lit("M")) | (F.length("prefix") > 0)).alias("start_codon"), "problem",
+    )

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.accessions import parse_region
+
 
 def first_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row by ``order`` of each key."""
@@ -140,6 +142,28 @@ def merge(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], up
     return j.select(*(F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in keys), *(value(c).alias(c) for c in values), status.alias("status"))
 
 
+def cluster_flags(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Cluster rows (representative, member) with the member's protein and whether the pair's sequences are the same or one holds the other.
+
+    pairs: representative, member, representative_sequence, member_sequence, one row a pair.  A pair without sequences and a
+    member that isn't a region accession are problems.
+    """
+    a, b = F.col("representative_sequence"), F.col("member_sequence")
+    protein = parse_region(F.col("member"))["protein"]
+    problem = F.when(protein.isNull(), "member").when(a.isNull() | b.isNull(), "sequences")
+    j = rows.join(pairs, ["representative", "member"], "left")
+    return j.select("representative", "member", protein.alias("protein"), (a == b).alias("same"), (F.contains(a, b) | F.contains(b, a)).alias("contained"), problem.alias("problem"))
+
+
+def same_multisets(a: DataFrame, b: DataFrame, group: str, item: str, copies: str | None = None) -> DataFrame:
+    """Per group, whether both tables hold the same items equally often; ``copies`` names a's column of counts, else a row counts once."""
+    n = F.sum(copies) if copies else F.count(F.lit(1))
+    x = a.groupBy(group, item).agg(n.cast("long").alias("na"))
+    y = b.groupBy(group, item).agg(F.count(F.lit(1)).alias("nb"))
+    equal = F.coalesce("na", F.lit(0)) == F.coalesce("nb", F.lit(0))
+    return x.join(y, [group, item], "full_outer").groupBy(group).agg(F.bool_and(equal).alias("same"))
+
+
 def refuse_conflicts(merged: DataFrame) -> DataFrame:
     """Fail the job on the first conflict, else pass rows on without the status."""
     status = F.when(F.col("status") == "conflict", F.raise_error(F.lit("conflicting values for a key")).cast("string")).otherwise(F.col("status"))

@@ -379,3 +379,39 @@ def g15_region_accessions(spark, sf):
     k = F.col("n_nationkey")
     ids = read(spark, sf, "nation").select(accessions.region_id(F.col("n_name"), F.concat(F.lit("PF"), F.lpad(k.cast("string"), 5, "0")), k * 3 - 5, k * 2 + 4).alias("id"))
     return ids.select("id", accessions.parse_region(F.col("id"))["start"].alias("start"))
+
+
+@query("""WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS representative, 'P' || o_orderkey || '_PF00003_' || (o_custkey % 9) || '_' || (o_orderkey % 40) AS member, o_orderkey, o_custkey % 9 AS lo, o_orderkey % 40 AS hi,
+ substring(o_orderpriority, CAST(1 + o_orderkey % 2 AS INT), 20) AS a, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE substring(o_orderpriority, CAST(1 + o_orderkey % 3 AS INT), CAST(2 + o_custkey % 12 AS INT)) END AS b FROM orders)
+SELECT representative, member, CASE WHEN lo >= 1 AND lo <= hi THEN 'P' || o_orderkey END AS protein, a = b AS same, contains(a, b) OR contains(b, a) AS contained,
+ CASE WHEN NOT (lo >= 1 AND lo <= hi) THEN 'member' WHEN b IS NULL THEN 'sequences' END AS problem FROM r""")
+def j08_cluster_flags(spark, sf):
+    k, c, text = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
+    member = F.concat_ws("_", F.concat(F.lit("P"), k), F.lit("PF00003"), (c % 9).cast("string"), (k % 40).cast("string"))
+    rows = read(spark, sf, "orders").select(c.cast("string").alias("representative"), member.alias("member"), F.substring(text, 1 + k % 2, F.lit(20)).alias("representative_sequence"), F.substring(text, 1 + k % 3, 2 + c % 12).alias("member_sequence"), k)
+    return T.cluster_flags(rows.select("representative", "member"), rows.where("o_orderkey % 5 <> 0").drop("o_orderkey"))
+
+
+@query(f"""WITH {HITS}, f AS (SELECT CAST(o_orderkey AS VARCHAR) AS protein FROM orders), a AS (SELECT query_accession AS protein, bool_or(split_part(target_accession, '.', 1) IN ('PF00003', 'PF00007')) AS one,
+ bool_and(split_part(target_accession, '.', 1) IN ('PF00001', 'PF00002', 'PF00003', 'PF00004', 'PF00005', 'PF00006')) AS every FROM hits GROUP BY 1)
+SELECT protein, CASE WHEN coalesce(one, false) OR coalesce(every, true) THEN 'true' ELSE 'false' END AS "pass all" FROM f LEFT JOIN a USING (protein)""")
+def a11_target_sets(spark, sf):
+    proteins = read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("protein"))
+    rule = rules.Pfam.matches_any("PF00003.9", "PF00007") | rules.Pfam.matches_only(*(f"PF0000{i}" for i in range(1, 7)))
+    return rule.evaluate(rules.facts(proteins, Pfam=hits(spark, sf))).select("protein", F.col("`pass all`"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_returnflag, sum(l_linenumber % 3) AS na FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey, l_returnflag, count(*) AS nb FROM lineitem WHERE l_linenumber % 4 > 0 GROUP BY ALL)
+SELECT l_orderkey, bool_and(coalesce(na, 0) = coalesce(nb, 0)) AS same FROM a FULL JOIN b USING (l_orderkey, l_returnflag) GROUP BY 1""")
+def s21_same_multisets(spark, sf):
+    t = read(spark, sf, "lineitem").withColumn("copies", F.col("l_linenumber") % 3)
+    return T.same_multisets(t, t.where("l_linenumber % 4 > 0"), "l_orderkey", "l_returnflag", "copies")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS pair, l_linenumber % 2 AS side, CAST(l_linenumber AS VARCHAR) AS chain, l_returnflag AS sequence FROM lineitem),
+g AS (SELECT pair, sequence, min(chain) FILTER (side = 0) AS ca, min(chain) FILTER (side = 1) AS cb, count(*) FILTER (side = 0) AS na, count(*) FILTER (side = 1) AS nb FROM s GROUP BY ALL),
+t AS (SELECT pair, count(*) FILTER (na > 0 AND nb > 0) AS n, min(ca) FILTER (na > 0 AND nb > 0) AS ca, min(cb) FILTER (na > 0 AND nb > 0) AS cb, max(greatest(na, nb)) FILTER (na > 0 AND nb > 0) AS copies FROM g GROUP BY 1)
+SELECT pair, CASE WHEN n = 1 AND copies = 1 THEN ca END AS chain_a, CASE WHEN n = 1 AND copies = 1 THEN cb END AS chain_b, CASE WHEN n <> 1 THEN 'shared sequences' WHEN copies > 1 THEN 'copies' END AS problem FROM t""")
+def g41_shared_chains(spark, sf):
+    t = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pair"), F.col("l_linenumber").cast("string").alias("chain"), F.col("l_linenumber").alias("ord"), F.col("l_returnflag").alias("sequence"))
+    return contacts.shared_chains(t.where("ord % 2 = 0"), t.where("ord % 2 = 1"))

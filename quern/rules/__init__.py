@@ -194,7 +194,8 @@ class HitSet(Rule):
 
     def column(self):
         name = lambda h: unversioned(h["accession"]) if self.kind == "Pfam" else h["accession"]
-        test = lambda h: name(h).isin(*self.accessions)
+        wanted = {a.split(".")[0] for a in self.accessions} if self.kind == "Pfam" else set(self.accessions)
+        test = lambda h: name(h).isin(*sorted(wanted))
         return logic.from_bool(F.forall(self.kind, test) if self.only else F.exists(self.kind, test))
 
 

@@ -103,3 +103,26 @@ def protein_keys(rows: DataFrame) -> DataFrame:
     """(protein, genome) pairs in first-seen order, without repeats."""
     p = F.split("line", "\t", -1)
     return rows.where(F.size(p) == 2).groupBy(F.get(p, 0).alias("protein"), F.get(p, 1).alias("genome")).agg(F.min("ord").alias("ord"))
+
+
+def profiles(spark: SparkSession, folders: list[str]) -> list[str]:
+    """Paths of the ``.hmm`` files right inside each folder, by name; a folder that isn't there is an error."""
+    out = []
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
+            raise ValueError(f"no such folder of profiles: {folder}")
+        here = [s.getPath() for s in fs.listStatus(path) if s.isFile() and s.getPath().getName().endswith(".hmm")]
+        out += [p.toUri().getPath() if p.toUri().getScheme() == "file" else p.toString() for p in sorted(here, key=lambda p: p.getName())]
+    return out
+
+
+def profiles_by_name(paths: list[str]) -> dict[str, str]:
+    """File name -> path; one name for two paths is an error."""
+    out: dict[str, str] = {}
+    for path in paths:
+        name = path.rsplit("/", 1)[-1]
+        if out.setdefault(name, path) != path:
+            raise ValueError(f"two profiles are named {name}: {out[name]} and {path}")
+    return out

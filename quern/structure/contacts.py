@@ -102,6 +102,37 @@ def shell(selected: DataFrame, residues: DataFrame, radius: float) -> DataFrame:
     return near.select(F.col("b.model").alias("model"), F.col("b.chain").alias("chain"), F.col("b.number").alias("number")).distinct()
 
 
+def salt_patch(selected: DataFrame, atoms: DataFrame, radius: float) -> DataFrame:
+    """Selected residues (model, chain, number) and those of the same chain with a heavy atom within the radius of a selected one's."""
+    keys = ["model", "chain", "number"]
+    chosen = selected.select(*keys).distinct()
+    heavy = atoms.where(~F.upper("element").isin("H", "D")).select(*keys, "x", "y", "z")
+    marked = heavy.join(chosen.withColumn("sel", F.lit(True)), keys, "left")
+    near = distance_pairs(marked, ["model", "chain"], radius, F.expr("a.sel AND b.sel IS NULL"))
+    return near.select(*(F.col(f"b.{k}").alias(k) for k in keys)).distinct().unionByName(chosen)
+
+
+def shared_chains(a: DataFrame, b: DataFrame, sequence: str | None = None) -> DataFrame:
+    """pair, chain_a, chain_b, problem: the chains on which two models (pair, chain, ord, sequence) are laid over each other.
+
+    Without a sequence, models must share exactly one, once on either side; with one, each side's first chain that holds it.
+    """
+    if sequence is not None:
+        if not sequence or set(sequence) - set("ACDEFGHIKLMNPQRSTVWY"):
+            raise ValueError("a shared sequence is made of the 20 standard letters")
+        first = lambda d, name: d.where(F.contains("sequence", F.lit(sequence))).groupBy("pair").agg(F.min_by("chain", "ord").alias(name))
+        every = a.select("pair").union(b.select("pair")).distinct()
+        j = every.join(first(a, "chain_a"), "pair", "left").join(first(b, "chain_b"), "pair", "left")
+        return j.withColumn("problem", F.when(F.col("chain_a").isNull(), "not in a").when(F.col("chain_b").isNull(), "not in b"))
+    per = lambda d, side: d.groupBy("pair", "sequence").agg(F.min("chain").alias(f"chain_{side}"), F.count(F.lit(1)).alias(f"n_{side}"))
+    j = per(a, "a").join(per(b, "b"), ["pair", "sequence"], "full_outer")
+    both = F.col("n_a").isNotNull() & F.col("n_b").isNotNull()
+    only = lambda c: F.min(F.when(both, F.col(c)))
+    t = j.groupBy("pair").agg(F.count_if(both).alias("n"), only("chain_a").alias("chain_a"), only("chain_b").alias("chain_b"), F.max(F.when(both, F.greatest("n_a", "n_b"))).alias("copies"))
+    problem = F.when(F.col("n") != 1, "shared sequences").when(F.col("copies") > 1, "copies")
+    return t.select("pair", F.when(problem.isNull(), F.col("chain_a")).alias("chain_a"), F.when(problem.isNull(), F.col("chain_b")).alias("chain_b"), problem.alias("problem"))
+
+
 # Van der Waals radii.
 RADII = {"C": 1.70, "N": 1.55, "O": 1.52, "S": 1.80, "P": 1.80}
 _BASIC = {("LYS", "NZ"), ("ARG", "NE"), ("ARG", "NH1"), ("ARG", "NH2")}

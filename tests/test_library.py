@@ -386,6 +386,64 @@ def test_interactions(spark):
     assert got == [(1, "hydrogen_bond"), (1, "salt_bridge"), (5, "nonpolar"), (5, "steric")]
 
 
+def test_detected_loci(spark):
+    # plus strand: TAA ATG GCC | AAA GGG CCC ...: M A come before the first fragment
+    plus = "CTAAATGGCCAAAGGGCCCTTTGGG"
+    minus = "".join({"A": "T", "C": "G", "G": "C", "T": "A"}[c] for c in reversed(plus))
+    contigs = spark.createDataFrame([("c", plus), ("r", minus), ("d", "AAAGGG")], "id string, sequence string")
+    n = len(plus)
+    rows = [("p", "c", 17, 22, 3, 4, 0), ("p", "c", 11, 16, 1, 2, 1), ("q", "r", n + 1 - 11, n + 1 - 16, None, None, 0), ("t", "c", 2, 10, 1, 3, 0), ("x", "c", 1, 3, 1, 1, 0), ("x", "r", 1, 3, 2, 2, 1), ("y", "gone", 1, 3, 1, 1, 0)]
+    fragments = spark.createDataFrame(rows, "protein string, contig string, start int, end int, target_start int, target_end int, ord int")
+    proteins = spark.createDataFrame([("p", "KGPF"), ("q", "KG"), ("t", "KMA"), ("x", "MA"), ("y", "MA"), ("z", "MA")], "protein string, sequence string")
+    got = {r.protein: r for r in genomics.detected_loci(fragments, proteins, contigs).collect()}
+    p, q, t = got["p"], got["q"], got["t"]
+    assert (p.start, p.end, p.strand, p.prefix, p.sequence, p.dna, p.start_codon) == (5, 22, "+", "MA", "MAKGPF", plus[4:22], True)
+    assert [tuple(c) for c in p.cds] == [(7, 12), (13, 18)]
+    assert (q.start, q.end, q.strand, q.sequence, q.dna) == (n + 1 - 5, n + 1 - 16, "-", "MAKG", plus[4:16]) and [tuple(c) for c in q.cds] == [(7, 12)]
+    assert (t.start, t.trim, t.prefix, t.sequence, t.dna) == (5, 1, "", "MA", "ATGGCC") and [tuple(c) for c in t.cds] == [(1, 6)]
+    assert [got[k].problem for k in "pxyz"] == [None, "contigs", "contig missing", "fragments"]
+    bare = {r.protein: r for r in genomics.detected_loci(fragments, proteins, contigs, leader=False).collect()}["p"]
+    assert (bare.start, bare.sequence, bare.start_codon) == (11, "KGPF", False)
+
+
+def test_salt_patch_and_shared_chains(spark):
+    schema = "model string, chain string, number int, element string, x double, y double, z double"
+    atoms = spark.createDataFrame([("m", "A", 1, "C", 0.0, 0.0, 0.0), ("m", "A", 2, "N", 4.0, 0.0, 0.0), ("m", "A", 3, "H", 1.0, 0.0, 0.0), ("m", "B", 4, "C", 1.0, 0.0, 0.0), ("m", "A", 5, "C", 8.0, 0.0, 0.0)], schema)
+    chosen = spark.createDataFrame([("m", "A", 1), ("m", "A", 9)], "model string, chain string, number int")
+    got = lambda r: sorted(x.number for x in contacts.salt_patch(chosen, atoms, r).collect())
+    assert got(4.0) == [1, 2, 9] and got(3.9) == [1, 9]
+    side = "pair int, chain string, ord int, sequence string"
+    a = spark.createDataFrame([(1, "A", 0, "MK"), (1, "B", 1, "AA"), (2, "A", 0, "MK"), (2, "B", 1, "MK"), (3, "A", 0, "C")], side)
+    b = spark.createDataFrame([(1, "X", 0, "GG"), (1, "Y", 1, "MK"), (2, "X", 0, "MK"), (3, "X", 0, "GMK")], side)
+    assert sorted(tuple(r) for r in contacts.shared_chains(a, b).collect()) == [(1, "A", "Y", None), (2, None, None, "copies"), (3, None, None, "shared sequences")]
+    assert sorted(tuple(r) for r in contacts.shared_chains(a, b, "MK").collect()) == [(1, "A", "Y", None), (2, "A", "X", None), (3, None, "X", "not in a")]
+    with pytest.raises(ValueError):
+        contacts.shared_chains(a, b, "mk")
+
+
+def test_threshold_report_and_profiles(spark, tmp_path):
+    v = [0.0, 12.0, 100.0, 0.5, 1 / 3, 1234567.0, 999999.5, 0.0001, 0.00001234, -2.5, float("nan")]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, x double")
+    assert [r.t for r in df.orderBy("i").select(sinks.six_digits(F.col("x")).alias("t")).collect()] == [f"{x:.6g}" if x == x else "" for x in v]
+    entries = spark.createDataFrame([("a", True, 30.0, 0), ("b", False, 40.0, 1), ("c", True, 5.5, 2), ("d", False, 0.0, 3)], "id string, positive boolean, score double, ord int")
+    sweep = tables.threshold_sweep(entries)
+    out = sinks.threshold_report(sweep, tables.best_threshold(sweep), entries, lines(spark, "x y\nz"))
+    sinks.write_lines(out, f"{tmp_path}/r.tsv")
+    text_ = (tmp_path / "r.tsv").read_text().split("\n")
+    assert text_[0].split("\t")[0] == "threshold bitscore" and [x.split("\t")[0] for x in text_[1:5]] == ["40", "30", "5.5", "0"]
+    assert text_[3] == "5.5\t2\t1\t1\t0\t1\t0.5\t0.75\ttrue"
+    assert text_[5:] == ["# selected threshold bitscore 5.5", "# false positives", "# b 40", "# false negatives", "# hmmsearch domtblout", "# x y", "# z", ""]
+    for name in ("b.hmm", "a.hmm", "n.txt"):
+        (tmp_path / name).write_text("")
+    (tmp_path / "d.hmm").mkdir()
+    found = source_tables.profiles(spark, [str(tmp_path)])
+    assert found == [f"{tmp_path}/a.hmm", f"{tmp_path}/b.hmm"] and source_tables.profiles_by_name(found + found)["a.hmm"] == found[0]
+    with pytest.raises(ValueError):
+        source_tables.profiles(spark, [f"{tmp_path}/none"])
+    with pytest.raises(ValueError):
+        source_tables.profiles_by_name(["/x/a.hmm", "/y/a.hmm"])
+
+
 def test_library_imports_without_the_training_data_part():
     import pathlib
 
