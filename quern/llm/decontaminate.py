@@ -3,8 +3,9 @@
 Texts become lower-case words (letters and digits).  A seed is a mask over a window of words; words under a 0 are left
 out of its hash, so a replaced word under a 0 keeps the hash.  Benchmark windows and document windows join on (seed,
 hash); every hit lays a benchmark item beside the document on one diagonal, and the words of the diagonal are compared:
-the best run is the one with the largest sum of +1 for an equal and -4 for an unequal word, which is at least 4 / 5
-equal.  A document is contaminated by an item if a run has 13 equal words, or 4 / 5 of a shorter item's.
+a run is a stretch at least 4 / 5 equal (+1 for an equal and -4 for an unequal word sum to 0 or more), the best run the
+one with the most equal words.  A document is contaminated by an item if a run has 13 equal words, or 4 / 5 of a shorter
+item's.
 
 While the benchmark's hashes are few (``INLINE_ROWS``, a checked size) they become a literal set of the scan: a position
 is looked at where its two words begin a benchmark window, and kept where a seed's hash is one of the benchmark's; only
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ._common import cut
 
-#: Masks of weight 7 over 10 words, each beginning with two words that count; a run of 13 words with two replaced keeps a window for one of them almost always.
-SEEDS = ("1101110011", "1110100111", "1100111101")
+#: Masks of weight 5, each beginning with two words that count; every run that contaminates, with all its replaced words, keeps a window for one of them (enumerated for items of 8 to 16 words, and runs of up to 25).
+SEEDS = ("110111", "11010011", "11111")
 MIN_WORDS, MIN_ITEM = 13, 5
 INLINE_ROWS = 50_000
 
@@ -77,16 +78,21 @@ def _hits(at: str, short_lengths: list[int], seeds, test: str) -> Column:
 
 
 def _best_run() -> Column:
-    """Best-scoring run of the diagonal: (score, equal words, first and last item position)."""
+    """The diagonal's stretch with the most equal words of those at least 4 / 5 equal, the first of such: (equal words, first and last item position).
+
+    With p the item position of the k-th equal word, the stretch from the i-th to the k-th scores
+    (5k - 4p[k]) - (5i - 4p[i]) + 1 by +1 / -4.  Sorted by these values, an end has met just the starts that fit it, and
+    the earliest of them gives the most equal words.
+    """
     return F.expr(
-        """aggregate(sequence(greatest(0, -diag), least(size(item), size(tokens) - diag) - 1),
-             named_struct('s', 0, 'n', 0, 'from', 0, 'best', 0, 'equal', 0, 'first', 0, 'last', -1),
-             (a, j) -> element_at(transform(array(named_struct(
-                 'fresh', a.s <= 0, 'e', IF(item[j] = tokens[j + diag], 1, 0))),
-               x -> element_at(transform(array(named_struct(
-                   's', IF(x.fresh, 0, a.s) + IF(x.e = 1, 1, -4), 'n', IF(x.fresh, 0, a.n) + x.e, 'from', IF(x.fresh, j, a.from))),
-                 y -> named_struct('s', y.s, 'n', y.n, 'from', y.from, 'best', greatest(a.best, y.s),
-                   'equal', IF(y.s > a.best, y.n, a.equal), 'first', IF(y.s > a.best, y.from, a.first), 'last', IF(y.s > a.best, j, a.last))), 1)), 1))"""
+        """element_at(transform(array(filter(sequence(greatest(0, -diag), least(size(item), size(tokens) - diag) - 1), j -> item[j] = tokens[j + diag])),
+             e -> element_at(transform(array(aggregate(
+                 array_sort(concat(transform(e, (p, k) -> named_struct('v', 5 * k - 4 * p - 1, 'end', 0, 'at', k)), transform(e, (p, k) -> named_struct('v', 5 * k - 4 * p, 'end', 1, 'at', k)))),
+                 named_struct('start', 2147483647, 'equal', 0, 'from', 0),
+                 (a, x) -> IF(x.end = 0, named_struct('start', least(a.start, x.at), 'equal', a.equal, 'from', a.from),
+                   IF(x.at - a.start + 1 > a.equal OR x.at - a.start + 1 = a.equal AND a.start < a.from,
+                     named_struct('start', a.start, 'equal', x.at - a.start + 1, 'from', a.start), a)))),
+               r -> named_struct('equal', r.equal, 'first', get(e, r.from), 'last', get(e, r.from + r.equal - 1))), 1)), 1)"""
     )
 
 
