@@ -30,11 +30,11 @@ _SQUARE = 1024
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Majority bits of the XXH64 (seed 42) values of the word shingles."""
+def shingles(text: str | None, width: int) -> tuple[bytes, np.ndarray]:
+    """The lower-case words joined by spaces, and the XXH64 (seed 42) values of the word shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return b"", np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
@@ -42,7 +42,12 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     h = xxhash.xxh64_intdigest
     n = max(1, len(words) - width + 1)
     stop = ends[width - 1 :] if len(words) >= width else [len(joined)]
-    hashes = np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, stop, strict=False)), dtype=np.uint64, count=n)
+    return joined, np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, stop, strict=False)), dtype=np.uint64, count=n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Majority bits of the hashes; zero without any."""
+    n = len(hashes)
     octets = hashes.view(np.uint8).reshape(n, 8)
     out = 0
     for k in range(8):  # bits by a histogram of each of the eight bytes
@@ -51,6 +56,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return out
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """Majority bits of the XXH64 (seed 42) values of the word shingles."""
+    return majority(shingles(text, width)[1])
+
+
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
@@ -216,11 +226,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = MAX_DISTANC
     return _classified(docs, width, distance).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, width: int = 3, distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component; of equal rows one; rows without a doc_id stay."""
-    ids = _classified(docs.where("doc_id IS NOT NULL"), width, distance)
+def drop_others(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs but those whose doc_id in ids (doc_id, th, component_id) isn't its component's; of equal rows one; rows without a doc_id stay."""
     gone = ids.where("doc_id <> component_id").select(F.col("doc_id").alias("doc_id__gone"), F.col("th").alias("th__gone")).distinct()
     rows = docs.withColumn("th__row", F.xxhash64("text"))
     kept = rows.join(gone, (F.col("doc_id") == F.col("doc_id__gone")) & (F.col("th__row") == F.col("th__gone")), "left_anti")
     nth = F.row_number().over(Window.partitionBy("doc_id", "th__row").orderBy("doc_id"))
     return kept.withColumn("n__row", nth).where("doc_id IS NULL OR n__row = 1").select(*docs.columns)
+
+
+def keep_representatives(docs: DataFrame, width: int = 3, distance: int = MAX_DISTANCE) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is the smallest of its component; of equal rows one; rows without a doc_id stay."""
+    return drop_others(docs, _classified(docs.where("doc_id IS NOT NULL"), width, distance))

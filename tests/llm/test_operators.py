@@ -161,6 +161,34 @@ def test_anchors_cover_every_pair_within_three():
     assert met == set(range(400))
 
 
+def test_pipeline_drops_near_copies_at_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    rows = []
+    for i in range(60):
+        words = [word() for _ in range(rng.randrange(100, 600))]
+        rows.append((i, " ".join(words)))
+        for k in range(20 if i == 7 else rng.randrange(4)):
+            w = list(words)
+            for _ in range(max(1, len(w) * rng.randrange(1, 6) // 100)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((1000 + 100 * i + k, " ".join(w)))
+    rows += [(9000, None), (9001, ""), (9002, " \t\n"), (9003, "One two"), (9004, "one  two"), (9005, "one three"), (0, rows[0][1]), (9006, rows[0][1].upper()), (None, rows[0][1]), (None, None)]
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
+    at = [k for k, (i, _) in enumerate(rows) if i is not None]
+    alike = {(a, b) for a in at for b in at if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    label = brute_components(at, lambda a, b: (a, b) in alike)
+    least = {}
+    for k in at:
+        least[label[k]] = min(rows[k][0], least.get(label[k], rows[k][0]))
+    kept = corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(least.values())
+    assert sum(r.doc_id is None for r in kept) == 2 and len(least) < len(at) - 45
+    assert corpus_pipeline.drop_near_copies(spark, docs_of(spark, []), "").count() == 0
+
+
 def test_components_of_chain_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
     rng = random.Random(2)
