@@ -30,9 +30,13 @@ MAX_TRAIN_ROWS = 20_000
 THRESHOLD = 0.5
 CONTEXT = 40
 
+#: What stands between the lines of a key: white space, line breaks written as escapes, quotes and quoting marks.
+_GAP = r"""(?:[\s"',>|#*]|\\+[rnt])"""
 # Public formats of credentials.
 KINDS = {
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    # Through the matching END line before any other BEGIN line, or else to the end of the base64 block.
+    "private_key": r"-----BEGIN (?P<label>[A-Z ]*)PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?P=label)PRIVATE KEY-----"
+    rf"|(?:{_GAP}*(?:Proc-Type|DEK-Info|Comment|Key-Info):[^\n\\]*)*(?:{_GAP}*[A-Za-z0-9+/=]{{20,}})+(?:{_GAP}*(?:[A-Za-z0-9+/]+={{1,2}}|(?<=[\n\r])[A-Za-z0-9+/]+(?=\s*[\n\r]|\s*\Z)|(?<=\\n)[A-Za-z0-9+/]+(?=\\|[\"'\s]|\Z)))?)?",
     "aws_key": r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])",
     "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,}",
@@ -101,7 +105,7 @@ def propose(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def generated_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str, int]]:
+def generated_findings(n: int = 6000, seed: int = 5) -> list[tuple[str, str, str, int]]:
     """Labelled findings (left, value, right, label) by rule from a seeded generator."""
     r = np.random.default_rng(seed)
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -110,10 +114,31 @@ def generated_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str
     words = ["ing", "ation", "ment", "under", "over", "config", "user", "index", "value", "file", "data", "string", "lich", "ment", "cion"]
     long_word = lambda: "".join(any_of(words) for _ in range(int(r.integers(4, 8))))
     filler = ["the of and ", "est la de ", "der die ", "los en ", "", "see here ", "we use "]
+    b64, url = alnum + "+/", alnum + "_-"
+
+    def private_key():
+        name, gap = any_of(["", "RSA ", "EC ", "DSA ", "OPENSSH ", "ENCRYPTED "]), any_of(["\n", "\n", "\\n", " "])
+        lines = [pick(b64, 64) for _ in range(int(r.integers(0, 27)))] + [pick(b64, int(r.integers(4, 64))) + any_of(["", "=", "=="])]
+        head, end = f"-----BEGIN {name}PRIVATE KEY-----", f"-----END {name}PRIVATE KEY-----"
+        return any_of([gap.join([head, *lines, end]), gap.join([head, *lines, end]), gap.join([head, *lines]), head])
+
+    shaped = [
+        private_key, lambda: any_of(["AKIA", "ASIA"]) + pick(alnum[:26] + "0123456789", 16), lambda: f"gh{any_of(list('pousr'))}_" + pick(alnum, 36),
+        lambda: f"xox{any_of(list('abprs'))}-" + any_of([pick(alnum, int(r.integers(10, 50))), f"{pick(alnum[52:], 11)}-{pick(alnum[52:], 12)}-{pick(alnum, 24)}"]),
+        lambda: "sk_live_" + pick(alnum, int(r.integers(16, 40))), lambda: "AIza" + pick(url, 35), lambda: f"eyJ{pick(url, int(r.integers(12, 40)))}.eyJ{pick(url, int(r.integers(12, 120)))}.{pick(url, 43)}",
+    ]
     out = []
     for _ in range(n):
         q = any_of(["", '"', "'"])
-        if r.random() < 0.5:
+        draw = r.random()
+        if draw < 0.25:  # formats that speak for themselves, half of them without an assignment
+            name = any_of(["token", "secret", "api_key", "key", "private_key", "auth", "TOKEN", "SECRET_KEY"])
+            left = any_of([*filler, "use ", "and then ", "Bearer ", "key "]) + (f"{name}{any_of([' = ', '=', ': '])}{q}" if r.random() < 0.5 else q)
+            out.append((left, any_of(shaped)(), q + " " + any_of(filler), 1))
+        elif draw < 0.29:  # other strings without an assignment, beside a word that speaks for them
+            value = any_of([lambda: pick(alnum, int(r.integers(20, 48))), lambda: pick(b64, 40)])()
+            out.append((any_of(filler) + any_of(["Bearer ", "bearer ", "the token ", "password ", "secret key ", "login with "]) + q, value, q + " " + any_of(filler), 1))
+        elif draw < 0.55:
             name = any_of(["token", "secret", "password", "api_key", "apikey", "access_key", "auth", "TOKEN", "SECRET_KEY", "PASSWORD"])
             value = any_of([lambda: pick(hexa, int(any_of([32, 40, 64]))), lambda: pick(hexa, 40).upper(), lambda: pick(alnum, int(r.integers(20, 48))), lambda: pick(alnum + "+/", 40), lambda: "ghp_" + pick(alnum, 36), lambda: "AKIA" + pick(alnum[:26] + "0123456789", 16), lambda: pick(alnum + "!#%_-", int(r.integers(10, 18)))])()
             left = any_of(filler) + (f"{name}{any_of([' = ', '=', ': '])}{q}" if r.random() < 0.9 or value[:4] not in ("ghp_", "AKIA") else "")
@@ -129,6 +154,8 @@ def generated_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str
                 lambda: (any_of(filler), any_of(["-", "=", "_", "0", "a"]) * int(r.integers(20, 60))),
                 lambda: (any_of(filler), str(int(r.integers(10**9, 10**10))) * 2 + pick("0123456789", 4)),
                 lambda: (any_of(["auth: ", "the token: ", "password : "]), long_word()),
+                lambda: (any_of(["", "use ", "token = ", "key: "]) + q, any_of(["ghp_", "AKIA", "xoxb-", "sk_live_", "AIza"]) + any_of(["x", "X", "0"]) * int(r.integers(16, 40))),
+                lambda: (any_of(["", "use ", "token = ", "key: "]) + q, any_of(["xoxb-your-token-here", "xoxp-insert-your-token-here", "sk_live_yourliveapikeyhere", "sk_live_insertdefaultvalue"])),
             ])()
             out.append((any_of(filler) + left, value, q + " " + any_of(filler), 0))
     return out
