@@ -12,8 +12,8 @@ is looked at where its two words begin a benchmark window, and kept where a seed
 documents with hits leave the scan.  Beyond that size, documents' hashes are joined by shuffle, as narrow rows.  Hits are
 narrow rows (document, item, diagonal) in both ways, and texts meet them once a diagonal is known.
 
-Edge cases: null and empty texts match nothing; items shorter than the masks are matched whole from ``MIN_ITEM`` words,
-shorter items match nothing; a null doc_id is kept as such; repeated rows of a doc_id give one result row; null item_ids
+Edge cases: null and empty texts match nothing; items shorter than the masks are matched from ``MIN_ITEM`` words with at
+most one word replaced, which is all that 4 / 5 of them allows, shorter items match nothing; a null doc_id is kept as such; repeated rows of a doc_id give one result row; null item_ids
 and null item texts are ignored; of equal runs the first is reported.
 """
 
@@ -44,26 +44,30 @@ def _seed_hash(tokens: str, pos: str, mask: str) -> str:
     return f"IF({pos} + {len(mask)} <= size({tokens}), xxhash64({at}), NULL)"
 
 
+def _short_masks(n: int) -> list[str]:
+    """Masks for items of n words, the first at word 2 and the others at word 0: with any one word replaced, one of them is left whole."""
+    return ["1" * (n - 2), "1" * (n - 1), *("1" * j + "0" + "1" * (n - 1 - j) for j in range(2, n - 1))]
+
+
 def _item_seeds(bench: DataFrame, seeds) -> DataFrame:
     """item_id, item words, seed number, position, hash."""
     span = max(map(len, seeds))
     items = bench.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", words().alias("item"))
     at = items.select("item_id", "item", F.posexplode("item").alias("ipos", "w__"))
-    # A short item gets one contiguous seed over all its words, numbered by its length from 100.
+    # A short item gets seeds that leave out a word each, numbered by a hundred times its length.
     hashes = [F.struct(F.lit(k).alias("seed"), F.expr(_seed_hash("item", "ipos", m)).alias("hash")) for k, m in enumerate(seeds)]
     long_ = at.where(F.size("item") >= span).select("item_id", "item", "ipos", F.explode(F.array(*hashes)).alias("s")).select("item_id", "item", "ipos", "s.seed", "s.hash").where("hash IS NOT NULL")
-    short = items.where((F.size("item") < span) & (F.size("item") >= MIN_ITEM)).select("item_id", "item", F.lit(0).alias("ipos"), (F.size("item") + 100).alias("seed"), F.expr("aggregate(item, 42L, (h, w) -> xxhash64(h, w))").alias("hash"))
-    return long_.unionByName(short)
+    for n in range(MIN_ITEM, span):
+        own = [F.struct(F.lit(2 if j == 0 else 0).alias("ipos"), F.lit(100 * n + j).alias("seed"), F.expr(_seed_hash("item", "2" if j == 0 else "0", m)).alias("hash")) for j, m in enumerate(_short_masks(n))]
+        short = items.where(F.size("item") == n).select("item_id", "item", F.explode(F.array(*own)).alias("s")).select("item_id", "item", "s.ipos", "s.seed", "s.hash")
+        long_ = long_.unionByName(short)
+    return long_
 
 
 def _doc_seeds(short_lengths: list[int], seeds) -> str:
     """SQL: array of (pos, seed, hash) of the words t at position i."""
     out = [f"named_struct('pos', i, 'seed', {k}, 'hash', {_seed_hash('t', 'i', m)})" for k, m in enumerate(seeds)]
-    for n in short_lengths:
-        h = "42L"
-        for j in range(n):
-            h = f"xxhash64({h}, t[i + {j}])"
-        out.append(f"named_struct('pos', i, 'seed', {n + 100}, 'hash', IF(i + {n} <= size(t), {h}, NULL))")
+    out += [f"named_struct('pos', i, 'seed', {100 * n + j}, 'hash', {_seed_hash('t', 'i', m)})" for n in short_lengths for j, m in enumerate(_short_masks(n))]
     return f"array({', '.join(out)})"
 
 
@@ -102,7 +106,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, seeds=SEEDS, min_words: int =
         raise ValueError("seeds begin with two words that count")
     keys = _item_seeds(bench, seeds).withColumn("pair", F.expr("xxhash64(item[ipos], item[ipos + 1])"))
     # One small row: how many hashes there are, and which short lengths.
-    stats = keys.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("seed") > 100, F.col("seed") - 100)).alias("short")).first()
+    stats = keys.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("seed") > 100, F.floor(F.col("seed") / 100).cast("int"))).alias("short")).first()
     lengths = sorted(stats["short"])
     places = keys.select("item_id", "ipos", "seed", "hash")
     if stats["n"] <= inline_rows:
