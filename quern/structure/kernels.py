@@ -29,7 +29,7 @@ def components(nodes, graph) -> list[list]:
     return out
 
 
-def split_patches(xyz: np.ndarray, labels: list[tuple], cutoff: float = 8.0, min_contacts: int = 1, min_residues: int = 3, max_bridge: int = 5, budget: int = 1_000_000) -> list[dict]:
+def split_patches(xyz: np.ndarray, labels: list[tuple], cutoff: float = 8.0, min_contacts: int = 5, min_residues: int = 3, max_bridge: int = 1, budget: int = 1_000_000) -> list[dict]:
     """Patches of a chain pair; labels are (chain, number).  A part that qualifies is split by the smallest, then first,
     set of up to max_bridge residues whose removal leaves two or more qualifying parts; ids p1, p2, ... depth first."""
     d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(-1) <= cutoff * cutoff
@@ -54,10 +54,10 @@ def split_patches(xyz: np.ndarray, labels: list[tuple], cutoff: float = 8.0, min
     def separator(part):
         nonlocal left
         inside = set(part)
-        for size in range(1, max_bridge + 1):
+        for size in range(1, min(max_bridge, len(part) - 2) + 1):
             for cut in combinations(part, size):
                 if left <= 0:
-                    return None, []
+                    raise ValueError("separator search limit exceeded; reduce max_bridge or increase budget")
                 left -= 1
                 rest = inside - set(cut)
                 sub = {n: graph[n] & rest for n in rest}
@@ -78,12 +78,10 @@ def split_patches(xyz: np.ndarray, labels: list[tuple], cutoff: float = 8.0, min
     for part in components(graph, graph):
         if qualifies(part):
             visit(part, None)
-    for p in out:
-        p["exhausted"] = left <= 0
     return out
 
 
-PATCHES = "model string, chain_a string, chain_b string, patch string, parent string, status string, contacts int, members array<string>, bridge array<string>, exhausted boolean"
+PATCHES = "model string, chain_a string, chain_b string, patch string, parent string, status string, contacts int, members array<string>, bridge array<string>"
 
 
 def patches(residues: DataFrame, pairs: DataFrame, **options) -> DataFrame:
@@ -97,7 +95,7 @@ def patches(residues: DataFrame, pairs: DataFrame, **options) -> DataFrame:
         name = lambda m: [f"{c}:{n}" for c, n in m]
         k = pdf.iloc[0]
         got = split_patches(pdf[["x", "y", "z"]].to_numpy(float), labels, **options)
-        return pd.DataFrame([(k.model, k.chain_a, k.chain_b, p["id"], p["parent"], p["status"], p["contacts"], name(p["members"]), name(p["bridge"]), p["exhausted"]) for p in got], columns=[c.split()[0] for c in PATCHES.split(", ")])
+        return pd.DataFrame([(k.model, k.chain_a, k.chain_b, p["id"], p["parent"], p["status"], p["contacts"], name(p["members"]), name(p["bridge"])) for p in got], columns=[c.split()[0] for c in PATCHES.split(", ")])
 
     return both.groupBy("model", "chain_a", "chain_b").applyInPandas(run, PATCHES)
 

@@ -323,6 +323,14 @@ def test_patches_split_at_the_smallest_bridge():
     assert [(p["id"], p["members"], p["bridge"]) for p in again] == [(p["id"], p["members"], p["bridge"]) for p in got]
 
 
+def test_patches_raise_when_the_separator_budget_runs_out():
+    line = [(("A", i), (i * 3.0, 0, 0)) for i in range(6)] + [(("B", i), (i * 3.0, 4.0, 0)) for i in range(6)]
+    xyz, labels = np.array([x for _, x in line]), [k for k, _ in line]
+    assert [p["status"] for p in kernels.split_patches(xyz, labels, budget=12)] == ["leaf"]  # by default one residue is tried at a time
+    with pytest.raises(ValueError, match="separator search limit exceeded"):
+        kernels.split_patches(xyz, labels, budget=11)
+
+
 def test_superposition_recovers_a_rotation():
     rng = np.random.default_rng(5)
     p = rng.normal(size=(12, 3))
