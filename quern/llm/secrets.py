@@ -7,11 +7,15 @@ tables bring none, a seeded set generated from the public formats of credentials
 and checksum digests, UUIDs, paths, identifiers, placeholders).
 
 Edge cases: null and empty texts have no findings; a null doc_id keeps its findings; repeated rows are scanned each;
-overlapping proposals are merged into the leftmost longest; an empty table gives no rows.
+where proposals overlap, the earlier kind of ``KINDS`` stays whole and the later one goes (an assigned value wins over
+a random string around it), of one kind the leftmost longest; of an assignment only the value is a finding; texts are
+scanned whole, however long; columns of docs other than doc_id and text are not read, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -43,8 +47,8 @@ KINDS = {
     "api_live_key": r"sk_live_[A-Za-z0-9]{16,}",
     "google_key": r"AIza[A-Za-z0-9_-]{35}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "assigned": r"""(?i:(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credentials?))["']?\s{0,3}[=:]\s{0,3}["']?(?P<value>[^\s"'<>]{8,})""",
-    "random_string": r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}",
+    "assigned": r"""(?i:(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credentials?))["']?\s{0,3}[=:]\s{0,3}["']?(?P<value>[^\s"'<>]{6,})""",
+    "random_string": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}",
 }
 # Words that speak for and against a secret nearby.
 FOR = "token secret password passwd pwd key apikey api auth credential bearer login".split()
@@ -53,12 +57,20 @@ _COMMON = """the and ing ion tio ent ati for her ter hat tha ere ate his con res
 was ect rea com eve per int est sta cti ica ist ear ain one our iti rat ein sch ich der und die cht den ung gen ver ten ter
 que les ent ment des eur ait con est par dos ado nte ara cio""".split()
 _TRIPLES = frozenset(_COMMON)
-_WORDS = frozenset(FOR + AGAINST + "user name value your here insert config default null none true false data file path class method string index".split())
+# What documentation writes in a secret's place.
+_INSTEAD = """required optional string number boolean hidden masked redacted change changeme incorrect expired protected reset forgot forgotten
+invalid missing wrong unknown field input empty must should cannot please enter choose strong weak policy prompt manager encrypted stored""".split()
+_WORDS = frozenset(FOR + AGAINST + _INSTEAD + "user name value your here insert config default null none true false data file path class method string index".split())
 _PATTERNS = [(k, re.compile(v)) for k, v in KINDS.items()]
+_PASSWORD = re.compile(r"(?i)(?:passw(?:or)?d|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?$")
+# Beginnings of public formats.
+_FORMAT = re.compile(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|-----BEGIN ")
+# Pieces of placeholders.
+_PLACE = ("your", "insert", "example", "xxxx", "change", "placeholder", "sample", "dummy", "redacted", "****", "${", "{{", "null")
 _RUN = re.compile(r"[A-Za-z]+")
 _WORD = re.compile(r"[a-z0-9]+")
 
-FEATURES = ["length", "transitions", "digits", "upper", "lower", "hexadecimal", "entropy", "triples", "dictionary", "repeats", "path", "for", "against", "assigned", "quoted", "dashes"]
+FEATURES = ["length", "transitions", "digits", "upper", "lower", "hexadecimal", "entropy", "triples", "dictionary", "repeats", "path", "for", "against", "assigned", "quoted", "dashes", "password", "instead", "format"]
 
 
 def _classes(c: str) -> int:
@@ -81,31 +93,28 @@ def features(left: str, value: str, right: str) -> list[float]:
         -sum(v / n * math.log2(v / n) for v in counts.values()), triples / n, sum(len(w) for w in letters if w in _WORDS) / n, 1 - len(counts) / n,
         float(value.count("/") + (left[-1:] in ("/", "\\", "."))), float(sum(any(w.endswith(f) for f in FOR) for w in words)),
         float(sum(w in AGAINST for w in [*words, *after])), float(bool(re.search(r"[=:]\s*[\"']?$", left))), float(left[-1:] in "\"'" and left != ""), value.count("-") / n,
+        float(bool(_PASSWORD.search(left))), float(any(w in value.lower() for w in _PLACE)), float(bool(_FORMAT.match(value))),
     ]
 
 
 def propose(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the proposals in code points, leftmost longest first, without overlaps."""
-    found = []
+    """(start, end, kind) of the proposals in code points by start, without overlaps: earlier kinds first, of one kind the leftmost longest."""
+    taken: list[tuple[int, int, str]] = []
     for kind, pattern in _PATTERNS:
+        fresh = []
         for m in pattern.finditer(text):
             a, b = m.span("value") if kind == "assigned" else m.span()
             if kind == "random_string" and m[0].isalpha():
                 continue  # letters only: an ordinary long word
-            found.append((a, b, kind))
-    order = {k: i for i, k in enumerate(KINDS)}
-    found.sort(key=lambda f: (f[0], order[f[2]], -f[1]))
-    out: list[tuple[int, int, str]] = []
-    for a, b, kind in found:
-        if out and a < out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = (out[-1][0], b, out[-1][2])
-        else:
-            out.append((a, b, kind))
-    return out
+            at = bisect.bisect_left(taken, (b,))
+            if not (at and taken[at - 1][1] > a):
+                fresh.append((a, b, kind))
+        if fresh:
+            taken = sorted(taken + fresh)
+    return taken
 
 
-def generated_findings(n: int = 6000, seed: int = 5) -> list[tuple[str, str, str, int]]:
+def generated_findings(n: int = 8000, seed: int = 5) -> list[tuple[str, str, str, int]]:
     """Labelled findings (left, value, right, label) by rule from a seeded generator."""
     r = np.random.default_rng(seed)
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -124,7 +133,7 @@ def generated_findings(n: int = 6000, seed: int = 5) -> list[tuple[str, str, str
 
     shaped = [
         private_key, lambda: any_of(["AKIA", "ASIA"]) + pick(alnum[:26] + "0123456789", 16), lambda: f"gh{any_of(list('pousr'))}_" + pick(alnum, 36),
-        lambda: f"xox{any_of(list('abprs'))}-" + any_of([pick(alnum, int(r.integers(10, 50))), f"{pick(alnum[52:], 11)}-{pick(alnum[52:], 12)}-{pick(alnum, 24)}"]),
+        lambda: f"xox{any_of(list('abprs'))}-" + any_of([pick(alnum, int(r.integers(10, 50))), f"{pick(alnum[52:], 11)}-{pick(alnum[52:], 12)}-{pick(alnum, 24)}", f"{pick(alnum[52:], 12)}-{pick(alnum[52:], 12)}-{pick(hexa, 32)}"]),
         lambda: "sk_live_" + pick(alnum, int(r.integers(16, 40))), lambda: "AIza" + pick(url, 35), lambda: f"eyJ{pick(url, int(r.integers(12, 40)))}.eyJ{pick(url, int(r.integers(12, 120)))}.{pick(url, 43)}",
     ]
     out = []
@@ -135,10 +144,16 @@ def generated_findings(n: int = 6000, seed: int = 5) -> list[tuple[str, str, str
             name = any_of(["token", "secret", "api_key", "key", "private_key", "auth", "TOKEN", "SECRET_KEY"])
             left = any_of([*filler, "use ", "and then ", "Bearer ", "key "]) + (f"{name}{any_of([' = ', '=', ': '])}{q}" if r.random() < 0.5 else q)
             out.append((left, any_of(shaped)(), q + " " + any_of(filler), 1))
-        elif draw < 0.29:  # other strings without an assignment, beside a word that speaks for them
+        elif draw < 0.31:  # passwords that people choose
+            left = any_of(filler) + any_of(["password", "passwd", "pwd", "Password", "DB_PASSWORD", "user_password", "PASSWD"]) + any_of(["=", " = ", ": ", ":"]) + q
+            word = lambda: "".join(any_of(["ba", "ko", "ri", "tu", "ne", "mo", "sal", "ter", "hun", "dra", "gon", "lin", "pe"]) for _ in range(int(r.integers(2, 4))))
+            value = any_of([lambda: word() + pick("0123456789", int(r.integers(1, 5))), lambda: word().title() + pick("0123456789", 2) + any_of("!$#%&"), lambda: word() + word(), lambda: word() + any_of("-_.") + word() + pick("0123456789", 2)])()
+            if len(value) >= 6:
+                out.append((left, value, q + " " + any_of(filler), 1))
+        elif draw < 0.35:  # other strings without an assignment, beside a word that speaks for them
             value = any_of([lambda: pick(alnum, int(r.integers(20, 48))), lambda: pick(b64, 40)])()
             out.append((any_of(filler) + any_of(["Bearer ", "bearer ", "the token ", "password ", "secret key ", "login with "]) + q, value, q + " " + any_of(filler), 1))
-        elif draw < 0.55:
+        elif draw < 0.58:
             name = any_of(["token", "secret", "password", "api_key", "apikey", "access_key", "auth", "TOKEN", "SECRET_KEY", "PASSWORD"])
             value = any_of([lambda: pick(hexa, int(any_of([32, 40, 64]))), lambda: pick(hexa, 40).upper(), lambda: pick(alnum, int(r.integers(20, 48))), lambda: pick(alnum + "+/", 40), lambda: "ghp_" + pick(alnum, 36), lambda: "AKIA" + pick(alnum[:26] + "0123456789", 16), lambda: pick(alnum + "!#%_-", int(r.integers(10, 18)))])()
             left = any_of(filler) + (f"{name}{any_of([' = ', '=', ': '])}{q}" if r.random() < 0.9 or value[:4] not in ("ghp_", "AKIA") else "")
@@ -146,6 +161,10 @@ def generated_findings(n: int = 6000, seed: int = 5) -> list[tuple[str, str, str
         else:
             left, value = any_of([
                 lambda: (any_of(["commit ", "sha1: ", "sha256:", "md5 = ", "checksum ", "revision ", "etag: ", "integrity "]), pick(hexa, int(any_of([32, 40, 64])))),
+                lambda: (any_of(["sha256 token of ", "the md5 of the secret is ", "hash of key ", "token checksum ", "digest of the password "]), pick(hexa, int(any_of([32, 40, 64])))),
+                lambda: (any_of(["password: ", "password = ", "passwd=", "Password : ", "secret: ", "token = ", "auth: "]), any_of(_INSTEAD) + any_of(["", "", "_" + any_of(_INSTEAD), "."])),
+                lambda: (any_of(["password=", "token: ", "secret = "]) + q, any_of(["${DB_PASSWORD}", "${" + "_".join(any_of(words).upper() for _ in range(int(r.integers(1, 5)))) + "}", "{{" + any_of(words) + "_" + any_of(words) + "}}", "$" + any_of(words).upper() + "_" + any_of(words).upper(), "{{secret_value}}", "os.environ", "getpass()", "process.env.TOKEN", "self.password", "config.token", "$PASSWORD_FILE"])),
+                lambda: (any_of(filler), any_of(["MY_", "APP_", "THE_"]) + "_".join(any_of(words).upper() for _ in range(5)) + "_TOKEN"),
                 lambda: (any_of(["id ", "uuid: ", "see ", ""]), str(uuid.UUID(bytes=r.bytes(16)))),
                 lambda: (any_of(["from /", "in ", "path: ", "open ./"]), "/".join(any_of(words) + str(int(r.integers(0, 99))) for _ in range(4)) + any_of([".py", "/index", ".html"])),
                 lambda: (any_of(filler), long_word() + str(int(r.integers(0, 9)))),
