@@ -1,12 +1,16 @@
 """Operator 1, toxicity: boosted trees over dense text features, calibrated by isotonic regression.
 
 Main path: one Arrow pass extracts features from whole texts and scores them.  Fitting uses at most
-``max_train_rows`` labelled rows (lowest hashes of doc_id), half for a learned lexicon, half for trees and calibration,
-so that no row helps to choose the words it is then judged by (below ``FEW_ROWS`` rows all serve both).  Only text reaches the features.
+``max_train_rows`` labelled rows (lowest hashes of doc_id), in ``FOLDS`` folds by the text's hash: the words that a
+training row is judged by are learned from the other folds, and so are the trees whose scores calibration sees, so that
+no row helps to choose its own.  The final lexicon and trees are learned from all folds.  The way is the same at every
+size.  Only text reaches the features.
 
 Edge cases: a null text counts as empty and is scored like any other; a null doc_id is scored, is never held out and
-never used for training; repeated doc_ids are scored row by row; several labels of one doc_id count as toxic if any is;
-null labels are ignored; without labels of both classes every score is the smoothed share of toxic labels.
+never used for training; repeated doc_ids are scored row by row, and the one with the lowest text hash trains; several
+labels of one doc_id count as toxic if any is; null labels are ignored; without labels of both classes every score is
+the smoothed share of toxic labels; texts are read whole, one at a time; other columns of docs are not read (a column
+named score or toxicity__score neither), keep_clean returns them unchanged.
 """
 
 from __future__ import annotations
@@ -19,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._common import bounded_batches, is_held_out
+from ._common import bounded_batches, cut, is_held_out
 from ._trees import BoostedTrees, Isotonic
 
 #: Most labelled rows used to fit the model.
 MAX_TRAIN_ROWS = 20_000
-#: With fewer labelled rows than this, all of them choose the lexicon.
-FEW_ROWS = 2_000
+FOLDS = 8
 THRESHOLD = 0.7
 #: Lengths of the word beginnings that the lexicon may hold beside whole words.
 STEMS = (5, 6, 7, 8)
@@ -107,7 +110,7 @@ class ToxicityModel:
 
 
 def _training(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """doc_id, text, y, fold of the bounded training sample."""
+    """doc_id, text, y, fold of the training sample, at most max_rows rows; written once, so that the corpus is read once for it."""
     known = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~is_held_out(F.col("doc_id")))
@@ -116,52 +119,62 @@ def _training(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     )
     # At most max_rows rows of 12 bytes: safe to broadcast at any corpus size.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    return rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(2)))
+    once = rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    return cut(once.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(17)), F.lit(FOLDS))))
 
 
-def learn_lexicon(rows: DataFrame, seed: frozenset, min_toxic: int = 4, min_share: float = 0.02, min_ratio: float = 20.0, size: int = 400) -> tuple[frozenset, frozenset]:
-    """(learned, kept): words and word beginnings (``stem*``) far more usual in toxic than in other training texts, and the seed words without those that
-    clean texts use as often (an insult in one language can be an article in another).  Equal texts count once; a learned
-    word is in at least min_toxic toxic texts and a share min_share of them, so that copies of one text teach none."""
-    once = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
-    totals = once.agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n"))
+def learn_lexicons(rows: DataFrame, seed: frozenset, min_toxic: int = 4, min_share: float = 0.02, min_ratio: float = 20.0, size: int = 400) -> list[tuple[frozenset, frozenset]]:
+    """(learned, kept) without fold 0, 1, ... and, last, from all rows.
+
+    learned: the ``size`` words and word beginnings (``stem*``) that are the most over-represented in toxic training
+    texts; kept: the seed words without those that clean texts use as often (an insult in one language can be an article
+    in another).  Equal texts count once; a learned word is in at least min_toxic toxic texts and a share min_share of
+    them, so that copies of one text teach none.
+    """
+    once = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y"), F.first("fold").alias("fold"))
     words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")), lambda w: F.length(w).between(3, 40))
     begins = lambda w: [F.when(F.length(w) > n, F.concat(F.substring(w, F.lit(1), F.lit(n)), F.lit("*"))) for n in STEMS]
     entries = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array_compact(F.array(w, *begins(w))))))
-    words = once.select("y", F.explode(entries).alias("w"))
+    per_fold = [c for f in range(FOLDS) for c in (F.sum(F.when(F.col("fold") == f, F.col("y"))).alias(f"a{f}"), F.count_if(F.col("fold") == f).alias(f"b{f}"))]
     known = F.col("w").isin(*sorted(seed))
-    counts = words.groupBy("w").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("b")).where((F.col("a") >= min_toxic) | known)
-    ratio = ((F.col("a") + 0.5) / (F.col("t") + 1)) / ((F.col("b") - F.col("a") + 0.5) / (F.col("n") - F.col("t") + 1))
-    judged = counts.crossJoin(F.broadcast(totals)).withColumn("ratio", ratio).withColumn("known", known)  # totals is one row
-    usable = (F.col("ratio") >= min_ratio) & (F.col("a") >= min_toxic) & (F.col("a") >= min_share * F.col("t"))
-    got = judged.where(known & (F.col("b") >= 10) & (F.col("ratio") < 3) | ~known & usable).orderBy("known", F.desc("ratio"), "w").limit(size + len(seed)).select("w", "known").collect()
-    return frozenset([r["w"] for r in got if not r["known"]][:size]), seed - {r["w"] for r in got if r["known"]}
+    counts = once.select("y", "fold", F.explode(entries).alias("w")).groupBy("w").agg(*per_fold).fillna(0)
+    folds = [*([g for g in range(FOLDS) if g != f] for f in range(FOLDS)), list(range(FOLDS))]
+    counts = cut(counts.where((sum((F.col(f"a{f}") for f in range(FOLDS)), F.lit(0)) >= min_toxic) | known))
+    totals = once.agg(*per_fold).fillna(0).first()
+    asked = None
+    for k, use in enumerate(folds):
+        t, n = sum(totals[f"a{f}"] for f in use), sum(totals[f"b{f}"] for f in use)
+        a, b = (sum((F.col(f"{c}{f}") for f in use), F.lit(0)) for c in "ab")
+        ratio = ((a + 0.5) / (t + 1)) / ((b - a + 0.5) / (n - t + 1))
+        judged = counts.select(F.lit(k).alias("k"), "w", known.alias("known"), a.alias("a"), b.alias("b"), ratio.alias("ratio"))
+        best = judged.where(~F.col("known") & (F.col("ratio") >= min_ratio) & (F.col("a") >= min_toxic) & (F.col("a") >= min_share * t)).orderBy(F.desc("ratio"), "w").limit(size)
+        harmless = judged.where(F.col("known") & (F.col("b") >= 10) & (F.col("ratio") < 3))  # at most the seed words
+        asked = best.unionByName(harmless) if asked is None else asked.unionByName(best).unionByName(harmless)
+    got = asked.select("k", "w", "known").collect()
+    return [(frozenset(r["w"] for r in got if r["k"] == k and not r["known"]), seed - {r["w"] for r in got if r["k"] == k and r["known"]}) for k in range(FOLDS + 1)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> ToxicityModel:
     bounded_batches(docs.sparkSession)
     rows = _training(docs, labels, max_train_rows)
-    few = rows.count() < FEW_ROWS
-    entries, seed = learn_lexicon(rows if few else rows.where("fold = 0"), frozenset(SEED_WORDS))
-    learned = Lexicon(entries)
+    lexicons = [(seed, Lexicon(learned)) for learned, seed in learn_lexicons(rows, frozenset(SEED_WORDS))]
 
     def extract(batches):
         for b in batches:
-            x = [features(t.as_py(), seed, learned) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "fold", "x"])
+            x = [features(t.as_py(), *lexicons[f.as_py()]) for t, f in zip(b.column(1), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(x, pa.list_(pa.float64()))], names=["h", "y", "fold", "x"])
 
-    got = rows.select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int"), F.col("fold").cast("long")).mapInArrow(extract, "doc_id long, y int, fold long, x array<double>").toPandas()
-    got = got.sort_values("doc_id", kind="stable")
+    sample = rows.select(F.xxhash64("doc_id").alias("h"), "text", F.col("y").cast("int"), F.col("fold").cast("long"))
+    got = sample.mapInArrow(extract, "h long, y int, fold long, x array<double>").toPandas().sort_values("h", kind="stable")  # at most max_train_rows
     base = float((got.y.sum() + 0.5) / (len(got) + 1)) if len(got) else 0.5 / 1.5
-    use = got if few else got[got.fold == 1]
-    y = use.y.to_numpy(dtype=float)
-    if len(use) < 10 or y.min() == y.max():
+    y, fold = got.y.to_numpy(dtype=float), got.fold.to_numpy()
+    seed, learned = lexicons[-1]
+    if len(y) < 10 or any(len(set(y[fold != k])) < 2 for k in range(FOLDS)):
         return ToxicityModel(seed, learned, None, None, base)
-    x = np.array(use.x.tolist(), dtype=float)
-    part = np.arange(len(y)) % 3
+    x = np.array(got.x.tolist(), dtype=float)
     raw = np.empty(len(y))
-    for k in range(3):  # out-of-fold scores, so that calibration sees rows the trees have not
-        raw[part == k] = BoostedTrees().fit(x[part != k], y[part != k]).raw(x[part == k])
+    for k in range(FOLDS):  # out-of-fold scores, so that calibration sees rows the trees have not
+        raw[fold == k] = BoostedTrees().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
     return ToxicityModel(seed, learned, BoostedTrees().fit(x, y), Isotonic().fit(raw, y), base)
 
 

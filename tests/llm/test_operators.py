@@ -575,6 +575,52 @@ def test_toxicity_learns_from_text_only(spark):
     assert toxicity.toxicity(docs_of(spark, []), lab).count() == 0
 
 
+def test_toxicity_edges(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 40) + (" you idiot scum zorbleck" if i % 3 == 0 else "")) for i in range(300)]
+    lab = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    hot = [(7, rows[7][1])] * 50 + [(8, f"other text {k} under the id") for k in range(50)]  # repeated ids don't widen the sample
+    more = [(1000, "ñandú " * 300_000 + "you idiot scum zorbleck"), (1001, "you idiot scum zorbleck " * 20_000), (1002, None)]
+    clash = docs_of(spark, rows + hot + more).selectExpr("*", "'x' AS y", "1 AS fold", "0 AS toxic")
+    got = toxicity.toxicity(clash, lab).collect()
+    assert len(got) == len(rows + hot + more) and {r.doc_id for r in got if r.predicted == 1} >= {1001}
+    assert toxicity._training(clash, lab, 60).count() == 60
+    kept = toxicity.keep_clean(clash, lab)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.select("doc_id").collect()}.isdisjoint(range(0, 300, 3))
+
+
+def test_toxicity_features_equal_brute_force():
+    seed, learned = frozenset(["idiot", "scum"]), toxicity.Lexicon(["zorb*", "gnarl"])
+    rng = random.Random(8)
+    words = ["idiot", "scum", "zorbleck", "Zorbs", "zor", "gnarl", "you", "DICH", "ok", "fine", "1d10t", "i.d.i.o.t", "what!?", "Ünï"]
+    bad = lambda w: w in seed or w == "gnarl" or len(w) > 4 and w.startswith("zorb") or w == "zorb"
+    for n in [0, 1, 5, 60]:
+        text = " ".join(rng.choice(words) for _ in range(n))
+        tokens = re.findall(r"[^\W_]+", text.lower())
+        x = dict(zip(toxicity.FEATURES, toxicity.features(text, seed, learned), strict=True))
+        total = max(1, len(tokens))
+        assert x["seed_count"] == sum(t in seed for t in tokens) and x["seed_rate"] == x["seed_count"] / total
+        assert x["learned_count"] == sum(bad(t) and t not in seed for t in tokens)
+        at = [i for i, t in enumerate(tokens) if t in toxicity.SECOND_PERSON]
+        assert x["near_second_person"] == sum(bad(t) and any(abs(i - j) <= 5 for j in at) for i, t in enumerate(tokens)) / total
+        raw = text.encode()
+        assert x["capitals"] == sum(65 <= c <= 90 for c in raw) / max(1, len(raw)) and x["digits"] == sum(48 <= c <= 57 for c in raw) / max(1, len(raw))
+        assert x["hidden_count"] == text.split().count("1d10t") + text.split().count("i.d.i.o.t")
+
+
+def test_isotonic_equals_brute_force():
+    import numpy as np
+
+    from quern.llm._trees import Isotonic
+
+    rng = np.random.default_rng(1)
+    x, y = np.sort(rng.normal(size=40)), (rng.random(40) < 0.5).astype(float)
+    minimax = [max(min(y[a : b + 1].mean() for b in range(k, 40)) for a in range(k + 1)) for k in range(40)]
+    got = Isotonic().fit(x, y)(x)
+    assert (np.diff(got) >= -1e-12).all()
+    assert np.abs(got - np.array(minimax)).max() < 0.25  # smoothing may move a block's mean
+
+
 def test_glob_automaton_equals_regular_expressions():
     import numpy as np
 
