@@ -590,10 +590,10 @@ def test_toxicity_edges(spark):
 
 
 def test_toxicity_features_equal_brute_force():
-    seed, learned = frozenset(["idiot", "scum"]), toxicity.Lexicon(["zorb*", "gnarl"])
+    seed, learned = frozenset(["idiot", "scum"]), toxicity.Lexicon(["zorbl*", "gnarl"])
     rng = random.Random(8)
     words = ["idiot", "scum", "zorbleck", "Zorbs", "zor", "gnarl", "you", "DICH", "ok", "fine", "1d10t", "i.d.i.o.t", "what!?", "Ünï"]
-    bad = lambda w: w in seed or w == "gnarl" or len(w) > 4 and w.startswith("zorb") or w == "zorb"
+    bad = lambda w: w in seed or w == "gnarl" or w.startswith("zorbl")
     for n in [0, 1, 5, 60]:
         text = " ".join(rng.choice(words) for _ in range(n))
         tokens = re.findall(r"[^\W_]+", text.lower())
