@@ -44,7 +44,7 @@ SECOND_PERSON = """you your yours yourself u ur du dich dir dein deine euch ihr
 tú ti usted ustedes vosotros vuestro su""".split()
 
 _TOKEN = re.compile(r"[^\W_]+")
-_MIXED = re.compile(r"[^\W\d_]+[0-9@$!*]+[^\W\d_]+")
+_MIXED = re.compile(r"[0-9@$!]*[^\W\d_]+[0-9@$!*]+[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-]){3,}[^\W\d_](?!\w)")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
