@@ -242,6 +242,51 @@ def test_personal_data_base_equals_brute_force(spark):
     assert empty.count() == 0
 
 
+def test_added_personal_data_on_planted_findings(spark):
+    """Precision and recall of the spans beyond the base ones, on written-out addresses and numbers among look-alikes."""
+    rng = random.Random(71)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    plain = [lambda: f"{name()}@{name()}.com", lambda: f"10.{rng.randrange(255)}.3.7", lambda: "4111 1111 1111 1111", lambda: f"+1 ({rng.randrange(201, 989)}) 555-{d(4)}"]
+    hidden = [("email", lambda: f"{name()} [at] {name()} [dot] {rng.choice(['org', 'com', 'de'])}"), ("email", lambda: f"{name()}(at){name()}.net"), ("phone", lambda: f"{rng.randrange(201, 989)}-555-{d(4)}"), ("card", lambda: rng.choice(["4111.1111.1111.1111", "5105/1051/0510/5100", "4012 -8888 -8888 -1881"])), ("ip", lambda: f"2001:0db8:{':'.join(f'{rng.randrange(65536):04x}' for _ in range(6))}")]
+    decoys = [lambda: f"4{d(3)} {d(4)} {d(4)} {d(3)}{rng.choice('13579')}", lambda: f"4{d(3)}.{d(4)}.{d(4)}.{d(4)}", lambda: f"{rng.randrange(300, 999)}.{rng.randrange(300, 999)}.1.2", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"chapter {d(2)}.{d(2)}", lambda: f"at {name()} dot {name()}", lambda: f"{d(7)}"]
+    docs, want = [], set()
+    for i in range(600):
+        parts = [prose(rng, 8)]
+        for _ in range(rng.randrange(4)):
+            draw = rng.random()
+            if draw < 0.4:
+                parts.append(rng.choice(plain)())
+            elif draw < 0.7:
+                kind, make = rng.choice(hidden)
+                at, value = len(" ".join(parts)) + 1, make()
+                want.add((i, f"{kind}:{at}:{at + len(value)}"))
+                parts.append(value)
+            else:
+                parts.append(rng.choice(decoys)())
+            parts.append(prose(rng, 4))
+        docs.append((i, " ".join(parts)))
+    got = set()
+    for r in pii.personal_data(docs_of(spark, docs)).collect():
+        base = {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base_pii(docs[r.doc_id][1])}
+        got |= {(r.doc_id, s) for s in r.spans.split(",") if s and s not in base}
+    right = len(got & want)
+    assert right / len(want) > 0.9 and right / len(got) > 0.9, (right, len(want), Counter(docs[i][1][int(s.split(":")[1]) : int(s.split(":")[2])][:9] for i, s in got - want).most_common(12), sorted(want - got)[:5])
+
+
+def test_personal_data_of_long_and_repetitive_texts(spark):
+    import time
+
+    texts = ["12 x " * 200_000, "ab@cd.ef " * 30_000, "call 212-555-0187 " * 20_000, "1.2.3.4 " * 300 + "+" * 70_000, "4111 1111 1111 1111, " * 600]
+    start = time.time()
+    got = {r.doc_id: r for r in pii.personal_data(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert time.time() - start < 120
+    assert (got[1].n_email, got[3].n_ip, got[4].n_card, got[0].spans) == (30_000, 300, 600, "")
+    for i in (1, 3, 4):  # positions across many chunks
+        assert got[i].base_sha256 == sha(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base_pii(texts[i])).encode())
+    assert len(got[2].spans.split(",")) in (1, 20_000)
+
+
 def test_em_tells_reliable_labelers_apart():
     counts = [(0, 1, 1, 1, 1, 0, 90), (0, 1, 1, 0, 1, 0, 60), (0, -1, -1, 0, -1, 0, 200), (0, -1, 1, 0, 1, 0, 5), (0, -1, -1, 0, 1, 0, 150)]
     w = pii.estimate(counts)[0]
@@ -249,6 +294,13 @@ def test_em_tells_reliable_labelers_apart():
     assert score((1, 1, 1, 1)) > 0 > score((-1, -1, 0, -1)) and score((-1, -1, 0, 1)) < 0
 
 
+@pytest.mark.parametrize("good, bad", [(150, 80), (20, 300), (5, 5), (1000, 3)])
+def test_em_does_not_explain_a_failed_checksum_away(good, bad):
+    w = pii.estimate([(2, 1, 1, 0, 1, 16, good), (2, -1, 1, 0, 1, 16, bad)])[2]
+    score = lambda v: w[0] + sum(a * b for a, b in zip(w[1:5], v, strict=True)) + 1.6 * w[5]
+    assert score((1, 1, 0, 1)) > score((-1, 1, 0, 1)) and score((-1, 1, 0, 1)) < (0 if bad >= 5 else 5)
+
+
 def test_sketches_equal_brute_force(spark):
     rng = random.Random(9)
     rows = [(i * 7 % 31, prose(rng, rng.choice([0, 1, 4, 5, 6, 40, 400]))) for i in range(25)] + [(100, None), (101, ""), (102, "ünï 𝒳𝒴𝒵 çé"), (103, rows0 := prose(rng, 50)), (104, rows0), (-3, rows0)]
