@@ -7,10 +7,14 @@ is sent home to its nearest anchor and as a visitor to every anchor within dista
 home-visitor pairs of an anchor are compared.  A fingerprint meets about 17 / 2**27 of the others per half.
 
 Equal fingerprints are one row before any of this, so a group of exact copies costs nothing.  An anchor's comparison
-streams its visitors past its homes and keeps at most one link per visitor and homes' cluster, never all pairs.
+holds its homes (8 bytes each), streams its visitors past them and keeps a forest of the links of a block, never all
+pairs.  An anchor with more than ``HOT`` homes is split: its visitors are dealt over several tasks by a hash of their
+fingerprints, its homes go to each of these.
 
 Edge cases: a null text counts as empty; texts without words have fingerprint zero; a null doc_id gets a fingerprint and
-the smallest non-null doc_id of its component (null if there is none); repeated rows are kept.
+the smallest non-null doc_id of its component (null if there is none); repeated rows are kept; texts are read whole, one
+at a time, however long; an empty table gives no rows; columns of docs other than doc_id and text are not read by the
+query, and returned unchanged by keep_representatives, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +29,14 @@ from ._common import bounded_batches, cut, shuffle_partitions
 from .components import components
 
 MAX_DISTANCE = 3
+#: Homes of an anchor beyond which its visitors are dealt over several tasks.
+HOT = 2048
 #: Side of the blocks in which a hot anchor's fingerprints are compared.
 _SQUARE = 1024
+#: Rows of an anchor that are held before its visitors are streamed.
+_HELD = 1 << 16
+#: Roles at an anchor: a visitor, a home that is compared with others only, a home that visits too.
+_VISITOR, _HOME, _BOTH = range(3)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -124,30 +134,37 @@ def _to_anchors(batches):
         key, at, home = anchors(fp.view(np.uint64))
         for i in range(0, len(key), 100_000):
             c = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(key[c]), pa.array(fp[at[c]]), pa.array(home[c])], names=["anchor", "fp", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[c]), pa.array(fp[at[c]]), pa.array(np.where(home[c], _BOTH, _VISITOR).astype(np.int32))], names=["anchor", "fp", "role"])
 
 
-def _link(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, distance: int):
-    """Home-visitor links of a sorted run of whole anchors (homes first in each); a visitor links to the first home it fits and the homes among themselves."""
+def _to_homes(batches):
+    for b in batches:
+        fp = b.column(0).to_numpy(zero_copy_only=False)
+        key, _, home = anchors(fp.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(key[home])], names=["anchor"])
+
+
+def _meet(homes: np.ndarray, visitors: np.ndarray, distance: int):
+    """Forests of the links between an anchor's homes and visitors, in blocks that bound the memory."""
+    for lo in range(0, len(visitors), _SQUARE):
+        block = visitors[lo : lo + _SQUARE]
+        for ho in range(0, len(homes), _SQUARE):
+            own = homes[ho : ho + _SQUARE]
+            u, v = np.nonzero(np.bitwise_count(block[:, None] ^ own[None]) <= distance)
+            if len(u) and len(ids := _spanning(u, v, block, own)):
+                yield ids
+
+
+def _link(anchor: np.ndarray, fp: np.ndarray, role: np.ndarray, distance: int):
+    """Links of a sorted run of whole anchors, homes first in each."""
     first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     count = np.diff(np.r_[first, len(anchor)])
-    homes = np.add.reduceat(home.astype(np.int64), first)
-    use = np.flatnonzero((homes > 0) & (count > 1))
+    homes = np.add.reduceat((role > _VISITOR).astype(np.int64), first)
     bits = fp.view(np.uint64)
-    for g in use:
+    for g in np.flatnonzero((homes > 0) & (count > 1)):
         a, n, h = first[g], count[g], homes[g]
-        own = bits[a : a + h]
-        for lo in range(0, n, _SQUARE):  # blocks bound the memory of a hot anchor
-            block = bits[a + lo : a + min(n, lo + _SQUARE)]
-            for ho in range(0, h, _SQUARE):
-                d = np.bitwise_count(block[:, None] ^ own[None, ho : ho + _SQUARE])
-                near = d <= distance
-                u, v = np.nonzero(near)
-                if not len(u):
-                    continue
-                ids = _spanning(u, v, block, own[ho : ho + _SQUARE])
-                if len(ids):
-                    yield ids
+        visits = bits[a : a + n][role[a : a + n] != _HOME]
+        yield from _meet(bits[a : a + h], visits, distance)
 
 
 def _spanning(u, v, left, right) -> np.ndarray:
@@ -168,32 +185,65 @@ def _spanning(u, v, left, right) -> np.ndarray:
     return np.stack([ends[keep], ends[label[keep]]], axis=1).view(np.int64)
 
 
+class _Meeting:
+    """Links of rows (key, fp, role) that come sorted by key, homes first; the last key may go on in the next rows."""
+
+    def __init__(self, distance: int):
+        self.distance, self.last = distance, None
+        self.held: list[tuple] = []  # rows of the last key
+        self.homes: np.ndarray | None = None  # its homes, once its visitors are streamed
+
+    def close(self):
+        if self.homes is None and self.held:
+            yield from _link(*(np.concatenate(c) for c in zip(*self.held, strict=True)), self.distance)
+        self.held, self.homes = [], None
+
+    def _more(self, key, fp, role):
+        if self.homes is not None:
+            yield from _meet(self.homes, fp.view(np.uint64), self.distance)
+            return
+        self.held.append((key, fp, role))
+        if role[-1] == _VISITOR and sum(len(h[0]) for h in self.held) > _HELD:  # all homes have come
+            _, fp, role = (np.concatenate(c) for c in zip(*self.held, strict=True))
+            self.homes, self.held = fp[role > _VISITOR].view(np.uint64), []
+            yield from _meet(self.homes, fp[role != _HOME].view(np.uint64), self.distance)
+
+    def feed(self, key, fp, role):
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        begin = 0
+        if key[0] == self.last:
+            begin = int(edges[1]) if len(edges) > 1 else len(key)
+            yield from self._more(key[:begin], fp[:begin], role[:begin])
+        if begin < len(key):
+            yield from self.close()
+            z = int(edges[-1])
+            if z > begin:
+                yield from _link(key[begin:z], fp[begin:z], role[begin:z], self.distance)
+            self.last = int(key[-1])
+            yield from self._more(key[z:], fp[z:], role[z:])
+
+
 def _compare(distance: int):
-    def run(batches):
-        rest = None
-        out = []
+    """Links (u, v) of sorted rows (anchor, salt, fp, role)."""
 
-        def flush(final: bool):
-            if out and (final or sum(map(len, out)) > 50_000):
-                e = np.concatenate(out)
-                out.clear()
-                return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["u", "v"])
-            return None
+    def run(batches):
+        def record(out):
+            e = np.concatenate(out)
+            return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["u", "v"])
 
+        meeting, out = _Meeting(distance), []
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if rest is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
-            cut_at = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-            rest = [c[cut_at:] for c in cols]
-            if cut_at:
-                out.extend(_link(*(np.ascontiguousarray(c[:cut_at]) for c in cols), distance))
-                if (r := flush(False)) is not None:
-                    yield r
-        if rest is not None and len(rest[0]):
-            out.extend(_link(*(np.ascontiguousarray(c) for c in rest), distance))
-        if (r := flush(True)) is not None:
-            yield r
+            if not b.num_rows:
+                continue
+            anchor, salt, fp, role = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for ids in meeting.feed(anchor * 65_536 + salt, fp, role):  # an anchor has 33 bits
+                out.append(ids)
+                if sum(map(len, out)) > 50_000:
+                    yield record(out)
+                    out = []
+        out.extend(meeting.close())
+        if out:
+            yield record(out)
 
     return run
 
@@ -203,9 +253,19 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     if not 0 <= distance <= 3:
         raise ValueError("two halves cover distances from 0 to 3")
     p = 4 * shuffle_partitions(fps.sparkSession)
-    sent = fps.select("fp").mapInArrow(_to_anchors, "anchor long, fp long, home boolean")
-    by_anchor = sent.repartition(p, "anchor").sortWithinPartitions("anchor", F.desc("home"))
-    return by_anchor.mapInArrow(_compare(distance), "u long, v long")
+    narrow = fps.select("fp")
+    sent = narrow.mapInArrow(_to_anchors, "anchor long, fp long, role int").withColumn("salt", F.lit(0))
+    homes = narrow.mapInArrow(_to_homes, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    hot = cut(homes.select(F.col("anchor").alias("hot"), F.least(F.ceil(F.col("n") / HOT), F.lit(65_535)).cast("int").alias("parts")))
+    if not hot.isEmpty():
+        mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        # a visitor goes to its part of the anchor, a home to all parts, in one of which it visits too
+        salts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("role") == _VISITOR, F.array(mine)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        dealt = sent.drop("salt").join(hot, F.col("anchor") == F.col("hot"), "left").select("anchor", "fp", "role", mine.alias("mine"), F.explode(salts).alias("salt"))
+        only = (F.col("role") == _BOTH) & (F.col("mine") != F.col("salt"))
+        sent = dealt.select("anchor", "fp", F.when(only, F.lit(_HOME)).otherwise(F.col("role")).alias("role"), "salt")
+    rows = sent.select("anchor", "salt", "fp", "role").repartition(p, "anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("role"))
+    return rows.mapInArrow(_compare(distance), "u long, v long")
 
 
 def _classified(docs: DataFrame, width: int, distance: int) -> DataFrame:

@@ -161,6 +161,50 @@ def test_anchors_cover_every_pair_within_three():
     assert met == set(range(400))
 
 
+def test_hot_anchor_streams_in_bounded_memory():
+    """A million visitors of one anchor, in batches: memory stays near that of its homes."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    homes = rng.integers(0, 2**62, 40)
+
+    def batches():
+        for k in range(100):
+            fp = rng.integers(0, 2**62, 10_000)
+            role = np.zeros(10_000, dtype=np.int32)
+            if k == 0:
+                fp[:40], role[:40] = homes, simhash._BOTH
+            fp[5_000 if k else 5_001] = homes[k % 40] ^ (1 << (k % 60))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(10_000, 77)), pa.array(np.zeros(10_000, dtype=np.int32)), pa.array(fp), pa.array(role)], names=["anchor", "salt", "fp", "role"])
+
+    tracemalloc.start()
+    linked = {frozenset(x) for b in simhash._compare(3)(batches()) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {frozenset((int(homes[k % 40]), int(homes[k % 40] ^ (1 << (k % 60))))) for k in range(100)} <= linked
+    assert peak < 40 << 20
+
+
+def test_split_anchors_link_like_whole_ones(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**62, 6)
+    fps = {int(b) for b in base}
+    for b in base[:2]:  # a family at one anchor, chained by single bits
+        for _ in range(200):
+            fps.add(int(rng.choice(list(fps))) ^ (1 << int(rng.integers(0, 30))) if rng.random() < 0.2 else int(b) ^ (1 << int(rng.integers(0, 31))) ^ (1 << int(rng.integers(0, 31))))
+    frame = spark.createDataFrame([(f,) for f in sorted(fps)], "fp long")
+    label = brute_components(sorted(fps), lambda a, b: bin(a ^ b).count("1") <= 3)
+    for hot in (2048, 3):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        got = dict(tuple(r) for r in components(simhash.links(frame)).collect())
+        assert {f: got.get(f, f) for f in fps} == label
+
+
 def test_pipeline_drops_near_copies_at_four_fifths(spark):
     import corpus_pipeline
 
