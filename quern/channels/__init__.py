@@ -13,6 +13,7 @@ import math
 import re
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 STANDARD = "ACDEFGHIKLMNPQRSTVWY"
 # Kyte-Doolittle hydropathy.
 HYDROPATHY = {"A": 1.8, "C": 2.5, "D": -3.5, "E": -3.5, "F": 2.8, "G": -0.4, "H": -3.2, "I": 4.5, "K": -3.9, "L": 3.8, "M": 1.9, "N": -3.5, "P": -1.6, "Q": -3.5, "R": -4.5, "S": -0.8, "T": -0.7, "V": 4.2, "W": -0.9, "Y": -1.3}
-# Eisenberg consensus hydrophobicity.
-EISENBERG = {"A": 0.62, "C": 0.29, "D": -0.90, "E": -0.74, "F": 1.19, "G": 0.48, "H": -0.40, "I": 1.38, "K": -1.50, "L": 1.06, "M": 0.64, "N": -0.78, "P": 0.12, "Q": -0.85, "R": -2.53, "S": -0.18, "T": -0.05, "V": 1.08, "W": 0.81, "Y": 0.26}
+# Eisenberg hydrophobicity, normalized consensus scale.
+EISENBERG = {"A": 0.25, "R": -1.76, "N": -0.64, "D": -0.72, "C": 0.04, "Q": -0.69, "E": -0.62, "G": 0.16, "H": -0.40, "I": 0.73, "L": 0.53, "K": -1.10, "M": 0.26, "F": 0.61, "P": -0.07, "S": -0.26, "T": -0.18, "W": 0.37, "Y": 0.02, "V": 0.54}
 # TOP-IDP disorder propensity.
 DISORDER = {"A": 0.06, "C": 0.02, "D": 0.192, "E": 0.736, "F": -0.697, "G": 0.166, "H": 0.303, "I": -0.486, "K": 0.586, "L": -0.326, "M": -0.397, "N": 0.007, "P": 0.987, "Q": 0.318, "R": 0.18, "S": 0.341, "T": 0.059, "V": -0.121, "W": -0.884, "Y": -0.51}
 CHARGE = {"K": 1.0, "R": 1.0, "D": -1.0, "E": -1.0}
@@ -165,11 +166,12 @@ class Motif(Channel):
         @F.pandas_udf("array<double>")
         def marks(texts: pd.Series) -> pd.Series:
             def one(s):
-                out, i = [0.0] * len(s), 0
-                for i in range(len(s)):
-                    if m := pattern.match(s, i):
-                        out[i : m.end()] = [1.0] * (m.end() - i)
-                return out
+                edge, at = np.zeros(len(s) + 1), 0  # +1 where a match begins, -1 behind its end
+                while m := pattern.search(s, at):
+                    edge[m.start()] += 1
+                    edge[m.end()] -= 1
+                    at = m.start() + 1
+                return (np.cumsum(edge[:-1]) > 0).astype(float).tolist()
 
             return texts.map(lambda s: None if s is None else one(s))
 
@@ -199,19 +201,20 @@ class ChannelSet:
         each = wide.select("filename", "sequence_id", F.posexplode("r").alias("i", "residue"), *(f"c{i}" for i in range(len(self.channels))))
         return each.select("filename", "sequence_id", (F.col("i") + 1).alias("position"), "residue", *(F.expr(f"c{i}[i]").alias(c.name) for i, c in enumerate(self.channels)))
 
+    def background_table(self, sequences: DataFrame) -> DataFrame:
+        """channel, mu, sigma: population mean and deviation over all residues of all sequences, from one scan and one aggregate."""
+        use = [c for c in self.channels if c.needs_background]
+        none = F.array().cast("array<double>")
+        # values that a sequence lacks (pairs of a lone residue) are padded with nulls, which the aggregates skip
+        wide = F.arrays_zip(*(F.coalesce(c.values(F.col("sequence")), none).alias(f"c{i}") for i, c in enumerate(use)))
+        sums = [f(f"v.c{i}").alias(f"{n}{i}") for i in range(len(use)) for n, f in (("mu", F.avg), ("sigma", F.stddev_pop))]
+        rows = F.array(*(F.struct(F.lit(c.name).alias("channel"), F.col(f"mu{i}").alias("mu"), F.col(f"sigma{i}").alias("sigma")) for i, c in enumerate(use)))
+        return sequences.select(F.explode(wide).alias("v")).agg(*sums).select(F.explode(rows).alias("r")).select("r.*")
+
     def backgrounds(self, sequences: DataFrame) -> dict[str, tuple[float, float]]:
-        """Population mean and sigma over all residues of all sequences, in one pass; a zero or missing sigma is an error."""
+        """The background of each channel that needs one; a zero or missing sigma is an error."""
         use = [c for c in self.channels if c.needs_background]
-        parts = []
-        for c in use:
-            v = c.values(F.col("sequence"))
-            parts.append(sequences.select(F.lit(c.name).alias("channel"), F.explode(v).alias("v")))
-        if not parts:
-            return {}
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        got = {r["channel"]: (r["mu"], r["sigma"]) for r in rows.groupBy("channel").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sigma")).collect()}
+        got = {r["channel"]: (r["mu"], r["sigma"]) for r in self.background_table(sequences).collect()} if use else {}
         for c in use:
             mu, sigma = got.get(c.name, (None, None))
             if mu is None or sigma is None or not math.isfinite(sigma) or sigma == 0:

@@ -203,7 +203,7 @@ def distance_pairs(points: DataFrame, keys: list[str], cutoff: float, other: Col
         b = b.withColumn("d__", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("d__")).drop("d__")
     on = reduce(lambda p, q: p & q, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "cx", "cy", "cz"]])
     d2 = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    return a.alias("a").join(b.alias("b"), on & other & (d2 <= cutoff * cutoff)).withColumn("distance", F.sqrt(d2))
+    return a.alias("a").join(b.alias("b"), on & other & (d2 <= cutoff * cutoff)).withColumn("distance", F.sqrt(d2))  # compared squared, so a pair exactly at the cutoff is in
 
 
 def competition_rank(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:

@@ -43,8 +43,11 @@ def _one_file(df: DataFrame, path: str, write) -> None:
     part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     write(df.coalesce(1).write, part.toString())
     written = next(s.getPath() for s in fs.listStatus(part) if s.getPath().getName().startswith("part-"))
-    fs.delete(target, False)
-    fs.rename(written, target)
+    # One rename that replaces: a reader sees the old table or the new one, and a failed rename raises.
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    qualified = fs.makeQualified(target)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(written), qualified, options)
     fs.delete(part, True)
 
 

@@ -81,11 +81,19 @@ def _atom_rows(text: str):
                 row = next(lines, "")
 
 
+def _number(text: str | None) -> float:
+    try:
+        return float(text or "nan")
+    except ValueError:
+        return float("nan")
+
+
 ATOMS = "model string, chain string, number int, resname string, name string, element string, x double, y double, z double, plddt double, problem string"
 
 
 def atoms(found: DataFrame) -> DataFrame:
-    """Atoms of mmCIF files; alternative locations, several models in a file and non-finite coordinates are problems."""
+    """Atoms of the polymers in mmCIF files; alternative locations, several models in a file, numbers that aren't whole and
+    coordinates that aren't finite are problems.  Rows without a place in the sequence (``.``: ligands, water) are left out."""
 
     def parse(batches):
         for pdf in batches:
@@ -94,24 +102,70 @@ def atoms(found: DataFrame) -> DataFrame:
                 seen = set()
                 for a in _atom_rows(bytes(content).decode("utf-8", "replace")):
                     seen.add(a.get("pdbx_PDB_model_num", "1"))
-                    try:
-                        xyz = [float(a[f"Cartn_{c}"]) for c in "xyz"]
-                        seq = int(a["label_seq_id"])
-                    except (KeyError, ValueError):
+                    place = a.get("label_seq_id", ".")
+                    if place in (".", "?"):
                         continue
-                    bad = "models" if len(seen) > 1 else "altloc" if a.get("label_alt_id", ".") not in (".", "?") else None if all(abs(v) < 1e9 for v in xyz) else "coordinates"
-                    out.append((locator, a["label_asym_id"], seq, a["label_comp_id"], a["label_atom_id"], a.get("type_symbol", ""), *xyz, float(a.get("B_iso_or_equiv", "nan")), bad))
+                    xyz = [_number(a.get(f"Cartn_{c}")) for c in "xyz"]
+                    seq = int(place) if re.fullmatch(r"-?[0-9]+", place) else None
+                    bad = "number" if seq is None else "models" if len(seen) > 1 else "altloc" if a.get("label_alt_id", ".") not in (".", "?") else None if all(abs(v) < 1e9 for v in xyz) else "coordinates"
+                    out.append((locator, a["label_asym_id"], seq, a["label_comp_id"], a["label_atom_id"], a.get("type_symbol", ""), *xyz, _number(a.get("B_iso_or_equiv")), bad))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ATOMS.split(", ")])
 
     return found.where(F.col("locator").endswith(".cif") & F.col("content").isNotNull()).mapInPandas(parse, ATOMS)
 
 
-def residues(atom_table: DataFrame) -> DataFrame:
-    """model, chain, number, token_index (0-based in file order of chains), plddt and Cα coordinates."""
-    from pyspark.sql import Window
+def _model_of(locator: str) -> str:
+    """The locator of the model that a full-data file is about."""
+    return re.sub(r"_full_data_(\d+)\.json$", r"_model_\1.cif", locator)
+
+
+TOKENS = "model string, token_index int, chain string, number int, problem string"
+
+
+def tokens(found: DataFrame) -> DataFrame:
+    """Tokens of full-data JSON texts in their order, with the chain and residue each stands for; lists that are missing, of
+    different lengths or unlike the error matrix make one problem row of their model."""
+
+    def parse(batches):
+        for pdf in batches:
+            out = []
+            for locator, content in zip(pdf["locator"], pdf["content"], strict=True):
+                model, d = _model_of(locator), json.loads(bytes(content))
+                chains, numbers, matrix = (d.get(k) for k in ("token_chain_ids", "token_res_ids", "pae"))
+                if not isinstance(chains, list) or not isinstance(numbers, list) or len(chains) != len(numbers):
+                    out.append((model, None, None, None, "token lists"))
+                elif not isinstance(matrix, list) or any(not isinstance(r, list) or len(r) != len(chains) for r in matrix) or len(matrix) != len(chains):
+                    out.append((model, None, None, None, "matrix"))
+                else:
+                    out += [(model, i, str(c), int(n), None) for i, (c, n) in enumerate(zip(chains, numbers, strict=True))]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in TOKENS.split(", ")]).astype({"token_index": "Int32", "number": "Int32"})
+
+    return found.where(F.col("locator").contains("full_data") & F.col("content").isNotNull()).mapInPandas(parse, TOKENS)
+
+
+# Residues that are one token each.
+STANDARD = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL".split()
+
+
+def residues(atom_table: DataFrame, token_table: DataFrame) -> DataFrame:
+    """model, chain, number, resname, plddt, x, y, z of each residue's Cα, its tokens, the first of them, and a problem.
 
-    ca = atom_table.where("name = 'CA'").select("model", "chain", "number", "resname", "plddt", "x", "y", "z")
-    return ca.withColumn("token_index", F.row_number().over(Window.partitionBy("model").orderBy("chain", "number")) - 1)
+    Residues and tokens meet by chain and number: a residue without a token, a token without a Cα, a second token of a
+    standard residue, and a modified one with other than a token per heavy atom are problems.
+    """
+    key = ["model", "chain", "number"]
+    heavy = F.count_if(~F.upper("element").isin("H", "D")).alias("heavy")
+    ca = atom_table.where("name = 'CA'").groupBy(*key).agg(F.first("resname").alias("resname"), *(F.first(c).alias(c) for c in ("plddt", "x", "y", "z")), F.max("problem").alias("bad"))
+    ca = ca.join(atom_table.groupBy(*key).agg(heavy), key)
+    told = token_table.where("problem IS NULL").groupBy(*key).agg(F.array_sort(F.collect_list("token_index")).alias("tokens"))
+    n = F.size("tokens")
+    problem = (
+        F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("tokens").isNull(), "no token").when(F.col("heavy").isNull(), "no atom").when((n > 1) & F.col("resname").isin(*STANDARD), "tokens")
+        .when((n > 1) & (n != F.col("heavy")), "modified residue")
+    )
+    whole = token_table.where("problem IS NOT NULL").select("model", *(F.lit(None).cast(t).alias(c) for c, t in (("chain", "string"), ("number", "int"), ("resname", "string"), ("plddt", "double"), ("x", "double"), ("y", "double"), ("z", "double"), ("tokens", "array<int>"), ("token_index", "int"))), "problem")
+    j = ca.join(told, key, "full_outer")
+    return j.select(*key, "resname", "plddt", "x", "y", "z", "tokens", F.get("tokens", F.lit(0)).alias("token_index"), problem.alias("problem")).unionByName(whole)
 
 
 def pae(found: DataFrame) -> DataFrame:
@@ -122,7 +176,7 @@ def pae(found: DataFrame) -> DataFrame:
             out = []
             for locator, content in zip(pdf["locator"], pdf["content"], strict=True):
                 m = json.loads(bytes(content)).get("pae") or []
-                out += [(locator, i, j, float(v)) for i, row in enumerate(m) for j, v in enumerate(row)]
-            yield pd.DataFrame(out, columns=["locator", "i", "j", "value"])
+                out += [(_model_of(locator), i, j, float(v)) for i, row in enumerate(m) for j, v in enumerate(row)]
+            yield pd.DataFrame(out, columns=["model", "i", "j", "value"])
 
-    return found.where(F.col("locator").contains("full_data")).mapInPandas(parse, "locator string, i int, j int, value double")
+    return found.where(F.col("locator").contains("full_data")).mapInPandas(parse, "model string, i int, j int, value double")

@@ -1,6 +1,7 @@
 """Contacts between chains and the scores over them, as joins and aggregates.
 
-residues: model, chain, number, token_index, plddt, x, y, z.  pae: model, i, j, value.
+residues: model, chain, number, token_index, plddt, x, y, z, and tokens (array) where residues can have several.
+pae: model, i, j, value.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ TOP, MIDDLE, SLOPE, FLOOR = 1.31034849, 84.7326239, 0.0747157696, 0.00501886443
 def contacts(residues: DataFrame, cutoff: float = 8.0) -> DataFrame:
     """model, chain_a, chain_b (a < b), number_a, number_b, distance of Cα pairs within the cutoff."""
     near = distance_pairs(residues, ["model"], cutoff, F.expr("a.chain < b.chain"))
+    several = [F.col(f"{s}.tokens").alias(f"tokens_{s}") for s in "ab"] if "tokens" in residues.columns else []
     return near.select(
         F.col("a.model").alias("model"), F.col("a.chain").alias("chain_a"), F.col("b.chain").alias("chain_b"), F.col("a.number").alias("number_a"), F.col("b.number").alias("number_b"),
-        F.col("a.token_index").alias("token_a"), F.col("b.token_index").alias("token_b"), F.col("a.plddt").alias("plddt_a"), F.col("b.plddt").alias("plddt_b"), "distance",
+        F.col("a.token_index").alias("token_a"), F.col("b.token_index").alias("token_b"), F.col("a.plddt").alias("plddt_a"), F.col("b.plddt").alias("plddt_b"), "distance", *several,
     )
 
 
@@ -50,8 +52,13 @@ def interface_scores(pairs: DataFrame, pae: DataFrame) -> DataFrame:
     """
     e = pae.select(F.col("model").alias("m"), "i", "j", (1 / (1 + (F.col("value") / 10) ** 2)).alias("w"))
 
+    each_token = pairs
+    for side in "ab":
+        if f"tokens_{side}" in pairs.columns:
+            each_token = each_token.withColumn(f"token_{side}", F.explode(f"tokens_{side}"))
+
     def direction(i, j, name):
-        w = pairs.join(e, (F.col("model") == F.col("m")) & (F.col(i) == F.col("i")) & (F.col(j) == F.col("j")), "left")
+        w = each_token.join(e, (F.col("model") == F.col("m")) & (F.col(i) == F.col("i")) & (F.col(j) == F.col("j")), "left")
         each = w.groupBy(*PAIR, "number_a", "number_b").agg(F.avg("w").alias("w"))
         return each.groupBy(*PAIR).agg(F.avg("w").alias(name))
 

@@ -251,6 +251,7 @@ def test_folds_in_nested_archives(spark, tmp_path):
     inner = io.BytesIO()
     with zipfile.ZipFile(inner, "w") as z:
         z.writestr("f/fold_model_0.cif", cif)
+        z.writestr("f/fold_full_data_0.json", '{"token_chain_ids": ["B", "A"], "token_res_ids": [1, 1], "pae": [[1, 2], [3, 4]]}')
         z.writestr("__MACOSX/x", "")
     with zipfile.ZipFile(tmp_path / "outer.zip", "w") as z:
         z.writestr("in.zip", inner.getvalue())
@@ -259,11 +260,39 @@ def test_folds_in_nested_archives(spark, tmp_path):
     assert found.where("problem IS NOT NULL").count() == 1
     f = folds.folds(found.where("problem IS NULL")).first()
     assert f.fold.endswith("outer.zip!/in.zip!/f") and f.models == [0]
-    res = folds.residues(folds.atoms(found))
-    assert [(r.chain, r.token_index, r.z) for r in res.orderBy("chain").collect()] == [("A", 0, 3.0), ("B", 1, 9.0)]
+    res = folds.residues(folds.atoms(found), folds.tokens(found))
+    assert [(r.chain, r.token_index, r.z, r.problem) for r in res.orderBy("chain").collect()] == [("A", 1, 3.0, None), ("B", 0, 9.0, None)]  # by the file's tokens, not by chain name
+    assert {(r.i, r.j, r.value) for r in folds.pae(found).collect()} == {(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)}
+    pairs = contacts.contacts(res, 6.0)
+    assert folds.pae(found).select("model").distinct().first().model == pairs.first().model
+    score = contacts.interface_scores(pairs, folds.pae(found)).first()
+    x = (1 / (1 + 0.3**2)) * 70  # a is token 1, b token 0: the matrix says 3
+    assert score.score_ab == pytest.approx(1.31034849 / (1 + math.exp(-0.0747157696 * (x - 84.7326239))) + 0.00501886443)
     assert contacts.contacts(res, 6.0).count() == 1 and contacts.contacts(res, 5.99).count() == 0
 
 
+def test_residues_meet_their_tokens(spark):
+    atoms = [("m", c, n, r, a, e, 0.0, 0.0, 0.0, 50.0, None) for c, n, r in (("A", 1, "ALA"), ("A", 2, "SEP"), ("A", 3, "GLY"), ("B", 1, "SEP"), ("B", 2, "VAL")) for a, e in (("N", "N"), ("CA", "C"), ("HA", "H"))]
+    given = [("A", 1), ("A", 2), ("A", 2), ("A", 3), ("A", 3), ("B", 1), ("B", 1), ("B", 1), ("C", 9)]
+    t = spark.createDataFrame([("m", i, c, n, None) for i, (c, n) in enumerate(given)] + [("broken", None, None, None, "matrix")], folds.TOKENS)
+    got = {(r.chain, r.number): (r.tokens, r.problem) for r in folds.residues(spark.createDataFrame(atoms, folds.ATOMS), t).collect()}
+    assert got == {("A", 1): ([0], None), ("A", 2): ([1, 2], None), ("A", 3): ([3, 4], "tokens"), ("B", 1): ([5, 6, 7], "modified residue"), ("B", 2): (None, "no token"), ("C", 9): ([8], "no atom"), (None, None): (None, "matrix")}
+
+
+def test_feasibility_of_known_rows(spark):
+    nan = float("nan")
+    rows = [  # area, contacts, nonpolar, overlaps, nearest, salts, salt distance, charge -> answer
+        ((600.0, 2.0, 50.0, 0.0, 4.0, 0.0, 3.0, 0.0), False), ((600.0, 2.0, 50.0, 0.0, 4.0, 1.0, 3.0, 0.0), True), ((0.0, 2.0, 50.0, 0.0, 4.0, 1.0, 3.0, 0.0), None), ((-5.0, 2.0, 50.0, 0.0, 4.0, 1.0, 3.0, 0.0), None),
+        ((600.0, 2.0, nan, 0.0, 4.0, 1.0, 3.0, 0.0), None), ((600.0, 2.0, 50.0, None, 4.0, 1.0, 3.0, 0.0), None), ((600.0, 5.0, 50.0, 0.0, 4.0, 0.0, None, 0.0), True), ((600.0, 5.0, 50.0, 2.0, 4.0, 0.0, None, 0.0), False),
+        ((1000.0, 3.0, 30.0, 1.0, 4.0, 2.0, 3.0, -3.0), True), ((1000.0, 3.0, 30.0, 1.0, 4.0, 2.0, 3.0, 2.0), False), ((1000.0, 3.0, 40.0, 2.0, 5.0, 0.0, 4.5, 0.0), False), ((1000.0, 3.0, 40.0, 2.0, 4.5, 0.0, 4.5, 0.0), True),
+        ((1900.0, 10.0, 45.0, 2.0, 4.0, 1.0, 3.5, 0.0), True), ((1900.0, 10.0, 45.0, 2.0, 4.0, 1.0, 3.6, 0.0), False), ((1900.0, 12.0, 45.0, 2.0, 4.0, 0.0, None, 0.0), True), ((1900.0, 12.0, 45.0, 3.0, 4.0, 0.0, None, 0.0), False), ((1799.0, 1.0, 40.0, 0.0, 4.0, 0.0, None, 0.0), True), ((1000.0, 3.0, 40.0, 0.0, 4.0, 0.0, nan, 0.0), None),
+    ]
+    names = "area contacts nonpolar overlaps d_min salts salt_distance charge".split()
+    df = spark.createDataFrame([(i, *r) for i, (r, _) in enumerate(rows)], "i int, " + ", ".join(f"{n} double" for n in names))
+    got = df.select("i", classify.feasible(*map(F.col, names)).alias("f"), classify.confidence_tier(F.lit(nan), F.lit(1.0)).alias("t")).orderBy("i").collect()
+    assert [r.f for r in got] == [want for _, want in rows] and {r.t for r in got} == {None}
+
+
 def test_sinks_and_streaming(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5, True), ("b", None, None)], "k string, x double, y boolean")
     sinks.write_tsv(df.select("k", sinks.printed(F.col("x"), "double").alias("x"), sinks.printed(F.col("y"), "boolean").alias("y")), f"{tmp_path}/t.tsv")
@@ -289,9 +318,10 @@ def test_channels(spark):
     assert len(t) == 8 and [t["s", i].q for i in (1, 2, 3)] == [0.0, 0.0, pytest.approx(-1 / 3)]
     assert t["s", 6].h == pytest.approx(-(2 / 3 * math.log2(2 / 3) + 1 / 3 * math.log2(1 / 3))) and t["t", 1].h == 0
     assert [t["s", i].mo for i in range(1, 8)] == [0, 0, 0, 0, 1, 1, 1] and t["s", 6].gg == 0.5 and t["t", 1].gg is None
-    w = [channels.EISENBERG[c] for c in "KDS"]
     a = math.radians(100)
-    assert t["s", 1].m == pytest.approx(math.hypot(sum(h * math.cos(k * a) for k, h in enumerate(w)), sum(h * math.sin(k * a) for k, h in enumerate(w))) / 3)
+    for at, w in ((1, (-1.10, -0.72, -0.26)), (4, (-0.72, -0.26, -0.18, 0.16, 0.16)), (7, (0.16, 0.16, 0.25))):  # K D S T G G A on the normalized consensus scale
+        assert t["s", at].m == pytest.approx(math.hypot(sum(h * math.cos(k * a) for k, h in enumerate(w)), sum(h * math.sin(k * a) for k, h in enumerate(w))) / len(w))
+    assert t["t", 1].m == pytest.approx(0.16)
     bg = channels.ChannelSet(channels.Scale("kd", 0))
     back = bg.backgrounds(seq)
     v = [channels.HYDROPATHY[c] for c in "KDSTGGAG"]
