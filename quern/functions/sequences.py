@@ -34,6 +34,11 @@ def gc_percent(dna: Column) -> Column:
     return F.when(n > 0, 100.0 * (n - F.length(F.regexp_replace(dna, "[GCgc]", ""))) / n)
 
 
+def usable(s: Column, shortest: int, longest: int, letters: str) -> Column:
+    """Is the length within the bounds and every letter of the alphabet?"""
+    return F.length(s).between(shortest, longest) & (F.translate(s, letters, "") == "")
+
+
 def slice_1b(s: Column, first: Column, last: Column) -> Column:
     """Residues first..last, clipped to the sequence; empty if they don't meet it."""
     a = F.greatest(first, F.lit(1))

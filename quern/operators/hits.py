@@ -48,6 +48,12 @@ def find_hits(hits: DataFrame, targets: list[str], *, rank: int | None = 1, eval
     return out.select(*PROTEIN, "query_start", "query_end").distinct()
 
 
+def hits_of(hits: DataFrame, keys: DataFrame, database: str | None = None) -> DataFrame:
+    """Hits of the proteins in ``keys`` (accession), by a semi-join; the database filter reaches the scan."""
+    mine = hits if database is None else hits.where(F.col("query_database") == database)
+    return mine.join(keys, F.col("query_accession") == F.col("accession"), "left_semi")
+
+
 def with_source(matches: DataFrame, manifest: DataFrame, source: str) -> DataFrame:
     """Semi-join on the manifest's (sequence_accession, sequence_database) with the wanted source."""
     keys = manifest.where((F.col("sequence_source") == source) & (F.col("sequence_type") == "protein"))

@@ -91,7 +91,10 @@ def f1_hit_counts(spark, sf):
     return H.counts(hits(spark, sf), "PF00003", 2, 9)
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS}, m AS (SELECT query_accession, query_database, lo, hi, row_number() OVER (PARTITION BY query_accession, query_database ORDER BY hi, lo) AS k FROM hits WHERE split_part(target_accession, '.', 1) = 'PF00003'),
+walk AS (SELECT query_accession, query_database, k, 1 AS n, hi AS last FROM m WHERE k = 1 UNION ALL
+ SELECT m.query_accession, m.query_database, m.k, CASE WHEN m.lo > w.last THEN w.n + 1 ELSE w.n END, CASE WHEN m.lo > w.last THEN m.hi ELSE w.last END FROM walk w JOIN m ON m.query_accession = w.query_accession AND m.query_database = w.query_database AND m.k = w.k + 1)
+SELECT query_accession, query_database, CAST(max(n) AS BIGINT) AS n_hits FROM walk GROUP BY 1, 2""")
 def f1_disjoint_hits(spark, sf):
     return H.counts(hits(spark, sf), "PF00003", 1, overlaps=False)
 
@@ -141,7 +144,7 @@ def f1_regions(spark, sf):
 
 @query(f"""WITH {SEQS} SELECT sequence_id, length(sequence) AS n FROM seqs WHERE length(sequence) BETWEEN 500 AND 2500 AND NOT contains(sequence, 'X')""")
 def f3_length_and_letters(spark, sf):
-    return seqs(spark, sf).where(F.length("sequence").between(500, 2500) & ~F.col("sequence").contains("X")).select("sequence_id", F.length("sequence").cast("long").alias("n"))
+    return seqs(spark, sf).where(sequences.usable(F.col("sequence"), 500, 2500, "ABCDEFGHIJKLMNOPQRSTUVWYZ")).select("sequence_id", F.length("sequence").cast("long").alias("n"))
 
 
 @query(f"""WITH {SEQS}, r AS (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY doc_id) AS k FROM seqs) SELECT sequence_id FROM r WHERE k = 1""")
@@ -175,12 +178,10 @@ def f3_channels(spark, sf):
     return t.select("sequence_id", F.size("a").cast("long").alias("n"), total("a").alias("st"), F.round(F.array_max("a"), 6).alias("st_max"), total("b").alias("charge"))
 
 
-@query(_WINDOWS + " SELECT round(avg(st), 6) AS st_mu, round(stddev_pop(st), 6) AS st_sigma, round(avg(charge), 6) AS q_mu, round(stddev_pop(charge), 6) AS q_sigma FROM v")
+@query(_WINDOWS + " SELECT 'st' AS channel, round(avg(st), 6) AS mu, round(stddev_pop(st), 6) AS sigma FROM v UNION ALL SELECT 'q', round(avg(charge), 6), round(stddev_pop(charge), 6) FROM v")
 def f3_backgrounds(spark, sf):
-    s = F.col("sequence")
-    both = F.arrays_zip(channels.Composition("st", 4, "ST").values(s).alias("st"), channels.net_charge("q", 4).values(s).alias("q"))
-    each = seqs(spark, sf).select(F.explode(both).alias("v"))
-    return each.agg(*(F.round(f(f"v.{c}"), 6).alias(f"{c}_{n}") for c in ("st", "q") for n, f in (("mu", F.avg), ("sigma", F.stddev_pop))))
+    b = channels.ChannelSet(channels.Composition("st", 4, "ST"), channels.net_charge("q", 4)).background_table(seqs(spark, sf))
+    return b.select("channel", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
 
 
 _SWEEP = """WITH e AS (SELECT CAST(n_chars AS DOUBLE) AS score, quality = 1 AS positive FROM labels JOIN documents USING (doc_id)),
@@ -317,9 +318,9 @@ c AS (SELECT a.chain AS chain_a, b.chain AS chain_b, a.number AS number_a, b.num
   FROM p a JOIN p b ON a.chain < b.chain AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 1.44)"""
 
 
-@query(f"WITH {_POINTS} SELECT chain_a, chain_b, number_a, number_b, CAST(floor(distance * 1000) AS BIGINT) AS milli FROM c")
+@query(f"WITH {_POINTS} SELECT chain_a, chain_b, number_a, number_b, CAST(round(distance * 1000) AS BIGINT) AS milli FROM c")
 def j10_contacts(spark, sf):
-    return contacts.contacts(_points(spark, sf), 1.2).select("chain_a", "chain_b", "number_a", "number_b", F.floor(F.col("distance") * 1000).alias("milli"))
+    return contacts.contacts(_points(spark, sf), 1.2).select("chain_a", "chain_b", "number_a", "number_b", F.round(F.col("distance") * 1000).cast("long").alias("milli"))
 
 
 @query(f"""WITH {_POINTS}, s AS (SELECT chain_a, chain_b, 'a' AS side, number_a AS n, distance FROM c UNION ALL SELECT chain_a, chain_b, 'b', number_b, distance FROM c),
@@ -344,18 +345,25 @@ def g30_interface_score(spark, sf):
     return contacts.interface_scores(pairs, there.unionByName(back)).select("chain_a", "chain_b", F.round("score_ab", 9).alias("score_ab"))
 
 
-@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS score, l_quantity * 40 AS area, l_suppkey % 15 AS contacts, l_partkey % 70 AS nonpolar, l_linenumber % 4 AS ov, CAST(3 + l_suppkey % 4 AS DOUBLE) AS d_min, l_partkey % 4 AS salts, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE CAST(2 + l_partkey % 5 AS DOUBLE) END AS sd, l_suppkey % 7 - 3 AS q FROM lineitem),
-d AS (SELECT *, 100 * contacts / area AS dens, coalesce(sd, 100) AS salt FROM v)
-SELECT l_orderkey, l_linenumber, CASE WHEN score < 0.23 THEN 'Reject' WHEN score >= 0.7 THEN 'High' WHEN score >= 0.5 OR (score >= 0.4 AND area < 1000) THEN 'Medium' ELSE 'Low' END AS tier,
- NOT ((dens <= 0.4 AND d_min > 4.5 AND salt > 4) OR ov >= 3) AND ((area >= 500 AND area < 800 AND nonpolar >= 40 AND ov <= 1 AND ((dens > 0.25 AND salt <= 4) OR dens > 0.7))
- OR (area >= 800 AND area < 1400 AND nonpolar >= 40 AND ov <= 1 AND ((dens > 0.45 AND salt <= 4) OR dens > 0.7)) OR (area >= 700 AND area < 1200 AND nonpolar >= 25 AND salts >= 2 AND salt <= 3 AND abs(q) >= 3 AND dens > 0.2 AND ov <= 1)
- OR (area >= 1800 AND nonpolar >= 45 AND dens > 0.5 AND ov <= 2 AND (dens > 0.6 OR (salt <= 3.5 AND salts >= 1))) OR (area >= 1000 AND area < 1800 AND nonpolar >= 40 AND ov <= 2)) AS feasible FROM d""")
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 23 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_discount * 10 END AS score, CASE WHEN l_suppkey % 9 = 0 THEN 0 ELSE l_quantity * 40 END AS area, l_suppkey % 15 AS contacts, CASE WHEN l_partkey % 29 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(l_partkey % 70 AS DOUBLE) END AS share, l_linenumber % 4 AS clashes,
+ CASE WHEN l_partkey % 31 = 0 THEN NULL ELSE CAST(3 + l_suppkey % 4 AS DOUBLE) END AS nearest, l_partkey % 4 AS salts, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE CAST(2 + l_partkey % 5 AS DOUBLE) END AS told, l_suppkey % 7 - 3 AS charge FROM lineitem),
+ d AS (SELECT *, CASE WHEN area > 0 THEN 100 * contacts / area END AS density, coalesce(told, 100) AS bridge, salts >= 1 AND coalesce(told, 100) <= 4 AS short_bridge, isnan(share) OR nearest IS NULL OR area <= 0 AS unusable FROM v),
+ r AS (SELECT *, clashes >= 3 OR (density <= 0.4 AND nearest > 4.5 AND bridge > 4) AS hovers,
+  share >= 40 AND clashes <= 1 AND area >= 500 AND area < 800 AND (density > 0.7 OR (short_bridge AND density > 0.25)) AS sideways,
+  share >= 40 AND clashes <= 1 AND area >= 800 AND area < 1400 AND (density > 0.7 OR (short_bridge AND density > 0.45)) AS cooperative,
+  share >= 25 AND clashes <= 1 AND area >= 700 AND area < 1200 AND salts >= 2 AND bridge <= 3 AND abs(charge) >= 3 AND density > 0.2 AS zipper,
+  share >= 45 AND clashes <= 2 AND area >= 1800 AND density > 0.5 AND (density > 0.6 OR (salts >= 1 AND bridge <= 3.5)) AS clamp,
+  share >= 40 AND clashes <= 2 AND salts >= 0 AND area >= 1000 AND area < 1800 AS greasy FROM d)
+SELECT l_orderkey, l_linenumber, CASE WHEN isnan(score) THEN NULL WHEN score < 0.23 THEN 'Reject' WHEN score >= 0.7 THEN 'High' WHEN score >= 0.5 OR (score >= 0.4 AND area < 1000) THEN 'Medium' ELSE 'Low' END AS tier,
+ CASE WHEN NOT unusable THEN NOT hovers AND (sideways OR cooperative OR zipper OR clamp OR greasy) END AS feasible FROM r""")
 def p15_tier_and_feasibility(spark, sf):
-    c = F.col
-    area, q = c("l_quantity") * 40, c("l_suppkey") % 7 - 3
+    c, nan = F.col, F.lit(float("nan"))
+    area, q = F.when(c("l_suppkey") % 9 == 0, 0.0).otherwise(c("l_quantity") * 40), c("l_suppkey") % 7 - 3
     sd = F.when(c("l_partkey") % 3 == 0, None).otherwise((2 + c("l_partkey") % 5).cast("double"))
-    ok = classify.feasible(area, c("l_suppkey") % 15, c("l_partkey") % 70, c("l_linenumber") % 4, (3 + c("l_suppkey") % 4).cast("double"), c("l_partkey") % 4, sd, q)
-    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", classify.confidence_tier(c("l_discount") * 10, area).alias("tier"), ok.alias("feasible"))
+    share, near = F.when(c("l_partkey") % 29 == 0, nan).otherwise((c("l_partkey") % 70).cast("double")), F.when(c("l_partkey") % 31 != 0, (3 + c("l_suppkey") % 4).cast("double"))
+    ok = classify.feasible(area, c("l_suppkey") % 15, share, c("l_linenumber") % 4, near, c("l_partkey") % 4, sd, q)
+    score = F.when(c("l_partkey") % 23 == 0, nan).otherwise(c("l_discount") * 10)
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", classify.confidence_tier(score, area).alias("tier"), ok.alias("feasible"))
 
 
 @query("""WITH g AS (SELECT o_custkey, list_sort(list(o_orderpriority)) AS l FROM orders GROUP BY 1) SELECT o_custkey, right(sha1('[' || list_aggregate(['"' || x || '"' for x in l], 'string_agg', ',') || ']'), 8) AS sequence_id FROM g""")
@@ -415,3 +423,6 @@ SELECT pair, CASE WHEN n = 1 AND copies = 1 THEN ca END AS chain_a, CASE WHEN n
 def g41_shared_chains(spark, sf):
     t = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pair"), F.col("l_linenumber").cast("string").alias("chain"), F.col("l_linenumber").alias("ord"), F.col("l_returnflag").alias("sequence"))
     return contacts.shared_chains(t.where("ord % 2 = 0"), t.where("ord % 2 = 1"))
+
+
+from . import readers  # noqa: E402, F401  (further queries register themselves)
