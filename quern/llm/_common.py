@@ -32,7 +32,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Most bytes of rows handed to a Python worker at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

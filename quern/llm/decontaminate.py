@@ -32,7 +32,8 @@ from ._common import cut
 SEEDS = ("110111", "11010011", "11111")
 MIN_WORDS, MIN_ITEM = 13, 5
 #: Bits of a bitmap for each hash of the benchmark, and the most and fewest bits of a bitmap (2 MB as a literal).
-BITS_EACH, MOST_BITS, FEWEST_BITS = 64, 1 << 24, 1 << 16
+COARSE = 1 << 16
+BITS_EACH, MOST_BITS, FEWEST_BITS = 16, 1 << 24, 1 << 16
 
 
 _WORDS = r"filter(split(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), w -> w <> '')"
@@ -107,9 +108,18 @@ def _test(h: str, bitmap: tuple[str, int]) -> str:
     return " AND ".join(f"getbit(get({longs}, cast(shiftright({p}, 6) as int)), cast({p} & 63L as int)) = 1" for p in _places(h, bitmap[1]))
 
 
-def _hits(pairs: tuple[str, int], hashes: tuple[str, int], short_lengths: list[int], seeds) -> Column:
+def _coarse(keys: DataFrame, column: str) -> str:
+    """SQL: array of ``COARSE`` booleans, true where a hash of the column has that remainder; folded to a literal."""
+    hit = keys.select(F.expr(f"{column} & {COARSE - 1}L").alias("id")).distinct().withColumn("t", F.lit("1"))
+    every = keys.sparkSession.range(COARSE).join(hit, "id", "left").select(F.struct("id", F.coalesce("t", F.lit("0")).alias("t")).alias("x"))
+    digits = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), " ")).first()[0]
+    return f"cast(split('{digits}', ' ') as array<boolean>)"
+
+
+def _hits(coarse: str, pairs: tuple[str, int], hashes: tuple[str, int], short_lengths: list[int], seeds) -> Column:
     """Array of (pos, seed, hash) over the positions whose two words pass ``pairs`` where the seed's hash passes ``hashes``; the words are bound once."""
-    first = _test("xxhash64(t[i], t[i + 1])", pairs)
+    # A look into a small array of booleans first: it is by far the cheapest test and refuses nearly all words.
+    first = f"get({coarse}, cast(xxhash64(t[i], t[i + 1]) & {COARSE - 1}L as int)) AND {_test('xxhash64(t[i], t[i + 1])', pairs)}"
     places = f"IF(size(t) > 1, filter(sequence(0, size(t) - 2), i -> {first}), array())"
     return F.expr(f"element_at(transform(array({_WORDS}), t -> filter(flatten(transform({places}, i -> {_doc_seeds(short_lengths, seeds)})), s -> s.hash IS NOT NULL AND {_test('s.hash', hashes)})), 1)")
 
@@ -142,7 +152,7 @@ def _leaking_rows(docs: DataFrame, bench: DataFrame, seeds=SEEDS, min_words: int
     keys = cut(_item_seeds(bench, seeds, min_item).withColumn("pair", F.expr("xxhash64(item[ipos], item[ipos + 1])")))
     # One small row: how many hashes there are, and which short lengths.
     stats = keys.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("seed") > 100, F.floor(F.col("seed") / 100).cast("int"))).alias("short")).first()
-    hits = _hits(*_filters(keys, ["pair", "hash"], stats["n"]), sorted(stats["short"]), seeds)
+    hits = _hits(_coarse(keys, "pair"), *_filters(keys, ["pair", "hash"], stats["n"]), sorted(stats["short"]), seeds)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), hits.alias("hits")).where(F.size("hits") > 0)
     held = cut(rows.select("doc_id", "th", words().alias("tokens"), "hits"))  # documents with hits only
     places = keys.select("item_id", F.size("item").alias("item_words"), "ipos", "seed", "hash")
