@@ -69,6 +69,24 @@ def scored(entries: DataFrame, best: DataFrame, key: str) -> DataFrame:
     return entries.join(best, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def attached(rows: DataFrame, values: DataFrame, key: str, column: str, blank: str = "") -> DataFrame:
+    """Rows with the largest value of their key as text, blank where there is none."""
+    best = values.groupBy(key).agg(F.max(column).cast("string").alias(column))
+    return rows.join(best, key, "left").withColumn(column, F.coalesce(column, F.lit(blank)))
+
+
+def concatenated(*parts: DataFrame, order: str) -> DataFrame:
+    """The parts one behind the other: column part (from 0) and each part's own order tell a row's place."""
+    return reduce(DataFrame.unionByName, (p.withColumn("part", F.lit(i)) for i, p in enumerate(parts))).orderBy("part", order)
+
+
+def first_offenders(problems: DataFrame, group: list[str], key: str, most: int = 5) -> DataFrame:
+    """Of each group the first ids that have a problem, for a message, and how many there are."""
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy(key))
+    few = problems.withColumn("nth__", nth).groupBy(*group).agg(F.array_sort(F.collect_list(F.when(F.col("nth__") <= most, F.col(key)))).alias("first_ids"), F.count(F.lit(1)).alias("n_ids"))
+    return few  # collect_list leaves the nulls of the others out
+
+
 def threshold_sweep(entries: DataFrame) -> DataFrame:
     """threshold, tp, fp, fn, tn, sensitivity, specificity, balanced for each distinct score (predicted positive: >= it).
 

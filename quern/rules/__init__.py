@@ -12,6 +12,7 @@ from __future__ import annotations
 import importlib
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -470,6 +471,33 @@ class Custom(Rule):
         return self.expression
 
 
+@dataclass(frozen=True)
+class Python(Rule):
+    """A rule that only Python can express: test(row) over the named columns (a dictionary) gives true, false or a result's
+    name.  Rows travel in Arrow batches; an exception makes that row an error and no other."""
+
+    label: str
+    test: object
+    columns: tuple
+    sources: frozenset = frozenset()
+
+    def column(self):
+        test = self.test
+
+        @F.pandas_udf("string")
+        def judge(rows: pd.DataFrame) -> pd.Series:
+            def one(row):
+                try:
+                    got = test(row)
+                except Exception:  # whatever goes wrong concerns this row alone
+                    return "error"
+                return got if isinstance(got, str) else "true" if got else "false"
+
+            return pd.Series([one(r) for r in rows.to_dict("records")], dtype="object")
+
+        return judge(F.struct(*self.columns))
+
+
 def end_bound(rule: Rule) -> Hits | None:
     """The one rule marked as C-terminal bound; it isn't looked for inside ``~``, and two are an error."""
     found = []

@@ -6,7 +6,7 @@ pae: model, i, j, value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.tables import distance_pairs
@@ -69,6 +69,13 @@ def interface_scores(pairs: DataFrame, pae: DataFrame) -> DataFrame:
     return j.select(*PAIR, ab.alias("score_ab"), ba.alias("score_ba"), F.greatest(ab, ba).alias("score"))
 
 
+def patch_ranks(patches: DataFrame) -> DataFrame:
+    """rank and, of leaves, leaf_rank (both from 1, no ties) of each pair's patches: by score, contacts, then label."""
+    by = Window.partitionBy(*PAIR).orderBy(F.desc("score"), F.desc("contacts"), "patch")
+    leaf = F.col("status") == "leaf"
+    return patches.withColumn("rank", F.row_number().over(by)).withColumn("leaf_rank", F.when(leaf, F.count_if(leaf).over(by.rowsBetween(Window.unboundedPreceding, 0))))
+
+
 def quality_bins(residues: DataFrame) -> DataFrame:
     """Residues per model by pLDDT: above 90, 70 to 90, 50 to 70, at most 50."""
     p = F.col("plddt")
