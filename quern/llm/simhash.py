@@ -252,7 +252,7 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     """Links (u, v) that connect the distinct fingerprints in column fp exactly as all pairs within the distance would."""
     if not 0 <= distance <= 3:
         raise ValueError("two halves cover distances from 0 to 3")
-    p = 4 * shuffle_partitions(fps.sparkSession)
+    p = shuffle_partitions(fps.sparkSession)
     narrow = fps.select("fp")
     sent = narrow.mapInArrow(_to_anchors, "anchor long, fp long, role int").withColumn("salt", F.lit(0))
     homes = narrow.mapInArrow(_to_homes, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
