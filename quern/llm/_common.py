@@ -45,14 +45,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def input_bytes(docs: DataFrame) -> int:
-    """About how much docs holds: the optimizer's estimate (file sizes), or the texts' bytes where it has none."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 60:
-        return size
-    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

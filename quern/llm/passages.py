@@ -14,10 +14,10 @@ and the sorted parse alone; the corpus' own suffixes are never sorted:
    sort by string, and the strings that a smaller doc_id has are marked.
 3. marked phrases and strings go back to their documents, which are read again, covered and cut.
 
-Equality is taken from hashes: of a phrase 48 bits beside the trigger's 32 and its bucket, of a string 64 bits.
-Entries travel as packed binary blobs, one for each batch of texts and bucket; a batch sends equal entries once and
-resolves the others itself, so a phrase that a third of all documents share arrives once per batch.  The number of
-buckets follows the input's size, so that a bucket fits in a task.
+Equality is taken from hashes: of a phrase 48 bits beside the trigger's 32 and its bucket, of a string 64 bits and 32 of
+its first half (a corpus of 1e12 asked strings would be expected to confuse 6e-6 pairs).  Entries travel as packed binary blobs, one for each batch of texts and bucket; a batch sends equal entries once and
+resolves the others itself, so a phrase that a third of all documents share arrives once per batch.  Partitions are the
+session's (spark.sql.shuffle.partitions), with ``BUCKETS`` buckets each; a task holds one bucket at a time.
 
 Edge cases: a null text is empty; texts under 50 bytes lose nothing; a null doc_id is neither smaller nor larger than
 any other, so its row is returned whole; rows of one doc_id never remove from one another.
@@ -34,12 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, input_bytes, shuffle_partitions
+from ._common import bounded_batches, shuffle_partitions
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # grams in a string
 SIDE = (LENGTH - GRAM) // 2  # bytes to one side that two phrases must share to share a string
 BLOCK = 1 << 19
+#: Buckets of a partition; a bucket is what a task holds at once.
+BUCKETS = 4
 
 _M1, _M2, _M3 = (np.uint64(c) for c in (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -106,14 +108,14 @@ class Parse:
     def sub(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.prefix[b] - self.prefix[a]) * _IPOW[a]
 
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the 50-byte strings whose trigger is one of at[which]."""
+    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the 50-byte strings whose trigger is one of at[which], and their hashes, 64 and 32 bits."""
         starts = (self.at[which][:, None] + np.arange(-(SPAN - 1), 1)).ravel()
         owner = np.repeat(self.gram[which], SPAN)
         ok = starts >= 0
         starts, owner = starts[ok], owner[ok]
         starts = np.unique(starts[self.low[starts] == owner])  # low is 0 where no string starts
-        return starts, _mix(self.sub(starts, starts + LENGTH) + _M3)
+        return starts, _mix(self.sub(starts, starts + LENGTH) + _M3), (_mix(self.sub(starts, starts + LENGTH // 2) + _M2) >> np.uint64(32)).astype(np.uint32)
 
 
 def _member(key: np.ndarray, pool: np.ndarray) -> np.ndarray:
@@ -175,7 +177,7 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
 
 #: Columns of a blob, one behind the other (an exchange compresses a column of near-equal text numbers well).
 _ENTRY = {"t": "<u4", "p0": "<u4", "p1": "<u2", "l": "u1", "r": "u1", "d": "<u2"}
-_STRING = {"s": "<u8", "d": "<u2"}
+_STRING = {"s": "<u8", "h": "<u4", "d": "<u2"}
 #: Rows between the steps: bucket k, and either entries with their doc_ids or (ids null) marks that are settled already.
 _OUT = pa.schema([("k", pa.int64()), ("ids", pa.binary()), ("blob", pa.binary())])
 _OUT_SQL = "k long, ids binary, blob binary"
@@ -338,12 +340,12 @@ def _settle_phrases(held):
 
 def _settle_strings(held):
     rows, doc = _unpack(held, _STRING)
-    s = rows["s"]
-    order = np.lexsort((doc, s))
-    s, doc = s[order], doc[order]
-    new = _firsts(s)
+    s, half = rows["s"], rows["h"]
+    order = np.lexsort((doc, half, s))
+    s, half, doc = s[order], half[order], doc[order]
+    new = _firsts(s, half)
     least = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-    later = (doc > least) & _firsts(s, doc)
+    later = (doc > least) & _firsts(s, half, doc)
     yield _marks(doc[later], s[later], _SHARED)
 
 
@@ -366,19 +368,19 @@ def _asked_strings(n_buckets: int):
                 for p, t, lo in _blocks(data, offs):
                     which = np.flatnonzero(_member(p.phrase * _M1 + t.astype(np.uint64) * _M2, want))
                     if len(which):
-                        starts, h = p.strings(which)
-                        got.append((h, np.searchsorted(offs, starts + lo, side="right") - 1))
+                        starts, h, half = p.strings(which)
+                        got.append((h, half, np.searchsorted(offs, starts + lo, side="right") - 1))
                 if not got:
                     continue
-                h, text = (np.concatenate(x) for x in zip(*got, strict=True))
-                order = np.lexsort((ids[text], h))
-                h, text = h[order], text[order]
+                h, half, text = (np.concatenate(x) for x in zip(*got, strict=True))
+                order = np.lexsort((ids[text], half, h))
+                h, half, text = h[order], half[order], text[order]
                 doc = ids[text]
-                new = _firsts(h)
+                new = _firsts(h, half)
                 least = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-                later = (doc > least) & _firsts(h, doc)
+                later = (doc > least) & _firsts(h, half, doc)
                 out = [(k, None, b) for k, b in _addressed([_marks(doc[later], h[later], _SHARED)], n_buckets)]
-                out += _deal(_mix(h[new]) % np.uint64(n_buckets), ids, {"s": h[new], "d": text[new]}, _STRING)
+                out += _deal(_mix(h[new]) % np.uint64(n_buckets), ids, {"s": h[new], "h": half[new], "d": text[new]}, _STRING)
                 yield _batch(out)
 
     return run
@@ -401,7 +403,7 @@ def _cover(data: np.ndarray, offsets: np.ndarray, marks: list[list[bytes | None]
         owner.append(t[full])
         part = np.flatnonzero(_member(key, pools[_PARTIAL]))
         if len(part):
-            starts, h = p.strings(part)
+            starts, h, _ = p.strings(part)  # among a document's own strings 64 bits tell them apart
             text = np.searchsorted(offsets, starts + lo, side="right") - 1
             hit = _member(tag(h, text.astype(np.uint64)), pools[_SHARED])
             begins.append(starts[hit] + lo)
@@ -450,11 +452,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # An alias of an unchanged id would keep the two joins below from sharing one exchange of the texts.
     doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
     rows = docs.select(doc_id, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    n_buckets = max(shuffle_partitions(spark), input_bytes(docs) // (8 << 20))
+    parts = shuffle_partitions(spark)  # the session's, whatever the input's size
+    n_buckets = BUCKETS * parts
     known = rows.where("doc_id IS NOT NULL")
     # The inner join below would add this filter on one side only, and the two exchanges would differ.
     packed = known.mapInArrow(_pack, "doc_id long, text binary").where("doc_id IS NOT NULL")
-    parts = max(shuffle_partitions(spark), n_buckets // 2)
     cut_sql = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
 
     def by_bucket(rows: DataFrame) -> DataFrame:
