@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +39,25 @@ def cut(df: DataFrame) -> DataFrame:
 BATCH_BYTES = 4 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Bound Arrow batches by bytes, so that long texts can't fill a worker (a smaller setting of the session's stays)."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = str(spark.conf.get(name)).lower().rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(name, str(most))
+
+
+def tidy(run):
+    """run, a function over Arrow batches, that gives freed memory back at its end: idle workers stay alive between stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return wrapped
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

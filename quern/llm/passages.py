@@ -34,14 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, shuffle_partitions
+from ._common import bounded_batches, shuffle_partitions, tidy
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # grams in a string
 SIDE = (LENGTH - GRAM) // 2  # bytes to one side that two phrases must share to share a string
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Buckets of a partition; a bucket is what a task holds at once.
-BUCKETS = 4
+BUCKETS = 1
 
 _M1, _M2, _M3 = (np.uint64(c) for c in (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -448,7 +448,7 @@ def _cutter(packed: bool):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed byte runs), kept_sha256 for every row of docs."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 16 << 20)  # equal phrases of a batch travel once
     # An alias of an unchanged id would keep the two joins below from sharing one exchange of the texts.
     doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
     rows = docs.select(doc_id, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
@@ -456,22 +456,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n_buckets = BUCKETS * parts
     known = rows.where("doc_id IS NOT NULL")
     # The inner join below would add this filter on one side only, and the two exchanges would differ.
-    packed = known.mapInArrow(_pack, "doc_id long, text binary").where("doc_id IS NOT NULL")
+    packed = known.mapInArrow(tidy(_pack), "doc_id long, text binary").where("doc_id IS NOT NULL")
     cut_sql = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string"
 
     def by_bucket(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, "k").sortWithinPartitions("k")
 
     def settled(entries: DataFrame, settle) -> DataFrame:
-        marks = by_bucket(entries).mapInArrow(_resolver(settle, n_buckets), _OUT_SQL)
-        rows = by_bucket(marks).mapInArrow(_delivered, "m_id long, whole binary, asked binary, strings binary")
+        marks = by_bucket(entries).mapInArrow(tidy(_resolver(settle, n_buckets)), _OUT_SQL)
+        rows = by_bucket(marks).mapInArrow(tidy(_delivered), "m_id long, whole binary, asked binary, strings binary")
         return rows.where("m_id IS NOT NULL")  # on both uses alike, so that one exchange serves both
 
-    phrases = settled(known.where(F.octet_length("text") >= LENGTH).mapInArrow(_parser(n_buckets), _OUT_SQL), _settle_phrases).select("m_id", "whole", "asked")
+    phrases = settled(known.where(F.octet_length("text") >= LENGTH).mapInArrow(tidy(_parser(n_buckets)), _OUT_SQL), _settle_phrases).select("m_id", "whole", "asked")
     met = packed.join(phrases, F.col("doc_id") == F.col("m_id"), "left").select("doc_id", "text", "whole", "asked")
     asked = met.where("asked IS NOT NULL").select("doc_id", "text", "asked")
-    strings = settled(asked.mapInArrow(_asked_strings(n_buckets), _OUT_SQL), _settle_strings).select(F.col("m_id").alias("s_id"), "strings")
-    joined = met.join(strings, F.col("doc_id") == F.col("s_id"), "left").select("doc_id", "text", "whole", "asked", "strings").mapInArrow(_cutter(True), cut_sql)
+    strings = settled(asked.mapInArrow(tidy(_asked_strings(n_buckets)), _OUT_SQL), _settle_strings).select(F.col("m_id").alias("s_id"), "strings")
+    joined = met.join(strings, F.col("doc_id") == F.col("s_id"), "left").select("doc_id", "text", "whole", "asked", "strings").mapInArrow(tidy(_cutter(True)), cut_sql)
     nothing = [F.lit(None).cast("binary").alias(c) for c in ("whole", "asked", "strings")]
-    unnamed = rows.where("doc_id IS NULL").select("doc_id", "text", *nothing).mapInArrow(_cutter(False), cut_sql)
+    unnamed = rows.where("doc_id IS NULL").select("doc_id", "text", *nothing).mapInArrow(tidy(_cutter(False)), cut_sql)
     return joined.unionByName(unnamed)

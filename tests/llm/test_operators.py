@@ -799,3 +799,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert now.where("text LIKE '%9c8b4543%'").count() == 0
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, got.collect())) == sorted(map(str, now.collect()))
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Each stage on null texts, null and repeated ids, empty and very long texts, an empty table and extra columns with clashing names."""
+    import corpus_pipeline
+
+    rng = random.Random(77)
+    base = [(i, prose(rng, 50), "en", f"s{i % 2}", 9, 1.5, "x") for i in range(40)]
+    odd = [(None, None, None, None, None, None, None), (None, "just one text", "en", None, 1, None, "y"), (None, "just one text", "en", None, 1, None, "y"), (100, None, "en", "s0", None, 0.5, None), (101, "", "en", "s1", 0, 0.1, "z"),
+           (102, "lorem ipsum " * 60_000, "en", "s0", 3, 0.2, "w"), (3, base[3][1], "en", "s1", 9, 1.5, "x"), (4, "another text under a known id " * 3, "en", "s0", 9, 1.5, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, hits string, taken long"
+    docs = spark.createDataFrame([(*r, 5) for r in base + odd], schema)
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    bench_of(spark, [(0, " ".join(base[7][1].split()[5:30])), (1, None)]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {"toxicity": 48, "simhash_near_dedup": 46, "decontamination": 47, "secret_scan": 48}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        rows = got.collect()
+        assert got.columns[: len(docs.columns)] == docs.columns, name
+        if name in want:
+            assert len(rows) == want[name], name
+            assert sum(r.doc_id is None and r.text is None for r in rows) == 1 and sum(r.doc_id == 102 for r in rows) == 1
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0 and empty.columns == got.columns, name
