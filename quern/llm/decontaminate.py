@@ -33,7 +33,7 @@ SEEDS = ("110111", "11010011", "11111")
 MIN_WORDS, MIN_ITEM = 13, 5
 #: Bits of a bitmap for each hash of the benchmark, and the most and fewest bits of a bitmap (2 MB as a literal).
 COARSE = 1 << 16
-BITS_EACH, MOST_BITS, FEWEST_BITS = 16, 1 << 24, 1 << 16
+BITS_EACH, MOST_BITS, FEWEST_BITS = 64, 1 << 24, 1 << 16
 
 
 _WORDS = r"filter(split(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), w -> w <> '')"
@@ -83,9 +83,9 @@ def _doc_seeds(short_lengths: list[int], seeds) -> str:
     return f"array({', '.join(out)})"
 
 
-def _places(h: str, bits: int) -> tuple[str, str]:
-    """SQL: the two bits of hash h; a power of two of bits."""
-    return f"({h} & {bits - 1}L)", f"(shiftrightunsigned({h}, 32) & {bits - 1}L)"
+def _places(h: str, bits: int) -> tuple[str, ...]:
+    """SQL: the three bits of hash h; a power of two of bits."""
+    return f"({h} & {bits - 1}L)", f"(shiftrightunsigned({h}, 20) & {bits - 1}L)", f"(shiftrightunsigned({h}, 40) & {bits - 1}L)"
 
 
 def _filters(keys: DataFrame, columns: list[str], n: int) -> list[tuple[str, int]]:
