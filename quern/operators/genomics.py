@@ -127,16 +127,26 @@ def bounded(sequences: DataFrame, hits: DataFrame, left: str, right: str) -> Dat
     return j.select("id", F.when(problem.isNull(), F.expr("substring(sequence, la, rb - la + 1)")).alias("sequence"), problem.alias("problem"))
 
 
-def open_starts(contigs: DataFrame, window: int, most: float = 0.1) -> DataFrame:
-    """id, first, last (0-based) runs of window starts with at most this share of N, from running counts."""
+def open_starts(contigs: DataFrame, window: int, most: float = 0.1, chunk: int = 1 << 16) -> DataFrame:
+    """id, first, last (0-based) runs of window starts with at most this share of N, from running counts.
+
+    A contig is cut into chunks that overlap by a window, so that a chromosome is many tasks' work; runs that meet at a
+    border are put together again.
+    """
     from .tables import islands
 
-    base = contigs.select("id", F.posexplode(F.split("sequence", "")).alias("i", "c")).where("c <> ''")
-    w = Window.partitionBy("id").orderBy("i")
-    run = base.withColumn("n", F.sum(F.upper("c").eqNullSafe("N").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ahead = F.lead("n", window - 1).over(w)
-    share = (ahead - F.coalesce(F.lag("n").over(w), F.lit(0))) / window
-    return islands(run.withColumn("share", share).where(F.col("share") <= most), ["id"], "i").select("id", "first", "last")
+    n = F.length("sequence")
+    pieces = contigs.where(n > 0).select("id", "sequence", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("c"))
+    cut = F.substring(F.col("sequence"), F.col("c") * chunk + 1, F.lit(chunk + window - 1))
+    base = pieces.select("id", "c", cut.alias("s")).select("id", "c", F.posexplode(F.split("s", "")).alias("j", "b")).where("b <> ''")
+    w = Window.partitionBy("id", "c").orderBy("j")
+    run = base.withColumn("n", F.sum(F.upper("b").eqNullSafe("N").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    share = (F.lead("n", window - 1).over(w) - F.coalesce(F.lag("n").over(w), F.lit(0))) / window
+    kept = run.withColumn("share", share).where((F.col("share") <= most) & (F.col("j") < chunk)).select("id", "c", (F.col("c") * chunk + F.col("j")).alias("i"))
+    by = Window.partitionBy("id").orderBy("first")
+    new = F.coalesce(F.col("first") > F.lag("last").over(by) + 1, F.lit(True)).cast("int")
+    parts = islands(kept, ["id", "c"], "i").select("id", "first", "last", new.alias("new"))  # few rows a contig
+    return parts.withColumn("g", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "g").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("g")
 
 
 def sample_starts(intervals: list[tuple[str, int, int]], n: int = 10_000, seed: int = 0) -> list[tuple[str, int]]:
@@ -224,3 +234,18 @@ def detected_loci(fragments: DataFrame, proteins: DataFrame, contigs: DataFrame,
         ok(F.col("prefix")).alias("prefix"), ok(F.col("trim")).alias("trim"), ok(F.concat("prefix", kept)).alias("sequence"), ok(F.when(back, reverse_complement(dna)).otherwise(dna)).alias("dna"),
         ok(F.array_sort(F.transform(clipped, span))).alias("cds"), ok(F.startswith(kept, F.lit("M")) | (F.length("prefix") > 0)).alias("start_codon"), "problem",
     )
+
+
+def alignment_pairs(transcripts: DataFrame, loci: DataFrame, k: int = 11, shared: int = 2) -> DataFrame:
+    """transcript, locus, a, b, n: pairs worth an alignment (``kernels.align``), which share at least this many distinct words
+    of k bases on either strand of the locus; an equi-join on the words, not all pairs.  Pairs below that are not aligned."""
+    def words(s):
+        n = F.length(s) - (k - 1)
+        return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(s, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+
+    t = transcripts.select(F.col("id").alias("transcript"), F.explode(words(F.col("sequence"))).alias("word"))
+    both = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("sequence").alias("s")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("sequence")).alias("s")))).alias("x")
+    at = loci.select(F.col("id").alias("locus"), both).select("locus", "x.strand", F.explode(words(F.col("x.s"))).alias("word"))
+    near = t.join(at, "word").groupBy("transcript", "locus", "strand").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared).groupBy("transcript", "locus").agg(F.max("n").alias("n"))
+    a, b = transcripts.select(F.col("id").alias("transcript"), F.col("sequence").alias("a")), loci.select(F.col("id").alias("locus"), F.col("sequence").alias("b"))
+    return near.join(a, "transcript").join(b, "locus").select("transcript", "locus", "a", "b", "n")

@@ -87,14 +87,25 @@ def first_offenders(problems: DataFrame, group: list[str], key: str, most: int =
     return few  # collect_list leaves the nulls of the others out
 
 
+def _parts(df: DataFrame, column: str, parts: int = 256) -> Column:
+    """A part number that grows with the column; at most ``parts`` of about equal size, so that windows can run within each."""
+    cuts = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), lambda c: c < F.col(column)))
+
+
 def threshold_sweep(entries: DataFrame) -> DataFrame:
     """threshold, tp, fp, fn, tn, sensitivity, specificity, balanced for each distinct score (predicted positive: >= it).
 
-    Grouping by score comes first, so that the running sums go over distinct scores; a zero denominator gives null.
+    Grouping by score comes first; the running sums go over the distinct scores of a part, and the sums of the parts
+    above are added, so that no window spans the table.  A zero denominator gives null.
     """
     g = entries.groupBy(F.col("score").alias("threshold")).agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("n"))
-    down, whole = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    t = g.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("ps"), F.sum("n").over(whole).alias("ns"))
+    g = g.withColumn("part__", _parts(g, "threshold"))
+    per = g.groupBy("part__").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))  # a row for each part
+    above, whole = Window.orderBy(F.desc("part__")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sums = per.select("part__", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in "pn"), *(F.sum(c).over(whole).alias(f"{c}s") for c in "pn"))
+    down = Window.partitionBy("part__").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    t = g.join(F.broadcast(sums), "part__").select("threshold", (F.col("p0") + F.sum("p").over(down)).alias("tp"), (F.col("n0") + F.sum("n").over(down)).alias("fp"), "ps", "ns")
     t = t.select("threshold", "tp", "fp", (F.col("ps") - F.col("tp")).alias("fn"), (F.col("ns") - F.col("fp")).alias("tn"))
     share = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b)))
     t = t.withColumn("sensitivity", share("tp", "fn")).withColumn("specificity", share("tn", "fp"))

@@ -521,3 +521,12 @@ SELECT sequence, assignment, list(chain ORDER BY ord) AS chains, CASE WHEN assig
 def a21_secondary_structure(spark, sf):
     c = read(spark, sf, "orders").select(F.concat(F.lit("C"), _k()).alias("chain"), _k().alias("ord"), F.concat(F.lit("SEQ"), _c() % 40).alias("sequence"), F.when(_c() % 2 == 0, "HHHEE-").otherwise("HE----").alias("assignment"))
     return classify.secondary_structure(c)
+
+
+@query("""WITH s AS (SELECT item_id AS k, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAN') AS s FROM benchmark),
+x AS (SELECT DISTINCT k, substr(s, CAST(i AS INT), 11) AS w FROM (SELECT k, s, unnest(generate_series(1, length(s) - 10)) AS i FROM s)),
+y AS (SELECT DISTINCT k, z, substr(s, CAST(i AS INT), 11) AS w FROM (SELECT k, z, s, unnest(generate_series(1, length(s) - 10)) AS i FROM (SELECT k, '+' AS z, s FROM s UNION ALL SELECT k, '-', reverse(translate(s, 'ACGT', 'TGCA')) FROM s))),
+n AS (SELECT x.k AS a, y.k AS b, z, count(*) AS n FROM x JOIN y USING (w) GROUP BY ALL HAVING count(*) >= 3) SELECT a AS transcript, b AS locus, max(n) AS n FROM n GROUP BY 1, 2""")
+def j15_alignment_pairs(spark, sf):
+    d = _text(spark, sf, "benchmark", "item_id").select(F.col("k").alias("id"), F.translate("u", _ALL, _TO).alias("sequence"))
+    return G.alignment_pairs(d, d, 11, 3).select("transcript", "locus", "n")

@@ -11,10 +11,13 @@ CANONICAL = "ACDEFGHIKLMNPQRSTVWY"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, ord (0-based line), line.  Files of this kind are read whole, one per row, so that order is exact."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    rows = whole.select("file", F.posexplode(F.split("value", "\r\n|\r|\n", -1)).alias("ord", "line"))
-    return rows
+    """file, ord, line.  Files are split like any other; ord grows along a file: the split's first byte plus the row's place in it.
+
+    A split with another one behind it fills its task's input, so its rows are counted from 0 and stay below the next
+    split's first byte.
+    """
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("ord"), F.col("value").alias("line"))
 
 
 def lines_or_none(spark: SparkSession, path: str) -> DataFrame:
@@ -22,7 +25,7 @@ def lines_or_none(spark: SparkSession, path: str) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop):
         return lines(spark, path)
-    return spark.createDataFrame([], "file string, ord int, line string")
+    return spark.createDataFrame([], "file string, ord long, line string")
 
 
 def fasta(rows: DataFrame) -> DataFrame:

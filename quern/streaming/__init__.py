@@ -8,15 +8,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.tables import merge, refuse_conflicts
 
 
+def one_per_key(rows: DataFrame, keys: list[str], values: list[str], upgradable: list[str] = ()) -> DataFrame:
+    """The rows, equal ones once; two rows of a key that differ fail the job, but for blanks of upgradable columns."""
+
+    def value(c):
+        told = F.when(F.col(c) != "", F.col(c)) if c in upgradable else F.col(c)
+        lone = F.min(told).eqNullSafe(F.max(told)) & (F.lit(True) if c in upgradable else F.count(told).isin(0) | (F.count(told) == F.count(F.lit(1))))
+        found = F.coalesce(F.max(told), F.max(c)) if c in upgradable else F.max(c)
+        return F.when(lone, found).otherwise(F.raise_error(F.lit(f"conflicting values of {c} for a key")).cast(dict(rows.dtypes)[c])).alias(c)
+
+    return rows.groupBy(*keys).agg(*(value(c) for c in values))
+
+
 def incremental_merge(spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], target: str, keys: list[str], values: list[str], checkpoint: str, upgradable: list[str] = ()) -> StreamingQuery:
     """Read new Parquet files of source, transform them, and merge into versioned Parquet below target; returns the query.
 
-    Each batch writes ``target/v<batch>`` whole, so a batch that is run again overwrites its own version.
+    Each batch writes ``target/v<batch>`` whole, so a batch that is run again overwrites its own version; two rows of a key
+    that differ are an error, within a batch as well as between batches.
     """
 
     def versions() -> list[int]:
@@ -25,7 +39,7 @@ def incremental_merge(spark: SparkSession, source: str, schema, transform: Calla
         return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("v")) if fs.exists(at) else []
 
     def step(batch: DataFrame, number: int) -> None:
-        new = transform(batch).dropDuplicates(keys)
+        new = one_per_key(transform(batch), keys, values, upgradable)
         before = [v for v in versions() if v < number]
         if before:
             new = refuse_conflicts(merge(spark.read.parquet(f"{target}/v{before[-1]}"), new, keys, values, upgradable))

@@ -489,3 +489,53 @@ def test_library_imports_without_the_training_data_part():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"\bllm\b", p.read_text()), p
+
+
+def test_open_starts_over_chunk_borders(spark):
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choice("ACGTN" if rng.random() < 0.3 else "ACGT") for _ in range(n))) for i, n in enumerate((0, 5, 9, 10, 37, 200))]
+    df = spark.createDataFrame(rows, "id long, sequence string")
+    want = set()
+    for i, s in rows:
+        good = [k for k in range(len(s) - 9) if s[k : k + 10].count("N") <= 1]
+        for k in good:
+            if k - 1 not in good:
+                end = k
+                while end + 1 in good:
+                    end += 1
+                want.add((i, k, end))
+    for chunk in (7, 16, 1 << 16):
+        assert {tuple(r) for r in genomics.open_starts(df, 10, 0.1, chunk).collect()} == want
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("".join(f">p{i} x\n{'ACDE' * 10}\n{'K' * (i % 7)}\n" for i in range(400)))
+    (tmp_path / "b.fa").write_text(">q\r\nAC\r\nDE")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1k", "7k", "64m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {r.id: r.sequence for r in text.fasta(text.lines(spark, str(tmp_path))).collect()}
+            assert got == {f"p{i}": "ACDE" * 10 + "K" * (i % 7) for i in range(400)} | {"q": "ACDE"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_batches_with_conflicting_rows_fail(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v string, u string")
+    same = streaming.one_per_key(rows(("a", "1", ""), ("a", "1", "x"), ("a", "1", "x"), ("b", None, None), ("b", None, "")), ["k"], ["v", "u"], ["u"])
+    assert sorted((r.k, r.v, r.u) for r in same.collect()) == [("a", "1", "x"), ("b", None, "")]
+    for bad in (rows(("a", "1", ""), ("a", "2", "")), rows(("a", "1", "x"), ("a", "1", "y")), rows(("a", "1", "x"), ("a", None, "x"))):
+        with pytest.raises(Exception, match="conflicting values"):
+            streaming.one_per_key(bad, ["k"], ["v", "u"], ["u"]).collect()
+
+
+def test_alignment_pairs_share_words(spark):
+    rng = random.Random(4)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    whole = dna(300)
+    back = whole[100:140].translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    t = spark.createDataFrame([("fits", whole[50:90]), ("back", back), ("none", dna(40)), ("short", "ACGT"), ("empty", "")], "id string, sequence string")
+    loci = spark.createDataFrame([("l", whole), ("m", dna(200))], "id string, sequence string")
+    got = {(r.transcript, r.locus) for r in genomics.alignment_pairs(t, loci).collect()}
+    assert got == {("fits", "l"), ("back", "l")}
