@@ -14,8 +14,8 @@ and the sorted parse alone; the corpus' own suffixes are never sorted:
    sort by string, and the strings that a smaller doc_id has are marked.
 3. marked phrases and strings go back to their documents, which are read again, covered and cut.
 
-Equality is taken from hashes: of a phrase 48 bits beside the trigger's 32 and its bucket, of a string 64 bits and 32 of
-its first half (a corpus of 1e12 asked strings would be expected to confuse 6e-6 pairs).  Entries travel as packed binary blobs, one for each batch of texts and bucket; a batch sends equal entries once and
+Equality is taken from hashes: of a phrase 48 bits beside the trigger's 32 and its bucket, of a string 64 bits and 16 of
+its first half (of 1e12 asked strings, as in some 100 TB, 0.4 pairs would be expected to be confused).  Entries travel as packed binary blobs, one for each batch of texts and bucket; a batch sends equal entries once and
 resolves the others itself, so a phrase that a third of all documents share arrives once per batch.  Partitions are the
 session's (spark.sql.shuffle.partitions), with ``BUCKETS`` buckets each; a task holds one bucket at a time.
 
@@ -109,13 +109,13 @@ class Parse:
         return (self.prefix[b] - self.prefix[a]) * _IPOW[a]
 
     def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the 50-byte strings whose trigger is one of at[which], and their hashes, 64 and 32 bits."""
+        """Starts of the 50-byte strings whose trigger is one of at[which], and their hashes, 64 and 16 bits."""
         starts = (self.at[which][:, None] + np.arange(-(SPAN - 1), 1)).ravel()
         owner = np.repeat(self.gram[which], SPAN)
         ok = starts >= 0
         starts, owner = starts[ok], owner[ok]
         starts = np.unique(starts[self.low[starts] == owner])  # low is 0 where no string starts
-        return starts, _mix(self.sub(starts, starts + LENGTH) + _M3), (_mix(self.sub(starts, starts + LENGTH // 2) + _M2) >> np.uint64(32)).astype(np.uint32)
+        return starts, _mix(self.sub(starts, starts + LENGTH) + _M3), (_mix(self.sub(starts, starts + LENGTH // 2) + _M2) >> np.uint64(48)).astype(np.uint16)
 
 
 def _member(key: np.ndarray, pool: np.ndarray) -> np.ndarray:
@@ -177,7 +177,7 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
 
 #: Columns of a blob, one behind the other (an exchange compresses a column of near-equal text numbers well).
 _ENTRY = {"t": "<u4", "p0": "<u4", "p1": "<u2", "l": "u1", "r": "u1", "d": "<u2"}
-_STRING = {"s": "<u8", "h": "<u4", "d": "<u2"}
+_STRING = {"s": "<u8", "h": "<u2", "d": "<u2"}
 #: Rows between the steps: bucket k, and either entries with their doc_ids or (ids null) marks that are settled already.
 _OUT = pa.schema([("k", pa.int64()), ("ids", pa.binary()), ("blob", pa.binary())])
 _OUT_SQL = "k long, ids binary, blob binary"
