@@ -219,7 +219,7 @@ def c04_hydropathy(spark, sf):
     return _channel(spark, sf, channels.Scale("kd", 3))
 
 
-@query(f"WITH {_RES.format(r=4)} SELECT k, i AS position, c AS residue, round({_mean(_IDP)}, 9) AS v FROM w")
+@query(f"WITH {_RES.format(r=4)} SELECT k, i AS position, c AS residue, round({_mean(_IDP)}, 9) + 0.0 AS v FROM w")
 def c06_disorder(spark, sf):
     return _channel(spark, sf, channels.disorder("idp", 4))
 
