@@ -107,14 +107,14 @@ def w10_exon_residues(spark, sf):
 
 
 @query(f"""WITH {_EXONS}, w AS (SELECT protein, minus, exon, CASE WHEN minus THEN e ELSE s END AS a, CASE WHEN minus THEN s ELSE e END AS b FROM e)
-SELECT protein, CASE WHEN minus THEN '-' ELSE '+' END AS strand, f AS feature, CASE WHEN f IN ('start', 'ass') THEN a ELSE b END AS position FROM w, (VALUES ('start'), ('stop'), ('dss'), ('ass')) v(f)
+SELECT protein, CASE WHEN minus THEN '-' ELSE '+' END AS strand, f AS feature, CAST(CASE WHEN f IN ('start', 'ass') THEN a ELSE b END AS INT) AS position FROM w, (VALUES ('start'), ('stop'), ('dss'), ('ass')) v(f)
 WHERE (f = 'start' AND exon = 1) OR (f = 'stop' AND exon = 3) OR (f = 'dss' AND exon < 3) OR (f = 'ass' AND exon > 1)""")
 def g17_locus_features(spark, sf):
     return G.locus_features(_places(spark, sf))
 
 
 @query(f"""WITH {_EXONS}, b AS (SELECT protein, k, CASE WHEN minus THEN e - j ELSE s + j END AS base, before + j + 1 AS nth FROM e, (SELECT unnest(generate_series(0, 10)) AS j) WHERE j < n),
-a AS (SELECT protein, list(base ORDER BY nth) AS l, any_value(k % 5 + 1) AS aa FROM b GROUP BY 1) SELECT protein, l[CAST(aa * 3 - 2 AS INT)] AS base1, l[CAST(aa * 3 - 1 AS INT)] AS base2, l[CAST(aa * 3 AS INT)] AS base3 FROM a""")
+a AS (SELECT protein, list(base ORDER BY nth) AS l, any_value(k % 5 + 1) AS aa FROM b GROUP BY 1) SELECT protein, CAST(l[CAST(aa * 3 - 2 AS INT)] AS INT) AS base1, CAST(l[CAST(aa * 3 - 1 AS INT)] AS INT) AS base2, CAST(l[CAST(aa * 3 AS INT)] AS INT) AS base3 FROM a""")
 def j14_codon_positions(spark, sf):
     at = sequences.codon_positions((_k() % 5 + 1).cast("int"), F.col("cds"), F.col("strand") == "-")
     return _places(spark, sf).select("protein", at.alias("at")).select("protein", *(F.get("at", F.lit(i)).alias(f"base{i + 1}") for i in range(3)))
@@ -131,7 +131,7 @@ def g07_loci(spark, sf):
 
 
 @query(f"""WITH {_DNA}, p AS (SELECT *, k % 2 = 1 AS minus, k % 200 + 3 AS lo, k % 200 + 30 AS hi FROM dna), w AS (SELECT *, greatest(lo - 1 - CASE WHEN minus THEN 4 ELSE 7 END, 0) AS a, least(hi + CASE WHEN minus THEN 7 ELSE 4 END, length(s)) AS b FROM p)
-SELECT k, a AS window_0b, b AS window_0b_excl, CASE WHEN minus THEN reverse(translate(x, 'ACGT', 'TGCA')) ELSE x END AS sequence FROM (SELECT *, substr(s, CAST(a + 1 AS INT), CAST(greatest(b - a, 0) AS INT)) AS x FROM w)""")
+SELECT k, CAST(a AS INT) AS window_0b, CAST(b AS INT) AS window_0b_excl, CASE WHEN minus THEN reverse(translate(x, 'ACGT', 'TGCA')) ELSE x END AS sequence FROM (SELECT *, substr(s, CAST(a + 1 AS INT), CAST(greatest(b - a, 0) AS INT)) AS x FROM w)""")
 def g08_locus_window(spark, sf):
     d = _dna(spark, sf)
     lo, hi, minus = (F.col("k") % 200 + 3).cast("int"), (F.col("k") % 200 + 30).cast("int"), F.col("k") % 2 == 1
@@ -168,7 +168,7 @@ def g16_bounded(spark, sf):
 
 @query(f"""WITH {_DNA}, b AS (SELECT k, i, substr(s, CAST(i + 1 AS INT), 1) = 'N' AS n, length(s) AS len FROM (SELECT k, s, unnest(range(length(s))) AS i FROM dna)),
 w AS (SELECT k, i, len, sum(CAST(n AS INT)) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS n FROM b), o AS (SELECT k, i, i - row_number() OVER (PARTITION BY k ORDER BY i) AS g FROM w WHERE i + 10 <= len AND n / 10.0 <= 0.1)
-SELECT k AS id, min(i) AS first, max(i) AS last FROM o GROUP BY k, g""")
+SELECT k AS id, CAST(min(i) AS INT) AS first, CAST(max(i) AS INT) AS last FROM o GROUP BY k, g""")
 def w11_open_starts(spark, sf):
     return G.open_starts(_dna(spark, sf).select(F.col("k").alias("id"), F.col("s").alias("sequence")), 10)
 
@@ -240,7 +240,7 @@ def c08_dipeptide(spark, sf):
     return _channel(spark, sf, channels.Dipeptide("th", 6, "TH"))
 
 
-@query(f"""WITH {_RES.format(r=2)} SELECT k, i AS position, c AS residue, CASE WHEN regexp_matches(array_to_string(l, ''), 'A.E') AND ((i >= 3 AND regexp_matches(substr(u, CAST(i - 2 AS INT), 3), '^A.E$')) OR (i >= 2 AND regexp_matches(substr(u, CAST(i - 1 AS INT), 3), '^A.E$')) OR regexp_matches(substr(u, CAST(i AS INT), 3), '^A.E$')) THEN 1.0 ELSE 0.0 END AS v FROM w""")
+@query(f"""WITH {_RES.format(r=2)} SELECT k, i AS position, c AS residue, CASE WHEN regexp_matches(array_to_string(l, ''), 'A.E') AND ((i >= 3 AND regexp_matches(substr(u, CAST(i - 2 AS INT), 3), '^A.E$')) OR (i >= 2 AND regexp_matches(substr(u, CAST(i - 1 AS INT), 3), '^A.E$')) OR regexp_matches(substr(u, CAST(i AS INT), 3), '^A.E$')) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM w""")
 def c02_motif(spark, sf):
     return _channel(spark, sf, channels.Motif("mo", 0, "A.E"))
 
@@ -376,7 +376,7 @@ def o05_first_offenders(spark, sf):
     return T.first_offenders(d, ["g"], "id")
 
 
-@query("""SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderstatus DESC) AS rank FROM orders""")
+@query("""SELECT o_custkey, o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderstatus DESC) AS INT) AS rank FROM orders""")
 def w02_competition_rank(spark, sf):
     return T.competition_rank(read(spark, sf, "orders"), ["o_custkey"], [F.asc("o_orderpriority"), F.desc("o_orderstatus")]).select("o_custkey", "o_orderkey", "rank")
 
@@ -510,7 +510,7 @@ def g46_patch_id(spark, sf):
 
 
 @query("""WITH p AS (SELECT 'm' || (o_custkey % 50) AS model, 'A' AS chain_a, 'B' AS chain_b, 'p' || o_orderkey AS patch, o_orderkey % 9 AS score, o_custkey % 5 AS contacts, CASE WHEN o_orderkey % 3 = 0 THEN 'split' ELSE 'leaf' END AS status FROM orders)
-SELECT model, patch, row_number() OVER (PARTITION BY model ORDER BY score DESC, contacts DESC, patch) AS rank, CASE WHEN status = 'leaf' THEN sum(CASE WHEN status = 'leaf' THEN 1 ELSE 0 END) OVER (PARTITION BY model ORDER BY score DESC, contacts DESC, patch) END AS leaf_rank FROM p""")
+SELECT model, patch, CAST(row_number() OVER (PARTITION BY model ORDER BY score DESC, contacts DESC, patch) AS INT) AS rank, CASE WHEN status = 'leaf' THEN CAST(sum(CASE WHEN status = 'leaf' THEN 1 ELSE 0 END) OVER (PARTITION BY model ORDER BY score DESC, contacts DESC, patch) AS BIGINT) END AS leaf_rank FROM p""")
 def w09_patch_ranks(spark, sf):
     p = read(spark, sf, "orders").select(F.concat(F.lit("m"), _c() % 50).alias("model"), F.lit("A").alias("chain_a"), F.lit("B").alias("chain_b"), F.concat(F.lit("p"), _k()).alias("patch"), (_k() % 9).alias("score"), (_c() % 5).alias("contacts"), F.when(_k() % 3 == 0, "split").otherwise("leaf").alias("status"))
     return contacts.patch_ranks(p).select("model", "patch", "rank", "leaf_rank")

@@ -155,7 +155,7 @@ def s15_deeploc(spark, sf):
     return out.select("id", "localizations", F.array_join("signals", "+").alias("signals"), F.try_element_at("scores", F.lit("Nucleus")).alias("nucleus"), F.size("scores").alias("n_scores"), "problem")
 
 
-@query("""SELECT 'o' || o_orderkey || '|d' || o_custkey AS accession, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 3 THEN 2 ELSE 1 END AS n, CASE o_orderkey % 4 WHEN 1 THEN 'o' || o_orderkey || '_d' || o_custkey WHEN 0 THEN NULL ELSE 'o' || o_orderkey END AS call_id,
+@query("""SELECT 'o' || o_orderkey || '|d' || o_custkey AS accession, CAST(CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 3 THEN 2 ELSE 1 END AS BIGINT) AS n, CASE o_orderkey % 4 WHEN 1 THEN 'o' || o_orderkey || '_d' || o_custkey WHEN 0 THEN NULL ELSE 'o' || o_orderkey END AS call_id,
 CASE WHEN o_orderkey % 4 = 3 THEN 'ambiguous' END AS problem FROM orders""")
 def s16_resolve_ids(spark, sf):
     o, k, c = read(spark, sf, "orders"), F.col("o_orderkey"), F.col("o_custkey")
@@ -164,7 +164,7 @@ def s16_resolve_ids(spark, sf):
     return S.resolve_ids(calls, o.select(whole.alias("accession"))).select("accession", "n", "call_id", "problem")
 
 
-@query("""SELECT 'o' || o_orderkey AS id, o_orderstatus AS call, CAST(o_custkey % 100 AS DOUBLE) / 100 AS "p_noTP", CAST(o_orderkey % 50 AS DOUBLE) / 100 AS "p_SP", CASE WHEN o_orderkey % 3 > 0 THEN 0.25 END AS "p_mTP" FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 8 <> 0""")
+@query("""SELECT 'o' || o_orderkey AS id, o_orderstatus AS call, CAST(o_custkey % 100 AS DOUBLE) / 100 AS "p_noTP", CAST(o_orderkey % 50 AS DOUBLE) / 100 AS "p_SP", CASE WHEN o_orderkey % 3 > 0 THEN 0.25::DOUBLE END AS "p_mTP" FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 8 <> 0""")
 def s17_targetp(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     two = lambda x: F.format_string("%.2f", x / 100)
@@ -222,7 +222,7 @@ def s22_folds(spark, sf):
 
 
 @query("""WITH r AS (SELECT 'm' || o_orderkey AS model, CAST(o_custkey % 130 AS DOUBLE) / 100 AS iptm, o_orderkey % 5 AS kind FROM orders)
-SELECT model, CASE WHEN kind = 0 THEN NULL WHEN kind = 1 THEN NULL ELSE iptm END AS iptm, CASE WHEN kind IN (0, 2) THEN NULL ELSE 0.5 END AS ptm, CASE WHEN kind = 0 THEN 'json' WHEN kind > 1 AND iptm > 1 THEN 'range' END AS problem FROM r""")
+SELECT model, CASE WHEN kind = 0 THEN NULL WHEN kind = 1 THEN NULL ELSE iptm END AS iptm, CASE WHEN kind IN (0, 2) THEN NULL ELSE 0.5::DOUBLE END AS ptm, CASE WHEN kind = 0 THEN 'json' WHEN kind > 1 AND iptm > 1 THEN 'range' END AS problem FROM r""")
 def s24_confidence(spark, sf):
     k, two = F.col("o_orderkey"), F.format_string("%.2f", F.col("o_custkey") % 130 / 100)
     body = F.when(k % 5 == 0, "{iptm").when(k % 5 == 1, '{"iptm": null, "ptm": 0.5}').when(k % 5 == 2, F.concat(F.lit('{"iptm": '), two, F.lit(', "x": [1]}'))).otherwise(F.concat(F.lit('{"ptm": 0.5, "iptm": '), two, F.lit("}")))
@@ -254,7 +254,7 @@ def s27_artifacts(spark, sf):
     return S.artifacts(older)
 
 
-@query("""SELECT o_orderkey AS ord, 'l' || o_orderkey AS fold_locator, CASE WHEN k = 0 THEN NULL ELSE 'f' || o_custkey END AS fold_id, CASE WHEN k IN (0, 4) THEN NULL ELSE CAST(o_orderkey % 5 AS VARCHAR) END AS model_id, CASE WHEN k IN (0, 2, 3, 4) THEN NULL ELSE 0.25 END AS iptm, CASE WHEN k IN (0, 4) THEN NULL ELSE 0.5 END AS ptm,
+@query("""SELECT o_orderkey AS ord, 'l' || o_orderkey AS fold_locator, CASE WHEN k = 0 THEN NULL ELSE 'f' || o_custkey END AS fold_id, CASE WHEN k IN (0, 4) THEN NULL ELSE CAST(o_orderkey % 5 AS VARCHAR) END AS model_id, CASE WHEN k IN (0, 2, 3, 4) THEN NULL ELSE 0.25::DOUBLE END AS iptm, CASE WHEN k IN (0, 4) THEN NULL ELSE 0.5::DOUBLE END AS ptm,
 CASE WHEN k = 5 THEN 's1' END AS seed, CASE WHEN k = 4 THEN 'columns' WHEN k = 3 THEN 'ipTM' END AS problem FROM (SELECT *, o_orderkey % 6 AS k FROM orders)""")
 def s30_records(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
