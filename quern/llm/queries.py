@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the driver's tables, and SQL for those that DuckDB can express over whole tables."""
+"""The queries op1 to op13 over the driver's tables, and SQL for those that DuckDB can express over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, passages, pii, secrets, simhash, sketches, toxicity, url_filter
+from . import chat, decontaminate, divergence, merkle, mixing, passages, pii, secrets, simhash, sketches, token_files, toxicity, url_filter
 from ._common import read
 
 
@@ -55,8 +55,22 @@ def op10_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"), received=merkle.tampered_leaf())
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mix, op4_repeated_passages, op5_secret_scan, op6_decontaminate, op7_simhash, op8_personal_data, op9_chat_format, op10_sketches)
+    f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mix, op4_repeated_passages, op5_secret_scan, op6_decontaminate, op7_simhash, op8_personal_data, op9_chat_format, op10_sketches, op11_source_divergence, op12_merkle_manifest, op13_token_files)
 }
 
 _URL_SQL = r"""
@@ -93,4 +107,71 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": _URL_SQL, "op9_chat_format": _CHAT_SQL}
+_DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS c FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+k AS (SELECT lang, term, 1 + (1000000000 * (c + 2)) // (n + 2 * v) AS q FROM kept JOIN l USING (lang)),
+g AS (SELECT DISTINCT lang, source FROM d),
+gc AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM g LEFT JOIN gc USING (lang, source) GROUP BY ALL),
+p AS (SELECT gn.lang, gn.source, k.term, k.q, coalesce(gc.c, 0) AS c, 1 + (1000000000 * (coalesce(gc.c, 0) + 2)) // (gn.n + 2 * l.v) AS p
+      FROM gn JOIN k ON gn.lang = k.lang JOIN l ON gn.lang = l.lang LEFT JOIN gc ON gc.lang = gn.lang AND gc.source = gn.source AND gc.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS f
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o
+QUALIFY part = 'pair' OR rank <= 10
+"""
+
+#: Levels that the SQL below goes up in a language's tree and over the languages: each level is the same step, and a single node stays as it is.
+_SQL_LEVELS, _SQL_TOP_LEVELS = 7, 3
+
+
+def _merkle_sql() -> str:
+    def field(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def levels(name: str, part: str, n: int) -> list[str]:
+        """name0 (part, i, h) goes up to name<n>; name<k>r has the runs of level k, null for a single node."""
+        out = []
+        for k in range(n):
+            out.append(f"{name}{k}r AS (SELECT {part} AS part, i // 8 AS up, list(h ORDER BY i) AS run, sum(count(*)) OVER (PARTITION BY {part}) AS m FROM {name}{k} GROUP BY {part}, i // 8)")
+            out.append(f"{name}{k + 1} AS (SELECT part AS {part}, up AS i, CASE WHEN m > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h FROM {name}{k}r)")
+        return out
+
+    def climb(frm: str, to: str, name: str, part: str, k: int, at: str) -> str:
+        others = "list_concat(run[:pos], run[pos + 2:])"
+        return f"""{to} AS (SELECT x.* EXCLUDE (node, proof, run, m, pos), CASE WHEN m = 1 THEN proof ELSE proof || array_to_string({others}, '') END AS proof,
+                    CASE WHEN m = 1 THEN node ELSE sha256(array_to_string(run[:pos], '') || node || array_to_string(run[pos + 2:], '')) END AS node
+             FROM (SELECT c.*, r.run, r.n AS m, ({at} // {8**k}) % 8 AS pos FROM {frm} c
+                   JOIN (SELECT part, up, run, sum(len(run)) OVER (PARTITION BY part) AS n FROM {name}{k}r) r ON r.part IS NOT DISTINCT FROM c.{part} AND r.up = {at} // {8 ** (k + 1)}) x)"""
+
+    steps = [
+        f"""d AS (SELECT doc_id, lang, {leaf("text")} AS leaf, {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS low,
+             xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                 lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) ELSE xor(s >> 1, (s & 1) * 3988292384) END), 4294967295) AS crc FROM documents)""",
+        "e AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)",
+        "a0 AS (SELECT lang, i, leaf AS h FROM e)",
+        *levels("a", "lang", _SQL_LEVELS),
+        f"t AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j, 0 AS one FROM a{_SQL_LEVELS})",
+        "b0 AS (SELECT one, j AS i, subroot AS h FROM t)",
+        *levels("b", "one", _SQL_TOP_LEVELS),
+        "c0 AS (SELECT e.doc_id, e.lang, e.leaf, e.i, t.subroot, t.j, 0 AS one, '' AS proof, CASE WHEN crc % 3 = 0 THEN low ELSE leaf END AS node FROM e JOIN t ON t.lang IS NOT DISTINCT FROM e.lang)",
+        *(climb(f"c{k}", f"c{k + 1}", "a", "lang", k, "i") for k in range(_SQL_LEVELS)),
+        *(climb(f"c{_SQL_LEVELS + k}", f"c{_SQL_LEVELS + k + 1}", "b", "one", k, "j") for k in range(_SQL_TOP_LEVELS)),
+    ]
+    end = _SQL_LEVELS + _SQL_TOP_LEVELS
+    return (
+        "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = h AS verified FROM c{end} CROSS JOIN (SELECT h FROM b{_SQL_TOP_LEVELS})"
+    )
+
+
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": _URL_SQL, "op9_chat_format": _CHAT_SQL, "op11_source_divergence": _DIVERGENCE_SQL, "op12_merkle_manifest": _merkle_sql()}
