@@ -347,15 +347,15 @@ def g30_interface_score(spark, sf):
 
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 23 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_discount * 10 END AS score, CASE WHEN l_suppkey % 9 = 0 THEN 0 ELSE l_quantity * 40 END AS area, l_suppkey % 15 AS contacts, CASE WHEN l_partkey % 29 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(l_partkey % 70 AS DOUBLE) END AS share, l_linenumber % 4 AS clashes,
  CASE WHEN l_partkey % 31 = 0 THEN NULL ELSE CAST(3 + l_suppkey % 4 AS DOUBLE) END AS nearest, l_partkey % 4 AS salts, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE CAST(2 + l_partkey % 5 AS DOUBLE) END AS told, l_suppkey % 7 - 3 AS charge FROM lineitem),
- d AS (SELECT *, CASE WHEN area > 0 THEN 100 * contacts / area END AS density, coalesce(told, 100) AS bridge, salts >= 1 AND coalesce(told, 100) <= 4 AS short_bridge, isnan(share) OR nearest IS NULL OR area <= 0 AS unusable FROM v),
- r AS (SELECT *, clashes >= 3 OR (density <= 0.4 AND nearest > 4.5 AND bridge > 4) AS hovers,
-  share >= 40 AND clashes <= 1 AND area >= 500 AND area < 800 AND (density > 0.7 OR (short_bridge AND density > 0.25)) AS sideways,
-  share >= 40 AND clashes <= 1 AND area >= 800 AND area < 1400 AND (density > 0.7 OR (short_bridge AND density > 0.45)) AS cooperative,
-  share >= 25 AND clashes <= 1 AND area >= 700 AND area < 1200 AND salts >= 2 AND bridge <= 3 AND abs(charge) >= 3 AND density > 0.2 AS zipper,
-  share >= 45 AND clashes <= 2 AND area >= 1800 AND density > 0.5 AND (density > 0.6 OR (salts >= 1 AND bridge <= 3.5)) AS clamp,
-  share >= 40 AND clashes <= 2 AND salts >= 0 AND area >= 1000 AND area < 1800 AS greasy FROM d)
+ d AS (SELECT *, CASE WHEN area > 0 THEN 100 * contacts / area END AS density, coalesce(told, 100) AS salt_distance, isnan(share) OR nearest IS NULL OR area <= 0 AS unusable FROM v),
+ r AS (SELECT *, density <= 0.4 AND nearest > 4.5 AND salt_distance > 4 AS is_loose,
+  area >= 500 AND area < 800 AND share >= 40 AND clashes <= 1 AND (density > 0.7 OR (salts >= 1 AND salt_distance <= 4 AND density > 0.25)) AS is_lateral,
+  area >= 800 AND area < 1400 AND share >= 40 AND clashes <= 1 AND (density > 0.7 OR (salts >= 1 AND salt_distance <= 4 AND density > 0.45)) AS is_cooperative,
+  area >= 700 AND area < 1200 AND share >= 25 AND clashes <= 1 AND salts >= 2 AND salt_distance <= 3 AND abs(charge) >= 3 AND density > 0.2 AS is_zipper,
+  area >= 1800 AND share >= 45 AND density > 0.5 AND (density > 0.6 OR (salts >= 1 AND salt_distance <= 3.5)) AS is_clamp,
+  area >= 1000 AND area < 1800 AND share >= 40 AND salts >= 0 AS is_hydrophobic FROM d)
 SELECT l_orderkey, l_linenumber, CASE WHEN isnan(score) THEN NULL WHEN score < 0.23 THEN 'Reject' WHEN score >= 0.7 THEN 'High' WHEN score >= 0.5 OR (score >= 0.4 AND area < 1000) THEN 'Medium' ELSE 'Low' END AS tier,
- CASE WHEN NOT unusable THEN NOT hovers AND (sideways OR cooperative OR zipper OR clamp OR greasy) END AS feasible FROM r""")
+ CASE WHEN NOT unusable THEN clashes <= 2 AND NOT is_loose AND (is_lateral OR is_cooperative OR is_zipper OR is_clamp OR is_hydrophobic) END AS feasible FROM r""")
 def p15_tier_and_feasibility(spark, sf):
     c, nan = F.col, F.lit(float("nan"))
     area, q = F.when(c("l_suppkey") % 9 == 0, 0.0).otherwise(c("l_quantity") * 40), c("l_suppkey") % 7 - 3
