@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.accessions import leader_id
 from ..functions.sequences import after_last_stop, reverse_complement, starts_with_met, strip_organism, translate_codons
 from ..sources.text import values_of
+from .contigs import Contigs, leader_of
 
 
 def leader_candidates(proteins: DataFrame, within: int = 10) -> DataFrame:
@@ -70,14 +71,13 @@ def loci(features: DataFrame) -> DataFrame:
     return j.select("protein", "seqid", "strand", F.when(minus, hi).otherwise(lo).alias("start"), F.when(minus, lo).otherwise(hi).alias("end"), "cds")
 
 
-def locus_window(places: DataFrame, contigs: DataFrame, before: int, after: int) -> DataFrame:
+def locus_window(places: DataFrame, contigs: DataFrame | Contigs, before: int, after: int) -> DataFrame:
     """0-based half-open windows around loci, clipped to the contig, with the strand's sequence."""
-    j = places.join(contigs.select(F.col("id").alias("seqid"), F.col("sequence").alias("contig")), "seqid")
-    minus, lo, hi = F.col("strand") == "-", F.least("start", "end"), F.greatest("start", "end")
-    a = F.greatest(lo - 1 - F.when(minus, after).otherwise(before), F.lit(0))
-    b = F.least(hi + F.when(minus, before).otherwise(after), F.length("contig"))
-    dna = F.substring("contig", a + 1, b - a)
-    return j.select("protein", "seqid", "strand", a.alias("window_0b"), b.alias("window_0b_excl"), F.when(minus, reverse_complement(dna)).otherwise(dna).alias("sequence"))
+    return _store(contigs).windows(places, before, after)
+
+
+def _store(contigs: DataFrame | Contigs) -> Contigs:
+    return contigs if isinstance(contigs, Contigs) else Contigs.of(contigs)
 
 
 def locus_features(places: DataFrame) -> DataFrame:
@@ -119,12 +119,40 @@ def protein_names(records: DataFrame) -> DataFrame:
     return t.groupBy("accession").agg(F.min("name").alias("name"), F.when(F.countDistinct("name") > 1, "conflict").alias("problem"))
 
 
-def bounded(sequences: DataFrame, hits: DataFrame, left: str, right: str) -> DataFrame:
-    """Sequences from the start of their only hit of one model to the end of their only hit of the other."""
-    one = lambda m, p: hits.where(F.col("model") == m).groupBy(F.col("sequence").alias("id")).agg(F.count(F.lit(1)).alias(f"{p}n"), F.min("seq_from").alias(f"{p}a"), F.max("seq_to").alias(f"{p}b"))
-    j = sequences.join(one(left, "l"), "id", "left").join(one(right, "r"), "id", "left")
-    problem = F.when((F.coalesce("ln", F.lit(0)) != 1) | (F.coalesce("rn", F.lit(0)) != 1), "hits").when(F.col("la") > F.col("rb"), "order")
-    return j.select("id", F.when(problem.isNull(), F.expr("substring(sequence, la, rb - la + 1)")).alias("sequence"), problem.alias("problem"))
+def bounded(sequences: DataFrame, left_hits: DataFrame, right_hits: DataFrame, left_map: DataFrame, right_map: DataFrame, left_position: int = 1, right_position: int | None = None, describe: str | None = None) -> DataFrame:
+    """id, bounded_id, sequence, problem: sequences cut from a position of one model to a position of another, by their alignments.
+
+    hits: sequence, model_length, hmm_from, hmm_to; each sequence needs one hit of either model, which spans the position (right: the
+    model's last by default).  maps: id, hmm (``sources.text.alignment_map``: model position -> place in the sequence).  The id gets
+    ``_bounded_first-last`` before its first ``|``, and ``|describe`` at the end.  Problems: hits, position (beyond the model), span (the
+    hit ends before it), deletion (the position aligns to a gap), order, outside.
+    """
+    if min(left_position, right_position or 1) < 1:
+        raise ValueError("model positions start at 1")
+    if describe is not None and (not describe or any(c.isspace() for c in describe)):
+        raise ValueError("a description has no white space")
+
+    def one(hits, side):
+        return hits.groupBy(F.col("sequence").alias("id")).agg(F.count(F.lit(1)).alias(f"{side}n"), *(F.min(c).alias(f"{side}_{c}") for c in ("model_length", "hmm_from", "hmm_to")))
+
+    j = sequences.join(one(left_hits, "l"), "id", "left").join(one(right_hits, "r"), "id", "left")
+    wanted = {"l": F.lit(left_position), "r": F.col("r_model_length") if right_position is None else F.lit(right_position)}
+    j = j.withColumns({f"{s}_at": w for s, w in wanted.items()})
+    for side, places in (("l", left_map), ("r", right_map)):
+        at = places.select("id", F.explode("hmm").alias("k__", "cell__")).select("id", F.col("k__").alias(f"{side}_at"), F.col("cell__.pos").alias(f"{side}_pos"))
+        j = j.join(at, ["id", f"{side}_at"], "left")
+    beyond = lambda s: F.col(f"{s}_at") > F.col(f"{s}_model_length")
+    spans = lambda s: F.col(f"{s}_at").between(F.col(f"{s}_hmm_from"), F.col(f"{s}_hmm_to"))
+    first, last = F.col("l_pos"), F.col("r_pos")
+    problem = (
+        F.when((F.coalesce("ln", F.lit(0)) != 1) | (F.coalesce("rn", F.lit(0)) != 1), "hits").when(beyond("l") | beyond("r"), "position").when(~spans("l") | ~spans("r"), "span")
+        .when(first.isNull() | last.isNull(), "deletion").when(first > last, "order").when((first < 1) | (last > F.length("sequence")), "outside")
+    )
+    t = j.withColumn("problem", problem)
+    head, rest = F.split_part("id", F.lit("|"), F.lit(1)), F.regexp_extract("id", r"^[^|]*(\|.*)?$", 1)
+    name = F.concat(head, F.lit("_bounded_"), first.cast("string"), F.lit("-"), last.cast("string"), rest, F.lit("" if describe is None else f"|{describe}"))
+    ok = F.col("problem").isNull()
+    return t.select("id", F.when(ok, name).alias("bounded_id"), F.when(ok, F.substring("sequence", first, last - first + 1)).alias("sequence"), "problem")
 
 
 def open_starts(contigs: DataFrame, window: int, most: float = 0.1, chunk: int = 1 << 16) -> DataFrame:
@@ -197,41 +225,47 @@ def leader_prefix(contig: Column, first_base: Column, minus: Column) -> Column:
     return F.regexp_replace(upstream_tail(contig, first_base, minus), "^.*M", "M")
 
 
-def detected_loci(fragments: DataFrame, proteins: DataFrame, contigs: DataFrame, *, leader: bool = True) -> DataFrame:
+def detected_loci(fragments: DataFrame, proteins: DataFrame, contigs: DataFrame | Contigs, *, leader: bool = True) -> DataFrame:
     """Loci of proteins that were found as fragments on a contig, with their leader or start trim unless ``leader`` is off.
 
     fragments: protein, contig, start, end (on the contig, reversed on the minus strand), target_start, target_end (place in
-    the protein, null: by contig place), ord.  proteins: protein, sequence.  contigs: id, sequence.  Returns protein, contig,
-    start, end, strand, prefix, trim, sequence (of the protein), dna, cds (1-based spans along the strand within the locus),
+    the protein, null: by contig place), ord.  proteins: protein, sequence.  contigs: a store, or rows (id, sequence).  Returns protein,
+    contig, start, end, strand, prefix, trim, sequence (of the protein), dna, cds (1-based spans along the strand within the locus),
     start_codon, problem (fragments, contigs, contig missing, before the contig; then the rest is null).
     """
+    store = _store(contigs)
     lo, hi = F.least("start", "end"), F.greatest("start", "end")
     place = F.when(F.col("target_start").isNull(), lo).otherwise(F.least("target_start", "target_end"))
     part = F.struct(place.alias("place"), "ord", "contig", "start", "end", lo.alias("lo"), hi.alias("hi"))
     per = fragments.groupBy("protein").agg(F.array_sort(F.collect_list(part)).alias("parts"))  # a protein has few fragments
     t = proteins.select("protein", "sequence").join(per, "protein", "left")
     t = t.withColumn("contig", F.col("parts")[0]["contig"]).withColumn("first", F.col("parts")[0]["start"]).withColumn("end", F.element_at("parts", -1)["end"])
-    t = t.join(contigs.select(F.col("id").alias("contig"), F.col("sequence").alias("whole")), "contig", "left")
+    t = t.join(store.lengths.select(F.col("id").alias("contig"), "n_bases"), "contig", "left")
     one = ~F.exists("parts", lambda p: ~p["contig"].eqNullSafe(F.col("contig")))
     minus = F.col("first") > F.col("end")
     trim = start_trim(F.col("sequence")) if leader else F.lit(0)
     t = t.withColumn("trim", trim)
-    bare = (F.col("trim") == 0) & ~F.startswith("sequence", F.lit("M"))
-    t = t.withColumn("prefix", F.when(bare, leader_prefix(F.col("whole"), F.col("first"), minus)).otherwise("") if leader else F.lit(""))
+    if leader:  # only proteins without a start read upstream
+        bare = F.col("n_bases").isNotNull() & (F.col("trim") == 0) & ~F.startswith("sequence", F.lit("M"))
+        tails = store.upstream_tails(t.where(bare).select(F.col("protein").alias("key"), F.col("contig").alias("id"), F.col("first").alias("start"), minus.alias("minus")))
+        t = t.join(tails.select(F.col("key").alias("protein"), leader_of(F.col("tail")).alias("prefix")), "protein", "left").withColumn("prefix", F.coalesce("prefix", F.lit("")))
+    else:
+        t = t.withColumn("prefix", F.lit(""))
     along = F.when(minus, -1).otherwise(1)
     t = t.withColumn("start", F.col("first") + along * 3 * (F.col("trim") - F.length("prefix")))
-    problem = F.when(F.col("parts").isNull(), "fragments").when(~one, "contigs").when(F.col("whole").isNull(), "contig missing").when(F.least("start", "end") < 1, "before the contig")
-    t = t.withColumn("problem", problem)
+    problem = F.when(F.col("parts").isNull(), "fragments").when(~one, "contigs").when(F.col("n_bases").isNull(), "contig missing").when(F.least("start", "end") < 1, "before the contig")
     back = F.col("start") > F.col("end")
     a, b = F.least("start", "end"), F.greatest("start", "end")
+    t = t.withColumn("problem", problem).withColumn("back", back).withColumn("lo", (a - 1).cast("long")).withColumn("hi", b.cast("long"))
+    asked = t.where("problem IS NULL").select(F.col("protein").alias("key"), F.col("contig").alias("id"), "lo", "hi")
+    t = t.join(store.cut_out(asked, "dna").select(F.col("key").alias("protein"), "dna"), "protein", "left")
     clipped = F.filter(F.transform("parts", lambda p: F.struct(F.greatest(p["lo"], a).alias("lo"), F.least(p["hi"], b).alias("hi"))), lambda p: p["lo"] <= p["hi"])
     span = lambda p: F.when(back, F.struct((F.col("start") - p["hi"] + 1).alias("s"), (F.col("start") - p["lo"] + 1).alias("e"))).otherwise(F.struct((p["lo"] - F.col("start") + 1).alias("s"), (p["hi"] - F.col("start") + 1).alias("e")))
-    dna = F.substring("whole", a, b - a + 1)
     kept = F.substring("sequence", F.col("trim") + 1, F.length("sequence"))
     ok = lambda c: F.when(F.col("problem").isNull(), c)
     return t.select(
         "protein", ok(F.col("contig")).alias("contig"), ok(F.col("start")).alias("start"), ok(F.col("end")).alias("end"), ok(F.when(back, "-").otherwise("+")).alias("strand"),
-        ok(F.col("prefix")).alias("prefix"), ok(F.col("trim")).alias("trim"), ok(F.concat("prefix", kept)).alias("sequence"), ok(F.when(back, reverse_complement(dna)).otherwise(dna)).alias("dna"),
+        ok(F.col("prefix")).alias("prefix"), ok(F.col("trim")).alias("trim"), ok(F.concat("prefix", kept)).alias("sequence"), ok(F.when(back, reverse_complement(F.col("dna"))).otherwise(F.col("dna"))).alias("dna"),
         ok(F.array_sort(F.transform(clipped, span))).alias("cds"), ok(F.startswith(kept, F.lit("M")) | (F.length("prefix") > 0)).alias("start_codon"), "problem",
     )
 

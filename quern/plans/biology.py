@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import channels, rules
 from ..functions import intervals, sequences
 from ..operators import genomics as G
 from ..operators import tables as T
-from ..structure import classify, contacts
+from ..operators.contigs import Contigs, leader_of
+from ..structure import classify, contacts, helices
 from .registry import HITS, hits, query, read
 
 
@@ -55,8 +56,11 @@ def g10_translation(spark, sf):
 w AS (SELECT k, substr(before, CAST(length(before) % 3 + 1 AS INT)) AS x FROM b), p AS (SELECT k, split_part({_translated('x')}, '*', -1) AS tail FROM w)
 SELECT k, tail, regexp_replace(tail, '^.*M', 'M') AS prefix FROM p""")
 def g09_leader_prefix(spark, sf):
+    d = _dna(spark, sf)
     first, minus = (F.col("k") % 300 + 40).cast("int"), F.col("k") % 2 == 1
-    return _dna(spark, sf).select("k", G.upstream_tail(F.col("s"), first, minus).alias("tail"), G.leader_prefix(F.col("s"), first, minus).alias("prefix"))
+    store = Contigs.of(d.select(F.col("k").alias("id"), F.col("s").alias("sequence")), 400)
+    tails = store.upstream_tails(d.select(F.col("k").alias("key"), F.col("k").alias("id"), first.alias("start"), minus.alias("minus")), 120)  # some read on
+    return tails.select(F.col("key").alias("k"), "tail", leader_of(F.col("tail")).alias("prefix"))
 
 
 def _proteins(spark, sf) -> DataFrame:
@@ -66,6 +70,36 @@ def _proteins(spark, sf) -> DataFrame:
 _PROTEINS = f"{_U}, p AS (SELECT 'p' || k AS protein, u AS sequence, translate(lpad(CAST(k % 10000 AS VARCHAR), 4, '0'), '0123456789', 'MAKMLEMGHM') AS tail, k % 30 + 1 AS anchor FROM t)"
 
 
+# Contigs are FASTA files of lines of 60 bases; two fragments a protein, the second one behind the first on its strand; a start is trimmed, found upstream or missing.
+@query(f"""WITH {_DNA}, f AS (SELECT k, s, length(s) AS n, k % 2 = 1 AS minus, k % 3 AS kind, k % 11 = 5 AS lost, k % 13 = 6 AS torn FROM dna),
+p AS (SELECT *, CASE WHEN minus THEN n - k % 40 - 30 ELSE k % 40 + 31 END AS first, CASE kind WHEN 0 THEN 'MAKL' WHEN 1 THEN 'LMAKL' ELSE 'AAKL' END AS protein FROM f),
+e AS (SELECT *, CASE WHEN minus THEN first - 59 ELSE first + 59 END AS last, CASE kind WHEN 1 THEN 1 ELSE 0 END AS trim,
+ CASE WHEN minus THEN reverse(translate(substr(s, CAST(first + 1 AS INT)), 'ACGT', 'TGCA')) ELSE substr(s, 1, CAST(first - 1 AS INT)) END AS before FROM p),
+x AS (SELECT *, substr(before, CAST(length(before) % 3 + 1 AS INT)) AS x FROM e),
+y AS (SELECT *, CASE WHEN kind = 2 THEN regexp_replace(split_part({_translated('x')}, '*', -1), '^.*M', 'M') ELSE '' END AS prefix FROM x),
+l AS (SELECT *, first + CASE WHEN minus THEN -1 ELSE 1 END * 3 * (trim - length(prefix)) AS "start", CASE WHEN torn THEN 'contigs' WHEN lost THEN 'contig missing' END AS known FROM y WHERE n >= 140),
+q AS (SELECT *, CASE WHEN known IS NOT NULL THEN known WHEN least("start", last) < 1 THEN 'before the contig' END AS problem, substr(s, CAST(least("start", last) AS INT), CAST(abs("start" - last) + 1 AS INT)) AS d FROM l)
+SELECT k AS protein, CASE WHEN problem IS NULL THEN "start" END AS "start", CASE WHEN problem IS NULL THEN last END AS "end", CASE WHEN problem IS NULL THEN prefix END AS prefix, CASE WHEN problem IS NULL THEN prefix || substr(protein, trim + 1) END AS sequence,
+ CASE WHEN problem IS NULL THEN md5(CASE WHEN minus THEN reverse(translate(d, 'ACGT', 'TGCA')) ELSE d END) END AS dna, problem FROM q""")
+def g06_detected_loci(spark, sf):
+    k, d = F.col("k"), _dna(spark, sf)
+    n = F.length("s")
+    d = d.where(n >= 140).select("k", "s", n.alias("n"), (k % 2 == 1).alias("minus"))
+    wrapped = F.regexp_extract_all("s", F.lit("(.{1,60})"), 1)
+    kept = d.where(k % 11 != 5)
+    texts = kept.select(F.concat(F.lit("f"), k % 3).alias("file"), k, F.posexplode(F.concat(F.array(F.concat(F.lit(">c"), k, F.lit(" a contig"))), wrapped)).alias("i", "line"))
+    store = Contigs.from_fasta(texts.select("file", (k * 100_000 + F.col("i")).alias("ord"), "line"), 500)
+    first = F.when(F.col("minus"), F.col("n") - k % 40 - 30).otherwise(k % 40 + 31)
+    step = F.when(F.col("minus"), -1).otherwise(1)
+    contig = F.concat(F.lit("c"), k)
+    parts = F.array(F.struct(contig.alias("contig"), first.alias("start"), (first + step * 29).alias("end"), F.lit(1).alias("target_start"), F.lit(10).alias("target_end"), F.lit(0).alias("ord")),
+                    F.struct(F.when(k % 13 == 6, "elsewhere").otherwise(contig).alias("contig"), (first + step * 30).alias("start"), (first + step * 59).alias("end"), F.lit(11).alias("target_start"), F.lit(20).alias("target_end"), F.lit(1).alias("ord")))
+    fragments = d.select(k.alias("protein"), F.explode(parts).alias("p")).select("protein", "p.*")
+    proteins = d.select(k.alias("protein"), F.when(k % 3 == 0, "MAKL").when(k % 3 == 1, "LMAKL").otherwise("AAKL").alias("sequence"))
+    out = G.detected_loci(fragments, proteins, store)
+    return out.select("protein", "start", "end", "prefix", "sequence", F.md5(F.col("dna").cast("binary")).alias("dna"), "problem")
+
+
 @query(f"""WITH {_PROTEINS} SELECT protein, protein AS accession, 'original' AS start_label, 1 AS "start", md5(sequence) AS digest, true AS is_original FROM p
 UNION ALL SELECT protein, protein || '_with_leader_' || i || '_M', CAST(i AS VARCHAR), i, md5(substr(sequence, CAST(i AS INT))), false FROM p, (SELECT unnest(generate_series(2, 10)) AS i) WHERE substr(sequence, CAST(i AS INT), 1) = 'M'""")
 def g01_leader_candidates(spark, sf):
@@ -136,7 +170,8 @@ def g08_locus_window(spark, sf):
     d = _dna(spark, sf)
     lo, hi, minus = (F.col("k") % 200 + 3).cast("int"), (F.col("k") % 200 + 30).cast("int"), F.col("k") % 2 == 1
     places = d.select(F.col("k").cast("string").alias("protein"), F.concat(F.lit("k"), "k").alias("seqid"), F.when(minus, "-").otherwise("+").alias("strand"), F.when(minus, hi).otherwise(lo).alias("start"), F.when(minus, lo).otherwise(hi).alias("end"))
-    w = G.locus_window(places, d.select(F.concat(F.lit("k"), "k").alias("id"), F.col("s").alias("sequence")), 7, 4)
+    store = Contigs.of(d.select(F.concat(F.lit("k"), "k").alias("id"), F.col("s").alias("sequence")), 17)  # windows run over several chunks
+    w = G.locus_window(places, store, 7, 4)
     return w.select(F.col("protein").cast("long").alias("k"), "window_0b", "window_0b_excl", "sequence")
 
 
@@ -156,14 +191,31 @@ def g13_protein_names(spark, sf):
     return G.protein_names(read(spark, sf, "orders").select(F.concat(F.lit("c"), _c() % 300).alias("id"), F.concat(name, F.lit(" [organism "), "o_orderstatus", F.lit("]")).alias("description")))
 
 
-@query(f"""WITH {_U}, h AS (SELECT l_orderkey, count(*) FILTER (l_linenumber = 1) AS ln, min(l_partkey % 60 + 1) FILTER (l_linenumber = 1) AS la, count(*) FILTER (l_linenumber = 2) AS rn, max(l_suppkey % 90 + 20) FILTER (l_linenumber = 2) AS rb FROM lineitem GROUP BY 1),
-j AS (SELECT k, u, la, rb, CASE WHEN coalesce(ln, 0) <> 1 OR coalesce(rn, 0) <> 1 THEN 'hits' WHEN la > rb THEN 'order' END AS problem FROM t LEFT JOIN h ON l_orderkey = k)
-SELECT CAST(k AS VARCHAR) AS id, CASE WHEN problem IS NULL THEN substr(u, CAST(la AS INT), CAST(rb - la + 1 AS INT)) END AS sequence, problem FROM j""")
+# Model L has 8 positions and R 10; each sequence is aligned to both by the digits of a number (0: a gap, else a residue), hits are lines of an order.
+@query(f"""WITH {_U}, h AS (SELECT l_orderkey AS k, l_linenumber % 2 AS side, 1 + (l_partkey % 3) // 2 AS a, 7 + l_suppkey % 4 AS b FROM lineitem WHERE l_linenumber < 4 OR l_orderkey % 5 = 0),
+o AS (SELECT k, side, count(*) AS n, min(a) AS a, min(b) AS b FROM h GROUP BY 1, 2),
+m AS (SELECT k, side, i, substr(lpad(CAST(k * CASE side WHEN 1 THEN 7919 ELSE 104729 END % 10000000000 AS VARCHAR), 10, '1'), CAST(i AS INT), 1) <> '0' AS there FROM t, (SELECT unnest([0, 1]) AS side), (SELECT unnest(generate_series(1, 10)) AS i)),
+p AS (SELECT k, side, i, CASE WHEN there THEN CAST(sum(CASE WHEN there THEN 1 ELSE 0 END) OVER (PARTITION BY k, side ORDER BY i) + CASE side WHEN 0 THEN k % 13 - 2 ELSE k % 3 END AS INT) END AS pos FROM m),
+j AS (SELECT t.k, u, l.n AS ln, r.n AS rn, l.a <= 2 AND 2 <= l.b AS lspan, r.a <= 10 AND 10 <= r.b AS rspan, lp.pos AS first, rp.pos AS last FROM t LEFT JOIN o l ON l.k = t.k AND l.side = 1 LEFT JOIN o r ON r.k = t.k AND r.side = 0
+ LEFT JOIN p lp ON lp.k = t.k AND lp.side = 1 AND lp.i = 2 LEFT JOIN p rp ON rp.k = t.k AND rp.side = 0 AND rp.i = 10),
+q AS (SELECT *, CASE WHEN coalesce(ln, 0) <> 1 OR coalesce(rn, 0) <> 1 THEN 'hits' WHEN NOT lspan OR NOT rspan THEN 'span' WHEN first IS NULL OR last IS NULL THEN 'deletion' WHEN first > last THEN 'order' WHEN first < 1 OR last > length(u) THEN 'outside' END AS problem FROM j)
+SELECT 's' || k || '|rest' AS id, CASE WHEN problem IS NULL THEN 's' || k || '_bounded_' || first || '-' || last || '|rest|core' END AS bounded_id, CASE WHEN problem IS NULL THEN substr(u, first, last - first + 1) END AS sequence, problem FROM q""")
 def g16_bounded(spark, sf):
-    s = _text(spark, sf).select(F.col("k").cast("string").alias("id"), F.col("u").alias("sequence"))
-    li, n = read(spark, sf, "lineitem"), F.col("l_linenumber")
-    h = li.where("l_linenumber < 3").select(F.col("l_orderkey").cast("string").alias("sequence"), F.when(n == 1, "L").otherwise("R").alias("model"), (F.col("l_partkey") % 60 + 1).cast("int").alias("seq_from"), (F.col("l_suppkey") % 90 + 20).cast("int").alias("seq_to"))
-    return G.bounded(s, h, "L", "R")
+    name = lambda k: F.concat(F.lit("s"), k, F.lit("|rest"))
+    s = _text(spark, sf).select(name(F.col("k")).alias("id"), F.col("u").alias("sequence"))
+    li = read(spark, sf, "lineitem").where("l_linenumber < 4 OR l_orderkey % 5 = 0")
+    h = li.select(name(F.col("l_orderkey")).alias("sequence"), (F.col("l_linenumber") % 2).alias("side"), (1 + F.floor(F.col("l_partkey") % 3 / 2)).cast("int").alias("hmm_from"), (7 + F.col("l_suppkey") % 4).cast("int").alias("hmm_to"))
+
+    def mapped(times, shift):
+        k, digits = F.col("k"), F.lpad((F.col("k") * times % 10_000_000_000).cast("string"), 10, "1")
+        cells = _text(spark, sf).select(k, F.posexplode(F.split(digits, "")).alias("i", "d")).where("i < 10").withColumn("there", F.col("d") != "0")
+        pos = F.sum(F.col("there").cast("int")).over(Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) + shift
+        cell = F.when(F.col("there"), F.struct(pos.cast("int").alias("pos"), F.lit("A").alias("aa")))
+        each = cells.select(k, F.struct((F.col("i") + 1).alias("hmm"), cell.alias("cell")).alias("e"))
+        return each.groupBy("k").agg(F.map_from_entries(F.collect_list("e")).alias("hmm")).select(name(k).alias("id"), "hmm")
+
+    left, right = (h.where(F.col("side") == side).withColumn("model_length", F.lit(n)) for side, n in ((1, 8), (0, 10)))
+    return G.bounded(s, left, right, mapped(7919, F.col("k") % 3), mapped(104_729, F.col("k") % 13 - 2), 2, None, "core")
 
 
 @query(f"""WITH {_DNA}, b AS (SELECT k, i, substr(s, CAST(i + 1 AS INT), 1) = 'N' AS n, length(s) AS len FROM (SELECT k, s, unnest(range(length(s))) AS i FROM dna)),
@@ -406,13 +458,29 @@ def _residues(spark, sf, scale: float = 20.0) -> DataFrame:
 _ATOMS = """a AS (SELECT 'C' || (label % 4) AS chain, vec_id AS number, vec_id % 101 AS plddt, vec_id % 5 AS t, {s} * CAST(embedding[1] AS DOUBLE) AS x, {s} * CAST(embedding[2] AS DOUBLE) AS y, {s} * CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"""
 
 
-@query(f"""WITH {_ATOMS.format(s=40)}, d AS (SELECT p.chain AS chain_a, q.chain AS chain_b, p.number AS na, q.number AS nb, p.t AS s, q.t AS t, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) AS d FROM a p JOIN a q ON p.chain < q.chain AND (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 <= 20.25),
-k AS (SELECT *, 'salt_bridge' AS kind FROM d WHERE d <= 4 AND ((s = 0 AND t = 1) OR (s = 1 AND t = 0)) UNION ALL SELECT *, 'phosphate' FROM d WHERE d <= 4 AND ((s = 0 AND t = 3) OR (s = 3 AND t = 0))
- UNION ALL SELECT *, 'hydrogen_bond' FROM d WHERE d <= 3.5 AND ((s IN (0, 4) AND t IN (1, 3, 4)) OR (t IN (0, 4) AND s IN (1, 3, 4))) UNION ALL SELECT *, 'nonpolar' FROM d WHERE s = 2 AND t = 2
- UNION ALL SELECT *, 'steric' FROM d WHERE CASE s WHEN 0 THEN 1.55 WHEN 2 THEN 1.7 ELSE 1.52 END + CASE t WHEN 0 THEN 1.55 WHEN 2 THEN 1.7 ELSE 1.52 END - d > 0.6)
-SELECT chain_a, chain_b, kind, count(DISTINCT (na, nb)) AS n, round(min(d), 5) AS shortest FROM k GROUP BY 1, 2, 3""")
+#: Atoms that tell readings apart: a modified residue's oxygen, a thiol, backbone atoms, proline's nitrogen, an acid's carbon, a hydrogen.
+_KINDS = [
+    ("LYS", "NZ", "N"), ("ASP", "OD1", "O"), ("ALA", "CB", "C"), ("SEP", "O1P", "O"), ("SER", "OG", "O"), ("CYS", "SG", "S"), ("CYS", "CB", "C"), ("LEU", "CA", "C"), ("PRO", "N", "N"), ("GLY", "N", "N"), ("SEP", "N", "N"), ("GLY", "O", "O"),
+    ("GLU", "CD", "C"), ("TPO", "P", "P"), ("HIS", "ND1", "N"), ("ALA", "HB1", "H"),
+]
+
+#: From the rule's words: who is basic, acidic, a phosphate's oxygen, a donor, an acceptor, a nonpolar side-chain atom, and radii.
+_KIND_SQL = """(VALUES (0, true, false, false, true, false, false, 1.55), (1, false, true, false, false, true, false, 1.52), (2, false, false, false, false, false, true, 1.7), (3, false, false, true, false, false, false, 1.52),
+ (4, false, false, false, true, true, false, 1.52), (5, false, false, false, false, false, true, 1.8), (6, false, false, false, false, false, true, 1.7), (7, false, false, false, false, false, false, 1.7), (8, false, false, false, false, false, false, 1.55),
+ (9, false, false, false, true, false, false, 1.55), (10, false, false, false, false, false, false, 1.55), (11, false, false, false, false, true, false, 1.52), (12, false, false, false, false, false, false, 1.7), (13, false, false, false, false, false, false, 1.8),
+ (14, false, false, false, true, true, false, 1.55)) k(t, basic, acidic, phosphate, donor, acceptor, greasy, radius)"""
+
+
+@query(f"""WITH a AS (SELECT 'C' || (label % 4) AS chain, vec_id AS number, 40 * CAST(embedding[1] AS DOUBLE) AS x, 40 * CAST(embedding[2] AS DOUBLE) AS y, 40 * CAST(embedding[3] AS DOUBLE) AS z, k.* FROM embeddings JOIN {_KIND_SQL} ON vec_id % 16 = t),
+d AS (SELECT p.chain AS chain_a, q.chain AS chain_b, p.number AS na, q.number AS nb, p AS p, q AS q, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) AS d FROM a p JOIN a q ON p.chain < q.chain AND (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 <= 20.25),
+i AS (SELECT *, 'salt_bridge' AS kind FROM d WHERE d <= 4 AND ((p.basic AND q.acidic) OR (p.acidic AND q.basic)) UNION ALL SELECT *, 'phosphate' FROM d WHERE d <= 4 AND ((p.basic AND q.phosphate) OR (p.phosphate AND q.basic))
+ UNION ALL SELECT *, 'hydrogen_bond' FROM d WHERE d <= 3.5 AND ((p.donor AND q.acceptor) OR (q.donor AND p.acceptor)) UNION ALL SELECT *, 'nonpolar' FROM d WHERE p.greasy AND q.greasy
+ UNION ALL SELECT *, 'steric' FROM d WHERE p.radius + q.radius - d > 0.6 AND NOT (p.t = 5 AND q.t = 5 AND d BETWEEN 1.8 AND 2.2))
+SELECT chain_a, chain_b, kind, count(DISTINCT (na, nb)) AS n, round(min(d), 5) AS shortest FROM i GROUP BY 1, 2, 3""")
 def a15_interaction_counts(spark, sf):
-    t = contacts.interaction_counts(contacts.interactions(_residues(spark, sf, 40.0)))
+    kind = F.element_at(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("resname", "name", "element"), k, strict=True))) for k in _KINDS)), (F.col("number") % 16 + 1).cast("int"))
+    atoms = _residues(spark, sf, 40.0).drop("resname", "name", "element").withColumn("k", kind).select("*", "k.*").drop("k")
+    t = contacts.interaction_counts(contacts.interactions(atoms))
     return t.select("chain_a", "chain_b", "kind", "n", F.round("shortest", 5).alias("shortest"))
 
 
@@ -441,10 +509,11 @@ def u03_contact_changes(spark, sf):
     return contacts.contact_changes(near.where("number_a % 3 > 0"), wide.where("number_a % 3 < 2"))
 
 
-@query("""WITH r AS (SELECT vec_id AS number, 'C' || (label % 4) AS chain FROM embeddings), s AS (SELECT * FROM r WHERE number % 9 = 0) SELECT chain, number FROM r WHERE number % 9 <> 0 AND EXISTS (SELECT 1 FROM s WHERE s.chain = r.chain AND abs(s.number - r.number) <= 2)""")
+@query("""WITH r AS (SELECT vec_id AS number, 'C' || (label % 4) AS chain, row_number() OVER (PARTITION BY label % 4 ORDER BY vec_id) AS i FROM embeddings), s AS (SELECT * FROM r WHERE number % 9 = 0)
+SELECT r.chain AS chain, r.number AS number, bool_or(r.i < s.i) AS upstream, bool_or(r.i > s.i) AS downstream FROM r JOIN s USING (chain) WHERE r.number % 9 <> 0 AND abs(s.i - r.i) <= 2 GROUP BY 1, 2""")
 def g36_flanks(spark, sf):
     r = _residues(spark, sf)
-    return contacts.flanks(r.where("number % 9 = 0"), r, 2).select("chain", "number")
+    return contacts.flanks(r.where("number % 9 = 0"), r, 2).select("chain", "number", "upstream", "downstream")
 
 
 @query(f"""WITH {_ATOMS.format(s=20)} SELECT chain, number FROM a WHERE number % 9 = 0 UNION SELECT q.chain, q.number FROM a p JOIN a q ON p.chain = q.chain AND p.number % 9 = 0 AND q.number % 9 <> 0 AND (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 <= 2.25""")
@@ -469,17 +538,44 @@ def a19_best_models(spark, sf):
     return classify.best_models(r, ["o_custkey"]).select("o_custkey", "ord")
 
 
-_RULES = [("DD", "Ia", "e1", 2, "mandatory"), ("DD", "Ia", "e2", 3, "alternative_or"), ("DD", "Ia", "e3", 1, "alternative_or"), ("DD", "Ib", "e2", 2, "mandatory"), ("DD", "Ib", "e4", 1, "optional"), ("CARD", "IIa", "e1", 4, "mandatory"), ("CARD", "IIa", "e2", 2, "mandatory")]
+_RULES = [
+    ("DD", "Ia", "alpha1", "2", "mandatory"), ("DD", "Ia", "alpha2", "3", "alternative_or"), ("DD", "Ia", "alpha3", "1", "alternative_or"), ("DD", "Ib", "alpha2", "2", "mandatory"), ("DD", "Ib", "alpha4", "1", "optional"),
+    ("DD", "IIa", "alpha1", "2", "mandatory"), ("DD", "IIIa", "alpha1", "2", "mandatory"), ("CARD", "IIb", "alpha1", "4", "mandatory"), ("CARD", "IIb", "alpha2", "2", "mandatory"), ("CARD", "IIIb", "alpha5", "1", "mandatory"),
+]
 
 
-@query("""WITH c AS (SELECT 'c' || o_custkey AS chain, CASE WHEN o_custkey % 3 = 0 THEN 'CARD' ELSE 'DD' END AS domain, count(*) FILTER (o_orderkey % 4 = 0) AS e1, count(*) FILTER (o_orderkey % 4 = 1) AS e2, count(*) FILTER (o_orderkey % 4 = 2) AS e3 FROM orders GROUP BY 1, 2),
-f AS (SELECT chain, 'Ia' AS face, e1 >= 2 AND (e2 >= 3 OR e3 >= 1) AS whole, e1 + e2 + e3 > 0 AS touched, [least(1.0, e1 / 2), greatest(least(1.0, e2 / 3), least(1.0, e3 / 1))] AS l FROM c WHERE domain = 'DD'
- UNION ALL SELECT chain, 'Ib', e2 >= 2, e2 > 0, [least(1.0, e2 / 2)] FROM c WHERE domain = 'DD' UNION ALL SELECT chain, 'IIa', e1 >= 4 AND e2 >= 2, e1 + e2 > 0, [least(1.0, e1 / 4), least(1.0, e2 / 2)] FROM c WHERE domain = 'CARD')
-SELECT chain, list(face || CASE WHEN whole THEN '' ELSE ' (partial)' END ORDER BY NOT whole, list_min(l) DESC, list_avg(l) DESC, face) AS faces FROM f WHERE touched GROUP BY 1""")
+# Coverage is contacting residues over all residues of an element (may exceed 1 in these tables); IIa and IIIa always tie and follow the order of faces.
+@query("""WITH c AS (SELECT 'c' || o_custkey AS chain, CASE WHEN o_custkey % 3 = 0 THEN 'CARD' ELSE 'DD' END AS domain, 4 + o_custkey % 3 AS s1, o_custkey % 4 AS s2, 9 AS s3, count(*) FILTER (o_orderkey % 4 = 0) AS n1, count(*) FILTER (o_orderkey % 4 = 1) AS n2, count(*) FILTER (o_orderkey % 4 = 2) AS n3 FROM orders GROUP BY ALL),
+v AS (SELECT *, n1 / s1 AS v1, CASE WHEN s2 > 0 THEN n2 / s2 ELSE 0 END AS v2, n3 / s3 AS v3 FROM c),
+f AS (SELECT chain, 'Ia' AS face, 1 AS place, n1 >= 2 AND (n2 >= 3 OR n3 >= 1) AS whole, n1 + n2 + n3 > 0 AS touched, least(v1, greatest(v2, v3)) AS low, (v1 + greatest(v2, v3)) / 2 AS mean FROM v WHERE domain = 'DD'
+ UNION ALL SELECT chain, 'Ib', 2, n2 >= 2, n2 > 0, v2, v2 FROM v WHERE domain = 'DD' UNION ALL SELECT chain, 'IIa', 3, n1 >= 2, n1 > 0, v1, v1 FROM v WHERE domain = 'DD'
+ UNION ALL SELECT chain, 'IIIa', 5, n1 >= 2, n1 > 0, v1, v1 FROM v WHERE domain = 'DD' UNION ALL SELECT chain, 'IIb', 4, n1 >= 4 AND n2 >= 2, n1 + n2 > 0, least(v1, v2), (v1 + v2) / 2 FROM v WHERE domain = 'CARD'),
+g AS (SELECT chain, list(face || CASE WHEN whole THEN '' ELSE ' (partial)' END ORDER BY NOT whole, low DESC, mean DESC, place) AS faces FROM f WHERE touched GROUP BY 1)
+SELECT c.chain, coalesce(faces, []) AS faces FROM c LEFT JOIN g USING (chain)""")
 def g43_faces(spark, sf):
-    table = spark.createDataFrame(_RULES, "domain string, face string, element string, min_residues int, requirement_type string")
-    o = read(spark, sf, "orders").select(F.concat(F.lit("c"), _c()).alias("chain"), F.when(_c() % 3 == 0, "CARD").otherwise("DD").alias("domain"), F.concat(F.lit("e"), _k() % 4 + 1).alias("element"))
-    return classify.faces(table, o.groupBy("chain", "domain", "element").agg(F.count(F.lit(1)).alias("n")))
+    table = spark.createDataFrame(_RULES, "domain string, face string, element string, min_residues string, requirement_type string").withColumn("min_residues", F.col("min_residues").cast("int"))
+    o = read(spark, sf, "orders").select(F.concat(F.lit("c"), _c()).alias("chain"), F.when(_c() % 3 == 0, "CARD").otherwise("DD").alias("domain"), _k(), _c())
+    sizes = {"alpha1": 4 + _c() % 3, "alpha2": _c() % 4, "alpha3": F.lit(9), "alpha4": F.lit(5)}
+    each = F.explode(F.array(*(F.struct(F.lit(e).alias("element"), (_k() % 4 == i).cast("int").alias("n"), s.cast("long").alias("size")) for i, (e, s) in enumerate(sizes.items()))))
+    return classify.faces(table, o.select("chain", "domain", each.alias("e")).groupBy("chain", "domain", "e.element").agg(F.sum("e.n").alias("n"), F.max("e.size").alias("size")))
+
+
+# Rows of the rules table with a fault each, by order number.
+@query("""WITH r AS (SELECT 'D' || o_orderkey AS domain, 'Ia' AS face, 'alpha1' AS element, '3' AS m, 'mandatory' AS kind, o_orderkey AS k, 0 AS copy FROM orders
+ UNION ALL SELECT 'D' || o_orderkey, 'Ia', 'alpha1', '1', 'mandatory', o_orderkey, 1 FROM orders WHERE o_orderkey % 9 = 7),
+f AS (SELECT CASE WHEN k % 9 = 1 AND copy = 0 THEN NULL ELSE domain END AS domain, CASE WHEN k % 9 = 2 THEN 'IVa' ELSE face END AS face, CASE WHEN k % 9 = 3 THEN 'alpha7' ELSE element END AS element,
+ CASE WHEN k % 9 = 4 THEN '2.5' WHEN k % 9 = 5 THEN '0' ELSE m END AS m, CASE WHEN k % 9 = 6 THEN 'optional' WHEN k % 9 = 8 THEN 'maybe' ELSE kind END AS kind, k FROM r)
+SELECT domain, face, element, CASE k % 9 WHEN 1 THEN 'incomplete' WHEN 2 THEN 'face' WHEN 3 THEN 'element' WHEN 4 THEN 'min_residues' WHEN 5 THEN 'min_residues' WHEN 7 THEN 'duplicate' WHEN 8 THEN 'requirement' END AS problem FROM f WHERE k % 9 NOT IN (0, 6)
+UNION ALL SELECT domain, face, NULL, 'only optional' FROM f WHERE k % 9 = 6""")
+def s29_rule_problems(spark, sf):
+    o, r = read(spark, sf, "orders"), _k() % 9
+    good = o.select(_k(), F.lit("3").alias("m"), F.lit(0).alias("copy")).unionByName(o.where(r == 7).select(_k(), F.lit("1").alias("m"), F.lit(1).alias("copy")))
+    pick = lambda n, bad, right: F.when(r == n, bad).otherwise(right)
+    rows = good.select(
+        pick(1, None, F.concat(F.lit("D"), _k())).alias("domain"), pick(2, "IVa", "Ia").alias("face"), pick(3, "alpha7", "alpha1").alias("element"),
+        F.when(r == 4, "2.5").when(r == 5, "0").otherwise(F.col("m")).alias("min_residues"), F.when(r == 6, "optional").when(r == 8, "maybe").otherwise("mandatory").alias("requirement_type"),
+    )
+    return classify.rule_problems(rows)
 
 
 @query("""WITH x AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN ['Ia'] WHEN 1 THEN ['Ia (partial)', 'IIa'] WHEN 2 THEN ['none'] WHEN 3 THEN [] ELSE NULL END AS a, CASE o_custkey % 4 WHEN 0 THEN ['Ib'] WHEN 1 THEN ['Ib (partial)'] WHEN 2 THEN ['IIb', 'Ia'] ELSE ['IIIa'] END AS b FROM orders)
@@ -509,13 +605,59 @@ def g46_patch_id(spark, sf):
     return g.select("o_custkey", classify.patch_id("tag", F.concat(F.lit("id"), _c()), F.lit("m"), F.col("l")).alias("patch"))
 
 
-@query("""WITH p AS (SELECT 'm' || (o_custkey % 50) AS model, 'A' AS chain_a, 'B' AS chain_b, 'p' || o_orderkey AS patch, o_orderkey % 9 AS score, o_custkey % 5 AS contacts, CASE WHEN o_orderkey % 3 = 0 THEN 'split' ELSE 'leaf' END AS status FROM orders)
-SELECT model, patch, CAST(row_number() OVER (PARTITION BY model ORDER BY score DESC, contacts DESC, patch) AS INT) AS rank, CASE WHEN status = 'leaf' THEN CAST(sum(CASE WHEN status = 'leaf' THEN 1 ELSE 0 END) OVER (PARTITION BY model ORDER BY score DESC, contacts DESC, patch) AS BIGINT) END AS leaf_rank FROM p""")
+@query("""WITH p AS (SELECT 'm' || (o_custkey % 50) AS model, 'p' || o_orderkey AS patch, 'A:' || (o_orderkey * 7919 % 1000003) || ',B:' || o_orderkey AS residues, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 9 END AS score, o_custkey % 5 AS contacts, CASE WHEN o_orderkey % 3 = 0 THEN 'split' ELSE 'leaf' END AS status FROM orders)
+SELECT model, patch, CAST(row_number() OVER w AS INT) AS rank, CASE WHEN status = 'leaf' THEN CAST(sum(CASE WHEN status = 'leaf' THEN 1 ELSE 0 END) OVER w AS BIGINT) END AS leaf_rank FROM p WINDOW w AS (PARTITION BY model ORDER BY coalesce(score, -1) DESC, contacts DESC, residues)""")
 def w09_patch_ranks(spark, sf):
-    p = read(spark, sf, "orders").select(F.concat(F.lit("m"), _c() % 50).alias("model"), F.lit("A").alias("chain_a"), F.lit("B").alias("chain_b"), F.concat(F.lit("p"), _k()).alias("patch"), (_k() % 9).alias("score"), (_c() % 5).alias("contacts"), F.when(_k() % 3 == 0, "split").otherwise("leaf").alias("status"))
+    residues = F.concat(F.lit("A:"), _k() * 7919 % 1_000_003, F.lit(",B:"), _k())
+    p = read(spark, sf, "orders").select(F.concat(F.lit("m"), _c() % 50).alias("model"), F.lit("A").alias("chain_a"), F.lit("B").alias("chain_b"), F.concat(F.lit("p"), _k()).alias("patch"), residues.alias("residues"), F.when(_k() % 11 > 0, _k() % 9).alias("score"), (_c() % 5).alias("contacts"), F.when(_k() % 3 == 0, "split").otherwise("leaf").alias("status"))
     return contacts.patch_ranks(p).select("model", "patch", "rank", "leaf_rank")
 
 
+# Chains of helices (60 residues of an order each, by rule of its key) whose kinks are 1 or 2 residues long, of a good or a bad code, some bent, some short.
+_HELIX = """o AS (SELECT o_orderkey AS k FROM orders), n AS (SELECT k, i, i % 20 AS j, i // 20 AS seg FROM o, (SELECT unnest(generate_series(1, 59)) AS i)),
+c AS (SELECT k, i, CASE WHEN j = 0 OR (j = 1 AND k % 4 = 1) THEN CASE WHEN k % 5 = 2 THEN 'G' WHEN k % 5 = 3 AND seg = 1 THEN NULL ELSE substr('-TS', CAST(1 + k % 3 AS INT), 1) END WHEN k % 7 = 3 AND j > 3 AND seg = 1 THEN 'E' ELSE 'H' END AS code,
+ {coords} FROM n)"""
+
+
+@query(f"""WITH {_HELIX.format(coords="0 AS x")}, s AS (SELECT k, i, coalesce(code, '?') AS code, i - row_number() OVER (PARTITION BY k, coalesce(code, '?') ORDER BY i) AS g FROM c),
+r AS (SELECT k, code, min(i) AS a, max(i) AS b FROM s GROUP BY k, code, g), h AS (SELECT *, lead(a) OVER (PARTITION BY k ORDER BY a) AS a2, lead(b) OVER (PARTITION BY k ORDER BY a) AS b2 FROM r WHERE code = 'H'),
+j AS (SELECT *, b - a < 3 OR b2 - a2 < 3 AS short FROM h WHERE a2 - b = 2 AND EXISTS (SELECT 1 FROM c WHERE c.k = h.k AND c.i = h.b + 1 AND c.code IN ('-', 'T', 'S'))),
+p AS (SELECT c.k, c.i, 2.3 * cos(i * 1.7) AS x, 2.3 * sin(i * 1.7) AS y, 1.5 * i AS z, i // 20 = 1 AND k % 3 = 1 AS tilt FROM c),
+q AS (SELECT k, i, x, CASE WHEN tilt THEN z ELSE y END AS y, CASE WHEN tilt THEN -y ELSE z END AS z FROM p),
+d AS (SELECT k, i, [lead(x) OVER w - x, lead(y) OVER w - y, lead(z) OVER w - z] AS d FROM q WINDOW w AS (PARTITION BY k ORDER BY i)),
+e AS (SELECT k, i, [d2[1] - d[1], d2[2] - d[2], d2[3] - d[3]] AS u, [d3[1] - d2[1], d3[2] - d2[2], d3[3] - d2[3]] AS v, [d[1] + d2[1] + d3[1], d[2] + d2[2] + d3[2], d[3] + d2[3] + d3[3]] AS w FROM (SELECT k, i, d, lead(d) OVER x AS d2, lead(d, 2) OVER x AS d3 FROM d WINDOW x AS (PARTITION BY k ORDER BY i))),
+f AS (SELECT k, i, [u[2] * v[3] - u[3] * v[2], u[3] * v[1] - u[1] * v[3], u[1] * v[2] - u[2] * v[1]] AS n, w FROM e WHERE v[3] IS NOT NULL AND w[3] IS NOT NULL),
+ax AS (SELECT k, i, list_transform(n, lambda t: t / sqrt(list_dot_product(n, n)) * CASE WHEN list_dot_product(n, w) > 0 THEN 1 ELSE -1 END) AS axis FROM f)
+SELECT CAST(j.k AS VARCHAR) AS model, a AS left_start, b AS left_end, a2 AS right_start, b2 AS right_end, CASE WHEN NOT short THEN round(degrees(acos(greatest(least(list_dot_product(l.axis, r.axis), 1), -1))), 6) END AS degrees,
+ NOT short AND degrees(acos(greatest(least(list_dot_product(l.axis, r.axis), 1), -1))) < 70 AS merged FROM j LEFT JOIN ax l ON l.k = j.k AND l.i = j.b - 3 LEFT JOIN ax r ON r.k = j.k AND r.i = j.a2""")
+def g42_kinks(spark, sf):
+    t = helices.judged_kinks(_helices(spark, sf))
+    return t.select("model", *(F.col(c).cast("long").alias(c) for c in ("left_start", "left_end", "right_start", "right_end")), F.round("degrees", 6).alias("degrees"), "merged")
+
+
+def _helices(spark, sf) -> DataFrame:
+    k, i = _k(), F.col("i")
+    n = read(spark, sf, "orders").select(k, F.explode(F.sequence(F.lit(1), F.lit(59))).alias("i"))
+    j, seg = i % 20, F.floor(i / 20)
+    mark = F.when(k % 5 == 2, "G").when((k % 5 == 3) & (seg == 1), None).otherwise(F.substring(F.lit("-TS"), (1 + k % 3).cast("int"), F.lit(1)))
+    code = F.when((j == 0) | ((j == 1) & (k % 4 == 1)), mark).when((k % 7 == 3) & (j > 3) & (seg == 1), "E").otherwise("H")
+    tilt = (seg == 1) & (k % 3 == 1)
+    x, y, z = 2.3 * F.cos(i * 1.7), 2.3 * F.sin(i * 1.7), 1.5 * i
+    return n.select(k.cast("string").alias("model"), F.lit("A").alias("chain"), i.alias("number"), code.alias("code"), x.alias("x"), F.when(tilt, z).otherwise(y).alias("y"), F.when(tilt, -y).otherwise(z).alias("z"))
+
+
+# Merging by recursion over the helices in order: a helix goes on where the kink before it was judged good (60 or 70 degrees apart it isn't).
+@query(f"""WITH {_HELIX.format(coords="0 AS x")}, s AS (SELECT k, i, coalesce(code, '?') AS code, i - row_number() OVER (PARTITION BY k, coalesce(code, '?') ORDER BY i) AS g FROM c),
+r AS (SELECT k, code, min(i) AS a, max(i) AS b FROM s GROUP BY k, code, g), h AS (SELECT *, lag(a) OVER w AS a0, lag(b) OVER w AS b0 FROM r WHERE code = 'H' WINDOW w AS (PARTITION BY k ORDER BY a)),
+m AS (SELECT k, a, b, CASE WHEN a - b0 = 2 AND b0 - a0 >= 3 AND b - a >= 3 AND k % 3 <> 1 AND EXISTS (SELECT 1 FROM c WHERE c.k = h.k AND c.i = h.b0 + 1 AND c.code IN ('-', 'T', 'S')) THEN 0 ELSE 1 END AS new FROM h),
+g AS (SELECT k, min(a) AS a, max(b) AS b, count(*) AS parts FROM (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY a) AS g FROM m) GROUP BY k, g),
+o2 AS (SELECT k, 'H' AS code, a, b FROM g UNION ALL SELECT k, code, a, b FROM r WHERE code <> 'H' AND NOT EXISTS (SELECT 1 FROM g WHERE g.k = r.k AND g.parts > 1 AND r.a BETWEEN g.a AND g.b)),
+l AS (SELECT *, CASE WHEN code = 'H' THEN 'alpha' WHEN code IN ('-', 'T', 'S') THEN 'loop' END AS f FROM o2)
+SELECT CAST(k AS VARCHAR) AS model, code, a AS "start", b AS "end", f || row_number() OVER (PARTITION BY k, f ORDER BY a) AS label FROM l""")
+def g42_helices(spark, sf):
+    return helices.normalized(_helices(spark, sf)).select("model", "code", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label")
+
+
 @query("""WITH c AS (SELECT 'C' || o_orderkey AS chain, o_orderkey AS ord, 'SEQ' || (o_custkey % 40) AS sequence, CASE WHEN o_custkey % 2 = 0 THEN 'HHHEE-' ELSE 'HE----' END AS assignment FROM orders)
 SELECT sequence, assignment, list(chain ORDER BY ord) AS chains, CASE WHEN assignment = 'HHHEE-' THEN 50.0 ELSE 100.0 / 6 END AS helix, CASE WHEN assignment = 'HHHEE-' THEN 100.0 / 3 ELSE 100.0 / 6 END AS strand, CASE WHEN assignment = 'HHHEE-' THEN 100.0 / 6 ELSE 200.0 / 3 END AS other FROM c GROUP BY 1, 2""")
 def a21_secondary_structure(spark, sf):

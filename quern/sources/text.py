@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +30,43 @@ def lines_or_none(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], "file string, ord long, line string")
 
 
-def fasta(rows: DataFrame) -> DataFrame:
-    """file, ord, header, id (first token), description, sequence; lines before the first header are ignored."""
-    at = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = rows.where(F.trim("line") != "").withColumn("record", F.sum(F.col("line").startswith(">").cast("int")).over(at)).where("record > 0")
-    head = F.max(F.when(F.col("line").startswith(">"), F.expr("substring(line, 2)")))
-    body = F.array_sort(F.collect_list(F.when(~F.col("line").startswith(">"), F.struct("ord", F.trim("line").alias("s")))))
+#: Consecutive values of ord that are counted together.
+SPAN = 1 << 16
+
+
+def running(rows: DataFrame, value: Column, name: str, by: tuple[str, ...] = ("file",), span: int = SPAN) -> DataFrame:
+    """rows with the sum of value over all rows of their file up to their own, by ord.
+
+    Rows are summed up in spans of ord first; what is ordered over a whole file are the spans' sums, and a span's rows among themselves.
+    """
+    t = rows.withColumn("span__", F.floor(F.col("ord") / span)).withColumn("value__", value)
+    sums = t.groupBy(*by, "span__").agg(F.sum("value__").alias("all__"))
+    spans = Window.partitionBy(*by).orderBy("span__").rowsBetween(Window.unboundedPreceding, -1)  # one row a span
+    before = sums.select(*(F.col(c).alias(f"{c}__") for c in by), F.col("span__").alias("of__"), F.coalesce(F.sum("all__").over(spans), F.lit(0)).alias("before__"))
+    inner = Window.partitionBy(*by, "span__").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    own = t.withColumn("own__", F.sum("value__").over(inner))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in by]
+    met = own.join(before, reduce(lambda x, y: x & y, [*same, F.col("span__") == F.col("of__")]))
+    return met.select(*rows.columns, (F.col("before__") + F.col("own__")).alias(name))
+
+
+def record_lines(rows: DataFrame, span: int = SPAN) -> DataFrame:
+    """file, ord, text (trimmed, blank lines gone), opens (a FASTA header), record (from 1; 0 before the first header) and run, the
+    letters of the file's sequences up to and including the line."""
+    t = rows.select("file", "ord", F.trim("line").alias("text"), F.col("line").startswith(">").alias("opens")).where("text <> ''")
+    counted = running(t, F.col("opens").cast("long"), "record", span=span)
+    return running(counted, F.when(F.col("opens") | (F.col("record") == 0), 0).otherwise(F.length("text")).cast("long"), "run", span=span)
+
+
+def fasta(rows: DataFrame, span: int = SPAN) -> DataFrame:
+    """file, ord, header, id (first token), description, sequence; lines before the first header are ignored.
+
+    A record is one row in the end: for contigs see ``operators.contigs``, whose rows are chunks.
+    """
+    opens = F.col("line").startswith(">")
+    numbered = running(rows.select("file", "ord", "line").where(F.trim("line") != ""), opens.cast("long"), "record", span=span).where("record > 0")
+    head = F.max(F.when(opens, F.expr("substring(line, 2)")))
+    body = F.array_sort(F.collect_list(F.when(~opens, F.struct("ord", F.trim("line").alias("s")))))
     rec = numbered.groupBy("file", "record").agg(head.alias("header"), F.array_join(F.transform(body, lambda x: x["s"]), "").alias("sequence"))
     parts = F.split(F.trim("header"), r"\s+", 2)
     return rec.select("file", (F.col("record") - 1).alias("ord"), F.trim("header").alias("header"), F.coalesce(F.get(parts, 0), F.lit("")).alias("id"), F.coalesce(F.get(parts, 1), F.lit("")).alias("description"), "sequence")
@@ -73,8 +106,8 @@ def candidate_problems(records: DataFrame) -> DataFrame:
 def clusters(records: DataFrame) -> DataFrame:
     """cluster (representative), member, sequence of an all-sequences cluster file: a record without sequence opens a
     cluster named by it; ``is_member`` tells whether the representative is among its members."""
-    at = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = records.withColumn("opens", F.col("sequence") == "").withColumn("c", F.sum(F.col("opens").cast("int")).over(at))
+    opened = records.withColumn("opens", F.col("sequence") == "")
+    numbered = running(opened, F.col("opens").cast("long"), "c")
     heads = numbered.where("opens").select("file", "c", F.col("id").alias("cluster"))
     members = numbered.where("NOT opens").select("file", "c", "ord", F.col("id").alias("member"), "sequence").join(heads, ["file", "c"])
     there = F.max((F.col("member") == F.col("cluster")).cast("int")).over(Window.partitionBy("file", "c"))
@@ -96,8 +129,8 @@ def domtblout(rows: DataFrame) -> DataFrame:
 
 def as_tsv(rows: DataFrame) -> DataFrame:
     """White space to tabs, up to the line that begins the program's footer."""
-    end = F.min(F.when(F.col("line").rlike(r"^#?\s*Program"), F.col("ord"))).over(Window.partitionBy("file"))
-    kept = rows.withColumn("end", end).where(F.col("end").isNull() | (F.col("ord") < F.col("end"))).where(~F.col("line").startswith("#") & (F.trim("line") != ""))
+    footer = rows.where(F.col("line").rlike(r"^#?\s*Program")).groupBy("file").agg(F.min("ord").alias("end"))
+    kept = rows.join(footer, "file", "left").where(F.col("end").isNull() | (F.col("ord") < F.col("end"))).where(~F.col("line").startswith("#") & (F.trim("line") != ""))
     return kept.select("file", "ord", F.regexp_replace(F.trim("line"), r"\s+", "\t").alias("line"))
 
 
@@ -149,8 +182,7 @@ def motif_scan(rows: DataFrame) -> DataFrame:
 def topology(rows: DataFrame) -> DataFrame:
     """Three-line records: id, sequence, labels, problem (lengths differ or a label outside I, M, O, P, S, B)."""
     kept = rows.where(F.trim("line") != "")
-    n = F.row_number().over(Window.partitionBy("file").orderBy("ord")) - 1
-    t = kept.withColumn("n", n).withColumn("rec", F.floor(F.col("n") / 3)).withColumn("k", F.col("n") % 3)
+    t = running(kept, F.lit(1).cast("long"), "nth").withColumn("n", F.col("nth") - 1).withColumn("rec", F.floor(F.col("n") / 3)).withColumn("k", F.col("n") % 3)
     pick = lambda k: F.max(F.when(F.col("k") == k, F.trim("line")))
     rec = t.groupBy("file", "rec").agg(pick(0).alias("header"), pick(1).alias("sequence"), pick(2).alias("labels"))
     problem = F.when(F.coalesce(F.length("sequence") != F.length("labels"), F.lit(True)), "length").when(~F.col("labels").rlike("^[IMOPSB]*$"), "labels")

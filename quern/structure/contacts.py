@@ -70,8 +70,9 @@ def interface_scores(pairs: DataFrame, pae: DataFrame) -> DataFrame:
 
 
 def patch_ranks(patches: DataFrame) -> DataFrame:
-    """rank and, of leaves, leaf_rank (both from 1, no ties) of each pair's patches: by score, contacts, then label."""
-    by = Window.partitionBy(*PAIR).orderBy(F.desc("score"), F.desc("contacts"), "patch")
+    """rank and, of leaves, leaf_rank (both from 1, no ties) of each pair's patches: by score (a missing one last), contacts, then the
+    labels of the patch's residues as text (column residues)."""
+    by = Window.partitionBy(*PAIR).orderBy(F.desc_nulls_last("score"), F.desc("contacts"), "residues")
     leaf = F.col("status") == "leaf"
     return patches.withColumn("rank", F.row_number().over(by)).withColumn("leaf_rank", F.when(leaf, F.count_if(leaf).over(by.rowsBetween(Window.unboundedPreceding, 0))))
 
@@ -104,9 +105,17 @@ def contact_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def flanks(selected: DataFrame, residues: DataFrame, n: int) -> DataFrame:
-    """Residues within n positions of selected ones (model, chain, number), without these."""
-    near = selected.select("model", "chain", F.explode(F.sequence(F.col("number") - n, F.col("number") + n)).alias("number")).distinct()
-    return residues.join(near, ["model", "chain", "number"], "left_semi").join(selected.select("model", "chain", "number"), ["model", "chain", "number"], "left_anti")
+    """model, chain, number, upstream, downstream: residues that aren't selected but within n places before or behind a selected one.
+
+    Places count the residues that a chain has, in the order of their numbers, so a gap in the numbers doesn't lengthen the way.
+    """
+    keys = ["model", "chain"]
+    placed = residues.select(*keys, "number").distinct().withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("number")))  # a chain's residues
+    marked = placed.join(selected.select(*keys, "number").distinct().withColumn("chosen", F.lit(True)), [*keys, "number"], "left")
+    steps = [k for k in range(-n, n + 1) if k]
+    near = marked.where("chosen").select(*keys, "place", F.explode(F.array(*map(F.lit, steps))).alias("step")) if steps else marked.where(F.lit(False)).withColumn("step", F.lit(0))
+    sides = near.select(*keys, (F.col("place") + F.col("step")).alias("place"), "step").groupBy(*keys, "place").agg(F.max(F.col("step") < 0).alias("upstream"), F.max(F.col("step") > 0).alias("downstream"))
+    return marked.where("chosen IS NULL").join(sides, [*keys, "place"]).select(*keys, "number", "upstream", "downstream")
 
 
 def shell(selected: DataFrame, residues: DataFrame, radius: float) -> DataFrame:
@@ -147,29 +156,36 @@ def shared_chains(a: DataFrame, b: DataFrame, sequence: str | None = None) -> Da
     return t.select("pair", F.when(problem.isNull(), F.col("chain_a")).alias("chain_a"), F.when(problem.isNull(), F.col("chain_b")).alias("chain_b"), problem.alias("problem"))
 
 
-# Van der Waals radii.
+# Van der Waals radii, and the parts atoms take in contacts.
 RADII = {"C": 1.70, "N": 1.55, "O": 1.52, "S": 1.80, "P": 1.80}
+STANDARD = ("ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL")
 _BASIC = {("LYS", "NZ"), ("ARG", "NE"), ("ARG", "NH1"), ("ARG", "NH2")}
 _ACIDIC = {("ASP", "OD1"), ("ASP", "OD2"), ("GLU", "OE1"), ("GLU", "OE2")}
 _PHOSPHATE = {(r, a) for r in ("SEP", "TPO", "PTR") for a in ("O1P", "O2P", "O3P")}
-_DONORS = _BASIC | {("HIS", "ND1"), ("HIS", "NE2"), ("ASN", "ND2"), ("GLN", "NE2"), ("SER", "OG"), ("THR", "OG1"), ("TYR", "OH"), ("TRP", "NE1"), ("CYS", "SG")}
-_ACCEPTORS = _ACIDIC | _PHOSPHATE | {("ASN", "OD1"), ("GLN", "OE1"), ("SER", "OG"), ("THR", "OG1"), ("TYR", "OH"), ("HIS", "ND1"), ("HIS", "NE2")}
-_HYDROPHOBIC = ("ALA", "VAL", "LEU", "ILE", "MET", "PHE", "TRP", "PRO", "TYR")
-_BACKBONE = ("N", "CA", "C", "O", "OXT")
+_DONORS = _BASIC | {("ASN", "ND2"), ("GLN", "NE2"), ("HIS", "ND1"), ("HIS", "NE2"), ("SER", "OG"), ("THR", "OG1"), ("TRP", "NE1"), ("TYR", "OH")}
+_ACCEPTORS = _ACIDIC | {("ASN", "OD1"), ("GLN", "OE1"), ("HIS", "ND1"), ("HIS", "NE2"), ("SER", "OG"), ("THR", "OG1"), ("TYR", "OH")}
+_HYDROPHOBIC = ("ALA", "VAL", "ILE", "LEU", "MET", "PHE", "TRP", "TYR", "PRO", "CYS")
+BACKBONE = ("N", "CA", "C", "O", "OXT")
+
+
+def heavy(atoms: DataFrame) -> DataFrame:
+    """Atoms but hydrogens, with their radius; an element without a known radius stops the job."""
+    table = F.create_map(*[F.lit(x) for kv in RADII.items() for x in kv])
+    unknown = F.raise_error(F.concat(F.lit("no van der Waals radius for element "), F.coalesce("element", F.lit("(none)")))).cast("double")
+    return atoms.where(~F.coalesce("element", F.lit("")).isin("H", "D")).withColumn("radius", F.coalesce(F.try_element_at(table, F.col("element")), unknown))
 
 
 def interactions(atoms: DataFrame) -> DataFrame:
     """Typed atom pairs across chains: salt_bridge, phosphate, hydrogen_bond, nonpolar, steric; a pair can have several.
 
-    atoms: model, chain, number, resname, name, element, x, y, z.
+    atoms: model, chain, number, resname, name, element, x, y, z.  Only standard residues give or take hydrogen bonds.
     """
     role = lambda pairs: F.concat_ws(":", "resname", "name").isin(*(f"{r}:{a}" for r, a in sorted(pairs)))
-    radius = F.create_map(*[F.lit(x) for kv in RADII.items() for x in kv])
-    t = atoms.withColumns(
+    bonding = F.col("resname").isin(*STANDARD) & F.col("element").isin("N", "O")
+    t = heavy(atoms).withColumns(
         {
-            "basic": role(_BASIC), "acidic": role(_ACIDIC), "phosphate": role(_PHOSPHATE), "donor": role(_DONORS) | ((F.col("name") == "N") & (F.col("resname") != "PRO")),
-            "acceptor": role(_ACCEPTORS) | F.col("name").isin("O", "OXT"), "greasy": F.col("resname").isin(*_HYDROPHOBIC) & F.col("element").isin("C", "S") & ~F.col("name").isin(*_BACKBONE),
-            "radius": F.coalesce(F.try_element_at(radius, F.col("element")), F.lit(1.7)),
+            "basic": role(_BASIC), "acidic": role(_ACIDIC), "phosphate": role(_PHOSPHATE) & (F.col("element") == "O"), "donor": bonding & (role(_DONORS) | ((F.col("name") == "N") & (F.col("resname") != "PRO"))),
+            "acceptor": bonding & (role(_ACCEPTORS) | F.col("name").isin("O", "OXT")), "greasy": F.col("resname").isin(*_HYDROPHOBIC) & F.col("element").isin("C", "S") & ~F.col("name").isin(*BACKBONE),
         }
     )
     near = distance_pairs(t, ["model"], 4.5, F.expr("a.chain < b.chain"))
@@ -182,11 +198,10 @@ def interactions(atoms: DataFrame) -> DataFrame:
             F.when(F.col("a.greasy") & F.col("b.greasy"), "nonpolar"), F.when((F.col("a.radius") + F.col("b.radius") - d > 0.6) & ~disulfide, "steric"),
         )
     )
-    out = near.select(
+    return near.select(
         F.col("a.model").alias("model"), F.col("a.chain").alias("chain_a"), F.col("b.chain").alias("chain_b"), F.col("a.number").alias("number_a"), F.col("b.number").alias("number_b"),
         F.col("a.name").alias("atom_a"), F.col("b.name").alias("atom_b"), "distance", F.explode(kinds).alias("kind"),
     )
-    return out
 
 
 def interaction_counts(typed: DataFrame) -> DataFrame:

@@ -171,25 +171,6 @@ def buried_area(atoms: DataFrame) -> DataFrame:
     return both.groupBy("model", "chain_a", "chain_b").applyInPandas(run, "model string, chain_a string, chain_b string, area double")
 
 
-def merge_helices(segments: list[tuple[int, int]], ca: dict[int, np.ndarray], loop: int = 4, kink: float = 70.0) -> list[tuple[int, int]]:
-    """Join neighbouring helices with at most ``loop`` residues between and axes that bend by less than ``kink`` degrees."""
-
-    def axis(a, b):
-        p = np.array([ca[i] for i in range(a, b + 1) if i in ca])
-        _, _, vt = np.linalg.svd(p - p.mean(0))
-        return vt[0] * np.sign(vt[0] @ (p[-1] - p[0]) or 1)
-
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(segments):
-        if out and a - out[-1][1] - 1 <= loop:
-            c = float(np.clip(axis(*out[-1]) @ axis(a, b), -1, 1))
-            if math.degrees(math.acos(c)) < kink:
-                out[-1] = (out[-1][0], b)
-                continue
-        out.append((a, b))
-    return out
-
-
 def local_alignment(a: str, b: str, match: float = 2, mismatch: float = -3, open_: float = -5, extend: float = -1) -> tuple[float, int, int, int, int]:
     """Best local score with affine gaps (a gap of k costs open + (k - 1) extend), and first and end places in a and b.
 

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from quern import channels, rules, sinks, streaming
 from quern.functions import accessions, intervals, logic, sequences
 from quern.operators import genomics, hits, tables
+from quern.operators.contigs import Contigs
 from quern.sources import folds, text
 from quern.sources import tables as source_tables
-from quern.structure import classify, contacts, kernels
+from quern.structure import classify, contacts, helices, kernels
 
 VALUES = ("true", "yes", "too_far", "not_applicable", "false", "maybe", "error", "missing_a")
 
@@ -374,10 +375,50 @@ def test_superposition_recovers_a_rotation():
 
 def test_surface_and_helices():
     assert kernels.accessible_area(np.zeros((1, 3)), np.array([1.7]))[0] == pytest.approx(4 * math.pi * 3.1**2)
-    straight = {i: np.array([1.5 * i, 0.2 * math.cos(i * 1.7), 0.2 * math.sin(i * 1.7)]) for i in range(1, 30)}
-    assert kernels.merge_helices([(1, 10), (13, 25)], straight) == [(1, 25)] and kernels.merge_helices([(1, 10), (16, 25)], straight) == [(1, 10), (16, 25)]
-    bent = straight | {i: np.array([15.0, 1.5 * (i - 10), 0.1 * (i % 2)]) for i in range(11, 30)}
-    assert kernels.merge_helices([(1, 10), (13, 25)], bent) == [(1, 10), (13, 25)]
+
+
+def helix_rows(bend=0.0, codes=None, missing=(), n=24):
+    """Cα atoms of an ideal helix along z whose second half, from residue 13 on, is turned by bend degrees about x."""
+    rows = []
+    for i in range(1, n + 1):
+        x, y, z = 2.3 * math.cos(math.radians(100 * i)), 2.3 * math.sin(math.radians(100 * i)), 1.5 * i
+        if i >= 13:
+            c, s = math.cos(math.radians(bend)), math.sin(math.radians(bend))
+            y, z = y * c - z * s, y * s + z * c
+        code = (codes or {}).get(i, "H")
+        rows.append(("m", "A", i, code, *((None,) * 3 if i in missing else (x, y, z))))
+    return rows
+
+
+@pytest.mark.parametrize(
+    ("rows", "connector", "want"),
+    [
+        (helix_rows(0, {12: "T"}), 1, [("alpha1", 1, 24)]),
+        (helix_rows(60, {12: "-"}), 1, [("alpha1", 1, 24)]),
+        (helix_rows(80, {12: "T"}), 1, [("alpha1", 1, 11), ("loop1", 12, 12), ("alpha2", 13, 24)]),
+        (helix_rows(0, {12: "G"}), 1, [("alpha1", 1, 11), (None, 12, 12), ("alpha2", 13, 24)]),
+        (helix_rows(0, {11: "T", 12: "S"}), 1, [("alpha1", 1, 10), ("loop1", 11, 11), ("loop2", 12, 12), ("alpha2", 13, 24)]),
+        (helix_rows(0, {11: "T", 12: "S"}), 2, [("alpha1", 1, 24)]),
+        (helix_rows(0, {12: "T"}, missing=(10,)), 1, [("alpha1", 1, 11), ("loop1", 12, 12), ("alpha2", 13, 24)]),
+        (helix_rows(0, {4: "T"}), 1, [("alpha1", 1, 3), ("loop1", 4, 4), ("alpha2", 5, 24)]),
+        (helix_rows(0, {6: "T", 12: "T"}), 1, [("alpha1", 1, 24)]),
+    ],
+)
+def test_helices_merge_over_short_kinks(spark, rows, connector, want):
+    df = spark.createDataFrame(rows, "model string, chain string, number int, code string, x double, y double, z double")
+    got = sorted((r.start, r.label, r.end) for r in helices.normalized(df, connector).collect())
+    assert [(label, start, end) for start, label, end in got] == want
+
+
+def test_kink_reports_and_bad_settings(spark):
+    schema = "model string, chain string, number int, code string, x double, y double, z double"
+    r = helices.judged_kinks(spark.createDataFrame(helix_rows(80, {12: "T"}), schema)).collect()
+    assert [(x.left_end, x.right_start, x.merged, x.problem) for x in r] == [(11, 13, False, None)] and r[0].degrees == pytest.approx(80, abs=1e-6)
+    line = [("m", "A", i, "T" if i == 5 else "H", 0.0, 0.0, float(i)) for i in range(1, 10)]
+    assert [(x.merged, x.problem) for x in helices.judged_kinks(spark.createDataFrame(line, schema)).collect()] == [(False, "degenerate")]
+    for bad in ((0, 70), (1, 0), (1, 181)):
+        with pytest.raises(ValueError):
+            helices.judged_kinks(spark.createDataFrame(line, schema), *bad)
 
 
 def brute_alignment(a, b):
@@ -408,9 +449,13 @@ def test_local_alignment_equals_brute_force():
 
 def test_faces_and_classes(spark):
     r = spark.createDataFrame([("DD", "Ia", "alpha1", 2, "mandatory"), ("DD", "Ia", "alpha4", 1, "alternative_or"), ("DD", "Ia", "loop1-2", 1, "alternative_or"), ("DD", "Ib", "alpha2", 4, "mandatory"), ("DD", "IIa", "alpha6", 1, "optional")], "domain string, face string, element string, min_residues int, requirement_type string")
-    c = spark.createDataFrame([("A", "DD", "alpha1", 2), ("A", "DD", "loop1-2", 3), ("A", "DD", "alpha2", 1), ("B", "DD", "alpha2", 5), ("B", "DD", "alpha6", 9)], "chain string, domain string, element string, n int")
+    c = spark.createDataFrame([("A", "DD", "alpha1", 2, 10), ("A", "DD", "loop1-2", 3, 3), ("A", "DD", "alpha2", 1, 8), ("B", "DD", "alpha2", 5, 8), ("B", "DD", "alpha6", 9, 9), ("C", "DD", "alpha6", 1, 9)], "chain string, domain string, element string, n int, size int")
     got = {x.chain: x.faces for x in classify.faces(r, c).collect()}
-    assert got == {"A": ["Ia", "Ib (partial)"], "B": ["Ib"]}
+    assert got == {"A": ["Ia", "Ib (partial)"], "B": ["Ib"], "C": []}
+    # The share of an element that is touched decides, not its minimum; equal shares follow the order of faces.
+    r = spark.createDataFrame([("DD", f, f"alpha{i}", 1, "mandatory") for i, f in enumerate(("IIIa", "IIa", "Ia", "Ib"), 1)], "domain string, face string, element string, min_residues int, requirement_type string")
+    c = spark.createDataFrame([("A", "DD", f"alpha{i}", n, size) for i, (n, size) in enumerate(((3, 6), (2, 4), (4, 8), (3, 4)), 1)], "chain string, domain string, element string, n int, size int")
+    assert classify.faces(r, c).first().faces == ["Ib", "Ia", "IIa", "IIIa"]
     cls = lambda a, b: one(spark, c=classify.face_class(F.array(*map(F.lit, a)).cast("array<string>"), F.array(*map(F.lit, b)).cast("array<string>"))).c
     assert [cls(["Ia"], ["Ib"]), cls(["Ia (partial)"], ["Ib"]), cls(["Ia"], ["Ia"]), cls([], ["Ib"])] == ["Canonical", "Variant", "Atypical", "None"]
     tier = [one(spark, t=classify.confidence_tier(F.lit(s).cast("double"), F.lit(a).cast("double"))).t for s, a in ((0.22, 1), (0.23, 1), (0.4, 999), (0.4, 1000), (0.5, 2000), (0.7, 1), (None, 1))]
@@ -421,7 +466,11 @@ def test_interactions(spark):
     rows = [("m", "A", 1, "LYS", "NZ", "N", 0.0, 0.0, 0.0), ("m", "B", 2, "ASP", "OD1", "O", 3.0, 0.0, 0.0), ("m", "A", 3, "CYS", "SG", "S", 20.0, 0.0, 0.0), ("m", "B", 4, "CYS", "SG", "S", 22.0, 0.0, 0.0), ("m", "A", 5, "LEU", "CD1", "C", 40.0, 0.0, 0.0), ("m", "B", 6, "VAL", "CG1", "C", 42.0, 0.0, 0.0)]
     df = spark.createDataFrame(rows, "model string, chain string, number int, resname string, name string, element string, x double, y double, z double")
     got = sorted((r.number_a, r.kind) for r in contacts.interactions(df).collect())
-    assert got == [(1, "hydrogen_bond"), (1, "salt_bridge"), (5, "nonpolar"), (5, "steric")]
+    assert got == [(1, "hydrogen_bond"), (1, "salt_bridge"), (3, "nonpolar"), (5, "nonpolar"), (5, "steric")]  # two thiols: no bond by hydrogen, no clash at this distance
+    rows = [("m", "A", 1, "CYS", "CB", "C", 0.0, 0.0, 0.0), ("m", "B", 2, "LEU", "CB", "C", 4.0, 0.0, 0.0), ("m", "A", 3, "SEP", "O1P", "O", 20.0, 0.0, 0.0), ("m", "B", 4, "SER", "OG", "O", 23.0, 0.0, 0.0), ("m", "A", 5, "CYS", "SG", "S", 40.0, 0.0, 0.0), ("m", "B", 6, "GLY", "O", "O", 43.4, 0.0, 0.0)]
+    assert sorted((r.number_a, r.kind) for r in contacts.interactions(spark.createDataFrame(rows, df.schema)).collect()) == [(1, "nonpolar")]
+    with pytest.raises(Exception, match="van der Waals"):
+        contacts.interactions(spark.createDataFrame([("m", "A", 1, "ALA", "X", "ZN", 0.0, 0.0, 0.0)], df.schema)).collect()
 
 
 def test_detected_loci(spark):
@@ -539,3 +588,57 @@ def test_alignment_pairs_share_words(spark):
     loci = spark.createDataFrame([("l", whole), ("m", dna(200))], "id string, sequence string")
     got = {(r.transcript, r.locus) for r in genomics.alignment_pairs(t, loci).collect()}
     assert got == {("fits", "l"), ("back", "l")}
+
+
+def test_contigs_from_lines_are_cut_at_every_border(spark):
+    rng = random.Random(3)
+    seqs = {f"c{i}": "".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 200))) for i in range(6)}
+    rows, at = [("f", 0, "ignored"), ("f", 1, "")], 2
+    for name, s in seqs.items():
+        rows.append(("f", at, f">{name} text"))
+        width, i = rng.randrange(1, 40), 0
+        while i < len(s):
+            at += rng.randrange(1, 90_000)  # spans of ord end within records
+            rows.append(("f", at, s[i : i + width]))
+            i += width
+        at += 1
+    rows.append(("g", 0, ">c0 again"))
+    rows.append(("g", 1, "TTTT"))
+    lines = spark.createDataFrame(rows, "file string, ord long, line string")
+    for size in (1, 7, 64):
+        store = Contigs.from_fasta(lines, size)
+        assert {r.id: r.n_bases for r in store.lengths.collect()} == {k: len(v) for k, v in seqs.items()}
+        assert max(len(r.text) for r in store.chunks.collect()) <= size
+        places = [(f"{k}{lo}", k, lo, lo + n) for k in seqs for lo, n in ((0, 500), (3, 1), (5, 64), (-2, 9), (199, 1), (6, 0))]
+        got = {r.key: r.dna for r in store.cut_out(spark.createDataFrame(places, "key string, id string, lo long, hi long")).collect()}
+        assert got == {key: seqs[k][max(lo, 0) : max(hi, 0)] for key, k, lo, hi in places}
+    whole = {r.id: r.sequence for r in text.fasta(lines).where("file = 'f'").collect()}
+    assert whole == seqs
+
+
+def test_running_counts_need_no_window_over_a_file(spark):
+    rows = spark.range(1000).select(F.lit("f").alias("file"), (F.col("id") * 37).alias("ord"), F.lit("x").alias("line"))
+    got = text.running(rows, F.lit(1).cast("long"), "n", span=100)
+    assert [r.n for r in got.orderBy("ord").collect()] == list(range(1, 1001))
+
+
+def test_tails_read_on_until_a_stop(spark):
+    s = "ATGTAA" + "GCC" * 500 + "ATG"
+    rc = s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    store = Contigs.of(spark.createDataFrame([("p", s), ("m", rc)], "id string, sequence string"), 64)
+    places = spark.createDataFrame([(1, "p", len(s) - 2, False), (2, "m", 3, True), (3, "p", 1, False), (4, "p", 4, False)], "key int, id string, start int, minus boolean")
+    got = {r.key: r.tail for r in store.upstream_tails(places, 30).collect()}
+    assert got == {1: "A" * 500, 2: "A" * 500, 3: "", 4: "M"}
+
+
+def test_bounds_by_model_positions(spark):
+    seqs = spark.createDataFrame([(f"s{i}|x y", "ACDEFGHIKL") for i in range(6)], "id string, sequence string")
+    hit = lambda rows: spark.createDataFrame(rows, "sequence string, model_length int, hmm_from int, hmm_to int")
+    left = hit([("s0|x y", 5, 1, 5), ("s1|x y", 5, 2, 5), ("s2|x y", 5, 1, 5), ("s2|x y", 5, 1, 5), ("s3|x y", 5, 1, 5), ("s4|x y", 5, 1, 5), ("s5|x y", 5, 1, 5)])
+    right = hit([(f"s{i}|x y", 4, 1, 4) for i in range(6)])
+    maps = lambda pos: spark.createDataFrame([(f"s{i}|x y", {1: p[0], 4: p[1]}) for i, p in enumerate(pos)], "id string, hmm map<int, struct<pos: int, aa: string>>")
+    lm = maps([((3, "D"), None)] * 3 + [(None, None), ((9, "K"), None), ((0, "A"), None)])
+    rm = maps([(None, (8, "I"))] * 6)
+    got = {r.id[:2]: (r.bounded_id, r.sequence, r.problem) for r in genomics.bounded(seqs, left, right, lm, rm).collect()}
+    assert got == {"s0": ("s0_bounded_3-8|x y", "DEFGHI", None), "s1": (None, None, "span"), "s2": (None, None, "hits"), "s3": (None, None, "deletion"), "s4": (None, None, "order"), "s5": (None, None, "outside")}
+    assert {r.problem for r in genomics.bounded(seqs, left, right, lm, rm, 6).collect()} == {"hits", "position"}
