@@ -1,19 +1,22 @@
 """Near copies by similarity: texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
 
 Candidates come from two sides: SimHash fingerprints of the shingles within 3 bits (``simhash.links``), and MinHash
-signatures of ``BANDS`` bands of ``ROWS`` values, which texts at 0.8 share a band of with a probability of 0.9998 (SimHash
+signatures of ``BANDS`` bands of ``ROWS`` values, which two texts at 0.8 share none of in 3 cases of a million (SimHash
 lays most such pairs 4 to 12 bits apart).  Candidates whose signatures agree in less than ``ESTIMATE`` of their values
-(1 pair in 25,000 at 0.8) go; all others are checked by the exact likeness of their shingle sets (40-bit hashes), and
-the pairs that pass are closed to components.
+(1 pair in 100 million at 0.8) go; all others are checked by the exact likeness of their shingle sets, and the pairs that pass
+are closed to components.
 
-Texts with equal words are one node before any of this.  Of a bucket of at most ``SMALL`` nodes all pairs are candidates;
-of a larger one each node meets the bucket's first ``PIVOTS`` nodes and the next one; the order is that of the nodes'
-hashes, so a large group has the same pivots in most bands.  In a second round each node of a larger bucket that is not
-yet linked to the bucket's main component meets the ``NEAREST`` nodes of other components that its signature is nearest
-to.  So a bucket of n nodes makes a multiple of n pairs, not of n * n.
+Texts with equal words are one node before any of this.  Of a bucket of at most ``SMALL`` nodes all pairs are candidates.
+In a larger one each node meets the bucket's first ``PIVOTS`` nodes and the next one, which joins most of it; a bucket is dealt
+over ``SALTS`` parts by its nodes' hashes, and only the parts' first nodes meet in one place.  What that leaves open is settled in full
+by a second round: nodes that share large buckets, directly or over others, are a family, and within a family every node is
+compared with every node of another component, exactly and without a limit.  Families are cut into blocks of about
+``BLOCK_BYTES`` of shingle sets or ``BLOCK_NODES`` nodes; pairs of blocks are tasks of their own, and blocks of a family's main component don't meet one
+another, so a large family that the first round joined costs its outer nodes times its size.
 
 Edge cases: a null text counts as empty; texts without words are copies of each other and of no other text; texts of
-fewer than five words are one shingle; of equal rows one is kept; rows without a doc_id stay.
+fewer than five words are one shingle; of equal rows one is kept; rows without a doc_id stay; an empty table has no components; very
+long texts make larger sets and smaller blocks; other columns of documents, whatever their names, are kept and not used.
 """
 
 from __future__ import annotations
@@ -29,14 +32,11 @@ from ._common import bounded_batches, cut, shuffle_partitions
 from .components import components
 
 WIDTH, LIKENESS = 5, 0.8
-BANDS, ROWS = 16, 4
-SMALL, PIVOTS = 8, 4
-NEAREST, ESTIMATE = 32, 0.6
-#: Sides of the blocks in which the signatures of a large bucket are compared.
-_OUT, _IN = 128, 2048
-#: Bytes of a shingle's hash that a set keeps: two different shingles of texts of 2,000 words agree in them once in 250,000 pairs.
-_OCTETS = 5
-_DROP = np.uint64(64 - 8 * _OCTETS)
+BANDS, ROWS = 24, 4
+SMALL, PIVOTS, SALTS = 8, 4, 16
+ESTIMATE = 0.5
+#: Bytes of shingle sets and nodes in a block (about), and distinct shingles that two blocks are compared by at once.
+BLOCK_BYTES, BLOCK_NODES, _WIDE = 2 << 20, 512, 4096
 #: Shingles taken at once into a signature.
 _CHUNK = 4096
 _RNG = np.random.default_rng(42)
@@ -91,94 +91,155 @@ def _bucket_pairs(key: np.ndarray, nh: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _outer_pairs(key: np.ndarray, nh: np.ndarray, root: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """Of a sorted run of whole buckets: each node outside its bucket's main component with its nearest nodes of other components."""
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    octets, out = np.ascontiguousarray(sig).view(np.uint8), [np.zeros((0, 2), dtype=np.int64)]
-    for a, n in zip(first, np.diff(np.r_[first, len(key)]), strict=True):
-        roots, count = np.unique(root[a : a + n], return_counts=True)
-        outer = a + np.flatnonzero(root[a : a + n] != roots[count.argmax()])
-        for lo in range(0, len(outer), _OUT):
-            o = outer[lo : lo + _OUT]
-            best, who = np.zeros((len(o), 0), dtype=np.int64), np.zeros((len(o), 0), dtype=np.int64)
-            for c in range(a, a + n, _IN):
-                m = np.arange(c, min(a + n, c + _IN))
-                same = (octets[o][:, None] == octets[m][None]).sum(axis=2)
-                same[root[o][:, None] == root[m][None]] = -1
-                best, who = np.concatenate([best, same], axis=1), np.concatenate([who, np.broadcast_to(m, same.shape)], axis=1)
-                top = np.argsort(-best, axis=1, kind="stable")[:, :NEAREST]
-                best, who = np.take_along_axis(best, top, 1), np.take_along_axis(who, top, 1)
-            i, j = np.nonzero(best >= ESTIMATE * BANDS * ROWS)
-            out.append(np.stack([nh[o[i]], nh[who[i, j]]], axis=1))
-    return np.concatenate(out)
-
+def _meet(batches):
+    """Pairs (u, v) of rows (key, nh) sorted by both, and, as u null, the first ``SMALL`` + 1 nodes (v) of each bucket (key).
 
-def _meet(pairs_of):
-    """Pairs (u, v) by pairs_of over runs of whole buckets of rows sorted by their first column."""
+    Of a bucket that spans batches only its first nodes and its last one are held.
+    """
 
-    def record(cols):
-        pairs = pairs_of(*cols)
-        for i in range(0, len(pairs), 100_000):
-            p = pairs[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["u", "v"])
+    def pairs(p):
+        for i in range(0, len(p), 100_000):
+            q = p[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(q), pa.int64()), pa.array(q[:, 0].copy()), pa.array(q[:, 1].copy())], names=["key", "u", "v"])
 
-    def run(batches):
-        rest = None
-        for b in batches:
-            cols = [c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if rest is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
-            cut_at = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-            rest = [c[cut_at:] for c in cols]
-            if cut_at:
-                yield from record([c[:cut_at] for c in cols])
-        if rest is not None and len(rest[0]):
-            yield from record(rest)
+    def heads(key, nh):
+        if len(key):
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            place = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+            keep = place <= SMALL
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.nulls(int(keep.sum()), pa.int64()), pa.array(nh[keep])], names=["key", "u", "v"])
 
-    return run
+    rest, large = (np.zeros(0, dtype=np.int64),) * 2, None  # the bucket that may go on, whole or as (key, pivots, last)
+    for b in batches:
+        key, nh = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        if large is not None and len(key):
+            n = int(np.searchsorted(key, large[0], "right"))
+            more = nh[:n]
+            if n:
+                yield from pairs(np.concatenate([np.stack([np.full(n, p), more], axis=1) for p in large[1]] + [np.stack([np.r_[large[2], more[:-1]], more], axis=1)]))
+                large = (large[0], large[1], more[-1])
+            key, nh = key[n:], nh[n:]
+            large = large if not len(key) else None
+        if not len(key):
+            continue
+        key, nh = np.concatenate([rest[0], key]), np.concatenate([rest[1], nh])
+        cut_at = int(np.searchsorted(key, key[-1]))
+        if len(key) - cut_at > SMALL:
+            large, done, rest = (key[-1], nh[cut_at : cut_at + PIVOTS], nh[-1]), len(key), (key[:0], nh[:0])
+        else:
+            done, rest = cut_at, (key[cut_at:], nh[cut_at:])
+        if done:
+            yield from heads(key[:done], nh[:done])
+            yield from pairs(_bucket_pairs(key[:done], nh[:done]))
+    if len(rest[0]):
+        yield from heads(*rest)
+        yield from pairs(_bucket_pairs(*rest))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs u < v of nodes (nh, fp, bands) that may be near copies."""
-    p = shuffle_partitions(nodes.sparkSession)
-    keyed = nodes.select(F.explode("bands").alias("key"), "nh").repartition(p, "key").sortWithinPartitions("key", "nh")
-    banded = keyed.mapInArrow(_meet(_bucket_pairs), "u long, v long")
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """key, nh, n, least of the bands that n > 1 nodes have; least is the smallest of these."""
+    keyed = nodes.select(F.explode("bands").alias("key"), "nh")
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("nh").alias("least")).where("n > 1")
+    return cut(keyed.join(several, "key"))
+
+
+def banded(shared: DataFrame) -> DataFrame:
+    """u, v: candidate pairs by bands."""
+    p = shuffle_partitions(shared.sparkSession)
+    met = lambda rows: rows.repartition(p, "key").sortWithinPartitions("key", "nh").mapInArrow(_meet, "key long, u long, v long")
+    small = met(shared.where(F.col("n") <= SMALL).select("key", "nh")).where("u IS NOT NULL").select("u", "v")
+    # A large bucket's parts differ in the low bits of its key, which make room for the salt: keys that agree above them are one bucket.
+    whole = F.col("key").bitwiseAND(F.lit(-SALTS).cast("long"))
+    parts = cut(met(shared.where(F.col("n") > SMALL).select(whole.bitwiseOR(F.pmod("nh", F.lit(SALTS))).alias("key"), "nh").distinct()))
+    heads = met(parts.where("u IS NULL").select(whole.alias("key"), F.col("v").alias("nh")))
+    return small.unionByName(parts.where("u IS NOT NULL").select("u", "v")).unionByName(heads.where("u IS NOT NULL").select("u", "v"))
+
+
+def candidates(nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """Distinct pairs u < v of nodes (nh, fp) and their shared bands that may be near copies."""
     least = cut(nodes.groupBy("fp").agg(F.min("nh").alias("least")))
     alike = nodes.join(least, "fp").select(F.col("least").alias("u"), F.col("nh").alias("v"))
     a, b = (least.select(F.col("fp").alias(e), F.col("least").alias(f"nh_{e}")) for e in "uv")
     near = simhash.links(least).join(a, "u").join(b, "v").select(F.col("nh_u").alias("u"), F.col("nh_v").alias("v"))
-    return _ordered(banded.unionByName(alike).unionByName(near))
+    return _ordered(banded(shared).unionByName(alike).unionByName(near))
 
 
-def outer_candidates(nodes: DataFrame, comp: DataFrame) -> DataFrame | None:
-    """Pairs of the second round, of nodes (nh, bands, sig) with components (node, root); None where no bucket is large."""
-    p = shuffle_partitions(nodes.sparkSession)
-    keyed = nodes.select(F.explode("bands").alias("key"), "nh")
-    large = cut(keyed.groupBy("key").count().where(F.col("count") > SMALL).select("key"))
-    if large.isEmpty():
-        return None
-    held = keyed.join(large, "key").join(nodes.select("nh", "sig"), "nh").join(comp, F.col("nh") == F.col("node"), "left")
-    rows = held.select("key", "nh", F.coalesce("root", "nh").alias("root"), "sig").repartition(p, "key").sortWithinPartitions("key", "nh")
-    return _ordered(rows.mapInArrow(_meet(_outer_pairs), "u long, v long"))
+def families(shared: DataFrame) -> DataFrame:
+    """node, family: nodes that meet in buckets of more than SMALL nodes, directly or over others."""
+    return components(shared.where(F.col("n") > SMALL).select(F.col("least").alias("u"), F.col("nh").alias("v"))).withColumnRenamed("root", "family")
 
 
 def _shingle_sets(batches):
-    """nh and the sorted distinct shingle hashes, the upper ``_OCTETS`` bytes of each, of rows (nh, text)."""
+    """nh and the sorted distinct shingle hashes of rows (nh, text)."""
     for b in batches:
-        each = (np.unique(simhash.shingles(t.as_py(), WIDTH)[1] >> _DROP) for t in b.column(1))
-        sets = [np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :_OCTETS]).tobytes() for h in each]
+        sets = [np.unique(simhash.shingles(t.as_py(), WIDTH)[1]).tobytes() for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["nh", "set"])
 
 
 def _hashes(s) -> np.ndarray:
-    raw = np.frombuffer(s.as_buffer(), dtype=np.uint8).reshape(-1, _OCTETS)
-    out = np.zeros((len(raw), 8), dtype=np.uint8)
-    out[:, :_OCTETS] = raw
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(s.as_buffer(), dtype=np.uint64)
+
+
+def alike(a: list[np.ndarray], b: list[np.ndarray], likeness: float) -> np.ndarray:
+    """For each set of a and each of b: is their likeness at least that?  Whole numbers throughout."""
+    every = np.concatenate([*a, *b])
+    known, place, count = np.unique(every, return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1  # only shingles that occur twice can be shared
+    size_a, size_b = (np.array([len(x) for x in xs], dtype=np.int64) for xs in (a, b))
+    row = np.repeat(np.arange(len(a) + len(b)), np.r_[size_a, size_b])
+    shared = count[place] > 1
+    row, column = row[shared], rank[place[shared]]
+    both = np.zeros((len(a), len(b)), dtype=np.int64)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, _WIDE):
+        i, j = np.searchsorted(column, (lo, lo + _WIDE))
+        m = np.zeros((len(a) + len(b), _WIDE), dtype=np.float32)
+        m[row[i:j], column[i:j] - lo] = 1
+        both += np.rint(m[: len(a)] @ m[len(a) :].T).astype(np.int64)
+    union = size_a[:, None] + size_b[None] - both
+    return (both > 0) & (both >= likeness * union)
+
+
+def _compare(likeness: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Links (u, v) between components of the sets on either side of a pair of blocks: rows side, root, set."""
+        rows = list(zip(table["side"].to_pylist(), table["root"].to_pylist(), map(_hashes, table["set"]), strict=True))
+        left, right = ([(r, x) for s, r, x in rows if s is side] for side in (False, True))
+        links = set()
+        if left and right:
+            hit = alike([x for _, x in left], [x for _, x in right], likeness)
+            links = {(left[i][0], right[j][0]) for i, j in zip(*np.nonzero(hit), strict=True) if left[i][0] != right[j][0]}
+        u, v = zip(*sorted(links), strict=True) if links else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def family_links(held: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """Links (u, v) between the components of each family, of rows (family, root, nh): all pairs of different components are compared."""
+    sized = held.join(sets.select("nh", F.octet_length("set").alias("octets")), "nh")
+    roots = sized.groupBy("family", "root").agg(F.sum("octets").alias("octets"), F.count(F.lit(1)).alias("n"))
+    first = F.struct("n", "octets", "root")
+    main = roots.groupBy("family").agg(F.max(first).alias("m"), F.sum("octets").alias("octets"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_roots")).where("n_roots > 1")  # others are settled
+    blocks = lambda octets, n: F.greatest(F.ceil(octets / BLOCK_BYTES), F.ceil(n / BLOCK_NODES), F.lit(1)).cast("long")
+    open_ = main.select("family", F.col("m.root").alias("main"), blocks(F.col("octets") - F.col("m.octets"), F.col("n") - F.col("m.n")).alias("outers"), blocks(F.col("m.octets"), F.col("m.n")).alias("mains"))
+    met = held.join(open_, "family").withColumn("is_main", F.col("root") == F.col("main"))
+    met = met.withColumn("block", F.pmod(F.xxhash64("nh"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("outers"))))
+    # Tasks are pairs of blocks: an outer block meets the outer blocks from its own on, and all main blocks.
+    at, upto = F.col("block"), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    task = lambda i, j, side, to_main: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"), F.lit(to_main).alias("to_main"))
+    outer = F.concat(
+        F.transform(F.filter(upto("outers"), lambda k: k >= at), lambda k: task(at, k, False, False)), F.transform(F.filter(upto("outers"), lambda k: k <= at), lambda k: task(k, at, True, False)),
+        F.transform(upto("mains"), lambda k: task(at, k, False, True)),
+    )
+    inner = F.transform(upto("outers"), lambda k: task(k, at, True, True))
+    dealt = met.select("family", "root", "nh", F.explode(F.when(F.col("is_main"), inner).otherwise(outer)).alias("t")).select("family", "t.*", "root", "nh")
+    return _ordered(dealt.join(sets, "nh").drop("nh").groupBy("family", "i", "j", "to_main").applyInArrow(_compare(likeness), "u long, v long"))
 
 
 def _check(likeness: float):
@@ -222,7 +283,8 @@ def classified(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     signed = cut(signatures(rows))
     nodes = cut(signed.groupBy("nh").agg(F.min(F.struct("doc_id", "th")).alias("at"), *(F.first(c).alias(c) for c in ("fp", "bands", "sig"))))
-    met = cut(candidates(nodes))
+    shared = shared_bands(nodes)
+    met = cut(candidates(nodes, shared))
     sets = _sets(rows, nodes, met)
     likely = cut(_both_ends(met, nodes, "sig").mapInArrow(_likely, "u long, v long"))
 
@@ -231,11 +293,11 @@ def classified(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
 
     linked = linked_of(likely)
     comp = components(linked)
-    more = outer_candidates(nodes, comp)
-    if more is not None:  # every node of a large bucket has met its pivots, so its set is there
-        more = linked_of(more.join(likely, ["u", "v"], "left_anti"))
-        if not more.isEmpty():
-            comp = components(linked.unionByName(more))
+    # Every node of a large bucket has met its pivots, so its set is there.
+    held = cut(families(shared).join(comp, "node", "left").select("family", F.col("node").alias("nh"), F.coalesce("root", "node").alias("root")))
+    more = cut(family_links(held, sets, likeness))
+    if not more.isEmpty():
+        comp = components(linked.unionByName(more))
     rooted = nodes.join(comp, nodes.nh == comp.node, "left").select("nh", F.col("at.doc_id").alias("least"), F.coalesce("root", "nh").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return signed.select("doc_id", "th", "nh").join(rooted.join(smallest, "root").select("nh", "component_id"), "nh").drop("nh")
