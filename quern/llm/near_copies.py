@@ -7,7 +7,7 @@ lays most such pairs 4 to 12 bits apart).  Candidates whose signatures agree in
 are closed to components.
 
 Texts with equal words are one node before any of this.  Of a bucket of at most ``SMALL`` nodes all pairs are candidates.
-In a larger one each node meets the bucket's first ``PIVOTS`` nodes and the next one, which joins most of it; a bucket is dealt
+In a larger one each node meets the bucket's first ``PIVOTS`` nodes, which joins most of it; a bucket is dealt
 over ``SALTS`` parts by its nodes' hashes, and only the parts' first nodes meet in one place.  What that leaves open is settled in full
 by a second round: nodes that share large buckets, directly or over others, are a family, and within a family every node is
 compared with every node of another component, exactly and without a limit.  Families are cut into blocks of about
@@ -33,7 +33,7 @@ from .components import components
 
 WIDTH, LIKENESS = 5, 0.8
 BANDS, ROWS = 24, 4
-SMALL, PIVOTS, SALTS = 8, 4, 16
+SMALL, PIVOTS, SALTS = 8, 2, 16
 ESTIMATE = 0.5
 #: Bytes of shingle sets and nodes in a block (about), and distinct shingles that two blocks are compared by at once.
 BLOCK_BYTES, BLOCK_NODES, _WIDE = 2 << 20, 512, 4096
@@ -83,7 +83,7 @@ def _bucket_pairs(key: np.ndarray, nh: np.ndarray) -> np.ndarray:
     begin, size = np.repeat(first, count), np.repeat(count, count)
     at, out = np.arange(len(key)), []
     for d in range(1, SMALL):
-        i = at[(at - begin >= d) & ((size <= SMALL) | (d == 1))]
+        i = at[(at - begin >= d) & (size <= SMALL)]
         out.append(np.stack([nh[i - d], nh[i]], axis=1))
     for k in range(PIVOTS):
         i = at[(size > SMALL) & (at - begin > k)]
@@ -94,7 +94,7 @@ def _bucket_pairs(key: np.ndarray, nh: np.ndarray) -> np.ndarray:
 def _meet(batches):
     """Pairs (u, v) of rows (key, nh) sorted by both, and, as u null, the first ``SMALL`` + 1 nodes (v) of each bucket (key).
 
-    Of a bucket that spans batches only its first nodes and its last one are held.
+    Of a bucket that spans batches only its first nodes are held.
     """
 
     def pairs(p):
@@ -116,8 +116,7 @@ def _meet(batches):
             n = int(np.searchsorted(key, large[0], "right"))
             more = nh[:n]
             if n:
-                yield from pairs(np.concatenate([np.stack([np.full(n, p), more], axis=1) for p in large[1]] + [np.stack([np.r_[large[2], more[:-1]], more], axis=1)]))
-                large = (large[0], large[1], more[-1])
+                yield from pairs(np.concatenate([np.stack([np.full(n, p), more], axis=1) for p in large[1]]))
             key, nh = key[n:], nh[n:]
             large = large if not len(key) else None
         if not len(key):
@@ -125,7 +124,7 @@ def _meet(batches):
         key, nh = np.concatenate([rest[0], key]), np.concatenate([rest[1], nh])
         cut_at = int(np.searchsorted(key, key[-1]))
         if len(key) - cut_at > SMALL:
-            large, done, rest = (key[-1], nh[cut_at : cut_at + PIVOTS], nh[-1]), len(key), (key[:0], nh[:0])
+            large, done, rest = (key[-1], nh[cut_at : cut_at + PIVOTS]), len(key), (key[:0], nh[:0])
         else:
             done, rest = cut_at, (key[cut_at:], nh[cut_at:])
         if done:
