@@ -235,6 +235,20 @@ def distance_pairs(points: DataFrame, keys: list[str], cutoff: float, other: Col
     return a.alias("a").join(b.alias("b"), on & other & (d2 <= cutoff * cutoff)).withColumn("distance", F.sqrt(d2))  # compared squared, so a pair exactly at the cutoff is in
 
 
+def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], reach: float | Column) -> DataFrame:
+    """Points a of the left with points b of the right, of the same keys and within reach (a number, or a column that both sides have
+    and that depends on the keys alone): columns a.*, b.* and distance.  Points of the right go to the 27 cells around them."""
+    size = F.lit(float(reach)) if not isinstance(reach, Column) else reach
+    cells = {f"c{c}": F.floor(F.col(c) / size).cast("long") for c in "xyz"}
+    a, b = left.withColumns(cells).withColumn("reach__", size), right.withColumns(cells)
+    step = F.array(*map(F.lit, (-1, 0, 1)))
+    for c in "xyz":
+        b = b.withColumn("d__", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("d__")).drop("d__")
+    on = reduce(lambda p, q: p & q, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("cx", "cy", "cz")])
+    d2 = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in "xyz"), F.lit(0.0))
+    return a.alias("a").join(b.alias("b"), on & (d2 <= F.col("a.reach__") ** 2)).withColumn("distance", F.sqrt(d2))
+
+
 def competition_rank(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """1, 1, 3 ranks."""
     return df.withColumn("rank", F.rank().over(Window.partitionBy(*group).orderBy(*order)))

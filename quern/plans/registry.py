@@ -425,4 +425,4 @@ def g41_shared_chains(spark, sf):
     return contacts.shared_chains(t.where("ord % 2 = 0"), t.where("ord % 2 = 1"))
 
 
-from . import biology, readers  # noqa: E402, F401  (further queries register themselves)
+from . import biology, complexes, readers  # noqa: E402, F401  (further queries register themselves)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -17,3 +20,18 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and with its lineage cut by a reliable checkpoint, for steps that are read several times.
+
+    The folder is the session's spark.checkpoint.dir, which a cluster must set; a temporary one serves only where everything runs in
+    this one process.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "quern-checkpoints"))
+    return df.checkpoint(eager=True)
