@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.accessions import leader_id
 from ..functions.sequences import after_last_stop, reverse_complement, starts_with_met, strip_organism, translate_codons
 from ..sources.text import values_of
+from ..session import settled
 from .contigs import Contigs, leader_of
 
 
@@ -177,20 +177,42 @@ def open_starts(contigs: DataFrame, window: int, most: float = 0.1, chunk: int =
     return parts.withColumn("g", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "g").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("g")
 
 
-def sample_starts(intervals: list[tuple[str, int, int]], n: int = 10_000, seed: int = 0) -> list[tuple[str, int]]:
-    """n starts drawn with replacement, uniformly over all starts of the intervals; the same for the same seed."""
-    rng, ends, total = random.Random(seed), [], 0
-    for _, a, b in intervals:
-        total += b - a + 1
-        ends.append(total)
+#: Bins that draws and intervals meet in.
+_BINS = 1024
+
+
+def numbered_intervals(intervals: DataFrame) -> DataFrame:
+    """id, first, last, before: intervals with the number of starts before them, in the order of id and first.
+
+    The intervals are range-partitioned; places in a part are summed there, and the parts' sums are as many rows as there are parts.
+    """
+    order = ["id", "first"]
+    parts = settled(intervals.where("last >= first").select("id", "first", "last").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    n = F.col("last").cast("long") - F.col("first") + 1
+    sums = parts.groupBy("part").agg(F.sum(n).alias("n"))
+    bases = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    inner = F.sum(n).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - n
+    return parts.withColumn("inner", inner).join(F.broadcast(bases), "part").select("id", "first", "last", (F.col("base") + F.col("inner")).alias("before"))
+
+
+def starts_at(numbered: DataFrame, draws: DataFrame, total: int) -> DataFrame:
+    """draws (k, ...) with id and start of the k-th of all starts, from 0: draws and intervals meet in equal bins of k."""
+    size = max(1, -(-total // _BINS))
+    end = F.col("before") + F.col("last") - F.col("first")
+    held = numbered.withColumn("bin", F.explode(F.sequence(F.floor(F.col("before") / size), F.floor(end / size))))
+    met = draws.withColumn("bin", F.floor(F.col("k") / size)).join(held, "bin").where((F.col("k") >= F.col("before")) & (F.col("k") <= end))
+    return met.select(*draws.columns, "id", (F.col("first") + F.col("k") - F.col("before")).alias("start"))
+
+
+def sample_starts(intervals: DataFrame, n: int = 10_000, seed: int = 0) -> DataFrame:
+    """nth, id, start: n starts (a parameter) drawn with replacement, uniformly over all starts of the intervals (id, first, last); the same for the same seed."""
+    numbered = settled(numbered_intervals(intervals))
+    total = numbered.agg(F.sum(F.col("last").cast("long") - F.col("first") + 1)).first()[0]
     if not total:
         raise ValueError("no window fits")
-    out = []
-    for _ in range(n):
-        k = rng.randrange(total)
-        i = bisect_right(ends, k)
-        out.append((intervals[i][0], intervals[i][2] - (ends[i] - 1 - k)))
-    return out
+    rng = random.Random(seed)
+    draws = intervals.sparkSession.createDataFrame([(i, rng.randrange(total)) for i in range(n)], "nth long, k long")
+    return starts_at(numbered, draws, total).select("nth", "id", "start")
 
 
 def first_genome(rows: DataFrame) -> DataFrame:

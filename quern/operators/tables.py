@@ -87,12 +87,6 @@ def first_offenders(problems: DataFrame, group: list[str], key: str, most: int =
     return few  # collect_list leaves the nulls of the others out
 
 
-def _parts(df: DataFrame, column: str, parts: int = 256) -> Column:
-    """A part number that grows with the column; at most ``parts`` of about equal size, so that windows can run within each."""
-    cuts = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
-    return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), lambda c: c < F.col(column)))
-
-
 def threshold_sweep(entries: DataFrame) -> DataFrame:
     """threshold, tp, fp, fn, tn, sensitivity, specificity, balanced for each distinct score (predicted positive: >= it).
 
@@ -100,7 +94,9 @@ def threshold_sweep(entries: DataFrame) -> DataFrame:
     above are added, so that no window spans the table.  A zero denominator gives null.
     """
     g = entries.groupBy(F.col("score").alias("threshold")).agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("n"))
-    g = g.withColumn("part__", _parts(g, "threshold"))
+    # A stated number of parts is kept as it is, so both readers of the exchange see the same ones.
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = g.repartitionByRange(parts, "threshold").withColumn("part__", F.spark_partition_id())
     per = g.groupBy("part__").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))  # a row for each part
     above, whole = Window.orderBy(F.desc("part__")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     sums = per.select("part__", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in "pn"), *(F.sum(c).over(whole).alias(f"{c}s") for c in "pn"))
@@ -235,6 +231,16 @@ def distance_pairs(points: DataFrame, keys: list[str], cutoff: float, other: Col
     return a.alias("a").join(b.alias("b"), on & other & (d2 <= cutoff * cutoff)).withColumn("distance", F.sqrt(d2))  # compared squared, so a pair exactly at the cutoff is in
 
 
+def furthest(left: DataFrame, right: DataFrame, keys: list[str], upto: Column, at: Column, value: Column) -> DataFrame:
+    """left with furthest: the largest value over rows of the right, of the same keys, whose place ``at`` is at most ``upto`` of the row; null
+    where there is none.  A sweep: both sides lie along one order, and a running maximum stands for the pairs."""
+    a = left.select(*keys, upto.alias("at__"), F.lit(1).alias("side__"), F.lit(None).cast(dict(right.select(value.alias("v")).dtypes)["v"]).alias("v__"), F.struct(*left.columns).alias("row__"))
+    b = right.select(*keys, at.alias("at__"), F.lit(0).alias("side__"), value.alias("v__"), F.lit(None).cast(a.schema["row__"].dataType).alias("row__"))
+    along = Window.partitionBy(*keys).orderBy("at__", "side__").rowsBetween(Window.unboundedPreceding, 0)
+    swept = b.unionByName(a).withColumn("furthest", F.max("v__").over(along)).where("side__ = 1")
+    return swept.select("row__.*", "furthest")
+
+
 def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], reach: float | Column) -> DataFrame:
     """Points a of the left with points b of the right, of the same keys and within reach (a number, or a column that both sides have
     and that depends on the keys alone): columns a.*, b.* and distance.  Points of the right go to the 27 cells around them."""

@@ -361,6 +361,35 @@ def r20_motif_rules(spark, sf):
     return _values(rule.evaluate(facts), rule, "o_orderkey").drop("passed")
 
 
+# A few proteins share all lines of orders as motif hits; two scopes each, and some proteins without a genome, a scope or a scan.
+_MOTIFS = """h AS (SELECT l_suppkey % 50 AS p, l_partkey % 3 AS m, l_orderkey * 7 + l_partkey % 11 AS s, l_orderkey * 7 + l_partkey % 11 + 6 AS e, l_linenumber AS score FROM lineitem), c AS (SELECT DISTINCT p FROM h),
+k AS (SELECT p, 100 + p AS s, 3000 + 50 * p AS e FROM c WHERE p % 9 <> 4 UNION ALL SELECT p, 4000, 4100 FROM c WHERE p % 9 <> 4),
+i AS (SELECT DISTINCT h.* FROM h JOIN k ON h.p = k.p AND h.s >= k.s AND h.e <= k.e WHERE score >= 3), a AS (SELECT * FROM i WHERE m = 0 AND p % 10 <> 5), b AS (SELECT * FROM i WHERE m = 1 AND p % 6 <> 5),
+n AS (SELECT DISTINCT a.p FROM a JOIN b ON a.p = b.p AND b.s <= a.e + 2 AND b.e >= a.s - 2)"""
+
+
+@query(f"""WITH {_MOTIFS} SELECT 'p' || p AS protein, CASE WHEN p % 11 = 7 THEN 'not_applicable' WHEN p % 9 = 4 THEN 'false' WHEN p % 13 = 3 THEN 'error' WHEN p NOT IN (SELECT p FROM a) AND p NOT IN (SELECT p FROM b) THEN 'missing_MA0_and_MA1'
+ WHEN p NOT IN (SELECT p FROM a) THEN 'missing_MA0' WHEN p NOT IN (SELECT p FROM b) THEN 'missing_MA1' WHEN p IN (SELECT p FROM n) THEN 'yes' ELSE 'too_far' END AS result FROM c""")
+def j13_motif_distances(spark, sf):
+    c = F.col
+    p, m, start = c("l_suppkey") % 50, c("l_partkey") % 3, c("l_orderkey") * 7 + c("l_partkey") % 11
+    h = read(spark, sf, "lineitem").select(p.alias("p"), F.concat(F.lit("MA"), m, F.lit(".1")).alias("motif"), start.alias("start"), (start + 6).alias("end"), c("l_linenumber").cast("double").alias("score"), m.alias("m"))
+    h = h.withColumn("protein", F.concat(F.lit("p"), "p")).where(~((c("m") == 0) & (c("p") % 10 == 5)) & ~((c("m") == 1) & (c("p") % 6 == 5)))
+    every = read(spark, sf, "lineitem").select(p.alias("p")).distinct().withColumn("protein", F.concat(F.lit("p"), "p"))
+    scopes = every.where("p % 9 <> 4").select("protein", F.explode(F.array(F.struct((100 + c("p")).alias("s"), (3000 + 50 * c("p")).alias("e")), F.struct(F.lit(4000).cast("long").alias("s"), F.lit(4100).cast("long").alias("e")))).alias("x")).select("protein", "x.*")
+    return rules.motif_verdicts(every.select("protein", (c("p") % 11 != 7).alias("has_genome")), scopes, h, every.where("p % 13 = 3"), "MA0", "MA1", 2, 3.0)
+
+
+@query("""WITH i AS (SELECT 'c' || (o_custkey % 97) AS id, o_orderkey * 10 AS first, o_orderkey * 10 + o_custkey % 40 - 3 AS last FROM orders), n AS (SELECT *, last - first + 1 AS n FROM i WHERE last >= first),
+b AS (SELECT *, sum(n) OVER (ORDER BY id, first) - n AS before FROM n), t AS (SELECT sum(n) AS total FROM n), d AS (SELECT o_orderkey AS nth, o_orderkey * 7919 % (SELECT total FROM t) AS k FROM orders)
+SELECT nth, id, CAST(first + k - before AS BIGINT) AS start FROM d JOIN b ON k >= before AND k < before + n""")
+def g19_starts(spark, sf):
+    o = read(spark, sf, "orders")
+    i = G.numbered_intervals(o.select(F.concat(F.lit("c"), _c() % 97).alias("id"), (_k() * 10).alias("first"), (_k() * 10 + _c() % 40 - 3).alias("last")))
+    total = i.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0]
+    return G.starts_at(i, o.select(_k().alias("nth"), (_k() * 7919 % total).alias("k")), total).select("nth", "id", "start")
+
+
 @query("""WITH c AS (SELECT 'p' || (o_custkey % 300) AS protein, 'a' || o_orderkey AS accession, CAST(o_orderkey % 41 - 20 AS INT) AS "start", o_orderkey % 10 = 0 AS orig FROM orders),
 m AS (SELECT *, "start" <> 0 AND "start" BETWEEN -5 AND 8 AND NOT orig AS a, "start" <> 0 AND "start" BETWEEN 12 AND 15 AND NOT orig AS b FROM c), x AS (SELECT *, bool_or(a) OVER (PARTITION BY protein) AS any_a, bool_or(b) OVER (PARTITION BY protein) AS any_b FROM m)
 SELECT protein, accession, "start" FROM x WHERE a OR orig OR b""")
@@ -484,6 +513,41 @@ def a15_interaction_counts(spark, sf):
     return t.select("chain_a", "chain_b", "kind", "n", F.round("shortest", 5).alias("shortest"))
 
 
+# Residues are eight points each, spread wide, so that a scan often meets a pair beyond twice the cutoff before one within it.
+@query("""WITH a AS (SELECT label % 4 AS place, vec_id // 32 AS number, vec_id AS ord, vec_id % 101 AS plddt, row_number() OVER (PARTITION BY label % 4, vec_id // 32 ORDER BY vec_id) = 1 AS ca, [60 * CAST(embedding[1] AS DOUBLE), 60 * CAST(embedding[2] AS DOUBLE), 60 * CAST(embedding[3] AS DOUBLE)] AS c FROM embeddings),
+d AS (SELECT p.place AS c1, p.number AS n1, q.place AS c2, q.number AS n2, list_distance(p.c, q.c) AS d, row_number() OVER (PARTITION BY p.place, p.number, q.place, q.number ORDER BY p.ord, q.ord) AS i FROM a p JOIN a q ON p.place <> q.place),
+t AS (SELECT c1, n1, c2, n2 FROM d GROUP BY ALL HAVING min(i) FILTER (d < 6) < coalesce(min(i) FILTER (d > 12), 1000000)), r AS (SELECT place, number, plddt FROM a WHERE ca),
+o AS (SELECT DISTINCT c1, n1 FROM t), l AS (SELECT DISTINCT c1, n2 + 10000 * c2 AS n, c2 FROM t),
+m AS (SELECT c1, plddt FROM o JOIN r ON r.place = c1 AND r.number = n1 UNION ALL SELECT c1, plddt FROM l JOIN r ON r.number = l.n AND r.place <> c1 AND l.c2 <= r.place),
+b AS (SELECT c1, avg(plddt) AS p FROM m GROUP BY 1), k AS (SELECT c1, count(*) AS n FROM (SELECT c1, n1 FROM o UNION ALL SELECT c1, n FROM l) GROUP BY 1)
+SELECT 'C' || place AS chain, coalesce(n, 0) AS n_residues, round(coalesce(p, 0), 9) AS interface_plddt, round(avg(plddt), 9) AS mean_plddt, round(0.702605033 / (1 + exp(-0.0270621128 * (coalesce(ln(n) * p, 0) - 291.749822))) + 0.0225416051, 9) AS score
+FROM r LEFT JOIN b ON b.c1 = place LEFT JOIN k ON k.c1 = place GROUP BY place, n, p""")
+def a20_legacy_score(spark, sf):
+    t = _residues(spark, sf, 60.0).withColumns({"ord": F.col("number"), "place": F.substring("chain", 2, 1).cast("int")}).withColumn("number", F.floor(F.col("number") / 32))
+    first = F.min("ord").over(Window.partitionBy("chain", "number"))
+    got = contacts.legacy_scores(t.withColumn("name", F.when(F.col("ord") == first, "CA").otherwise("X")), 6.0)
+    return got.select("chain", "n_residues", *(F.round(c, 9).alias(c) for c in ("interface_plddt", "mean_plddt", "score")))
+
+
+# 24 points a sphere; an atom's point is free where no other atom's grown sphere holds it.
+@query(f"""WITH a AS (SELECT 'C' || (label % 4) AS chain, vec_id AS v, vec_id // 8 AS number, 40 * CAST(embedding[1] AS DOUBLE) AS x, 40 * CAST(embedding[2] AS DOUBLE) AS y, 40 * CAST(embedding[3] AS DOUBLE) AS z, CASE vec_id % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'N' WHEN 2 THEN 'O' ELSE 'S' END AS element,
+ 1.4 + CASE vec_id % 4 WHEN 0 THEN 1.7 WHEN 1 THEN 1.55 WHEN 2 THEN 1.52 ELSE 1.8 END AS r FROM embeddings),
+s AS (SELECT k, (k + 0.5) * (2.0 / 24) - 1 AS py, sqrt(1 - ((k + 0.5) * (2.0 / 24) - 1) ** 2) AS pr, k * pi() * (3 - sqrt(5)) AS phi FROM (SELECT unnest(range(24)) AS k)),
+p AS (SELECT a.chain, v, number, element, r, k, x + r * pr * cos(phi) AS qx, y + r * py AS qy, z + r * pr * sin(phi) AS qz FROM a, s),
+h AS (SELECT p.chain, p.v, p.k, b.chain AS other FROM p JOIN a b ON b.v <> p.v AND (b.x - qx) ** 2 + (b.y - qy) ** 2 + (b.z - qz) ** 2 < b.r ** 2 GROUP BY ALL),
+f AS (SELECT p.* FROM p ANTI JOIN h ON h.v = p.v AND h.k = p.k AND h.other = p.chain), c AS (SELECT DISTINCT chain FROM a), g AS (SELECT l.chain AS chain_a, r.chain AS chain_b FROM c l JOIN c r ON l.chain < r.chain),
+w AS (SELECT chain_a, chain_b, f.chain, number, element, 4 * pi() / 24 * r * r AS area, EXISTS (SELECT 1 FROM h WHERE h.v = f.v AND h.k = f.k AND h.other = CASE WHEN f.chain = chain_a THEN chain_b ELSE chain_a END) AS hid FROM f JOIN g ON f.chain IN (chain_a, chain_b)),
+e AS (SELECT DISTINCT chain_a, chain_b, a.chain, number FROM a JOIN g ON a.chain IN (chain_a, chain_b)),
+t AS (SELECT chain_a, chain_b, chain, number, sum(area) AS iso, sum(CASE WHEN hid THEN 0 ELSE area END) AS com, sum(CASE WHEN hid AND element IN ('C', 'S') THEN area ELSE 0 END) AS np FROM w GROUP BY ALL)
+SELECT chain_a, chain_b, chain, number, round(coalesce(iso, 0), 6) AS sasa_isolated, round(coalesce(com, 0), 6) AS sasa_complex, round(coalesce(iso - com, 0), 6) + 0.0 AS buried_area, round(coalesce(np, 0), 6) AS buried_nonpolar_area FROM e LEFT JOIN t USING (chain_a, chain_b, chain, number)""")
+def g37_burial(spark, sf):
+    v = F.col("number")
+    element = F.element_at(F.array(*map(F.lit, ("C", "N", "O", "S"))), (v % 4 + 1).cast("int"))
+    atoms = _residues(spark, sf, 40.0).withColumns({"element": element, "name": v.cast("string")}).withColumn("number", F.floor(v / 8))
+    t = contacts.burial(atoms, points=24)
+    return t.select("chain_a", "chain_b", "chain", "number", *(F.round(c, 6).alias(c) for c in ("sasa_isolated", "sasa_complex", "buried_area", "buried_nonpolar_area")))
+
+
 @query(f"""WITH {_ATOMS.format(s=1)} SELECT chain, count(*) AS n, CASE WHEN bool_and(t <> 3) THEN round(avg(CASE t WHEN 0 THEN -3.9 WHEN 1 THEN -3.5 WHEN 2 THEN 1.8 WHEN 4 THEN -0.8 END), 9) END AS hydropathy, CASE WHEN bool_and(t <> 3) THEN CAST(sum(CASE t WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END) AS BIGINT) END AS charge FROM a WHERE chain <> 'C1' OR t <> 3 GROUP BY 1""")
 def a16_composition(spark, sf):
     r = _residues(spark, sf).where("chain <> 'C1' OR resname <> 'SEP'")

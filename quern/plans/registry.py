@@ -293,7 +293,7 @@ SELECT protein, CASE WHEN ((pf3 AND pf5) OR t7) AND NOT only4 THEN 'true' ELSE '
 def r06_rule(spark, sf):
     proteins = read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("protein"))
     rule = ((rules.Pfam.matches("PF00003") & rules.Pfam.matches("PF00005").between_aa(1, 250)) | rules.Pfam.matches("PF00007").times(1, 2)) & ~rules.Pfam.matches_only("PF00003", "PF00005", "PF00007", "PF00009")
-    return rule.evaluate(rules.facts(proteins, Pfam=hits(spark, sf))).select("protein", F.col("`pass all`"))
+    return rule.judged(proteins, Pfam=hits(spark, sf)).select("protein", F.col("`pass all`"))
 
 
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'maybe' WHEN 2 THEN 'error' ELSE 'false' END AS a, CASE l_suppkey % 4 WHEN 0 THEN 'too_far' WHEN 1 THEN 'missing_x' WHEN 2 THEN 'maybe' ELSE 'error' END AS b FROM lineitem)
@@ -406,7 +406,7 @@ SELECT protein, CASE WHEN coalesce(one, false) OR coalesce(every, true) THEN 'tr
 def a11_target_sets(spark, sf):
     proteins = read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("protein"))
     rule = rules.Pfam.matches_any("PF00003.9", "PF00007") | rules.Pfam.matches_only(*(f"PF0000{i}" for i in range(1, 7)))
-    return rule.evaluate(rules.facts(proteins, Pfam=hits(spark, sf))).select("protein", F.col("`pass all`"))
+    return rule.judged(proteins, Pfam=hits(spark, sf)).select("protein", F.col("`pass all`"))
 
 
 @query("""WITH a AS (SELECT l_orderkey, l_returnflag, sum(l_linenumber % 3) AS na FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey, l_returnflag, count(*) AS nb FROM lineitem WHERE l_linenumber % 4 > 0 GROUP BY ALL)

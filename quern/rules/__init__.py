@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import importlib
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import logic
 from ..functions.accessions import same_or_versioned, unversioned
 from ..functions.intervals import most_disjoint, relative
+from ..operators.tables import furthest
 
 
 class Rule:
@@ -51,6 +53,36 @@ class Rule:
     def scope(self, candidates: DataFrame) -> DataFrame:
         return candidates
 
+    def aggregates(self) -> dict[str, Column] | None:
+        """Aggregates over a protein's hits (accession, lo, hi, anchor) that ``settled_by`` turns into the result; None: a row rule."""
+        return None
+
+    def judged(self, proteins: DataFrame, **hits: DataFrame) -> DataFrame:
+        """proteins plus a column for each atomic rule and ``pass all``, from the hits of each kind (query_accession, ...).
+
+        Rules over hits become conditional aggregates of one grouping for each kind, over hits of the accessions they name; no array of a
+        protein's hits is built, but for disjoint counts, which collect the spans they count.
+        """
+        out, results = proteins, {}
+        for kind in sorted(k for k in self.sources if k in hits):
+            asked = {k: a for k, a in self.atoms().items() if kind in a.sources and a.aggregates() is not None}
+            arrays = [a for a in self.atoms().values() if kind in a.sources and a.aggregates() is None]
+            if arrays:
+                out = facts(out, **{kind: hits[kind]})
+            if not asked:
+                continue
+            wanted = [a.concerns() for a in asked.values()]
+            rows = hit_rows(hits[kind])
+            if all(w is not None for w in wanted):
+                rows = rows.where(reduce(lambda x, y: x | y, wanted))
+            names = {(k, n): f"{kind}__{i}__{n}" for i, (k, a) in enumerate(asked.items()) for n in a.aggregates()}
+            per = rows.groupBy("protein").agg(*(c.alias(names[k, n]) for k, a in asked.items() for n, c in a.aggregates().items()))
+            out = out.join(per, "protein", "left")
+            results |= {k: a.settled_by(lambda n, k=k, names=names: F.col(names[k, n])) for k, a in asked.items()}
+        labelled = out.select("*", *((results[k] if k in results else a.column()).alias(k) for k, a in self.atoms().items()))
+        extra = [c for c in labelled.columns if "__" in c and c.split("__")[0] in hits]
+        return labelled.withColumn("pass all", logic.normalized(self.resolve())).drop(*extra)
+
     def evaluate(self, facts: DataFrame) -> DataFrame:
         """facts plus a column for each atomic rule and ``pass all``."""
         labelled = facts.select("*", *(a.column().alias(k) for k, a in self.atoms().items()))
@@ -176,6 +208,33 @@ class Hits(Rule):
             ok &= F.coalesce(width.between(*self.span), F.lit(False))
         return logic.from_bool(ok)
 
+    def concerns(self) -> Column:
+        versions = self.kind == "Pfam"
+        return _named(F.col("accession"), self.accession.split(".")[0] if versions and self.count else self.accession, versions)
+
+    def aggregates(self):
+        mine, span = self.concerns(), F.struct("lo", "hi")
+        out = {"n": F.count_if(mine)}
+        if self.count and not self.overlapping:
+            out["spans"] = F.collect_list(F.when(mine, span))
+        if self.window:
+            out["inside"] = F.count_if(mine & (F.col("lo") >= self.window[0]) & (F.col("hi") <= self.window[1]))
+        if self.span:
+            out |= {"lo": F.min(F.when(mine, F.col("lo"))), "hi": F.max(F.when(mine, F.col("hi")))}
+        return out
+
+    def settled_by(self, got):
+        n = F.coalesce(got("n"), F.lit(0))
+        ok = n > 0
+        if self.count:
+            ok = (n if self.overlapping else F.coalesce(most_disjoint(got("spans")), F.lit(0))).between(*self.count)
+        if self.window:
+            inside = F.coalesce(got("inside"), F.lit(0))
+            ok &= (n > 0) & (inside == n) if self.every else inside > 0
+        if self.span:
+            ok &= F.coalesce((got("hi") - got("lo") + 1).between(*self.span), F.lit(False))
+        return logic.from_bool(ok)
+
 
 @dataclass(frozen=True)
 class HitSet(Rule):
@@ -199,6 +258,22 @@ class HitSet(Rule):
         test = lambda h: name(h).isin(*sorted(wanted))
         return logic.from_bool(F.forall(self.kind, test) if self.only else F.exists(self.kind, test))
 
+    def _among(self) -> Column:
+        pfam = self.kind == "Pfam"
+        wanted = {a.split(".")[0] for a in self.accessions} if pfam else set(self.accessions)
+        return (unversioned(F.col("accession")) if pfam else F.col("accession")).isin(*sorted(wanted))
+
+    def concerns(self) -> Column | None:
+        """Which hits matter; None: all of them."""
+        return None if self.only else self._among()
+
+    def aggregates(self):
+        return {"n": F.count_if(~self._among() if self.only else self._among())}
+
+    def settled_by(self, got):
+        n = F.coalesce(got("n"), F.lit(0))
+        return logic.from_bool(n == 0 if self.only else n > 0)
+
 
 class _HitFactory:
     def __init__(self, kind: str):
@@ -537,18 +612,54 @@ def bound_candidates(candidates: DataFrame, hits: DataFrame, accession: str, kin
     return cut.withColumns({"accession": named, "sequence": text}).drop("bound__")
 
 
+def hit_rows(hits: DataFrame) -> DataFrame:
+    """protein, accession, lo, hi, anchor (where the model's first position would lie) of hits."""
+    anchor = F.col("query_start") - (F.coalesce("target_start", F.lit(1)) - 1) if "target_start" in hits.columns else F.least("query_start", "query_end")
+    return hits.select(F.col("query_accession").alias("protein"), F.col("target_accession").alias("accession"), F.least("query_start", "query_end").alias("lo"), F.greatest("query_start", "query_end").alias("hi"), anchor.cast("int").alias("anchor"))
+
+
 def facts(proteins: DataFrame, **hits: DataFrame) -> DataFrame:
-    """One row per protein with its hits of each kind as array<struct<accession, lo, hi, anchor>>; only given kinds are joined."""
+    """One row per protein with its hits of each kind as array<struct<accession, lo, hi, anchor>>; only given kinds are joined.
+
+    For rules over hits alone ``Rule.judged`` needs no arrays.
+    """
     out = proteins
     for kind, h in hits.items():
-        anchor = F.col("query_start") - (F.coalesce("target_start", F.lit(1)) - 1) if "target_start" in h.columns else F.least("query_start", "query_end")
-        s = F.struct(F.col("target_accession").alias("accession"), F.least("query_start", "query_end").alias("lo"), F.greatest("query_start", "query_end").alias("hi"), anchor.cast("int").alias("anchor"))
-        per = h.groupBy(F.col("query_accession").alias("protein")).agg(F.collect_list(s).alias(kind))
+        per = hit_rows(h).groupBy("protein").agg(F.collect_list(F.struct("accession", "lo", "hi", "anchor")).alias(kind))
         kind_type = dict(per.dtypes)[kind]
         out = out.join(per, "protein", "left").withColumn(kind, F.coalesce(kind, F.array().cast(kind_type)))
     return out
 
 
+def motif_verdicts(proteins: DataFrame, scopes: DataFrame, hits: DataFrame, failed: DataFrame, first: str, second: str | None = None, distance: int | None = None, lowest_score: float | None = None) -> DataFrame:
+    """protein, result of ``Motifs`` over tables instead of arrays: hits (protein, motif, start, end, score) inside scopes (protein, s, e).
+
+    proteins: protein, has_genome.  failed: proteins whose scan failed.  Containment and the nearest edge are sweeps along a protein's
+    positions, so a protein with many hits costs a sort and no pairs.
+    """
+    def mine(name):
+        got = hits.where(same_or_versioned(F.col("motif"), name))
+        got = got if lowest_score is None else got.where(F.col("score") >= lowest_score)
+        reached = furthest(got, scopes, ["protein"], F.col("start"), F.col("s"), F.col("e"))
+        return reached.where(F.col("furthest") >= F.col("end")).select("protein", "start", "end")
+
+    a = mine(first)
+    t = proteins.join(scopes.select("protein").distinct().withColumn("scoped", F.lit(True)), "protein", "left").join(failed.select("protein").distinct().withColumn("failed", F.lit(True)), "protein", "left")
+    t = t.join(a.select("protein").distinct().withColumn("a", F.lit(True)), "protein", "left")
+    if second is None:
+        result = F.when(F.col("a"), "yes").otherwise(f"missing_{first}")
+    else:
+        b = mine(second)
+        # Some b starts at most distance behind a's end, and one of those ends at most distance before a's start.
+        near = furthest(a, b.withColumnRenamed("end", "b_end"), ["protein"], F.col("end") + distance, F.col("start"), F.col("b_end")).where(F.col("furthest") >= F.col("start") - distance)
+        t = t.join(b.select("protein").distinct().withColumn("b", F.lit(True)), "protein", "left").join(near.select("protein").distinct().withColumn("near", F.lit(True)), "protein", "left")
+        result = (
+            F.when(F.col("a").isNull() & F.col("b").isNull(), f"missing_{first}_and_{second}").when(F.col("a").isNull(), f"missing_{first}").when(F.col("b").isNull(), f"missing_{second}")
+            .when(F.col("near"), "yes").otherwise("too_far")
+        )
+    return t.select("protein", F.when(~F.col("has_genome"), "not_applicable").when(F.col("scoped").isNull(), "false").when(F.col("failed"), "error").otherwise(result).alias("result"))
+
+
 def result_counts(results: DataFrame, label: str) -> DataFrame:
     """Histogram of a rule's results."""
     return results.groupBy(F.col(f"`{label}`").alias("result")).agg(F.count(F.lit(1)).alias("n"))

@@ -63,7 +63,7 @@ def folds(found: DataFrame) -> DataFrame:
 
 
 def _atom_rows(text: str):
-    """Rows of the _atom_site loop as dictionaries."""
+    """Rows of the _atom_site loop as dictionaries; None for a row with other than a cell for each column."""
     lines = iter(text.splitlines())
     for line in lines:
         if line.strip() == "loop_":
@@ -75,9 +75,11 @@ def _atom_rows(text: str):
                 continue
             keys = [n.split(".", 1)[1] for n in names]
             while row and not row.startswith(("#", "loop_", "_", "data_")):
-                cells = shlex.split(row) if "'" in row or '"' in row else row.split()
-                if len(cells) == len(keys):
-                    yield dict(zip(keys, cells, strict=True))
+                try:
+                    cells = shlex.split(row) if "'" in row or '"' in row else row.split()
+                except ValueError:  # an open quotation mark
+                    cells = []
+                yield dict(zip(keys, cells, strict=True)) if len(cells) == len(keys) else None
                 row = next(lines, "")
 
 
@@ -93,7 +95,8 @@ ATOMS = "model string, chain string, number int, resname string, name string, el
 
 def atoms(found: DataFrame) -> DataFrame:
     """Atoms of the polymers in mmCIF files; alternative locations, several models in a file, numbers that aren't whole and
-    coordinates that aren't finite are problems.  Rows without a place in the sequence (``.``: ligands, water) are left out."""
+    coordinates that aren't finite are problems, and so are rows with cells missing or too many (``columns``, nothing else known).  Rows
+    without a place in the sequence (``.``: ligands, water) are left out."""
 
     def parse(batches):
         for pdf in batches:
@@ -101,6 +104,9 @@ def atoms(found: DataFrame) -> DataFrame:
             for locator, content in zip(pdf["locator"], pdf["content"], strict=True):
                 seen = set()
                 for a in _atom_rows(bytes(content).decode("utf-8", "replace")):
+                    if a is None or not {"label_asym_id", "label_comp_id", "label_atom_id"} <= a.keys():
+                        out.append((locator, None, None, None, None, None, *(float("nan"),) * 4, "columns"))
+                        continue
                     seen.add(a.get("pdbx_PDB_model_num", "1"))
                     place = a.get("label_seq_id", ".")
                     if place in (".", "?"):
@@ -119,21 +125,32 @@ def _model_of(locator: str) -> str:
     return re.sub(r"_full_data_(\d+)\.json$", r"_model_\1.cif", locator)
 
 
+def _json(content) -> dict:
+    """The object of a JSON text; an empty one where the text holds none."""
+    try:
+        d = json.loads(bytes(content))
+    except ValueError:  # also what isn't UTF-8
+        return {}
+    return d if isinstance(d, dict) else {}
+
+
 TOKENS = "model string, token_index int, chain string, number int, problem string"
 
 
 def tokens(found: DataFrame) -> DataFrame:
-    """Tokens of full-data JSON texts in their order, with the chain and residue each stands for; lists that are missing, of
-    different lengths or unlike the error matrix make one problem row of their model."""
+    """Tokens of full-data JSON texts in their order, with the chain and residue each stands for; lists that are missing (or in
+    no readable JSON), of different lengths, with ids that are no whole numbers, or unlike the error matrix make one problem row of their model."""
 
     def parse(batches):
         for pdf in batches:
             out = []
             for locator, content in zip(pdf["locator"], pdf["content"], strict=True):
-                model, d = _model_of(locator), json.loads(bytes(content))
+                model, d = _model_of(locator), _json(content)
                 chains, numbers, matrix = (d.get(k) for k in ("token_chain_ids", "token_res_ids", "pae"))
                 if not isinstance(chains, list) or not isinstance(numbers, list) or len(chains) != len(numbers):
                     out.append((model, None, None, None, "token lists"))
+                elif any(isinstance(n, bool) or not isinstance(n, int) or abs(n) >= 1 << 31 for n in numbers) or any(c is None for c in chains):
+                    out.append((model, None, None, None, "token ids"))
                 elif not isinstance(matrix, list) or any(not isinstance(r, list) or len(r) != len(chains) for r in matrix) or len(matrix) != len(chains):
                     out.append((model, None, None, None, "matrix"))
                 else:
@@ -169,14 +186,15 @@ def residues(atom_table: DataFrame, token_table: DataFrame) -> DataFrame:
 
 
 def pae(found: DataFrame) -> DataFrame:
-    """model locator, i, j, value of full-data JSON texts."""
+    """model locator, i, j, value of full-data JSON texts; none of those that aren't readable, and null for what is no number (``tokens`` has the problem)."""
 
     def parse(batches):
         for pdf in batches:
             out = []
             for locator, content in zip(pdf["locator"], pdf["content"], strict=True):
-                m = json.loads(bytes(content)).get("pae") or []
-                out += [(_model_of(locator), i, j, float(v)) for i, row in enumerate(m) for j, v in enumerate(row)]
-            yield pd.DataFrame(out, columns=["model", "i", "j", "value"])
+                m = _json(content).get("pae")
+                plain = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+                out += [(_model_of(locator), i, j, plain(v)) for i, row in enumerate(m if isinstance(m, list) else []) for j, v in enumerate(row if isinstance(row, list) else [])]
+            yield pd.DataFrame(out, columns=["model", "i", "j", "value"]).astype({"value": "float64"})
 
     return found.where(F.col("locator").contains("full_data")).mapInPandas(parse, "model string, i int, j int, value double")

@@ -6,6 +6,8 @@ pae: model, i, j, value.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,6 +213,116 @@ def interaction_counts(typed: DataFrame) -> DataFrame:
     return g.select(*PAIR, "kind", F.when(F.col("kind") == "hydrogen_bond", F.col("a")).otherwise(F.col("r")).alias("n"), "shortest")
 
 
+# Logistic of the legacy score (height, middle, slope, floor) up to each cutoff; the last serves beyond.
+LEGACY = (
+    (5, (6.96234405e-01, 2.35483775e02, 2.25322970e-02, 2.88445245e-02)),
+    (6, (7.02605033e-01, 2.91749822e02, 2.70621128e-02, 2.25416051e-02)),
+    (7, (7.06385097e-01, 3.32456259e02, 2.97005237e-02, 2.24488132e-02)),
+    (8, (7.18442739e-01, 3.60791204e02, 3.01635944e-02, 2.04076969e-02)),
+    (9, (7.23328534e-01, 3.80036094e02, 3.06316084e-02, 1.98471192e-02)),
+    (10, (7.20293782e-01, 3.95627723e02, 3.15235037e-02, 2.37304238e-02)),
+    (11, (7.22015998e-01, 4.09095024e02, 3.11905555e-02, 2.59467513e-02)),
+    (math.inf, (7.20555781e-01, 4.21033584e02, 3.09024241e-02, 2.88659629e-02)),
+)
+#: Numbers of residues of the chains of one interface are told apart by this times the chain's place; a residue counts by its own number.
+_CHAIN_STEP = 10_000
+
+
+def early_contacts(atoms: DataFrame, cutoff: float) -> DataFrame:
+    """model, chain_a, number_a, chain_b, number_b: residue pairs of different chains, in both orders, that touch by a scan that gives up early.
+
+    Atoms are compared in the order of ord, first by a's.  A pair within the cutoff makes the residues touch, unless one farther apart than
+    twice the cutoff comes before it.  Candidates come from the grid join; what comes first is a minimum over the residues' own atom pairs.
+    """
+    near = distance_pairs(atoms, ["model"], cutoff, F.expr("a.chain <> b.chain")).where(F.col("distance") < cutoff)
+    k = ["model", "chain_a", "number_a", "chain_b", "number_b"]
+    name = lambda s: [F.col(f"{s}.chain").alias(f"chain_{s}"), F.col(f"{s}.number").alias(f"number_{s}")]
+    first = near.select(F.col("a.model").alias("model"), *name("a"), *name("b"), F.struct(F.col("a.ord").alias("i"), F.col("b.ord").alias("j")).alias("o")).groupBy(*k).agg(F.min("o").alias("touch"))
+    side = lambda s: atoms.select("model", F.col("chain").alias(f"chain_{s}"), F.col("number").alias(f"number_{s}"), F.struct("ord", "x", "y", "z").alias(s))
+    j = first.join(side("a"), ["model", "chain_a", "number_a"]).join(side("b"), ["model", "chain_b", "number_b"])
+    far = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in "xyz"), F.lit(0.0)) > 4 * cutoff * cutoff
+    gone = j.groupBy(*k).agg(F.first("touch").alias("touch"), F.min(F.when(far, F.struct(F.col("a.ord").alias("i"), F.col("b.ord").alias("j")))).alias("gone"))
+    return gone.where(F.col("gone").isNull() | (F.col("touch") < F.col("gone"))).select(*k)
+
+
+def legacy_scores(atoms: DataFrame, cutoff: float = 10.0) -> DataFrame:
+    """model, chain, n_residues (of the chain's interfaces), interface_plddt, mean_plddt, score of each chain against all others.
+
+    atoms: model, chain, place (of the chain in its model, from 0), number, name, ord, x, y, z, plddt (of the residue).  The score is a logistic
+    of log(n_residues) times the mean confidence of the interface.  That mean takes a partner's residue if its number is in the list of the
+    interface's numbers so far, in which partners behind the first are shifted by _CHAIN_STEP times their place, as the score was calibrated.
+    """
+    height, middle, slope, floor = next(v for most, v in LEGACY if cutoff <= most)
+    ca = atoms.where("name = 'CA'").select("model", "chain", "place", "number", "plddt")
+    touch = early_contacts(atoms, cutoff)
+    chains = ca.groupBy("model", "chain", "place").agg(F.avg("plddt").alias("mean_plddt"))
+    place = chains.select("model", F.col("chain").alias("chain_b"), F.col("place").alias("place_b"))
+    own = touch.select("model", F.col("chain_a").alias("chain"), F.col("number_a").alias("number")).distinct()
+    listed = touch.join(place, ["model", "chain_b"]).select("model", F.col("chain_a").alias("chain"), (F.col("number_b") + _CHAIN_STEP * F.col("place_b")).alias("number"), "place_b").distinct()
+    mine = own.join(ca, ["model", "chain", "number"]).groupBy("model", "chain").agg(F.sum("plddt").alias("b1"), F.count(F.lit(1)).alias("k1"))
+    partners = ca.select("model", F.col("chain").alias("other"), F.col("place").alias("place_o"), "number", "plddt")
+    met = listed.join(partners, ["model", "number"]).where((F.col("other") != F.col("chain")) & (F.col("place_b") <= F.col("place_o")))
+    theirs = met.groupBy("model", "chain").agg(F.sum("plddt").alias("b2"), F.count(F.lit(1)).alias("k2"))
+    counts = own.groupBy("model", "chain").agg(F.count(F.lit(1)).alias("n1")).join(listed.groupBy("model", "chain").agg(F.count(F.lit(1)).alias("n2")), ["model", "chain"])
+    t = chains.join(mine, ["model", "chain"], "left").join(theirs, ["model", "chain"], "left").join(counts, ["model", "chain"], "left").na.fill(0, ["b1", "k1", "b2", "k2", "n1", "n2"])
+    n, k = F.col("n1") + F.col("n2"), F.col("k1") + F.col("k2")
+    mean = F.when(k > 0, (F.col("b1") + F.col("b2")) / k).otherwise(0.0)
+    x = F.when(n > 0, F.log(n.cast("double")) * mean).otherwise(0.0)
+    return t.select("model", "chain", n.alias("n_residues"), mean.alias("interface_plddt"), "mean_plddt", (height / (1 + F.exp(-slope * (x - middle))) + floor).alias("score"))
+
+
+PROBE = 1.4
+
+
+def _sphere(n: int) -> Column:
+    """n points on a unit sphere along a golden spiral."""
+    turn = math.pi * (3 - 5**0.5)
+
+    def point(k):
+        y = (k + 0.5) * (2.0 / n) - 1
+        r, phi = F.sqrt(1 - y * y), k * turn
+        return F.struct((F.cos(phi) * r).alias("x"), y.alias("y"), (F.sin(phi) * r).alias("z"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point)
+
+
+def _covered(near: Column, out: Column) -> Column:
+    """Lies the point (dx, dy, dz, from the atom) inside a neighbour's grown sphere?"""
+    return F.exists(near, lambda q: (q["x"] - out["x"]) ** 2 + (q["y"] - out["y"]) ** 2 + (q["z"] - out["z"]) ** 2 < q["r"] * q["r"])
+
+
+def burial(atoms: DataFrame, chain_1: str = "chain_a", chain_2: str = "chain_b", points: int = 240) -> DataFrame:
+    """model, pair columns, chain, number, sasa_isolated, sasa_complex, buried_area, buried_nonpolar_area (of C and S) of the residues of two chains.
+
+    atoms: model, chain, number, name, element, x, y, z.  Every pair of chains of a model is taken apart and together; an atom's
+    neighbours come from the grid join, so an atom meets its surroundings only, and points of its sphere are tested on the JVM.
+    """
+    t = heavy(atoms).withColumn("r", F.col("radius") + PROBE).select("model", "chain", "number", "name", "element", "x", "y", "z", "r")
+    t = t.withColumn("atom", F.xxhash64("chain", "number", "name", "x", "y", "z"))
+    chains = t.select("model", "chain").distinct()
+    pairs = chains.alias("p").join(chains.alias("q"), "model").where("p.chain < q.chain").select("model", F.col("p.chain").alias(chain_1), F.col("q.chain").alias(chain_2))  # a model has few chains
+    reach = 2 * (max(RADII.values()) + PROBE)
+    near = distance_pairs(t, ["model"], reach, F.expr("NOT (a.atom = b.atom AND a.chain = b.chain)")).where(F.col("distance") < F.col("a.r") + F.col("b.r"))
+    q = F.struct((F.col("b.x") - F.col("a.x")).alias("x"), (F.col("b.y") - F.col("a.y")).alias("y"), (F.col("b.z") - F.col("a.z")).alias("z"), F.col("b.r").alias("r"))
+    by_chain = near.groupBy(F.col("a.model").alias("model"), F.col("a.chain").alias("chain"), F.col("a.atom").alias("atom"), F.col("b.chain").alias("other")).agg(F.collect_list(q).alias("near"))  # what fits around an atom
+    none = F.array().cast("array<struct<x:double,y:double,z:double,r:double>>")
+    own = t.join(by_chain.where("chain = other").select("model", "chain", "atom", F.col("near").alias("own")), ["model", "chain", "atom"], "left").withColumn("own", F.coalesce("own", none))
+    free = F.filter(F.transform(_sphere(points), lambda p: F.struct((p["x"] * F.col("r")).alias("x"), (p["y"] * F.col("r")).alias("y"), (p["z"] * F.col("r")).alias("z"))), lambda p: ~_covered(F.col("own"), p))
+    alone = own.select("model", "chain", "number", "element", "atom", "r", free.alias("free"))
+    sides = pairs.select("model", chain_1, chain_2, F.explode(F.array(F.struct(F.col(chain_1).alias("chain"), F.col(chain_2).alias("other")), F.struct(F.col(chain_2).alias("chain"), F.col(chain_1).alias("other")))).alias("s")).select("model", chain_1, chain_2, "s.*")
+    met = alone.join(sides, ["model", "chain"]).join(by_chain.where("chain <> other"), ["model", "chain", "atom", "other"], "left").withColumn("near", F.coalesce("near", none))
+    area = 4 * math.pi / points * F.col("r") * F.col("r")
+    isolated, bound = area * F.size("free"), area * F.size(F.filter("free", lambda p: ~_covered(F.col("near"), p)))
+    nonpolar = F.when(F.col("element").isin("C", "S"), isolated - bound).otherwise(0.0)
+    return met.groupBy("model", chain_1, chain_2, "chain", "number").agg(F.sum(isolated).alias("sasa_isolated"), F.sum(bound).alias("sasa_complex"), F.sum(isolated - bound).alias("buried_area"), F.sum(nonpolar).alias("buried_nonpolar_area"))
+
+
+def nonpolar_share(buried: DataFrame, chain_1: str = "chain_a", chain_2: str = "chain_b") -> DataFrame:
+    """model, pair columns, area, nonpolar (percent of it that carbon and sulfur bury; null without area): input of the feasibility rule."""
+    g = buried.groupBy("model", chain_1, chain_2).agg(F.sum("buried_area").alias("area"), F.sum("buried_nonpolar_area").alias("part"))
+    return g.select("model", chain_1, chain_2, "area", F.when(F.col("area") > 0, 100 * F.col("part") / F.col("area")).alias("nonpolar"))
+
+
 # Kyte-Doolittle hydropathy by three-letter name, and nominal charges.
 _KD3 = {"ALA": 1.8, "ARG": -4.5, "ASN": -3.5, "ASP": -3.5, "CYS": 2.5, "GLN": -3.5, "GLU": -3.5, "GLY": -0.4, "HIS": -3.2, "ILE": 4.5, "LEU": 3.8, "LYS": -3.9, "MET": 1.9, "PHE": 2.8, "PRO": -1.6, "SER": -0.8, "THR": -0.7, "TRP": -0.9, "TYR": -1.3, "VAL": 4.2}
 

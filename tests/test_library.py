@@ -17,7 +17,7 @@ from quern.operators import genomics, hits, tables
 from quern.operators.contigs import Contigs
 from quern.sources import folds, text
 from quern.sources import tables as source_tables
-from quern.structure import classify, contacts, helices, kernels
+from quern.structure import classify, contacts, helices, kernels, overlap
 
 VALUES = ("true", "yes", "too_far", "not_applicable", "false", "maybe", "error", "missing_a")
 
@@ -217,7 +217,12 @@ def test_loci_and_exons(spark):
     runs = {(r.first, r.last) for r in genomics.open_starts(contigs, 10).collect()}
     ok = [i for i in range(len(s) - 9) if s[i : i + 10].count("N") <= 1]
     assert {x for a, b in runs for x in range(a, b + 1)} == set(ok)
-    assert genomics.sample_starts([("c", 0, 3), ("d", 5, 5)], 50) == genomics.sample_starts([("c", 0, 3), ("d", 5, 5)], 50)
+    spans = spark.createDataFrame([("d", 5, 5), ("c", 0, 3), ("e", 9, 8), ("d", 7, 900)], "id string, first int, last int")
+    every = [("c", i) for i in range(4)] + [("d", 5)] + [("d", i) for i in range(7, 901)]
+    rng = random.Random(0)
+    assert [(r.id, r.start) for r in genomics.sample_starts(spans, 300).orderBy("nth").collect()] == [every[rng.randrange(len(every))] for _ in range(300)]
+    with pytest.raises(ValueError):
+        genomics.sample_starts(spans.where("id = 'e'"))
     assert genomics.collate_fragments(spark.createDataFrame([("p", 1, 2, "AB"), ("p", 5, 6, "CD")], "protein string, first int, last int, sequence string")).first().sequence == "ABXXCD"
 
 
@@ -642,3 +647,110 @@ def test_bounds_by_model_positions(spark):
     got = {r.id[:2]: (r.bounded_id, r.sequence, r.problem) for r in genomics.bounded(seqs, left, right, lm, rm).collect()}
     assert got == {"s0": ("s0_bounded_3-8|x y", "DEFGHI", None), "s1": (None, None, "span"), "s2": (None, None, "hits"), "s3": (None, None, "deletion"), "s4": (None, None, "order"), "s5": (None, None, "outside")}
     assert {r.problem for r in genomics.bounded(seqs, left, right, lm, rm, 6).collect()} == {"hits", "position"}
+
+
+def test_a_batch_rewrites_only_the_buckets_it_changes(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v string, u string")
+    put = lambda n, df: streaming.merge_batch(spark, df, n, f"{tmp_path}/t", ["k"], ["v", "u"], ["u"], buckets=16)
+    first = put(0, rows(*((f"k{i}", str(i), "") for i in range(200))))
+    assert len(first) == 16
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t/data").rglob("*.parquet")}
+    before = files()
+    assert put(1, rows(("k3", "3", ""), ("k4", "4", ""))) == [] and files() == before  # delivered again
+    assert len(put(2, rows(("new", "1", "x")))) == 1
+    assert len(put(3, rows(("k3", "3", "better")))) == 1
+    now = files()
+    assert len(now) == len(before) + 2 and all(now[p] == t for p, t in before.items())
+    assert put(3, rows(("k3", "3", "better"))) == [] and files() == now  # the batch is published
+    got = {r.k: (r.v, r.u) for r in streaming.latest(spark, f"{tmp_path}/t").collect()}
+    assert got == {f"k{i}": (str(i), "better" if i == 3 else "") for i in range(200)} | {"new": ("1", "x")}
+    with pytest.raises(Exception, match="conflict"):
+        put(4, rows(("k9", "other", "")))
+
+
+def test_rules_by_aggregates_agree_with_rules_over_arrays(spark):
+    rng = random.Random(8)
+    hits_df = spark.createDataFrame([(f"p{rng.randrange(30)}", f"PF0000{rng.randrange(1, 5)}.{rng.randrange(3)}", a, a + rng.randrange(5, 60)) for a in (rng.randrange(1, 300) for _ in range(120))], "query_accession string, target_accession string, query_start int, query_end int")
+    proteins = spark.createDataFrame([(f"p{i}", "MAKL" * (i + 1)) for i in range(34)], "protein string, sequence string")
+    one_of = rules.Pfam.matches
+    rule = (
+        one_of("PF00001") | one_of("PF00002.1").between_aa(1, 150) | one_of("PF00003").between_aa(20, 400, every=True) | one_of("PF00002").times(1, 2) | one_of("PF00004").times(2, overlapping=False)
+        | one_of("PF00001").spans_aa(30, 200) | rules.Pfam.matches_only("PF00001", "PF00002") | rules.Pfam.matches_any("PF00004", "PF00009") | rules.Sequence.length_between(1, 40)
+    )
+    arrays, tables_ = rule.evaluate(rules.facts(proteins, Pfam=hits_df)), rule.judged(proteins, Pfam=hits_df)
+    labels = [*rule.atoms(), "pass all"]
+    pick = lambda df: {r.protein: [r[c] for c in labels] for r in df.collect()}
+    assert pick(arrays) == pick(tables_) and "collect_list" not in (one_of("PF00001") & ~one_of("PF00002").between_aa(1, 9)).judged(proteins, Pfam=hits_df)._jdf.queryExecution().optimizedPlan().toString()
+    relative = rules.Sequence.matches_regex("AK").relative_to("PF00001", -400, 400) & one_of("PF00002")
+    with_start = proteins.withColumn("protein_start", F.lit(1))
+    assert {r.protein: r["pass all"] for r in relative.judged(with_start, Pfam=hits_df).collect()} == {r.protein: r["pass all"] for r in relative.evaluate(rules.facts(with_start, Pfam=hits_df)).collect()}
+
+
+def test_motif_tables_agree_with_motif_arrays(spark):
+    rng = random.Random(9)
+    hits_rows, scope_rows, proteins, arrays = [], [], [], []
+    for i in range(60):
+        p, scopes = f"p{i}", [(s, s + rng.randrange(10, 80)) for s in (rng.randrange(0, 200) for _ in range(rng.randrange(0, 3)))]
+        found = [(rng.choice(["A", "A.1", "B", "C"]), s, s + rng.randrange(3, 12), float(rng.randrange(10))) for s in (rng.randrange(0, 260) for _ in range(rng.randrange(0, 12)))]
+        genome, failed = rng.random() < 0.9, rng.random() < 0.1
+        hits_rows += [(p, *h) for h in found]
+        scope_rows += [(p, *s) for s in scopes]
+        proteins.append((p, genome, failed))
+        arrays.append((p, None if failed else found, scopes if genome else None))
+    facts = spark.createDataFrame(arrays, "protein string, motifs array<struct<motif: string, start: int, end: int, score: double>>, scopes array<struct<s: int, e: int>>")
+    t = spark.createDataFrame(proteins, "protein string, has_genome boolean, failed boolean")
+    h, s = spark.createDataFrame(hits_rows, "protein string, motif string, start int, end int, score double"), spark.createDataFrame(scope_rows, "protein string, s int, e int")
+    for args in (("A",), ("A", "B", 10), ("A", "B", 0, 4.0)):
+        want = {r.protein: r["pass all"] if False else r[1] for r in facts.select("protein", rules.Motifs(*args).column().alias("r")).collect()}
+        got = {r.protein: r.result for r in rules.motif_verdicts(t.select("protein", "has_genome"), s, h, t.where("failed"), *args).collect()}
+        assert got == want and len(set(got.values())) > 3
+
+
+def test_burial_equals_the_areas_of_whole_chains(spark):
+    rng = np.random.default_rng(5)
+    rows = [("m", c, i // 3, f"X{i}", rng.choice(["C", "N", "O", "S"]).item(), *(rng.normal(0 if c == "A" else 5, 4, 3).tolist())) for c in "AB" for i in range(24)] + [("m", "A", 99, "H", "H", 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "model string, chain string, number int, name string, element string, x double, y double, z double")
+    got = contacts.burial(df, points=240).collect()
+    heavy = [r for r in rows if r[4] != "H"]
+    xyz, radius = np.array([r[5:] for r in heavy]), np.array([contacts.RADII[r[4]] for r in heavy])
+    one_ = np.array([r[1] == "A" for r in heavy])
+    apart = kernels.accessible_area(xyz[one_], radius[one_]).sum() + kernels.accessible_area(xyz[~one_], radius[~one_]).sum()
+    assert len(got) == 16 and sum(r.sasa_isolated for r in got) == pytest.approx(apart, rel=0.02)
+    assert sum(r.sasa_complex for r in got) == pytest.approx(kernels.accessible_area(xyz, radius).sum(), rel=0.03)
+    assert all(0 <= r.buried_nonpolar_area <= r.buried_area + 1e-9 for r in got) and contacts.nonpolar_share(contacts.burial(df, points=40)).first().nonpolar > 0
+
+
+def test_overlap_moves_partners_by_every_subset(spark):
+    rng = np.random.default_rng(6)
+    shared, p, u = rng.normal(0, 8, (20, 3)), rng.normal(6, 3, (8, 3)), rng.normal(7, 3, (8, 3))
+    turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    turn *= np.sign(np.linalg.det(turn))
+    place = lambda c: c @ turn + np.array([30.0, -4.0, 7.0])
+    noisy = place(shared + rng.normal(0, 0.2, shared.shape))
+    schema = "job string, chain string, number int, name string, element string, plddt double, x double, y double, z double"
+    rows = lambda chain, name, c, shift=0: [("j", chain, i + 1 + shift, name, "C", 90.0 if i % 2 else 50.0, *map(float, x)) for i, x in enumerate(c)]
+    first = spark.createDataFrame(rows("S", "CA", shared) + rows("P", "CB", p), schema)
+    second = spark.createDataFrame(rows("T", "CA", noisy, 3) + rows("U", "CB", place(u)), schema)
+    jobs = spark.createDataFrame([("j", "S", "T", 1, 4, 20, 20, 20, True)], "job string, shared_a string, shared_b string, start_a int, start_b int, length int, length_a int, length_b int, known boolean")
+    o = overlap.Overlap(first, second, jobs)
+    got = {r.subset: r for r in o.sensitivity().collect()}
+    assert set(got) == {"whole_chain", "exclude_terminal_three", "source_plddt_ge_80", "site_a_P", "site_b_U"}
+    for name, keep in (("whole_chain", np.ones(20, bool)), ("exclude_terminal_three", np.arange(20) % 17 >= 3), ("source_plddt_ge_80", np.arange(20) % 2 == 1)):
+        if name == "exclude_terminal_three":
+            keep = np.array([3 < n <= 17 for n in range(1, 21)])
+        r, t, rmsd = kernels.superposition(noisy[keep], shared[keep])
+        d = np.linalg.norm(p[:, None] - (place(u) @ r.T + t)[None], axis=2)
+        x = got[name]
+        assert x.matched_CA == keep.sum() and x.fit_RMSD == pytest.approx(rmsd, abs=1e-6) and x.min_partner_distance == pytest.approx(d.min(), abs=1e-6) and x.clash_atom_pairs == (3.4 - d > 0.4).sum()
+    line = spark.createDataFrame(rows("S", "CA", np.outer(np.arange(5), [1, 2, 3])) + rows("P", "CB", p), schema)
+    flat = overlap.Overlap(line, spark.createDataFrame(rows("T", "CA", np.outer(np.arange(5), [2, 2, 3]), 3) + rows("U", "CB", u), schema), jobs).sensitivity().collect()
+    assert {r.status for r in flat} == {"insufficient or degenerate coordinates"}
+
+
+def test_bad_folds_become_problems(spark):
+    cif = "data_x\nloop_\n_atom_site.label_asym_id\n_atom_site.label_comp_id\n_atom_site.label_atom_id\n_atom_site.label_seq_id\n_atom_site.Cartn_x\n_atom_site.Cartn_y\n_atom_site.Cartn_z\nA ALA CA 1 0 0 0\nA ALA CB 1 0 0\nA 'ALA CB 1 0 0 0\n#\n"
+    rows = [("f/a_model_0.cif", cif.encode()), ("f/a_full_data_0.json", b"{broken"), ("f/a_full_data_1.json", b'{"token_chain_ids": ["A"], "token_res_ids": [null], "pae": [[0]]}'), ("f/a_full_data_2.json", b"[1]"), ("f/a_full_data_3.json", b'{"token_chain_ids": ["A"], "token_res_ids": [4], "pae": [["x"]]}')]
+    found = spark.createDataFrame([(a, bytearray(b)) for a, b in rows], "locator string, content binary")
+    assert sorted(str(r.problem) for r in folds.atoms(found).collect()) == ["None", "columns", "columns"]
+    assert {r.model[-5]: r.problem for r in folds.tokens(found).collect()} == {"0": "token lists", "1": "token ids", "2": "token lists", "3": None}
+    assert sorted((r.model[-5], str(r.value)) for r in folds.pae(found).collect()) == [("1", "0.0"), ("3", "nan")] or sorted((r.model[-5], r.value) for r in folds.pae(found).where("value IS NOT NULL AND NOT isnan(value)").collect()) == [("1", 0.0)]
