@@ -7,14 +7,22 @@ Each glob is a row of state bits; the bits of all globs lie behind one another i
     D = carry_shift(D & advance[c]) | (D & loop[c])
 
 moves every glob over byte c.  A batch of URLs runs together, column by column, so Python's work is per byte position
-and not per URL.  Memory is bounded by the batch: words * rows * 8 bytes.
+and not per URL.
 
-Edge cases: a null or ``://``-less URL has an empty host and path, fits no rule, and gets the method's default verdict.
+With many rules the globs are dealt into blocks of at most WORDS words (a longer glob has a block of its own), by the rarest GRAM bytes that a fitting
+URL must contain.  A URL is put through the blocks whose bytes it contains, and through those of globs without such bytes; all others
+would end without a fit.  A block's masks are made when it is first used, and the last KEPT blocks are kept, so memory stays bounded
+whatever the number of rules: WORDS * 8 bytes a row of the batch, 4 KB a kept word, and the globs themselves.
+
+Edge cases: repeated rows and ids each get their verdict; an empty table gives none; very long URLs are read whole; columns of pages besides
+id and url don't matter, whatever their names; a null or ``://``-less URL has an empty host and path, fits no rule, and gets the method's default verdict.
 A rule needs the URL's path to start with its own, so ``http://x.com`` (empty path) doesn't fit ``com/``.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter, OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches
+
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,17 +90,23 @@ class GlobAutomaton:
 
     def _pack(self, classes: list[int]) -> np.ndarray:
         table = np.zeros((256, self.words), dtype=np.uint64)
+        every = (1 << 256) - 1
         for bit, cls in enumerate(classes):
-            on = [c for c in range(256) if cls >> c & 1]
-            table[on, bit // 64] |= np.uint64(1 << (bit % 64))
+            mask = np.uint64(1 << (bit % 64))
+            if cls and cls & (cls - 1) == 0:
+                table[cls.bit_length() - 1, bit // 64] |= mask
+            elif cls:  # all bytes, or all but the slash
+                table[:, bit // 64] |= mask
+                if cls != every:
+                    table[ord("/"), bit // 64] &= ~mask
         return table
 
-    def match(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def match(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A row for each string, a column for each glob: does it fit the whole string?"""
-        lengths = np.diff(offsets)
+        lengths = ends - begins
         n = len(lengths)
         order = np.argsort(-lengths, kind="stable")
-        begin, left = offsets[:-1][order], lengths[order]
+        begin, left = begins[order], lengths[order]
         d = np.tile(self.first, (n, 1))
         one, top = np.uint64(1), np.uint64(63)
         live = n
@@ -108,6 +124,85 @@ class GlobAutomaton:
         return hit
 
 
+#: Words of a block, bytes that a block's globs share, and blocks whose masks are kept.
+WORDS, GRAM, KEPT = 16, 4, 512
+
+
+def _literals(glob: str) -> list[bytes]:
+    return [x for x in re.split(rb"[*?]+", glob.encode()) if len(x) >= GRAM]
+
+
+class GlobSet:
+    """Ranked globs in blocks; finds for each string the best (smallest) rank of a glob that fits it."""
+
+    def __init__(self, globs: list[str], ranks: list[int]):
+        grams = [{x[i : i + GRAM] for x in _literals(g) for i in range(len(x) - GRAM + 1)} for g in globs]
+        count = Counter(g for gs in grams for g in gs)
+        key = [min(gs, key=lambda g: (count[g], g)) if gs else b"" for gs in grams]
+        self.blocks: list[tuple[list[str], np.ndarray]] = []  # globs and their ranks
+        spans: dict[bytes, list[int]] = {}
+        held: list[int] = []
+
+        def close():
+            if held:
+                self.blocks.append(([globs[k] for k in held], np.array([ranks[k] for k in held], dtype=np.int64)))
+                held.clear()
+
+        bits = 0
+        for k in sorted(range(len(globs)), key=lambda k: (key[k], k)):
+            size = len(globs[k].encode()) + 1
+            if held and (bits + size > 64 * WORDS or (key[k] == b"") != (key[held[0]] == b"")):
+                close()
+            bits = size if not held else bits + size
+            held.append(k)
+            b = len(self.blocks)
+            spans.setdefault(key[k], [b, b])[1] = b
+        close()
+        self.always = np.arange(spans[b""][0], spans[b""][1] + 1) if b"" in spans else np.zeros(0, dtype=np.int64)
+        known = sorted((int.from_bytes(g), lo, hi) for g, (lo, hi) in spans.items() if g)
+        self.grams, self.lo, self.hi = (np.array([x[i] for x in known], dtype=np.int64) for i in range(3))
+        self._made: OrderedDict[int, GlobAutomaton] = OrderedDict()
+
+    def _automaton(self, block: int) -> GlobAutomaton:
+        made = self._made
+        if block not in made:
+            made[block] = GlobAutomaton(self.blocks[block][0])
+            if len(made) > KEPT:
+                made.popitem(last=False)
+        made.move_to_end(block)
+        return made[block]
+
+    def _tasks(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows (block, string) to be run, sorted, each once."""
+        n = len(offsets) - 1
+        pairs = [np.stack([np.repeat(self.always, n), np.tile(np.arange(n), len(self.always))])]
+        first, last = int(offsets[0]), int(offsets[-1])
+        if len(self.grams) and last - first >= GRAM:
+            x = data[first:last].astype(np.int64)
+            g = sum(x[i : len(x) - GRAM + 1 + i] << (8 * (GRAM - 1 - i)) for i in range(GRAM))
+            at = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
+            found = np.flatnonzero(self.grams[at] == g)
+            row = np.searchsorted(offsets, found + first, side="right") - 1
+            inside = found + first + GRAM <= offsets[row + 1]
+            at, row = at[found[inside]], row[inside]
+            size = self.hi[at] - self.lo[at] + 1
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            pairs.append(np.stack([np.repeat(self.lo[at], size) + step, np.repeat(row, size)]))
+        return np.unique(np.concatenate(pairs, axis=1).T, axis=0)
+
+    def best(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The smallest rank of a glob that fits, for each string; -1 where none does."""
+        none = np.iinfo(np.int64).max
+        out = np.full(len(offsets) - 1, none)
+        tasks = self._tasks(data, offsets)
+        edges = np.flatnonzero(np.r_[True, np.diff(tasks[:, 0]) != 0, True]) if len(tasks) else np.zeros(1, dtype=np.int64)
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            block, rows = int(tasks[lo, 0]), tasks[lo:hi, 1]
+            hit = self._automaton(block).match(data, offsets[rows], offsets[rows + 1])
+            out[rows] = np.minimum(out[rows], np.where(hit, self.blocks[block][1], none).min(axis=1))
+        return np.where(out == none, -1, out)
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path by built-in string functions."""
     at = F.instr(url, "://")
@@ -120,35 +215,23 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def filter_urls(pages: DataFrame, rules=RULES, method_globs=METHOD_GLOBS, default=DEFAULT_VERDICT, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """id, host, path, rule, verdict and the method's glob (null if none) for every row of pages."""
-    globs, owner = [], []
+    bounded_batches(pages.sparkSession)
     ranked = sorted(rules, key=lambda r: (-len(r.text.encode()), r.text))  # the longest first
-    for k, r in enumerate(ranked):
-        globs += r.globs()
-        owner += [k] * len(r.globs())
-    n_rule_globs = len(globs)
-    globs += [g for _, g in method_globs]
-    automaton = GlobAutomaton(globs)
-    owner = np.array(owner, dtype=np.int64)
+    by_rule = GlobSet([g for r in ranked for g in r.globs()], [k for k, r in enumerate(ranked) for _ in r.globs()])
+    by_method = GlobSet([g for _, g in method_globs], list(range(len(method_globs))))
+    texts, verdicts = [r.text for r in ranked], [r.verdict for r in ranked]
 
     def run(batches):
+        # The last entry serves the rank -1.
+        rule_of, rule_says = np.array([*texts, None], dtype=object), np.array([*verdicts, None], dtype=object)
+        glob_of, glob_says = np.array([*(g for _, g in method_globs), None], dtype=object), np.array([*(v for v, _ in method_globs), default], dtype=object)
         for b in batches:
             text = b.column(3).cast(pa.large_binary())
             offsets = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
             data = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)
-            hit = automaton.match(data, offsets)
-            rule, verdict, glob = [], [], []
-            for row in hit:
-                fits = np.nonzero(row[:n_rule_globs])[0]
-                own = np.nonzero(row[n_rule_globs:])[0]
-                if len(fits):
-                    r = ranked[owner[fits].min()]
-                    rule.append(r.text)
-                    verdict.append(r.verdict)
-                else:
-                    rule.append(None)
-                    verdict.append(method_globs[own[0]][0] if len(own) else default)
-                glob.append(method_globs[own[0]][1] if len(own) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(glob, pa.string())], names=[id_column, "host", "path", "rule", "verdict", "method_glob"])
+            rule, glob = by_rule.best(data, offsets), by_method.best(data, offsets)
+            verdict = np.where(rule >= 0, rule_says[rule], glob_says[glob])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(x, pa.string()) for x in (rule_of[rule], verdict, glob_of[glob]))], names=[id_column, "host", "path", "rule", "verdict", "method_glob"])
 
     host, path = host_and_path(F.col(url_column))
     rows = pages.select(F.col(id_column), host.alias("host"), path.alias("path"))
