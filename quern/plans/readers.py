@@ -221,6 +221,24 @@ def s22_folds(spark, sf):
     return folds.folds(read(spark, sf, "orders").select(F.concat_ws("/", fold, name).alias("locator"))).select("fold", "models", F.size("summaries").cast("long").alias("n_summaries"))
 
 
+# Two models a fold (an order), in directories or archives; data, summaries and requests are missing, doubled or broken by rule of the key.
+@query("""WITH o AS (SELECT o_orderkey AS k, 'r/d' || o_orderkey || CASE WHEN o_custkey % 2 = 0 THEN '.zip!/in' ELSE '' END AS d FROM orders),
+m AS (SELECT k, d, n, d || '/x_model_' || n || '.cif' AS cif FROM o, (VALUES (0), (1)) v(n) UNION ALL SELECT k, d, 0, d || '/y_model_0.cif' FROM o WHERE k % 11 = 3 UNION ALL SELECT k, d, 0, d || '/model0_complex.cif' FROM o WHERE k % 11 = 4),
+f AS (SELECT *, CASE WHEN cif LIKE '%/x_model%' AND NOT (k % 7 = 2 AND n = 1) THEN d || '/x_full_data_' || n || '.json' END AS data, CASE WHEN cif LIKE '%/x_model%' AND k % 5 > 0 THEN d || '/x_summary_confidences_' || n || '.json' END AS summary,
+ CASE WHEN cif LIKE '%/x_model%' AND k % 6 > 0 THEN d || '/x_job_request.json' END AS request FROM m)
+SELECT d AS source, CAST(n AS INT) AS model, cif, data, summary, request, CASE WHEN request IS NOT NULL AND k % 6 < 3 THEN k END AS seed,
+ CASE WHEN n = 0 AND k % 11 IN (3, 4) THEN 'models' WHEN data IS NULL THEN 'data' WHEN request IS NOT NULL THEN CASE k % 6 WHEN 3 THEN 'seeds' WHEN 4 THEN 'seed' WHEN 5 THEN 'request' END END AS problem FROM f""")
+def s23_models(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    d = F.concat(F.lit("r/d"), k, F.when(c % 2 == 0, ".zip!/in").otherwise(""))
+    request = F.when(k % 6 == 1, F.concat(F.lit('[{"modelSeeds": ["'), k, F.lit('"]}]'))).when(k % 6 == 2, F.concat(F.lit('{"modelSeeds": ['), k, F.lit("]}"))).when(k % 6 == 3, '{"modelSeeds": [1, 2]}').when(k % 6 == 4, '{"modelSeeds": [-1]}').otherwise("{")
+    file = lambda name, body="x", there=F.lit(True): F.when(there, F.struct(F.lit(name).alias("name"), (F.lit(body) if isinstance(body, str) else body).alias("body")))
+    every = [file(f"x_model_{n}.cif") for n in (0, 1)] + [file(f"x_summary_confidences_{n}.json", there=k % 5 > 0) for n in (0, 1)]
+    every += [file("x_full_data_0.json"), file("x_full_data_1.json", there=k % 7 != 2), file("x_job_request.json", request, k % 6 > 0), file("y_model_0.cif", there=k % 11 == 3), file("model0_complex.cif", there=k % 11 == 4), file("notes.txt")]
+    found = read(spark, sf, "orders").select(d.alias("d"), F.explode(F.array_compact(F.array(*every))).alias("f")).select(F.concat_ws("/", "d", "f.name").alias("locator"), F.col("f.body").cast("binary").alias("content"))
+    return folds.model_inputs(found)
+
+
 @query("""WITH r AS (SELECT 'm' || o_orderkey AS model, CAST(o_custkey % 130 AS DOUBLE) / 100 AS iptm, o_orderkey % 5 AS kind FROM orders)
 SELECT model, CASE WHEN kind = 0 THEN NULL WHEN kind = 1 THEN NULL ELSE iptm END AS iptm, CASE WHEN kind IN (0, 2) THEN NULL ELSE 0.5::DOUBLE END AS ptm, CASE WHEN kind = 0 THEN 'json' WHEN kind > 1 AND iptm > 1 THEN 'range' END AS problem FROM r""")
 def s24_confidence(spark, sf):

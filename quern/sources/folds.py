@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MODEL = re.compile(r"_model_(\d+)\.cif$")
+#: Bytes of members that travel at once.
+_HANDED = 32 << 20
 
 
 def _ignored(name: str) -> bool:
@@ -34,22 +35,32 @@ def _members(locator: str, data: bytes):
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """locator, content of every file below path, through archives of any depth; an unreadable archive is a problem row."""
+    """locator, content of every file below path, through archives of any depth; an unreadable archive is a problem row.
+
+    Members are handed on as they are read, _HANDED bytes at a time.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
+    def found(p, c):
+        if p.lower().endswith(".zip"):
+            try:
+                for locator, body in _members(p, bytes(c)):
+                    yield locator, body, None
+            except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:  # broken, or packed or locked in a way that can't be read
+                yield p, None, str(e)
+        else:
+            yield p, c, None
+
     def expand(batches):
         for pdf in batches:
-            out = []
+            out, held = [], 0
             for p, c in zip(pdf["path"], pdf["content"], strict=True):
-                if _ignored(p):
-                    continue
-                if p.lower().endswith(".zip"):
-                    try:
-                        out += [(a, b, None) for a, b in _members(p, bytes(c))]
-                    except zipfile.BadZipFile as e:
-                        out.append((p, None, str(e)))
-                else:
-                    out.append((p, c, None))
+                for row in () if _ignored(p) else found(p, c):
+                    out.append(row)
+                    held += len(row[1] or b"")
+                    if held > _HANDED:
+                        yield pd.DataFrame(out, columns=["locator", "content", "problem"])
+                        out, held = [], 0
             yield pd.DataFrame(out, columns=["locator", "content", "problem"])
 
     return raw.mapInPandas(expand, "locator string, content binary, problem string")
@@ -62,6 +73,72 @@ def folds(found: DataFrame) -> DataFrame:
     return d.groupBy("fold").agg(F.array_sort(F.collect_set(number)).alias("models"), F.array_sort(F.collect_set(F.when(F.col("locator").contains("summary_confidences"), F.col("locator")))).alias("summaries"))
 
 
+def _seed(request) -> tuple:
+    """The seed of a job request's text, or what is wrong with it."""
+    try:
+        d = json.loads(bytes(request))
+    except ValueError:
+        return None, "request"
+    if isinstance(d, list):
+        d = d[0] if len(d) == 1 else None
+    if not isinstance(d, dict):
+        return None, "request"
+    seeds = d.get("modelSeeds")
+    if not isinstance(seeds, list) or len(seeds) != 1:
+        return None, "seeds"
+    seed = seeds[0]
+    if isinstance(seed, str) and re.fullmatch("[0-9]+", seed):
+        seed = int(seed)
+    return (seed, None) if isinstance(seed, int) and not isinstance(seed, bool) and 0 <= seed < 1 << 63 else (None, "seed")
+
+
+def model_inputs(found: DataFrame, selected: int | None = None) -> DataFrame:
+    """source (the fold's locator), model, cif, data, summary, request (locators), seed, problem of every model among found (locator, content).
+
+    A model is <name>model_<n>.cif beside <name>full_data_<n>.json, and, where they are there, <name>summary_confidences_<n>.json and
+    <name>job_request.json; in archives a locator goes on behind ``!/``.  ``model0_complex.cif`` is an assembly, model 0, without data.  Problems,
+    each a row: models (a number that several files of a fold have), data (none, or several), summary (several), request, seeds, seed (of the
+    request), and, where one model is selected, selected for a fold that lacks it (with that number and no files).
+    """
+    directory = F.regexp_replace("locator", r"/[^/]*$", "")
+    name = F.regexp_extract("locator", r"([^/]*)$", 1)
+    names = found.select("locator", directory.alias("source"), name.alias("name"))
+    part = lambda kind, tail: (F.regexp_extract("name", rf"^(.*_){kind}_([0-9]+){tail}$", 1), F.regexp_extract("name", rf"^(.*_){kind}_([0-9]+){tail}$", 2).try_cast("int"))
+    stem, number = part("model", r"\.cif")
+    whole = F.col("name") == "model0_complex.cif"
+    models = names.select("source", "locator", F.when(whole, "").otherwise(stem).alias("stem"), F.when(whole, 0).otherwise(number).alias("model"), whole.alias("assembly")).where("model IS NOT NULL")
+    if selected is not None:
+        every = models.select("source").distinct()
+        models = models.where(F.col("model") == selected)
+    same = models.groupBy("source", "model").agg(F.count(F.lit(1)).alias("n_models"))
+
+    def beside(kind, label):
+        s, n = part(kind, r"\.json")
+        return names.select("source", s.alias("stem"), n.alias("model"), "locator").where("model IS NOT NULL").groupBy("source", "stem", "model").agg(F.min("locator").alias(label), F.count(F.lit(1)).alias(f"n_{label}"))
+
+    requests = found.where(F.regexp_extract("locator", r"([^/]*)$", 1).endswith("_job_request.json") & F.col("content").isNotNull())
+
+    def read_seeds(batches):
+        for pdf in batches:
+            rows = [(a, *_seed(c)) for a, c in zip(pdf["locator"], pdf["content"], strict=True)]
+            yield pd.DataFrame(rows, columns=["locator", "seed", "wrong"]).astype({"seed": "Int64"})
+
+    seeds = requests.select("locator", "content").mapInPandas(read_seeds, "locator string, seed long, wrong string")
+    asked = seeds.select(directory.alias("source"), F.regexp_extract("locator", r"([^/]*)job_request\.json$", 1).alias("stem"), F.col("locator").alias("request"), "seed", "wrong").groupBy("source", "stem").agg(
+        F.min("request").alias("request"), F.min("seed").alias("seed"), F.min("wrong").alias("wrong"), F.count(F.lit(1)).alias("n_request")
+    )
+    j = models.join(same, ["source", "model"]).join(beside("full_data", "data"), ["source", "stem", "model"], "left").join(beside("summary_confidences", "summary"), ["source", "stem", "model"], "left").join(asked, ["source", "stem"], "left")
+    problem = (
+        F.when(F.col("n_models") > 1, "models").when(F.col("assembly"), None).when(F.coalesce("n_data", F.lit(0)) != 1, "data").when(F.col("n_summary") > 1, "summary")
+        .when(F.col("n_request") > 1, "request").otherwise(F.col("wrong"))
+    )
+    out = j.select("source", "model", F.col("locator").alias("cif"), "data", "summary", "request", "seed", problem.alias("problem"))
+    if selected is not None:
+        lacking = every.join(models.select("source"), "source", "left_anti")
+        out = out.unionByName(lacking.select("source", F.lit(selected).alias("model"), *(F.lit(None).cast("string").alias(c) for c in ("cif", "data", "summary", "request")), F.lit(None).cast("long").alias("seed"), F.lit("selected").alias("problem")))
+    return out
+
+
 def _atom_rows(text: str):
     """Rows of the _atom_site loop as dictionaries; None for a row with other than a cell for each column."""
     lines = iter(text.splitlines())

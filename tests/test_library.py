@@ -754,3 +754,11 @@ def test_bad_folds_become_problems(spark):
     assert sorted(str(r.problem) for r in folds.atoms(found).collect()) == ["None", "columns", "columns"]
     assert {r.model[-5]: r.problem for r in folds.tokens(found).collect()} == {"0": "token lists", "1": "token ids", "2": "token lists", "3": None}
     assert sorted((r.model[-5], str(r.value)) for r in folds.pae(found).collect()) == [("1", "0.0"), ("3", "nan")] or sorted((r.model[-5], r.value) for r in folds.pae(found).where("value IS NOT NULL AND NOT isnan(value)").collect()) == [("1", 0.0)]
+
+
+def test_model_inputs_and_the_selected_one(spark):
+    names = ["f/a_model_0.cif", "f/a_full_data_0.json", "f/a_model_2.cif", "f/a_full_data_2.json", "f/a_job_request.json", "z.zip!/g/b_model_1.cif", "z.zip!/g/b_full_data_1.json", "z.zip!/g/b_full_data_1.json", "h/model0_complex.cif"]
+    found = spark.createDataFrame([(n, bytearray(b'{"modelSeeds": [7]}')) for n in names], "locator string, content binary")
+    got = {(r.source, r.model): (r.data, r.seed, r.problem) for r in folds.model_inputs(found).collect()}
+    assert got == {("f", 0): ("f/a_full_data_0.json", 7, None), ("f", 2): ("f/a_full_data_2.json", 7, None), ("z.zip!/g", 1): ("z.zip!/g/b_full_data_1.json", None, "data"), ("h", 0): (None, None, None)}
+    assert {(r.source, r.model, r.problem) for r in folds.model_inputs(found, 2).collect()} == {("f", 2, None), ("z.zip!/g", 2, "selected"), ("h", 2, "selected")}
