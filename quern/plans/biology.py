@@ -548,10 +548,14 @@ def g37_burial(spark, sf):
     return t.select("chain_a", "chain_b", "chain", "number", *(F.round(c, 6).alias(c) for c in ("sasa_isolated", "sasa_complex", "buried_area", "buried_nonpolar_area")))
 
 
-@query(f"""WITH {_ATOMS.format(s=1)} SELECT chain, count(*) AS n, CASE WHEN bool_and(t <> 3) THEN round(avg(CASE t WHEN 0 THEN -3.9 WHEN 1 THEN -3.5 WHEN 2 THEN 1.8 WHEN 4 THEN -0.8 END), 9) END AS hydropathy, CASE WHEN bool_and(t <> 3) THEN CAST(sum(CASE t WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END) AS BIGINT) END AS charge FROM a WHERE chain <> 'C1' OR t <> 3 GROUP BY 1""")
+# C0 has a residue of another kind beside phosphates, C1 none that is modified, the others phosphates only.
+@query(f"""WITH {_ATOMS.format(s=1)}, k AS (SELECT *, CASE WHEN t = 3 AND chain = 'C0' AND number % 10 = 3 THEN 5 ELSE t END AS u FROM a WHERE chain <> 'C1' OR t <> 3),
+g AS (SELECT chain, count(*) AS n, avg(CASE u WHEN 0 THEN -3.9 WHEN 1 THEN -3.5 WHEN 2 THEN 1.8 WHEN 4 THEN -0.8 END) AS h, CAST(sum(CASE u WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END) AS BIGINT) AS q, count(*) FILTER (u = 3) AS p, count(*) FILTER (u = 5) AS x FROM k GROUP BY 1)
+SELECT chain, n, CASE WHEN p + x = 0 THEN round(h, 9) END AS hydropathy, CASE WHEN p + x = 0 THEN q END AS charge, p AS phosphates, x AS unknown, CASE WHEN x = 0 AND p > 0 THEN q - p END AS charge_phosphate_1, CASE WHEN x = 0 AND p > 0 THEN q - 2 * p END AS charge_phosphate_2 FROM g""")
 def a16_composition(spark, sf):
     r = _residues(spark, sf).where("chain <> 'C1' OR resname <> 'SEP'")
-    return contacts.composition(r, "chain").select("chain", "n", F.round("hydropathy", 9).alias("hydropathy"), "charge")
+    r = r.withColumn("resname", F.when((F.col("resname") == "SEP") & (F.col("chain") == "C0") & (F.col("number") % 10 == 3), "MSE").otherwise(F.col("resname")))
+    return contacts.composition(r, "chain").withColumn("hydropathy", F.round("hydropathy", 9))
 
 
 @query(f"WITH {_ATOMS.format(s=1)} SELECT 'm' AS model, count(*) FILTER (plddt > 90) AS very_high, count(*) FILTER (plddt > 70 AND plddt <= 90) AS high, count(*) FILTER (plddt > 50 AND plddt <= 70) AS low, count(*) FILTER (plddt <= 50) AS very_low FROM a")

@@ -62,6 +62,17 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_tsv(df: DataFrame, path: str) -> None:
+    """Append rows to a folder of tab-separated files that all begin with the header; the columns must be the table's, in its order."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        there = spark.read.csv(path, sep="\t", header=True).columns
+        if there != df.columns:
+            raise ValueError(f"the table has columns {there}")
+    df.write.mode("append").csv(path, sep="\t", header=True)
+
+
 def tall(df: DataFrame, sides: dict[str, tuple[str, str]], keep: list[str]) -> DataFrame:
     """A row per side (1, 2) of two-sided rows: sides maps an output column to its columns on either side."""
     rows = F.array(*(F.struct(F.lit(i + 1).alias("side"), *(F.col(c[i]).alias(n) for n, c in sides.items())) for i in range(2)))

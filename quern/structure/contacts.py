@@ -327,10 +327,19 @@ def nonpolar_share(buried: DataFrame, chain_1: str = "chain_a", chain_2: str = "
 _KD3 = {"ALA": 1.8, "ARG": -4.5, "ASN": -3.5, "ASP": -3.5, "CYS": 2.5, "GLN": -3.5, "GLU": -3.5, "GLY": -0.4, "HIS": -3.2, "ILE": 4.5, "LEU": 3.8, "LYS": -3.9, "MET": 1.9, "PHE": 2.8, "PRO": -1.6, "SER": -0.8, "THR": -0.7, "TRP": -0.9, "TYR": -1.3, "VAL": 4.2}
 
 
+_PHOSPHORYLATED = ("SEP", "TPO", "PTR")
+
+
 def composition(residues: DataFrame, *by: str) -> DataFrame:
-    """n, mean hydropathy and charge of groups of residues; null where one is modified."""
+    """n, hydropathy (mean), charge of groups of residues, null where one is modified; phosphates, unknown (other modified residues), and, where
+    only phosphates modify the group, its charge with one and with two negative charges each."""
     table = F.create_map(*[F.lit(x) for kv in _KD3.items() for x in kv])
     h = F.try_element_at(table, F.col("resname"))
-    q = F.when(F.col("resname").isin("LYS", "ARG"), 1).when(F.col("resname").isin("ASP", "GLU"), -1).otherwise(0)
-    whole = F.count(h) == F.count(F.lit(1))
-    return residues.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(whole, F.avg(h)).alias("hydropathy"), F.when(whole, F.sum(q)).alias("charge"))
+    q = F.sum(F.when(F.col("resname").isin("LYS", "ARG"), 1).when(F.col("resname").isin("ASP", "GLU"), -1).otherwise(0))
+    phosphates = F.count_if(F.col("resname").isin(*_PHOSPHORYLATED))
+    unknown = F.count(F.lit(1)) - F.count(h) - phosphates
+    whole, only = F.count(h) == F.count(F.lit(1)), (unknown == 0) & (phosphates > 0)
+    return residues.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.when(whole, F.avg(h)).alias("hydropathy"), F.when(whole, q).alias("charge"), phosphates.alias("phosphates"), unknown.alias("unknown"),
+        F.when(only, q - phosphates).alias("charge_phosphate_1"), F.when(only, q - 2 * phosphates).alias("charge_phosphate_2"),
+    )

@@ -762,3 +762,12 @@ def test_model_inputs_and_the_selected_one(spark):
     got = {(r.source, r.model): (r.data, r.seed, r.problem) for r in folds.model_inputs(found).collect()}
     assert got == {("f", 0): ("f/a_full_data_0.json", 7, None), ("f", 2): ("f/a_full_data_2.json", 7, None), ("z.zip!/g", 1): ("z.zip!/g/b_full_data_1.json", None, "data"), ("h", 0): (None, None, None)}
     assert {(r.source, r.model, r.problem) for r in folds.model_inputs(found, 2).collect()} == {("f", 2, None), ("z.zip!/g", 2, "selected"), ("h", 2, "selected")}
+
+
+def test_appended_tables_keep_their_header(spark, tmp_path):
+    path, df = f"{tmp_path}/t", spark.createDataFrame([("a", "1"), ("b", "x y")], "k string, v string")
+    sinks.append_tsv(df, path)
+    sinks.append_tsv(df.limit(1), path)
+    assert sorted((r.k, r.v) for r in spark.read.csv(path, sep="\t", header=True).collect()) == [("a", "1"), ("a", "1"), ("b", "x y")]
+    with pytest.raises(ValueError, match="columns"):
+        sinks.append_tsv(df.select("v", "k"), path)
