@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 
@@ -35,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of frames that are gone: it does so when the driver's garbage is collected, which
+    steps of many small exchanges don't bring about by themselves."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Most bytes of rows handed to a Python worker at once.
 BATCH_BYTES = 4 << 20
 

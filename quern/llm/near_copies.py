@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from ._common import bounded_batches, cut, shuffle_partitions
+from ._common import bounded_batches, cut, freed, shuffle_partitions
 from .components import components
 
 WIDTH, LIKENESS = 5, 0.8
@@ -285,6 +285,7 @@ def classified(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     shared = shared_bands(nodes)
     met = cut(candidates(nodes, shared))
     sets = _sets(rows, nodes, met)
+    freed(docs.sparkSession)
     likely = cut(_both_ends(met, nodes, "sig").mapInArrow(_likely, "u long, v long"))
 
     def linked_of(pairs: DataFrame) -> DataFrame:
@@ -293,6 +294,7 @@ def classified(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     linked = linked_of(likely)
     comp = components(linked)
     # Every node of a large bucket has met its pivots, so its set is there.
+    freed(docs.sparkSession)
     held = cut(families(shared).join(comp, "node", "left").select("family", F.col("node").alias("nh"), F.coalesce("root", "node").alias("root")))
     more = cut(family_links(held, sets, likeness))
     if not more.isEmpty():
