@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import after_last_stop, reverse_complement, translate_codons
+from ..session import settled
 from ..sources.text import record_lines
 
 CHUNK = 1 << 16
@@ -37,9 +38,9 @@ class Contigs:
     def from_fasta(lines: DataFrame, size: int = CHUNK) -> Contigs:
         """From lines (file, ord, line) of FASTA files: lines find their place in their record by running counts, and are cut where a chunk ends.
 
-        The first record of an id over all files, by file name, counts.
+        The first record of an id over all files, by file name, counts.  The store is settled once: several cuts read it.
         """
-        placed = record_lines(lines)
+        placed = settled(record_lines(lines))
         heads = placed.where("opens").select("file", "record", F.regexp_extract("text", r"^>\s*(\S*)", 1).alias("id"), F.col("run").alias("base"))
         first = heads.groupBy("id").agg(F.min(F.struct("file", "record", "base")).alias("h")).select("id", F.col("h.file").alias("f"), F.col("h.record").alias("r"), F.col("h.base").alias("base"))
         body = placed.where("NOT opens AND record > 0").join(first, (F.col("file") == F.col("f")) & (F.col("record") == F.col("r")))
@@ -51,7 +52,7 @@ class Contigs:
         pieces = cuts.select("id", "chunk", F.struct((F.col("at") + lo).alias("at"), F.substring("text", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("s")).alias("p"))
         chunks = pieces.groupBy("id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "").alias("text"))  # size bases at most
         sizes = body.groupBy("id").agg(F.max(F.col("at") + F.length("text")).alias("n"))
-        return Contigs(chunks, first.select("id").join(sizes, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_bases")), size)
+        return Contigs(settled(chunks), first.select("id").join(sizes, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_bases")), size)
 
     def cut_out(self, places: DataFrame, name: str = "dna") -> DataFrame:
         """places (key, id, lo, hi, ...) with the bases lo to hi (0-based, hi excluded, clipped to the contig), empty where there are none.
@@ -87,8 +88,9 @@ class Contigs:
             frame = F.substring("before__", F.pmod(F.length("before__"), F.lit(3)) + 1, F.length("before__"))
             got = got.withColumn("protein__", translate_codons(frame))
             more = F.col("open__") & ~F.contains("protein__", F.lit("*"))
-            done.append(got.where(~more).select(*places.columns, F.coalesce(after_last_stop(F.col("protein__")), F.lit("")).alias("tail")))
-            rest = got.where(more).select(*places.columns)
+            got = settled(got.select(*places.columns, F.when(~more, F.coalesce(after_last_stop(F.col("protein__")), F.lit(""))).alias("tail")))
+            done.append(got.where("tail IS NOT NULL"))
+            rest = got.where("tail IS NULL").select(*places.columns)
             if rest.isEmpty():
                 return reduce(DataFrame.unionByName, done)
             width *= 8

@@ -262,7 +262,7 @@ def detected_loci(fragments: DataFrame, proteins: DataFrame, contigs: DataFrame
     per = fragments.groupBy("protein").agg(F.array_sort(F.collect_list(part)).alias("parts"))  # a protein has few fragments
     t = proteins.select("protein", "sequence").join(per, "protein", "left")
     t = t.withColumn("contig", F.col("parts")[0]["contig"]).withColumn("first", F.col("parts")[0]["start"]).withColumn("end", F.element_at("parts", -1)["end"])
-    t = t.join(store.lengths.select(F.col("id").alias("contig"), "n_bases"), "contig", "left")
+    t = settled(t.join(store.lengths.select(F.col("id").alias("contig"), "n_bases"), "contig", "left"))
     one = ~F.exists("parts", lambda p: ~p["contig"].eqNullSafe(F.col("contig")))
     minus = F.col("first") > F.col("end")
     trim = start_trim(F.col("sequence")) if leader else F.lit(0)
