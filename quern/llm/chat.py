@@ -13,7 +13,9 @@ Control strings inside texts are escaped reversibly: ``<`` + backslashes + ``|``
 never comes from a text.  A role also has its backslashes and line ends written as escapes, as it ends at a line end.
 
 Edge cases: null roles and texts are empty; a null turn comes last; equal turns are ordered by role and text; rows with
-a null conv_id form one conversation with a null id; an empty table gives only what the query adds.
+a null conv_id form one conversation with a null id; an empty table gives only what the query adds;
+repeated rows are turns of their own; very long texts and conversations stream piece by piece; conv_id must be a whole number or its text
+(another one stops the job in the cast); columns besides conv_id, turn, role and text don't matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ their share of one residual, which the rounding itself would have shifted as wel
 
 Edge cases: a null text has size 0 and takes 0; a null source is a source of its own, last in order; repeated doc_ids
 are told apart by source, text and an ordinal, equal rows being interchangeable; all sizes zero gives targets of 0; an empty table gives
-an empty result.
+an empty result; very long texts are counted whole, and travel in ``mixed_documents`` only; columns of documents that have names of the
+result's (size, source_size, target, taken) don't matter.
 """
 
 from __future__ import annotations

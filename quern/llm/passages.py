@@ -20,7 +20,9 @@ resolves the others itself, so a phrase that a third of all documents share arri
 session's (spark.sql.shuffle.partitions), with ``BUCKETS`` buckets each; a task holds one bucket at a time.
 
 Edge cases: a null text is empty; texts under 50 bytes lose nothing; a null doc_id is neither smaller nor larger than
-any other, so its row is returned whole; rows of one doc_id never remove from one another.
+any other, so its row is returned whole; rows of one doc_id, repeated
+ones too, never remove from one another; very long texts are parsed whole, in slices; an empty table gives no rows; columns besides doc_id and text don't
+matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ range-partitioned as narrow rows, looked at within a part, and the parts' first
 
 Edge cases: a null text is empty; two empty sketches are alike (1), an empty and a filled one aren't (0); repeated rows
 of a doc_id share the next document, which is the repeated row with the smallest length and text hash; a null doc_id
-comes last in descending order; a single document is its own next.
+comes last in descending order; a single document is its own next; equal texts have equal sketches,
+whatever their ids; very long texts are sketched whole; an empty table gives no rows; columns besides doc_id and text don't matter, whatever their
+names.
 """
 
 from __future__ import annotations
