@@ -47,11 +47,9 @@ def slice_1b(s: Column, first: Column, last: Column) -> Column:
 
 def starts_with_met(s: Column, within: Column) -> Column:
     """1-based positions of M among the first ``within`` residues."""
-    def whole(t):
-        n = F.least(F.length(t), within)
-        return F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(t, i, F.lit(1)) == "M")).otherwise(F.array().cast("array<int>"))
-
-    return F.element_at(F.transform(F.array(s), whole), 1)
+    letters = F.split(F.substring(s, F.lit(1), within), "")  # one pass
+    at = F.filter(F.transform(letters, lambda c, i: F.when(c == "M", i + 1)), lambda i: i.isNotNull())
+    return F.coalesce(at, F.array().cast("array<int>"))
 
 
 def after_last_stop(protein: Column) -> Column:

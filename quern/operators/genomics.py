@@ -47,11 +47,15 @@ def curated_candidates(proteins: DataFrame, within: int = 10) -> DataFrame:
 
 def anchored_candidates(proteins: DataFrame, first: int, last: int) -> DataFrame:
     """Candidates whose M lies at first..last (no zero) relative to the anchor residue; proteins: protein, sequence, tail, anchor."""
-    text = F.concat("tail", "sequence")
-    each = proteins.select("protein", text.alias("text"), (F.length("tail") + F.col("anchor")).alias("a"), F.explode(starts_with_met(text, F.length(text))).alias("at"))
+    lo, hi = min(first, last), max(first, last)
+    each = proteins.select("protein", F.concat("tail", "sequence").alias("text"), (F.length("tail") + F.col("anchor")).alias("a"))
+    begin, end = F.greatest(F.col("a") + (lo if lo <= 0 else lo - 1), F.lit(1)), F.col("a") + (hi if hi < 0 else hi - 1)
+    width = (end - begin + 1).cast("int")
+    part = F.substring("text", begin.cast("int"), width)  # only the asked places are looked at
+    each = each.withColumn("at", F.explode(F.transform(starts_with_met(part, width), lambda i: i + begin.cast("int") - 1)))
     rel = F.when(F.col("at") >= F.col("a"), F.col("at") - F.col("a") + 1).otherwise(F.col("at") - F.col("a"))
     label = F.when(rel < 0, F.concat(F.lit("u"), (-rel).cast("string"))).otherwise(rel.cast("string"))
-    return each.where(rel.between(min(first, last), max(first, last))).select("protein", F.concat_ws("_", "protein", F.lit("with_leader"), label, F.lit("M")).alias("accession"), label.alias("start_label"), rel.alias("anchor_start"), F.substring("text", F.col("at"), F.length("text")).alias("sequence"))
+    return each.where(rel.between(lo, hi)).select("protein", F.concat_ws("_", "protein", F.lit("with_leader"), label, F.lit("M")).alias("accession"), label.alias("start_label"), rel.alias("anchor_start"), F.substring("text", F.col("at"), F.length("text")).alias("sequence"))
 
 
 def loci(features: DataFrame) -> DataFrame:
