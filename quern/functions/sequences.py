@@ -20,12 +20,8 @@ def translate_codons(dna: Column) -> Column:
     """Standard table; stops are ``*``, unknown codons ``X``, a partial last codon is dropped."""
     table = F.create_map(*[F.lit(x) for i, a in enumerate(_CODE) for x in (_BASES[i // 16] + _BASES[i // 4 % 4] + _BASES[i % 4], a)])
 
-    def whole(d):  # bound once, not spelled out at each codon
-        n = F.floor(F.length(d) / 3).cast("int")
-        codon = lambda i: F.coalesce(F.try_element_at(table, F.substring(d, i * 3 - 2, F.lit(3))), F.lit("X"))
-        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), codon), "")).otherwise("")
-
-    return F.element_at(F.transform(F.array(F.translate(F.upper(dna), "U", "T")), whole), 1)
+    codons = F.regexp_extract_all(F.translate(F.upper(dna), "U", "T"), F.lit("(?s)..."), F.lit(0))  # one pass; cutting by place would walk from the start each time
+    return F.coalesce(F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), ""), F.lit(""))
 
 
 def gc_percent(dna: Column) -> Column:

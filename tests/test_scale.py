@@ -45,3 +45,12 @@ def test_contacts_follow_the_single_precision_of_the_sql(spark, tmp_path):
     for name in ("j10_contacts", "a13_contact_statistics"):
         got = [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
         assert got == con.execute(registry.ORACLE_SQL[name]).fetchall(), name
+
+
+def test_codons_are_read_in_one_pass(spark):
+    texts = ["", "AT", "ATG", "atgTAAx", "AUGNNNTGA\n", "ATGé\U0001f600A"]
+    t = spark.createDataFrame([(i, s) for i, s in enumerate([*texts, None])], "k int, s string")
+    got = {r["k"]: r["p"] for r in t.select("k", sequences.translate_codons(F.col("s")).alias("p")).collect()}
+    assert [got[i] for i in range(7)] == ["", "", "M", "M*", "MX*", "MX", ""]
+    long = spark.range(4).select(F.repeat(F.lit("ATGTAA"), 100_000).alias("s"))
+    assert seconds(long.select(sequences.translate_codons(F.col("s")))) < 15  # minutes when each codon was cut out by its place
