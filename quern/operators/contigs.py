@@ -29,9 +29,8 @@ class Contigs:
     def of(contigs: DataFrame, size: int = CHUNK) -> Contigs:
         """From rows (id, sequence) that are there already."""
         n = F.length("sequence")
-        last = F.floor((n - 1) / size).cast("int")
-        each = contigs.where(n > 0).select("id", "sequence", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-        chunks = each.select("id", F.col("chunk").cast("long").alias("chunk"), F.substring("sequence", F.col("chunk") * size + 1, F.lit(size)).alias("text"))
+        pieces = F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))  # one pass, and a row holds its chunk only
+        chunks = contigs.select("id", F.posexplode(pieces).alias("chunk", "text")).withColumn("chunk", F.col("chunk").cast("long"))
         return Contigs(chunks, contigs.select("id", n.cast("long").alias("n_bases")), size)
 
     @staticmethod

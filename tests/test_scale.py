@@ -54,3 +54,12 @@ def test_codons_are_read_in_one_pass(spark):
     assert [got[i] for i in range(7)] == ["", "", "M", "M*", "MX*", "MX", ""]
     long = spark.range(4).select(F.repeat(F.lit("ATGTAA"), 100_000).alias("s"))
     assert seconds(long.select(sequences.translate_codons(F.col("s")))) < 15  # minutes when each codon was cut out by its place
+
+
+def test_contigs_are_cut_in_one_pass(spark):
+    from quern.operators.contigs import Contigs
+
+    t = spark.createDataFrame([("a", "ACGT\nACé\U0001f600T"), ("b", ""), ("c", None)], "id string, sequence string")
+    assert {tuple(r) for r in Contigs.of(t, 4).chunks.collect()} == {("a", 0, "ACGT"), ("a", 1, "\nACé"), ("a", 2, "\U0001f600T")}
+    long = spark.range(4).select("id", F.repeat(F.lit("ACGT"), 500_000).alias("sequence"))
+    assert seconds(Contigs.of(long, 100).chunks) < 15  # each of 20,000 chunks was cut from the start of 2 million bases
