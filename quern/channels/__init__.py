@@ -52,6 +52,28 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
+def _window_means(sequence: Column, radius: int, scale: dict[str, float], default: float = 0.0) -> Column:
+    """Mean of a residue scale over each window; a window is summed from left to right, all windows of a sequence at once."""
+    known = {ord(c): float(v) for c, v in scale.items() if len(c) == 1}
+    table = np.full(max(known, default=0) + 2, float(default))
+    for c, v in known.items():
+        table[c] = v
+
+    @F.pandas_udf("array<double>")
+    def means(texts: pd.Series) -> pd.Series:
+        def one(s):
+            values = table[np.minimum(np.frombuffer((s or "").encode("utf-32-le"), "<u4"), len(table) - 1)]
+            n, at = len(values), np.arange(len(values))
+            total = np.zeros(n)
+            for k in range(-min(radius, n), min(radius, n) + 1):
+                total[max(0, -k) : n - max(0, k)] += values[max(0, k) : n - max(0, -k)]
+            return total / (np.minimum(n - 1, at + radius) - np.maximum(0, at - radius) + 1)
+
+        return texts.map(one)
+
+    return means(sequence)
+
+
 def _scaled(sequence: Column, scale: dict[str, float], default: float = 0.0) -> Column:
     table = F.create_map(*[F.lit(x) for kv in scale.items() for x in kv])
     return F.transform(residues(sequence), lambda c: F.coalesce(F.try_element_at(table, c), F.lit(default)))
@@ -77,8 +99,7 @@ class Composition(Channel):
     letters: str = "ST"
 
     def values(self, sequence):
-        flags = F.transform(residues(sequence), lambda c: F.when(c.isin(*self.letters), 1.0).otherwise(0.0))
-        return _windows(flags, self.radius, lambda w, n: _sum(w) / n)
+        return _window_means(sequence, self.radius, dict.fromkeys(self.letters, 1.0))
 
 
 @dataclass(frozen=True)
@@ -88,7 +109,7 @@ class Scale(Channel):
     scale: tuple = tuple(HYDROPATHY.items())
 
     def values(self, sequence):
-        return _windows(_scaled(sequence, dict(self.scale)), self.radius, lambda w, n: _sum(w) / n)
+        return _window_means(sequence, self.radius, dict(self.scale))
 
 
 def net_charge(name: str, radius: int) -> Scale:

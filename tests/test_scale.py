@@ -63,3 +63,21 @@ def test_contigs_are_cut_in_one_pass(spark):
     assert {tuple(r) for r in Contigs.of(t, 4).chunks.collect()} == {("a", 0, "ACGT"), ("a", 1, "\nACé"), ("a", 2, "\U0001f600T")}
     long = spark.range(4).select("id", F.repeat(F.lit("ACGT"), 500_000).alias("sequence"))
     assert seconds(Contigs.of(long, 100).chunks) < 15  # each of 20,000 chunks was cut from the start of 2 million bases
+
+
+def test_window_means_are_taken_in_whole_arrays(spark):
+    from quern import channels
+
+    rng = random.Random(3)
+    texts = [None, "", "K", "ST", "aSé\U0001f600K", "".join(rng.choices("STKRDEAC", k=200))]
+    t = spark.createDataFrame(list(enumerate(texts)), "k int, sequence string")
+    scale = {"S": 0.1, "T": 0.7, "K": -1.3}
+    for radius in (0, 1, 4, 300):
+        want = []
+        for s in texts:
+            v = [scale.get(c, 0.0) for c in s or ""]
+            want.append([sum(w := v[max(0, i - radius) : i + radius + 1]) / len(w) for i in range(len(v))])
+        got = [r["v"] for r in t.select("k", channels.Scale("x", radius, tuple(scale.items())).values(F.col("sequence")).alias("v")).orderBy("k").collect()]
+        assert [[round(x, 12) for x in r] for r in got] == [[round(x, 12) for x in r] for r in want], radius
+    each = spark.range(8).select(F.repeat(F.lit("STKRAC"), 100_000).alias("sequence"))
+    assert seconds(each.select(channels.Composition("st", 40, "ST").values(F.col("sequence")))) < 25  # 80 values a place, one by one, took longer
