@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,25 +161,37 @@ def bounded(sequences: DataFrame, left_hits: DataFrame, right_hits: DataFrame, l
     return t.select("id", F.when(ok, name).alias("bounded_id"), F.when(ok, F.substring("sequence", first, last - first + 1)).alias("sequence"), "problem")
 
 
-def open_starts(contigs: DataFrame, window: int, most: float = 0.1, chunk: int = 1 << 16) -> DataFrame:
+def _open_runs(text: Column, window: int, most: float, chunk: int) -> Column:
+    """first and last place (0-based) of the runs of window starts among the first ``chunk`` places of a text, from running counts of N."""
+
+    @F.pandas_udf("array<struct<first:int,last:int>>")
+    def runs(texts: pd.Series) -> pd.Series:
+        def one(s):
+            base = np.frombuffer(s.encode("utf-32-le"), "<u4")
+            count = np.concatenate(([0], np.cumsum((base == ord("N")) | (base == ord("n")))))
+            good = np.zeros(min(max(len(base) - window + 1, 0), chunk) + 2, dtype=np.int8)
+            good[1:-1] = ((count[window:] - count[:-window]) / window <= most)[:chunk]
+            edge = np.diff(good)
+            return [{"first": int(i), "last": int(j) - 1} for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+
+        return texts.map(one)
+
+    return runs(text)
+
+
+def open_starts(contigs: DataFrame, window: int, most: float = 0.1, chunk: int = 1 << 14) -> DataFrame:
     """id, first, last (0-based) runs of window starts with at most this share of N, from running counts.
 
-    A contig is cut into chunks that overlap by a window, so that a chromosome is many tasks' work; runs that meet at a
-    border are put together again.
+    A contig is cut into chunks that overlap by a window, so that a chromosome is many tasks' work; a chunk's runs are found where it lies
+    and only runs travel.  Runs that meet at a border are put together again.
     """
-    from .tables import islands
-
     n = F.length("sequence")
-    pieces = contigs.where(n > 0).select("id", "sequence", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("c"))
-    cut = F.substring(F.col("sequence"), F.col("c") * chunk + 1, F.lit(chunk + window - 1))
-    base = pieces.select("id", "c", cut.alias("s")).select("id", "c", F.posexplode(F.split("s", "")).alias("j", "b")).where("b <> ''")
-    w = Window.partitionBy("id", "c").orderBy("j")
-    run = base.withColumn("n", F.sum(F.upper("b").eqNullSafe("N").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    share = (F.lead("n", window - 1).over(w) - F.coalesce(F.lag("n").over(w), F.lit(0))) / window
-    kept = run.withColumn("share", share).where((F.col("share") <= most) & (F.col("j") < chunk)).select("id", "c", (F.col("c") * chunk + F.col("j")).alias("i"))
+    cut = lambda c: F.substring(F.col("sequence"), c * chunk + 1, F.lit(chunk + window - 1))
+    pieces = contigs.where(n > 0).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int")), cut)).alias("c", "s"))
+    kept = pieces.select("id", "c", F.explode(_open_runs(F.col("s"), window, most, chunk)).alias("r")).select("id", *((F.col("c") * chunk + F.col(f"r.{x}")).alias(x) for x in ("first", "last")))
     by = Window.partitionBy("id").orderBy("first")
     new = F.coalesce(F.col("first") > F.lag("last").over(by) + 1, F.lit(True)).cast("int")
-    parts = islands(kept, ["id", "c"], "i").select("id", "first", "last", new.alias("new"))  # few rows a contig
+    parts = kept.withColumn("new", new)  # few rows a contig
     return parts.withColumn("g", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "g").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("g")
 
 
@@ -200,12 +214,19 @@ def numbered_intervals(intervals: DataFrame) -> DataFrame:
 
 
 def starts_at(numbered: DataFrame, draws: DataFrame, total: int) -> DataFrame:
-    """draws (k, ...) with id and start of the k-th of all starts, from 0: draws and intervals meet in equal bins of k."""
+    """draws (k, ...) with id and start of the k-th of all starts, from 0: in equal bins of k, the last interval that begins up to a draw holds it.
+
+    A sweep: intervals and draws of a bin lie along one order, so a bin's work is sorting its rows, however many there are.
+    """
     size = max(1, -(-total // _BINS))
     end = F.col("before") + F.col("last") - F.col("first")
     held = numbered.withColumn("bin", F.explode(F.sequence(F.floor(F.col("before") / size), F.floor(end / size))))
-    met = draws.withColumn("bin", F.floor(F.col("k") / size)).join(held, "bin").where((F.col("k") >= F.col("before")) & (F.col("k") <= end))
-    return met.select(*draws.columns, "id", (F.col("first") + F.col("k") - F.col("before")).alias("start"))
+    held = held.select("bin", F.col("before").alias("at"), F.lit(0).alias("side"), F.struct("id", "first", "before", end.alias("end")).alias("interval"))
+    rows = draws.select(F.floor(F.col("k") / size).alias("bin"), F.col("k").cast("long").alias("at"), F.lit(1).alias("side"), F.struct(*draws.columns).alias("draw"))
+    along = Window.partitionBy("bin").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    swept = held.unionByName(rows, allowMissingColumns=True).withColumn("interval", F.last("interval", ignorenulls=True).over(along)).where("side = 1")
+    met = swept.where(F.col("at") <= F.col("interval.end"))
+    return met.select(*(F.col(f"draw.{c}").alias(c) for c in draws.columns), "interval.id", (F.col("interval.first") + F.col("at") - F.col("interval.before")).alias("start"))
 
 
 def sample_starts(intervals: DataFrame, n: int = 10_000, seed: int = 0) -> DataFrame:

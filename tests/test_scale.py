@@ -81,3 +81,30 @@ def test_window_means_are_taken_in_whole_arrays(spark):
         assert [[round(x, 12) for x in r] for r in got] == [[round(x, 12) for x in r] for r in want], radius
     each = spark.range(8).select(F.repeat(F.lit("STKRAC"), 100_000).alias("sequence"))
     assert seconds(each.select(channels.Composition("st", 40, "ST").values(F.col("sequence")))) < 25  # 80 values a place, one by one, took longer
+
+
+def test_open_starts_keep_bases_where_they_lie(spark):
+    rng = random.Random(4)
+    texts = ["", "A", "N" * 30, "".join(rng.choices("ACGTNn", k=90)), "ACGé\U0001f600T" * 9, "A" * 41]
+    t = spark.createDataFrame([(f"c{i}", s) for i, s in enumerate(texts)], "id string, sequence string")
+    for window, most, chunk in ((10, 0.1, 7), (3, 0.4, 16), (1, 0.0, 5), (12, 0.25, 4)):
+        want = set()
+        for i, s in enumerate(texts):
+            good = [sum(c in "Nn" for c in s[k : k + window]) / window <= most for k in range(max(len(s) - window + 1, 0))]
+            for k, g in enumerate(good):
+                if g and (k == 0 or not good[k - 1]):
+                    want.add((f"c{i}", k, next((j for j in range(k, len(good)) if not good[j]), len(good)) - 1))
+        got = G.open_starts(t, window, most, chunk)
+        assert {tuple(r) for r in got.select("id", "first", "last").collect()} == want, (window, most, chunk)
+    assert "split(" not in got._jdf.queryExecution().toString()  # no row a base
+
+
+def test_draws_in_one_bin_are_swept(spark):
+    n = 60_000
+    ones = spark.range(n).select(F.lit("a").alias("id"), (F.col("id") * 2).alias("first"), (F.col("id") * 2).alias("last"), F.col("id").alias("before"))
+    rest = spark.range(1).select(F.lit("b").alias("id"), F.lit(0).cast("long").alias("first"), F.lit(2_000_000_000).cast("long").alias("last"), F.lit(n).cast("long").alias("before"))
+    draws = spark.range(n).select(F.col("id").alias("nth"), F.col("id").alias("k")).union(spark.sql("SELECT -1L, 2000060001L")).union(spark.sql("SELECT -2L, 2000060000L"))
+    begun = time.monotonic()
+    got = {r["nth"]: (r["id"], r["start"]) for r in G.starts_at(ones.union(rest), draws, n + 2_000_000_001).collect()}
+    assert got == {i: ("a", 2 * i) for i in range(n)} | {-2: ("b", 2_000_000_000)}
+    assert time.monotonic() - begun < 25  # 3.6 billion comparisons before
