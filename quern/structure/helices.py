@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 KEYS = ["model", "chain"]
 
 
@@ -34,9 +36,14 @@ def local_axes(residues: DataFrame) -> DataFrame:
     The axis is at right angles to the changes of direction at the two inner Cα atoms.  Problems: coordinates (one is missing or not
     finite), degenerate (the changes are parallel), direction (the axis runs neither way along the four).
     """
+    return _axes(residues)
+
+
+def _axes(residues: DataFrame, *kept: str) -> DataFrame:
+    """local_axes with further columns of the residues."""
     by = Window.partitionBy(*KEYS).orderBy("number")
     finite = lambda c: F.abs(c) < float("inf")
-    t = residues.select(*KEYS, "number", *(F.lead(c, k).over(by).alias(f"{c}{k}") if k else F.col(c).cast("double").alias(f"{c}0") for c in "xyz" for k in range(4)), F.lead("number", 3).over(by).alias("last"))
+    t = residues.select(*KEYS, "number", *kept, *(F.lead(c, k).over(by).alias(f"{c}{k}") if k else F.col(c).cast("double").alias(f"{c}0") for c in "xyz" for k in range(4)), F.lead("number", 3).over(by).alias("last"))
     p = [[F.col(f"{c}{k}") for c in "xyz"] for k in range(4)]
     d = [[b - a for a, b in zip(p[k], p[k + 1], strict=True)] for k in range(3)]
     bend = [[b - a for a, b in zip(d[k], d[k + 1], strict=True)] for k in range(2)]
@@ -45,33 +52,56 @@ def local_axes(residues: DataFrame) -> DataFrame:
         for c in point:
             there &= F.coalesce(finite(c), F.lit(False))
     raw = _cross(*bend)
-    t = t.select(*KEYS, "number", there.alias("there"), *(c.alias(f"r{i}") for i, c in enumerate(raw)), *(c.alias(f"w{i}") for i, c in enumerate(b - a for a, b in zip(p[0], p[3], strict=True))))
+    t = t.select(*KEYS, "number", *kept, there.alias("there"), *(c.alias(f"r{i}") for i, c in enumerate(raw)), *(c.alias(f"w{i}") for i, c in enumerate(b - a for a, b in zip(p[0], p[3], strict=True))))
     raw, way = [F.col(f"r{i}") for i in range(3)], [F.col(f"w{i}") for i in range(3)]
     norm = F.sqrt(_dot(raw, raw))
     along = _dot(raw, way) / F.when(norm > 0, norm)
     problem = F.when(~F.col("there"), "coordinates").when(norm < 1e-10, "degenerate").when(F.abs(along) < 1e-10, "direction")
-    turned = F.array(*(c / norm * F.when(along > 0, 1.0).otherwise(-1.0) for c in raw))
-    return t.select(*KEYS, "number", F.when(problem.isNull(), turned).alias("axis"), problem.alias("problem"))
+    turned = F.array(*(c / F.when(norm > 0, norm) * F.when(along > 0, 1.0).otherwise(-1.0) for c in raw))
+    return t.select(*KEYS, "number", *kept, F.when(problem.isNull(), turned).alias("axis"), problem.alias("problem"))
+
+
+def _ended(residues: DataFrame) -> DataFrame:
+    """segments with ahead and behind: axis and problem of the first four residues and of the last four.
+
+    One exchange and one sort of the residues serve runs and axes, and only the first and last residue of a run go on; the result is settled.
+    """
+    by = Window.partitionBy(*KEYS).orderBy("number")
+    t = _axes(residues.withColumn("code", F.coalesce("code", F.lit("?"))), "code").withColumn("ahead", F.struct("axis", "problem"))
+    same = lambda f, step: F.coalesce((f("code").over(by) == F.col("code")) & (f("number").over(by) == F.col("number") + step), F.lit(False))
+    t = t.select(*KEYS, "number", "code", "ahead", F.lag("ahead", 3).over(by).alias("behind"), (~same(F.lag, -1)).alias("opens"), (~same(F.lead, 1)).alias("closes")).where("opens OR closes")
+    closing = lambda c: F.when(F.col("closes"), F.col(c)).otherwise(F.lead(c).over(by))
+    t = t.select(*KEYS, "code", F.col("number").alias("start"), closing("number").alias("end"), "ahead", closing("behind").alias("behind"), "opens").where("opens").drop("opens")
+    return settled(t)
 
 
 def judged_kinks(residues: DataFrame, connector: int = 1, angle: float = 70.0) -> DataFrame:
     """model, chain, left_start, left_end, right_start, right_end, degrees, merged, problem: neighbouring helices (code H) with 1 to
     ``connector`` residues between, all of code -, T or S.  They merge if their facing ends bend by less than ``angle`` degrees."""
+    _check(connector, angle)
+    return _judged(_ended(residues), connector, angle)
+
+
+def _check(connector: int, angle: float) -> None:
     if connector < 1 or not 0 < angle <= 180:
         raise ValueError("a connector is at least 1 residue long and an angle above 0 and at most 180 degrees")
-    helix = segments(residues).where("code = 'H'")
+
+
+def _judged(ended: DataFrame, connector: int, angle: float) -> DataFrame:
     by = Window.partitionBy(*KEYS).orderBy("start")
-    pairs = helix.select(*KEYS, F.col("start").alias("left_start"), F.col("end").alias("left_end"), F.lead("start").over(by).alias("right_start"), F.lead("end").over(by).alias("right_end"))
-    pairs = pairs.where(F.col("right_start") - F.col("left_end") - 1 <= connector).where(F.col("right_start") - F.col("left_end") - 1 >= 1)
-    gap = pairs.select(*KEYS, "left_end", F.explode(F.sequence(F.col("left_end") + 1, F.col("right_start") - 1)).alias("number"))
-    bad = gap.join(residues.select(*KEYS, "number", "code"), [*KEYS, "number"], "left").where(~F.coalesce(F.col("code").isin("-", "T", "S"), F.lit(False)))
-    pairs = pairs.join(bad.select(*KEYS, "left_end"), [*KEYS, "left_end"], "left_anti")
-    axes = local_axes(residues)
-    ends = lambda at, axis, problem: axes.select(*KEYS, F.col("number").alias(at), F.col("axis").alias(axis), F.col("problem").alias(problem))
-    j = pairs.withColumn("left_at", F.col("left_end") - 3).join(ends("left_at", "u", "pu"), [*KEYS, "left_at"], "left").join(ends("right_start", "v", "pv"), [*KEYS, "right_start"], "left")
+    loops = F.when(F.col("code").isin("-", "T", "S"), F.col("end") - F.col("start") + 1).otherwise(0)
+    helix = ended.withColumn("passed", F.sum(loops).over(by.rowsBetween(Window.unboundedPreceding, 0))).where("code = 'H'")  # residues of loops so far
+    following = lambda c: F.lead(c).over(by)
+    j = helix.select(
+        *KEYS, F.col("start").alias("left_start"), F.col("end").alias("left_end"), following("start").alias("right_start"), following("end").alias("right_end"),
+        F.col("behind").alias("u"), following("ahead").alias("v"), (following("passed") - F.col("passed")).alias("between"),
+    )
+    gap = F.col("right_start") - F.col("left_end") - 1
+    j = j.where(gap.between(1, connector) & (F.col("between") == gap))
     short = (F.col("left_end") - F.col("left_start") < 3) | (F.col("right_end") - F.col("right_start") < 3)
-    problem = F.when(short, "short").otherwise(F.coalesce("pu", "pv", F.when(F.col("u").isNull() | F.col("v").isNull(), "coordinates")))
-    cosine = _dot([F.col("u")[i] for i in range(3)], [F.col("v")[i] for i in range(3)])
+    u, v = F.col("u.axis"), F.col("v.axis")
+    problem = F.when(short, "short").otherwise(F.coalesce("u.problem", "v.problem", F.when(u.isNull() | v.isNull(), "coordinates")))
+    cosine = _dot([u[i] for i in range(3)], [v[i] for i in range(3)])
     degrees = F.when(problem.isNull(), F.degrees(F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))))
     return j.select(*KEYS, "left_start", "left_end", "right_start", "right_end", degrees.alias("degrees"), F.coalesce(degrees < angle, F.lit(False)).alias("merged"), problem.alias("problem"))
 
@@ -81,10 +111,11 @@ def normalized(residues: DataFrame, connector: int = 1, angle: float = 70.0) ->
 
     Segments inside a merged helix go.  Helices are named alpha1, alpha2, ..., and segments of code -, T or S loop1, loop2, ..., in order.
     """
-    every = segments(residues)
-    joined = judged_kinks(residues, connector, angle).where("merged").select(*KEYS, F.col("right_start").alias("start"), F.lit(True).alias("goes_on"))
+    _check(connector, angle)
+    every = _ended(residues)
+    joined = _judged(every, connector, angle).where("merged").select(*KEYS, F.col("right_start").alias("start"), F.lit(True).alias("goes_on"))
     by = Window.partitionBy(*KEYS).orderBy("start")
-    helix = every.where("code = 'H'").join(joined, [*KEYS, "start"], "left")
+    helix = every.where("code = 'H'").select(*KEYS, "code", "start", "end").join(joined, [*KEYS, "start"], "left")
     helix = helix.withColumn("g", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     merged = helix.groupBy(*KEYS, "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("parts")).withColumn("code", F.lit("H"))
     # A segment lies inside a merged helix if the last helix that starts before it ends behind it.
