@@ -123,3 +123,13 @@ def test_kinks_read_the_residues_in_one_exchange(spark):
     axes = {r["number"]: (r["axis"], r["problem"]) for r in helices.local_axes(t).collect()}
     for r in ended.where("end - start >= 3").collect():
         assert (r["ahead"]["axis"], r["ahead"]["problem"]) == axes[r["start"]] and (r["behind"]["axis"], r["behind"]["problem"]) == axes[r["end"] - 3]
+
+
+def test_interactions_are_counted_without_doubling_rows(spark):
+    from quern.structure import contacts
+
+    rows = [("m", "A", "B", 1, 2, a, b, d, kind) for kind in ("hydrogen_bond", "steric") for a, b, d in (("N", "O", 3.0), ("N", "OG", 2.5), ("N", "O", 2.9))] + [("m", "A", "B", 1, 3, "N", None, 3.4, "steric")]
+    t = spark.createDataFrame(rows, "model string, chain_a string, chain_b string, number_a int, number_b int, atom_a string, atom_b string, distance double, kind string")
+    got = contacts.interaction_counts(t)
+    assert {tuple(r) for r in got.collect()} == {("m", "A", "B", "hydrogen_bond", 2, 2.5), ("m", "A", "B", "steric", 2, 2.5)}
+    assert "Expand" not in got._jdf.queryExecution().toString()
