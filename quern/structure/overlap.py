@@ -224,12 +224,16 @@ class Overlap:
         left, right = self.cross(fit)
         return settled(summary(left, right, keys, geometry(left, right, keys)))
 
+    def fit_table(self) -> DataFrame:
+        """job, subset, matched_CA, fit_RMSD, status for every subset asked for: linear in the matched positions, as no partners meet."""
+        own = deviations(self.pairs, self.fits).join(self.members, ["job", "subset", "position"], "left_semi").groupBy(*_PLACE).agg(F.sqrt(F.avg(F.col("deviation") ** 2)).alias("fit_RMSD"))
+        j = self.asked.join(self.sums.select(*_PLACE, F.col("n").alias("matched_CA")), _PLACE, "left").join(own, _PLACE, "left").na.fill(0, ["matched_CA"])
+        return j.withColumn("status", F.when(F.col("fit_RMSD").isNull(), "insufficient or degenerate coordinates").otherwise("computed"))
+
     def sensitivity(self) -> DataFrame:
         """job, subset, matched_CA, fit_RMSD, min_partner_distance, clash_atom_pairs, status for every subset asked for."""
-        own = deviations(self.pairs, self.fits).join(self.members, ["job", "subset", "position"], "left_semi").groupBy(*_PLACE).agg(F.sqrt(F.avg(F.col("deviation") ** 2)).alias("fit_RMSD"))
         crossed = self.cross_summary(self.fits).groupBy(*_PLACE).agg(F.min("min_distance").alias("min_partner_distance"), F.sum("clash_atom_pairs").alias("clash_atom_pairs"))
-        j = self.asked.join(self.sums.select(*_PLACE, F.col("n").alias("matched_CA")), _PLACE, "left").join(own, _PLACE, "left").join(crossed, _PLACE, "left").na.fill(0, ["matched_CA"])
-        return j.withColumn("status", F.when(F.col("fit_RMSD").isNull(), "insufficient or degenerate coordinates").otherwise("computed"))
+        return self.fit_table().join(crossed, _PLACE, "left").select(*_PLACE, "matched_CA", "fit_RMSD", "min_partner_distance", "clash_atom_pairs", "status")
 
     def replaced(self) -> tuple[DataFrame, DataFrame]:
         """(before, after): geometry of the second side's partners with their own shared chain, and, moved, with the first side's.
