@@ -573,8 +573,9 @@ def p14_regions(spark, sf):
 @query(f"""WITH {_ATOMS.format(s=20)}, p AS (SELECT p.chain AS chain_a, q.chain AS chain_b, p.number AS number_a, q.number AS number_b, (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 AS d2, p.number % 3 AS s FROM a p JOIN a q ON p.chain < q.chain AND (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 <= 2.25)
 SELECT chain_a, chain_b, number_a, number_b, CASE WHEN d2 <= 1.44 AND s > 0 AND NOT s < 2 THEN 'lost' WHEN d2 <= 1.44 AND s > 0 THEN 'kept' ELSE 'gained' END AS change FROM p WHERE (d2 <= 1.44 AND s > 0) OR s < 2""")
 def u03_contact_changes(spark, sf):
-    near, wide = (contacts.contacts(_residues(spark, sf).withColumn("token_index", F.col("number")), c) for c in (1.2, 1.5))
-    return contacts.contact_changes(near.where("number_a % 3 > 0"), wide.where("number_a % 3 < 2"))
+    r = _residues(spark, sf)
+    got = contacts.changed_contacts(r, r, (1.2, 1.5), (F.expr("a.number % 3 > 0"), F.expr("a.number % 3 < 2")))
+    return got.select("chain_a", "chain_b", "number_a", "number_b", "change")
 
 
 @query("""WITH r AS (SELECT vec_id AS number, 'C' || (label % 4) AS chain, row_number() OVER (PARTITION BY label % 4 ORDER BY vec_id) AS i FROM embeddings), s AS (SELECT * FROM r WHERE number % 9 = 0)

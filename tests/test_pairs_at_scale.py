@@ -4,7 +4,23 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.structure import overlap
+from quern.structure import contacts, overlap
+
+
+def residues(spark, seed, drop):
+    at = np.random.default_rng(seed).normal(0, 6, (60, 3))
+    rows = [("m", f"C{i % 3}", i, i, 50.0, *map(float, p)) for i, p in enumerate(at) if i % 10 != drop]
+    return spark.createDataFrame(rows, "model string, chain string, number int, token_index int, plddt double, x double, y double, z double")
+
+
+def test_changed_contacts_equal_those_of_the_contacts(spark):
+    before, after = residues(spark, 1, 3), residues(spark, 1, 7).withColumn("x", F.col("x") + F.col("number") % 4)
+    want = contacts.contact_changes(contacts.contacts(before, 5.0).where("number_a % 3 > 0"), contacts.contacts(after, 6.0).where("number_b % 5 > 0"))
+    got = contacts.changed_contacts(before, after, (5.0, 6.0), (F.expr("a.number % 3 > 0"), F.expr("b.number % 5 > 0")))
+    assert {r.change for r in got.collect()} == {"lost", "kept", "gained"}
+    assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan  # contacts aren't gathered in memory
 
 
 def complexes(spark):
