@@ -9,7 +9,8 @@ import shlex
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of members that travel at once.
@@ -92,6 +93,10 @@ def _seed(request) -> tuple:
     return (seed, None) if isinstance(seed, int) and not isinstance(seed, bool) and 0 <= seed < 1 << 63 else (None, "seed")
 
 
+#: What a model and the files beside it are called, before _<n>, and how they end.
+_BESIDE = {"model": ".cif", "full_data": ".json", "summary_confidences": ".json"}
+
+
 def model_inputs(found: DataFrame, selected: int | None = None) -> DataFrame:
     """source (the fold's locator), model, cif, data, summary, request (locators), seed, problem of every model among found (locator, content).
 
@@ -100,34 +105,43 @@ def model_inputs(found: DataFrame, selected: int | None = None) -> DataFrame:
     each a row: models (a number that several files of a fold have), data (none, or several), summary (several), request, seeds, seed (of the
     request), and, where one model is selected, selected for a fold that lacks it (with that number and no files).
     """
-    directory = F.regexp_replace("locator", r"/[^/]*$", "")
-    name = F.regexp_extract("locator", r"([^/]*)$", 1)
-    names = found.select("locator", directory.alias("source"), name.alias("name"))
-    part = lambda kind, tail: (F.regexp_extract("name", rf"^(.*_){kind}_([0-9]+){tail}$", 1), F.regexp_extract("name", rf"^(.*_){kind}_([0-9]+){tail}$", 2).try_cast("int"))
-    stem, number = part("model", r"\.cif")
+    # Names are taken apart by plain string functions: a directory has many more files than models.
+    name = F.substring_index("locator", "/", -1)
+    directory = F.when(F.contains("locator", F.lit("/")), F.expr("left(locator, length(locator) - length(substring_index(locator, '/', -1)) - 1)")).otherwise(F.col("locator"))
     whole = F.col("name") == "model0_complex.cif"
-    models = names.select("source", "locator", F.when(whole, "").otherwise(stem).alias("stem"), F.when(whole, 0).otherwise(number).alias("model"), whole.alias("assembly")).where("model IS NOT NULL")
+    ended = F.endswith("name", F.lit(".cif")) | F.endswith("name", F.lit(".json"))
+    named = found.select("locator", directory.alias("source"), name.alias("name")).where(ended).withColumn("base", F.expr("left(name, length(name) - if(endswith(name, '.cif'), 4, 5))"))
+    named = named.withColumn("number", F.substring_index("base", "_", -1)).withColumn("head", F.expr("left(base, length(base) - length(number) - 1)"))
+    kind = F.when(whole, "model")
+    for k, tail in _BESIDE.items():
+        kind = kind.when(F.endswith("head", F.lit(f"_{k}")) & F.endswith("name", F.lit(tail)) & (F.col("number") != "") & (F.translate("number", "0123456789", "") == ""), k)
+    named = named.select("source", "locator", "head", "number", kind.alias("kind"), whole.alias("assembly"))
+    stem, number = F.expr("left(head, length(head) - length(kind))"), F.col("number").try_cast("int")
+    parts = named.select("source", "locator", F.when(F.col("assembly"), "").otherwise(stem).alias("stem"), F.when(F.col("assembly"), 0).otherwise(number).alias("model"), "kind", "assembly").where("kind IS NOT NULL AND model IS NOT NULL")
     if selected is not None:
-        every = models.select("source").distinct()
-        models = models.where(F.col("model") == selected)
-    same = models.groupBy("source", "model").agg(F.count(F.lit(1)).alias("n_models"))
-
-    def beside(kind, label):
-        s, n = part(kind, r"\.json")
-        return names.select("source", s.alias("stem"), n.alias("model"), "locator").where("model IS NOT NULL").groupBy("source", "stem", "model").agg(F.min("locator").alias(label), F.count(F.lit(1)).alias(f"n_{label}"))
+        every = parts.where("kind = 'model'").select("source").distinct()
+        parts = parts.where(F.col("model") == selected)
 
-    requests = found.where(F.regexp_extract("locator", r"([^/]*)$", 1).endswith("_job_request.json") & F.col("content").isNotNull())
+    requests = found.where(F.endswith("locator", F.lit("_job_request.json")) & F.col("content").isNotNull())
 
     def read_seeds(batches):
-        for pdf in batches:
-            rows = [(a, *_seed(c)) for a, c in zip(pdf["locator"], pdf["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=["locator", "seed", "wrong"]).astype({"seed": "Int64"})
-
-    seeds = requests.select("locator", "content").mapInPandas(read_seeds, "locator string, seed long, wrong string")
-    asked = seeds.select(directory.alias("source"), F.regexp_extract("locator", r"([^/]*)job_request\.json$", 1).alias("stem"), F.col("locator").alias("request"), "seed", "wrong").groupBy("source", "stem").agg(
-        F.min("request").alias("request"), F.min("seed").alias("seed"), F.min("wrong").alias("wrong"), F.count(F.lit(1)).alias("n_request")
-    )
-    j = models.join(same, ["source", "model"]).join(beside("full_data", "data"), ["source", "stem", "model"], "left").join(beside("summary_confidences", "summary"), ["source", "stem", "model"], "left").join(asked, ["source", "stem"], "left")
+        for batch in batches:
+            seeds = [_seed(c) for c in batch["content"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["locator"], pa.array([s for s, _ in seeds], pa.int64()), pa.array([w for _, w in seeds], pa.string())], ["locator", "seed", "wrong"])
+
+    seeds = requests.select("locator", "content").mapInArrow(read_seeds, "locator string, seed long, wrong string")
+    asked = seeds.select(directory.alias("source"), "locator", F.expr("left(substring_index(locator, '/', -1), length(substring_index(locator, '/', -1)) - length('job_request.json'))").alias("stem"), F.lit("request").alias("kind"), "seed", "wrong")
+    # All files of a fold come together once; what lies beside a model is found along one order.
+    fold = parts.unionByName(asked, allowMissingColumns=True).repartition("source")
+    by_stem, by_model, same = (Window.partitionBy(*k) for k in (("source", "stem"), ("source", "stem", "model"), ("source", "model")))
+    one = lambda k, c="locator": F.min(F.when(F.col("kind") == k, F.col(c)))
+    n = lambda k: F.count_if(F.col("kind") == k)
+    j = fold.select(
+        "source", "stem", "model", "kind", "locator", "assembly", *(f(k).over(by_model).alias(label) for k, short in (("full_data", "data"), ("summary_confidences", "summary")) for f, label in ((one, short), (n, f"n_{short}"))),
+        one("request").over(by_stem).alias("request"), n("request").over(by_stem).alias("n_request"), one("request", "seed").over(by_stem).alias("seed"), one("request", "wrong").over(by_stem).alias("wrong"),
+    )
+    models = j.where("kind = 'model'")
+    j = models.withColumn("n_models", F.count(F.lit(1)).over(same))
     problem = (
         F.when(F.col("n_models") > 1, "models").when(F.col("assembly"), None).when(F.coalesce("n_data", F.lit(0)) != 1, "data").when(F.col("n_summary") > 1, "summary")
         .when(F.col("n_request") > 1, "request").otherwise(F.col("wrong"))
