@@ -9,6 +9,7 @@ Cα atoms that the second complex is moved by: all of them, all but three at eit
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -29,6 +30,8 @@ SAME = 1e-6
 #: Of two atoms at different distances, the farther one can overlap more by its radii only up to this.
 _SLACK = 2 * (max(RADII.values()) - min(RADII.values()))
 _PLACE = ["job", "subset"]
+#: No two atoms farther apart clash.
+_CLASHING = 2 * max(RADII.values()) - CLASH + SAME
 
 
 def model_jobs(first: DataFrame, second: DataFrame, on: str) -> DataFrame:
@@ -154,8 +157,60 @@ def geometry(left: DataFrame, right: DataFrame, keys: list[str], clash: float =
     return t.where("clash OR contact")
 
 
-def summary(left: DataFrame, right: DataFrame, keys: list[str], pairs: DataFrame) -> DataFrame:
-    """keys, min_distance, max_overlap, clash_atom_pairs, clash_residue_pairs, backbone_clashes, contact_residue_pairs; pairs: geometry."""
+def _overlap(p: Column, q: Column) -> Column:
+    return p["radius"] + q["radius"] - F.sqrt(_square(p, q))
+
+
+def _square(p: Column, q: Column) -> Column:
+    return sum(((p[c] - q[c]) * (p[c] - q[c]) for c in "xyz"), F.lit(0.0))
+
+
+def _clashing(limit: float) -> Callable[[Column, Column], Column]:
+    return lambda p, q: F.when((_overlap(p, q) > limit) & ~F.isnan(_overlap(p, q)), _overlap(p, q))
+
+
+_ATOM = ["x", "y", "z", "radius", "main"]
+
+
+def _listed(t: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return t.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y", "z", "radius", F.col("name").isin(*BACKBONE).alias("main")))).alias(name))
+
+
+def _spread(t: DataFrame) -> DataFrame:
+    """A row for each atom of the list ``all``, with its place i; the lists ``all`` and ``other`` stay only where one holds several atoms, and
+    the one atom of ``other`` is ``twin``."""
+    several = F.coalesce((F.size("all") > 1) | (F.size("other") > 1), F.size("all") > 1)
+    lists = {c: F.when(F.col("several"), F.col(c)) for c in ("all", "other")}
+    t = t.withColumns({"several": several, "twin": F.try_element_at("other", F.lit(1))}).select("*", F.posexplode("all").alias("i", "p__"))
+    return t.withColumns(lists).select(*t.columns[:-2], "i", "p__.*")
+
+
+def _best(list_: str, value: Callable[[Column, Column], Column]) -> Column:
+    """value, i, j: the largest value of an atom of a's list with one of b's, and their places; null where no two have a value."""
+    one = {"all": lambda s: F.struct(*(F.col(f"{s}.{c}").alias(c) for c in _ATOM)), "other": lambda s: F.col(f"{s}.twin")}[list_]
+    a, b = (F.when(F.col(f"{s}.several"), F.col(f"{s}.{list_}")).otherwise(F.when(one(s).isNotNull(), F.array(one(s)))) for s in "ab")
+    of = lambda p, q, i, j: F.when(value(p, q).isNotNull(), F.struct(value(p, q).alias("value"), i.alias("i"), j.alias("j")))
+    return F.array_max(F.flatten(F.transform(a, lambda p, i: F.transform(b, lambda q, j: of(p, q, i, j)))))
+
+
+def _here(best: Column) -> Column:
+    """Is the best pair this one?"""
+    return ~(F.col("a.several") | F.col("b.several")) | F.coalesce((best["i"] == F.col("a.i")) & (best["j"] == F.col("b.i")), F.lit(False))
+
+
+def clash_counts(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """keys, by (columns of the left), clash_atom_pairs: clashes are counted where they are found."""
+    near = near_pairs(left.select(*keys, *by, "x", "y", "z", "radius"), right.select(*keys, "x", "y", "z", "radius"), keys, _CLASHING)
+    clashes = near.where(F.col("a.radius") + F.col("b.radius") - F.col("distance") > CLASH)
+    return clashes.groupBy(*(F.col(f"a.{k}").alias(k) for k in [*keys, *by])).agg(F.count(F.lit(1)).alias("clash_atom_pairs"))
+
+
+def summary(left: DataFrame, right: DataFrame, keys: list[str], clash: float = CLASH, contact: float = CONTACT) -> DataFrame:
+    """keys, min_distance, max_overlap, clash_atom_pairs, clash_residue_pairs, backbone_clashes, contact_residue_pairs.
+
+    Every atom knows all of its residue, so a pair of residues is counted where its worst clash or closest contact is found, and pairs
+    are not gathered.
+    """
     least = closest(left, right, keys)
     span = least.agg(F.max("distance")).first()[0]
     if span is None:
@@ -164,10 +219,14 @@ def summary(left: DataFrame, right: DataFrame, keys: list[str], pairs: DataFrame
         at = least.withColumn("reach", F.col("distance") + _SLACK + SAME)
         near = near_pairs(left.join(at.select(*keys, "reach"), keys), right.join(at.select(*keys, "reach"), keys), keys, F.col("reach"))
     most = near.select(*(F.col(f"a.{k}").alias(k) for k in keys), (F.col("a.radius") + F.col("b.radius") - F.col("distance")).alias("overlap")).groupBy(*keys).agg(F.max("overlap").alias("max_overlap"))
-    residues = F.struct("number_a", "number_b")
-    counts = pairs.groupBy(*keys).agg(
-        F.count_if("clash").alias("clash_atom_pairs"), F.countDistinct(F.when(F.col("clash"), residues)).alias("clash_residue_pairs"), F.count_if(F.col("clash") & F.col("backbone")).alias("backbone_clashes"),
-        F.countDistinct(F.when(F.col("contact"), residues)).alias("contact_residue_pairs"),
+    a, b = (_spread(_listed(t, [*keys, "number"], "all").withColumn("other", F.lit(None).cast("array<struct<x:double>>"))) for t in (left, right))
+    met = near_pairs(a, b, keys, max(contact, 2 * max(RADII.values()) - clash) + SAME)
+    clashes, touches = F.col("a.radius") + F.col("b.radius") - F.col("distance") > clash, F.col("distance") <= contact
+    worst = _here(_best("all", _clashing(clash)))
+    nearest = _here(_best("all", lambda p, q: F.when(F.sqrt(_square(p, q)) <= contact, -_square(p, q))))
+    counts = met.where(clashes | touches).groupBy(*(F.col(f"a.{k}").alias(k) for k in keys)).agg(
+        F.count_if(clashes).alias("clash_atom_pairs"), F.count_if(F.when(clashes, worst)).alias("clash_residue_pairs"), F.count_if(clashes & F.col("a.main") & F.col("b.main")).alias("backbone_clashes"),
+        F.count_if(F.when(touches, nearest)).alias("contact_residue_pairs"),
     )
     numbers = ["clash_atom_pairs", "clash_residue_pairs", "backbone_clashes", "contact_residue_pairs"]
     return least.withColumnRenamed("distance", "min_distance").join(most, keys, "left").join(counts, keys, "left").na.fill(0, numbers)
@@ -187,6 +246,31 @@ def clash_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataF
     return a.join(b, k, "full_outer").withColumn("change", change)
 
 
+def changed_clashes(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], keys: list[str]) -> DataFrame:
+    """What clash_changes says of the clashes of before and after, each the left and the right atoms (keys, number, name, radius, x, y, z).
+
+    Every atom knows its places before and after, so a clash is judged where it is found: after, or before where there is none after.
+    Clashes are neither kept nor dealt out anew.
+    """
+    k = [*keys, "number", "name"]
+
+    def found(these, others):
+        sides = (_spread(_listed(t, k, "all").join(_listed(o, k, "other"), k, "left")) for t, o in zip(these, others, strict=True))
+        near = near_pairs(*sides, keys, _CLASHING).where(F.col("a.radius") + F.col("b.radius") - F.col("distance") > CLASH)
+        best, other = (_best(c, _clashing(CLASH)) for c in ("all", "other"))
+        one = F.struct((F.col("a.radius") + F.col("b.radius") - F.col("distance")).alias("here"), _clashing(CLASH)(F.col("a.twin"), F.col("b.twin")).alias("there"))
+        many = F.when(_here(best), F.struct(best["value"].alias("here"), other["value"].alias("there")))  # once for all places of two atoms
+        names = [F.col(f"{s}.{c}").alias(f"{n}_{s}") for s in "ab" for c, n in (("number", "number"), ("name", "atom"))]
+        judged = near.select(*(F.col(f"a.{c}").alias(c) for c in keys), *names, F.when(~(F.col("a.several") | F.col("b.several")), one).otherwise(many).alias("o"))
+        # Exploded, as a filter would be taken into the join, which then wouldn't be compiled.
+        return judged.select(*judged.columns[:-1], F.explode(F.when(F.col("o").isNotNull(), F.array("o"))).alias("o")).select("*", "o.*").drop("o")
+
+    now, then = found(after, before), found(before, after).where("there IS NULL")
+    worse = F.when(F.col("there").isNull(), "introduced").when(F.col("here") > F.col("there") + SAME, "worsened").otherwise("preexisting")
+    named = lambda t, a, b, change: t.select(*keys, "number_a", "atom_a", "number_b", "atom_b", F.col(a).alias("overlap_before"), F.col(b).alias("overlap_after"), change.alias("change"))
+    return named(now, "there", "here", worse).unionByName(named(then, "here", "there", F.lit("resolved")))
+
+
 class Overlap:
     """The parts of a comparison of all jobs; each is a DataFrame of its own."""
 
@@ -222,7 +306,12 @@ class Overlap:
     def cross_summary(self, fit: DataFrame | None = None) -> DataFrame:
         keys = [*_PLACE, "chain_a", "chain_b"]
         left, right = self.cross(fit)
-        return settled(summary(left, right, keys, geometry(left, right, keys)))
+        return settled(summary(left, right, keys))
+
+    def cross_clashes(self, fit: DataFrame | None = None) -> DataFrame:
+        """job, subset, clash_atom_pairs between the first side's partners and the second side's, moved, where there are any."""
+        moving = self._placed(self._side(self.second, "b", False), self.whole if fit is None else fit)
+        return clash_counts(moving, self._side(self.first, "a", False), ["job"], ["subset"])
 
     def fit_table(self) -> DataFrame:
         """job, subset, matched_CA, fit_RMSD, status for every subset asked for: linear in the matched positions, as no partners meet."""
@@ -235,13 +324,12 @@ class Overlap:
         crossed = self.cross_summary(self.fits).groupBy(*_PLACE).agg(F.min("min_distance").alias("min_partner_distance"), F.sum("clash_atom_pairs").alias("clash_atom_pairs"))
         return self.fit_table().join(crossed, _PLACE, "left").select(*_PLACE, "matched_CA", "fit_RMSD", "min_partner_distance", "clash_atom_pairs", "status")
 
-    def replaced(self) -> tuple[DataFrame, DataFrame]:
-        """(before, after): geometry of the second side's partners with their own shared chain, and, moved, with the first side's.
+    def exchanged(self) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+        """(before, after), each (shared chain, partners): the second side's partners with their own shared chain, and, moved, with the first's.
 
         Numbers of the shared chain are those of the first side; residues of the second one beyond the match are numbered as they are, with
         ``b`` for origin.
         """
-        keys = ["job", "chain_b", "origin"]
         shared, partner = self._side(self.second, "b", True), self._side(self.second, "b", False).withColumnRenamed("chain", "chain_b")
         position = F.col("number") - F.col("start") + 1
         inside = position.between(F.lit(1), F.col("length"))
@@ -250,12 +338,16 @@ class Overlap:
 
         def met(left, right):
             chains, origins = right.select("job", "chain_b").distinct(), left.select("job", "origin").distinct()
-            return geometry(left.join(chains, "job"), right.select("job", "chain_b", "number", "name", "radius", "x", "y", "z").join(origins, "job"), keys)
+            return left.join(chains, "job"), right.select("job", "chain_b", "number", "name", "radius", "x", "y", "z").join(origins, "job")
 
         return met(own, partner), met(new, self._placed(self._side(self.second, "b", False), self.whole).withColumnRenamed("chain", "chain_b"))
 
+    def replaced(self) -> tuple[DataFrame, DataFrame]:
+        """(before, after): geometry of what was exchanged."""
+        return tuple(geometry(*sides, ["job", "chain_b", "origin"]) for sides in self.exchanged())
+
     def changes(self) -> DataFrame:
-        return clash_changes(*self.replaced(), ["job", "chain_b", "origin"])
+        return changed_clashes(*self.exchanged(), ["job", "chain_b", "origin"])
 
     def site_table(self) -> DataFrame:
         """job, side, partner, matched_site_CA, observed_site_CA, site_coverage, site_RMSD (under the whole fit)."""
@@ -274,10 +366,10 @@ class Overlap:
         dev = deviations(self.pairs, self.whole).groupBy("job").agg(F.count(F.lit(1)).alias("matched_CA"), F.sqrt(F.avg(F.col("deviation") ** 2)).alias("CA_RMSD"), F.avg((F.col("deviation") > FAR).cast("int")).alias("far_share"))
         bad_site = (F.coalesce("site_coverage", F.lit(0.0)) < COVERAGE_WARNING) | F.coalesce(F.col("site_RMSD") > SITE_RMSD_WARNING, F.lit(False))
         by_site = self.site_table().groupBy("job").agg(F.count_if(bad_site).alias("bad_sites"))
-        every = self.sensitivity().withColumn("whole", F.col("subset").isin("whole_chain", "matched_segment"))
+        every = self.cross_clashes(self.fits).withColumn("whole", F.col("subset").isin("whole_chain", "matched_segment"))
         crossed = every.groupBy("job").agg(F.coalesce(F.sum(F.when(F.col("whole"), F.col("clash_atom_pairs"))), F.lit(0)).alias("cross_clashes"), F.coalesce(F.max("clash_atom_pairs"), F.lit(0)).alias("most"))
-        changed = self.changes().groupBy("job").agg(F.count_if(F.col("change") == "introduced").alias("introduced"), F.count_if(F.col("change") == "worsened").alias("worsened"))
-        t = self.jobs.select("job", "length", "length_a", "length_b").join(dev, "job").join(by_site, "job", "left").join(crossed, "job", "left").join(changed, "job", "left").na.fill(0, ["bad_sites", "introduced", "worsened"])
+        changed = self.changes().where(F.col("change").isin("introduced", "worsened")).groupBy("job").agg(F.count_if(F.col("change") == "introduced").alias("introduced"), F.count_if(F.col("change") == "worsened").alias("worsened"))
+        t = self.jobs.select("job", "length", "length_a", "length_b").join(dev, "job").join(by_site, "job", "left").join(crossed, "job", "left").join(changed, "job", "left").na.fill(0, ["bad_sites", "cross_clashes", "most", "introduced", "worsened"])
         t = t.withColumn("coverage", F.col("matched_CA") / F.col("length")).withColumn("alternative_clashes", (F.col("most") > 0) & (F.col("cross_clashes") == 0))
         partial = (F.col("length") != F.col("length_a")) | (F.col("length") != F.col("length_b"))
         t = t.withColumn("alignment_warning", partial | (F.col("coverage") < COVERAGE_WARNING) | (F.col("CA_RMSD") > RMSD_WARNING) | (F.col("far_share") > FAR_SHARE) | (F.col("bad_sites") > 0))
