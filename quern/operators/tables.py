@@ -241,9 +241,8 @@ def furthest(left: DataFrame, right: DataFrame, keys: list[str], upto: Column, a
     return swept.select("row__.*", "furthest")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], reach: float | Column) -> DataFrame:
-    """Points a of the left with points b of the right, of the same keys and within reach (a number, or a column that both sides have
-    and that depends on the keys alone): columns a.*, b.* and distance.  Points of the right go to the 27 cells around them."""
+def _near(left: DataFrame, right: DataFrame, keys: list[str], reach: float | Column) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """a, b, the condition of being near, and the square of the distance: points of the right go to the 27 cells around them."""
     size = F.lit(float(reach)) if not isinstance(reach, Column) else reach
     cells = {f"c{c}": F.floor(F.col(c) / size).cast("long") for c in "xyz"}
     a, b = left.withColumns(cells).withColumn("reach__", size), right.withColumns(cells)
@@ -253,7 +252,20 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], reach: float
     on = reduce(lambda p, q: p & q, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("cx", "cy", "cz")])
     way = {c: F.col(f"a.{c}") - F.col(f"b.{c}") for c in "xyz"}
     d2 = sum((way[c] * way[c] for c in "xyz"), F.lit(0.0))  # a power takes many times as long
-    return a.alias("a").join(b.alias("b"), on & (d2 <= F.col("a.reach__") ** 2)).withColumn("distance", F.sqrt(d2))
+    return a.alias("a"), b.alias("b"), on & (d2 <= F.col("a.reach__") ** 2), d2
+
+
+def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], reach: float | Column) -> DataFrame:
+    """Points a of the left with points b of the right, of the same keys and within reach (a number, or a column that both sides have
+    and that depends on the keys alone): columns a.*, b.* and distance."""
+    a, b, on, d2 = _near(left, right, keys, reach)
+    return a.join(b, on).withColumn("distance", F.sqrt(d2))
+
+
+def near_any(left: DataFrame, right: DataFrame, keys: list[str], reach: float | Column) -> DataFrame:
+    """Points of the left with a point of the right, of the same keys, within reach; the search for a point ends with the first."""
+    a, b, on, _ = _near(left, right, keys, reach)
+    return a.join(b, on, "left_semi").select(*left.columns)
 
 
 def competition_rank(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tables import near_pairs
+from ..operators.tables import near_any, near_pairs
 from ..session import settled
 from .contacts import BACKBONE, RADII, heavy
 
@@ -55,9 +55,9 @@ def sites(atoms: DataFrame, jobs: DataFrame, side: str, reach: float = SITE) ->
     """job, partner, number: residues of the shared chain whose Cα lies within reach of a heavy atom of a partner chain."""
     shared = jobs.select("job", F.col(f"shared_{side}").alias("shared"))
     t = heavy(atoms).join(shared, "job")
-    ca, others = t.where("chain = shared AND name = 'CA'"), t.where("chain <> shared")
-    near = near_pairs(ca, others, ["job"], reach)
-    return near.select(F.col("a.job").alias("job"), F.col("b.chain").alias("partner"), F.col("a.number").alias("number")).distinct()
+    ca, others = (t.where(c).select("job", "number", F.col("chain").alias("partner"), "x", "y", "z") for c in ("chain = shared AND name = 'CA'", "chain <> shared"))
+    asked = ca.drop("partner").join(others.select("job", "partner").distinct(), "job")  # a job has few chains
+    return near_any(asked, others, ["job", "partner"], reach).select("job", "partner", "number").distinct()
 
 
 def subsets(pairs: DataFrame, jobs: DataFrame, site_a: DataFrame, site_b: DataFrame, partners: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -93,3 +93,15 @@ def test_assessment_does_not_gather_pairs(spark, monkeypatch):
     got = o.assessment().first()
     assert (got.cross_clashes, got.introduced, got.worsened) == (crossed, want["introduced"], want["worsened"])
     assert want["introduced"] > 0 and want["worsened"] > 0
+
+
+def test_sites_take_the_first_partner_found_and_gather_no_pairs(spark):
+    left, right = places(spark, 9)
+    atoms = left.withColumn("chain", F.lit("S")).withColumn("name", F.lit("CA")).unionByName(right.withColumn("chain", F.when(F.col("number") % 2 == 0, "P").otherwise("Q"))).where("x = x AND chain IS NOT NULL").withColumn("element", F.lit("C"))
+    jobs = spark.createDataFrame([("j", "S"), ("k", "S")], "job string, shared_a string")
+    got = overlap.sites(atoms, jobs, "a", 3.0)
+    rows = atoms.collect()
+    near = lambda p, q: sum((p[c] - q[c]) ** 2 for c in "xyz") <= 9.0
+    want = {(p.job, q.chain, p.number) for p in rows if p.chain == "S" for q in rows if q.chain != "S" and p.job == q.job and near(p, q)}
+    assert 0 < len(want) and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
