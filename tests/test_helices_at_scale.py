@@ -8,7 +8,7 @@ from quern.structure import helices
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["g42_helices"])
+@pytest.mark.parametrize("name", ["g42_helices", "g42_kinks"])
 def test_no_residues_are_joined(spark, name):
     assert "Join" not in registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
