@@ -11,6 +11,7 @@ import importlib
 import json
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -52,26 +53,69 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
-def _window_means(sequence: Column, radius: int, scale: dict[str, float], default: float = 0.0) -> Column:
-    """Mean of a residue scale over each window; a window is summed from left to right, all windows of a sequence at once."""
+#: Residues of one step of a kernel: what it holds besides a batch's texts doesn't grow with their number or length.
+STEP = 1 << 18
+
+
+def _mean_pieces(text: str | None, radius: int, table: np.ndarray) -> Iterator[np.ndarray]:
+    """Window means of a text in pieces of up to STEP residues; a window is summed from left to right, all windows of a piece at once."""
+    text = text or ""
+    for begin in range(0, len(text), STEP):
+        end = min(begin + STEP, len(text))
+        left, right = max(0, begin - radius), min(len(text), end + radius)
+        values = table[np.minimum(np.frombuffer(text[left:right].encode("utf-32-le"), "<u4"), len(table) - 1)]
+        at, n = np.arange(begin, end), len(values)
+        total = np.zeros(n)
+        for k in range(-min(radius, n), min(radius, n) + 1):
+            total[max(0, -k) : n - max(0, k)] += values[max(0, k) : n - max(0, -k)]
+        width = np.minimum(len(text) - 1, at + radius) - np.maximum(0, at - radius) + 1
+        yield total[begin - left : end - left] / width
+
+
+def _lookup(scale: dict[str, float], default: float) -> np.ndarray:
     known = {ord(c): float(v) for c, v in scale.items() if len(c) == 1}
     table = np.full(max(known, default=0) + 2, float(default))
     for c, v in known.items():
         table[c] = v
+    return table
+
+
+def _window_means(sequence: Column, radius: int, scale: dict[str, float], default: float = 0.0) -> Column:
+    """Mean of a residue scale over each window.  Arrays go back as soon as they have STEP values together."""
+    table = _lookup(scale, default)
 
     @F.pandas_udf("array<double>")
-    def means(texts: pd.Series) -> pd.Series:
+    def means(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            ready, size = [], 0
+            for s in texts:
+                ready.append(np.concatenate([np.zeros(0), *_mean_pieces(s, radius, table)]))
+                size += len(ready[-1])
+                if size >= STEP:
+                    yield pd.Series(ready)
+                    ready, size = [], 0
+            yield pd.Series(ready, dtype=object)
+
+    return means(sequence)
+
+
+def _window_moments(sequence: Column, radius: int, scale: dict[str, float], default: float = 0.0) -> Column:
+    """Channel.moments of window means: only four numbers of a text leave the kernel."""
+    table = _lookup(scale, default)
+
+    @F.pandas_udf(MOMENTS)
+    def moments(texts: pd.Series) -> pd.DataFrame:
         def one(s):
-            values = table[np.minimum(np.frombuffer((s or "").encode("utf-32-le"), "<u4"), len(table) - 1)]
-            n, at = len(values), np.arange(len(values))
-            total = np.zeros(n)
-            for k in range(-min(radius, n), min(radius, n) + 1):
-                total[max(0, -k) : n - max(0, k)] += values[max(0, k) : n - max(0, -k)]
-            return total / (np.minimum(n - 1, at + radius) - np.maximum(0, at - radius) + 1)
+            n, total, top, spread = 0, 0.0, None, 0.0
+            for v in _mean_pieces(s, radius, table):
+                mine, mean = len(v), v.mean()
+                spread += ((v - mean) ** 2).sum() + ((mean - total / n) ** 2 * n * mine / (n + mine) if n else 0.0)
+                n, total, top = n + mine, total + v.sum(), v.max() if top is None else max(top, v.max())
+            return n, total, top, spread
 
-        return texts.map(one)
+        return pd.DataFrame([one(s) for s in texts], columns=["n", "total", "top", "spread"]).astype({"n": "int64", "top": "float64"})
 
-    return means(sequence)
+    return moments(sequence)
 
 
 def _scaled(sequence: Column, scale: dict[str, float], default: float = 0.0) -> Column:
@@ -79,6 +123,9 @@ def _scaled(sequence: Column, scale: dict[str, float], default: float = 0.0) ->
     return F.transform(residues(sequence), lambda c: F.coalesce(F.try_element_at(table, c), F.lit(default)))
 
 
+MOMENTS = "n long, total double, top double, spread double"
+
+
 @dataclass(frozen=True)
 class Channel:
     name: str
@@ -88,6 +135,17 @@ class Channel:
     def values(self, sequence: Column) -> Column:
         raise NotImplementedError
 
+    def moments(self, sequence: Column) -> Column:
+        """Of a sequence's values their number, sum, largest (null without values) and sum of squared differences from their mean."""
+
+        def whole(v):
+            n, total = F.size(v), _sum(v)
+            around = F.aggregate(v, F.struct(F.lit(0.0).alias("s"), (total / F.when(n > 0, n)).alias("m")), lambda a, x: F.struct((a.s + (x - a.m) * (x - a.m)).alias("s"), a.m.alias("m")))
+            return F.struct(n.cast("long").alias("n"), total.alias("total"), F.array_max(v).alias("top"), around.s.alias("spread"))
+
+        none = F.array().cast("array<double>")
+        return F.element_at(F.transform(F.array(F.coalesce(self.values(sequence), none)), whole), 1)
+
     def definition(self) -> dict:
         return {"kind": type(self).__name__} | asdict(self)
 
@@ -101,6 +159,9 @@ class Composition(Channel):
     def values(self, sequence):
         return _window_means(sequence, self.radius, dict.fromkeys(self.letters, 1.0))
 
+    def moments(self, sequence):
+        return _window_moments(sequence, self.radius, dict.fromkeys(self.letters, 1.0))
+
 
 @dataclass(frozen=True)
 class Scale(Channel):
@@ -111,6 +172,9 @@ class Scale(Channel):
     def values(self, sequence):
         return _window_means(sequence, self.radius, dict(self.scale))
 
+    def moments(self, sequence):
+        return _window_moments(sequence, self.radius, dict(self.scale))
+
 
 def net_charge(name: str, radius: int) -> Scale:
     return Scale(name, radius, tuple(CHARGE.items()))
@@ -225,12 +289,17 @@ class ChannelSet:
     def background_table(self, sequences: DataFrame) -> DataFrame:
         """channel, mu, sigma: population mean and deviation over all residues of all sequences, from one scan and one aggregate."""
         use = [c for c in self.channels if c.needs_background]
-        none = F.array().cast("array<double>")
-        # values that a sequence lacks (pairs of a lone residue) are padded with nulls, which the aggregates skip
-        wide = F.arrays_zip(*(F.coalesce(c.values(F.col("sequence")), none).alias(f"c{i}") for i, c in enumerate(use)))
-        sums = [f(f"v.c{i}").alias(f"{n}{i}") for i in range(len(use)) for n, f in (("mu", F.avg), ("sigma", F.stddev_pop))]
-        rows = F.array(*(F.struct(F.lit(c.name).alias("channel"), F.col(f"mu{i}").alias("mu"), F.col(f"sigma{i}").alias("sigma")) for i, c in enumerate(use)))
-        return sequences.select(F.explode(wide).alias("v")).agg(*sums).select(F.explode(rows).alias("r")).select("r.*")
+        # a sequence leaves its moments alone; they are put together as the moments of groups are
+        each = sequences.select(*(c.moments(F.col("sequence")).alias(f"m{i}") for i, c in enumerate(use)))
+        sums = [f.alias(f"{n}{i}") for i in range(len(use)) for n, f in zip(("n", "total", "within", "squares"), (F.sum(f"m{i}.n"), F.sum(f"m{i}.total"), F.sum(f"m{i}.spread"), F.sum(F.when(F.col(f"m{i}.n") > 0, F.col(f"m{i}.total") * F.col(f"m{i}.total") / F.col(f"m{i}.n")))), strict=True)]
+
+        def row(i, c):
+            n = F.when(F.col(f"n{i}") > 0, F.col(f"n{i}"))
+            mu = F.col(f"total{i}") / n
+            between = F.greatest(F.col(f"squares{i}") / n - mu * mu, F.lit(0.0))
+            return F.struct(F.lit(c.name).alias("channel"), mu.alias("mu"), F.sqrt(F.col(f"within{i}") / n + between).alias("sigma"))
+
+        return each.agg(*sums).select(F.explode(F.array(*(row(i, c) for i, c in enumerate(use)))).alias("r")).select("r.*")
 
     def backgrounds(self, sequences: DataFrame) -> dict[str, tuple[float, float]]:
         """The background of each channel that needs one; a zero or missing sigma is an error."""
