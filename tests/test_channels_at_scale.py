@@ -17,6 +17,11 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_only_moments_leave_the_kernel(spark):
+    df = registry.QUERIES["f3_channels"](spark, SF)
+    assert "moments(" in plan(df) and "means(" not in plan(df)
+
+
 def test_moments_agree_with_values(spark):
     rng = random.Random(7)
     texts = [None, "", "K", "ST", "".join(rng.choices("STKRDEAC", k=200)), "aSé\U0001f600K"]
